@@ -33,11 +33,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, scan
+
+    return digest(scan(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op4_token_files": op4_token_files,
         "op5_simhash": op5_simhash,
+        "op9_secrets": op9_secrets,
     }
 
 
