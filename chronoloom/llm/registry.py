@@ -47,6 +47,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html import extract
 
@@ -66,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_token_files": op4_token_files,
         "op5_simhash": op5_simhash,
+        "op6_language_model": op6_language_model,
         "op7_html": op7_html,
         "op9_secrets": op9_secrets,
     }
