@@ -65,6 +65,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(_table(spark, sf_dir, "documents")))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -75,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_model": op6_language_model,
         "op7_html": op7_html,
         "op9_secrets": op9_secrets,
+        "op10_substrings": op10_substrings,
     }
 
 
