@@ -59,6 +59,30 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in, those in German go, those of src0 are counted anew, and a second
+    tokenizer counts all; one batch is delivered twice."""
+    from .rollup import Rollup, token_count
+    from .store import materialize, new_path
+
+    docs = _table(spark, sf_dir, "documents")
+    counts = [token_count(F.col("text"), v).alias(n) for n, v in (("first", "words-1"), ("second", "words-2"))]
+    counted = materialize(docs.select("source", "lang", *counts), "token-counts")
+
+    def changes(rows: DataFrame, change: str, version: str, now: str, old: str | None = None) -> DataFrame:
+        before = F.col(old) if old else F.lit(None).cast("long")
+        return rows.select("source", "lang", F.lit(version).alias("tokenizer_version"), F.lit(change).alias("change"), F.col(now).alias("n_tokens"), before.alias("old_tokens"))
+
+    rollup = Rollup(spark, new_path(spark, "token-rollup"))
+    arrived = changes(counted, "insert", "words-1", "first")
+    rollup.commit("arrived", arrived)
+    rollup.commit("withdrawn", changes(counted.where("lang = 'de'"), "delete", "words-1", "first"))
+    rollup.commit("arrived", arrived)
+    rollup.commit("recounted", changes(counted.where("source = 'src0' and lang is distinct from 'de'"), "revise", "words-1", "second", "first"))
+    rollup.commit("second-tokenizer", changes(counted, "insert", "words-2", "second"))
+    return rollup.totals()
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import digest, scan
 
@@ -80,10 +104,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": op5_simhash,
         "op6_language_model": op6_language_model,
         "op7_html": op7_html,
+        "op8_token_rollup": op8_token_rollup,
         "op9_secrets": op9_secrets,
         "op10_substrings": op10_substrings,
     }
 
 
+# word counts of both tokenizer versions; RE2 and Java read these classes alike
+_FIRST = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+_SECOND = r"len(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+_OP8 = f"""
+WITH counted AS (SELECT source, lang, {_FIRST} AS a, {_SECOND} AS b FROM documents)
+SELECT source, lang, 'words-1' AS tokenizer_version, count(*)::BIGINT AS n_docs, sum(CASE WHEN source = 'src0' THEN b ELSE a END)::BIGINT AS n_tokens
+FROM counted WHERE lang IS DISTINCT FROM 'de' GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'words-2', count(*)::BIGINT, sum(b)::BIGINT FROM counted GROUP BY source, lang
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_token_rollup": _OP8}
