@@ -95,10 +95,10 @@ def mix(
     block_words: int = 16,
     rows_per_shard: int = 50_000,
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, weight, target, shard, taken.
+    """One row per document: doc_id, source, size, source_size, weight, target, shard, taken, row_key.
 
     docs: doc_id, text, source.  taken counts the words of the document in the mix, repeats
-    included; no document exceeds cap times its size.
+    included; no document exceeds cap times its size.  row_key is a hash of doc_id and text.
     """
     sized = docs.select(
         "doc_id",
@@ -140,4 +140,17 @@ def mix(
     # the rest covers [first, first + rest) on the ring, which may pass its end once
     partly = overlap(first, F.least(first + rest, F.col("shard_size"))) + overlap(F.lit(0), first + rest - F.col("shard_size"))
     taken = F.when(F.col("size") > 0, F.col("size") * full + partly).otherwise(F.lit(0))
-    return joined.select("doc_id", "source", "size", "source_size", "weight", "target", "shard", taken.cast("long").alias("taken"))
+    return joined.select("doc_id", "source", "size", "source_size", "weight", "target", "shard", taken.cast("long").alias("taken"), F.col("_key").alias("row_key"))
+
+
+def repeat_to_mix(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with its columns.
+
+    A document that a quota cuts is rounded to the nearer whole number of copies; a quota cuts
+    two documents at most.  Copies of rows equal in doc_id and text come from one of them.
+    """
+    copies = F.floor(F.try_divide(F.col("taken"), F.col("size")) + 0.5)
+    wanted = mix(docs, seed=seed, **options).where("size > 0 and taken > 0").groupBy("row_key").agg(F.sum(copies).cast("int").alias("_copies")).where("_copies > 0")
+    keyed = docs.withColumn("_row_key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))).dropDuplicates(["_row_key"])
+    joined = keyed.join(wanted, keyed["_row_key"] == wanted["row_key"])
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
