@@ -296,7 +296,7 @@ def _finish(length: int, gram: int, buckets: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 20, gram: int = 10, with_text: bool = False, block_bytes: int = 32 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 20, gram: int = 10, with_text: bool = False, block_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, repeats and, if asked for, kept_text.
 
     repeats: the maximal runs of removed words as (start, end), in words of the document.
