@@ -6,12 +6,13 @@ leading bits into buckets, as one row a bucket.  A bucket sees each key at most
 however frequent the key is, so hot keys are aggregated before the shuffle.  It answers every
 block with one row, in the order of the keys asked for; blocks join their answers by block id.
 
-Both kinds of rows are written to the shared folder first, so block ids, chosen by the task
+The blocks' own rows are written to the shared folder first, so block ids, chosen by the task
 that made the block, stay the same whatever is repeated later.
 """
 
 from __future__ import annotations
 
+import ctypes
 import json
 import struct
 
@@ -19,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
-SCHEMA = "kind string, block string, bucket int, payload binary"
-ARROW_SCHEMA = pa.schema([("kind", pa.string()), ("block", pa.string()), ("bucket", pa.int32()), ("payload", pa.binary())])
+SCHEMA = "block string, bucket int, payload binary"
+ARROW_SCHEMA = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("payload", pa.binary())])
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:
@@ -75,6 +76,15 @@ def unpack_ids(arrays: dict[str, np.ndarray]) -> pa.Array:
     return pa.array(arrays["ids"], mask=arrays["no_id"].astype(bool))
 
 
-def record_batch(rows: list[tuple[str, str, int, bytes]]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[]] * 4
+def record_batch(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 3
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW_SCHEMA, strict=True)], schema=ARROW_SCHEMA)
+
+
+def release() -> None:
+    """Give freed memory back: several workers share a machine, and rarely peak at once."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

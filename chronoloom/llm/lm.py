@@ -70,28 +70,42 @@ def _grams(tokens: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[np.
     return out
 
 
-def _collect(order: int, buckets: int, block_bytes: int):
+def _collect(block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch.column(1), block_bytes):
-                part, block = batch.slice(lo, hi - lo), uuid.uuid4().hex
+                part = batch.slice(lo, hi - lo)
                 tokens, counts = _sequence(part.column(1))
                 held = part.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
-                train = np.repeat(held == 0, counts)
                 vocabulary, local = np.unique(tokens, return_inverse=True)
                 own = {**B.pack_ids(part.column(0).to_pylist()), "held": held, "counts": counts, "vocabulary": B.delta(vocabulary), "tokens": B.smallest(local)}
-                rows = [("documents", block, -1, B.pack(own))]
-                levels = []
-                for keys, at in _grams(tokens, counts, order):
+                yield B.record_batch([(uuid.uuid4().hex, -1, B.pack(own))])
+                del tokens, counts, vocabulary, local, own
+                B.release()
+
+    return run
+
+
+def _ask(order: int, buckets: int):
+    """Of each block's row: its distinct n-grams with their training counts, a row a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                own = B.unpack(payload.as_py())
+                counts = own["counts"]
+                train = np.repeat(own["held"] == 0, counts)
+                asked: list[dict[str, np.ndarray]] = [{} for _ in range(buckets)]
+                for n, (keys, at) in enumerate(_grams(B.undelta(own["vocabulary"])[own["tokens"]], counts, order), 1):
                     known, inverse = np.unique(keys, return_inverse=True)
-                    levels.append((known, np.bincount(inverse, weights=train[at], minlength=len(known)).astype(np.int64), B.bucket_edges(known, buckets)))
-                for b in range(buckets):
-                    asked = {}
-                    for n, (known, seen, edge) in enumerate(levels, 1):
-                        asked[f"k{n}"] = B.delta(known[edge[b] : edge[b + 1]])
-                        asked[f"c{n}"] = B.smallest(seen[edge[b] : edge[b + 1]])
-                    rows.append(("keys", block, b, B.pack(asked)))
-                yield B.record_batch(rows)
+                    seen = np.bincount(inverse, weights=train[at], minlength=len(known)).astype(np.int64)
+                    edge = B.bucket_edges(known, buckets)
+                    for b, (lo, hi) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+                        asked[b] |= {f"k{n}": B.delta(known[lo:hi]), f"c{n}": B.smallest(seen[lo:hi])}
+                    del keys, at, known, inverse, seen
+                yield B.record_batch([(block, b, B.pack(a)) for b, a in enumerate(asked)])
+                del own, counts, train, asked
+                B.release()
 
     return run
 
@@ -253,6 +267,8 @@ def _scorer(order: int, total: int, distinct: int, mu: tuple[float, ...]):
         edge = np.concatenate(([0], np.cumsum(counts)))
         base = np.log10((unigrams[local] + 1) / (total + (distinct + 1)))
         known = unigrams[local] > 0
+        del automaton, levels, grams, answers
+        B.release()
         return pa.table(
             {
                 "doc_id": B.unpack_ids(own),
@@ -268,7 +284,7 @@ def _scorer(order: int, total: int, distinct: int, mu: tuple[float, ...]):
     return run
 
 
-def score(docs: DataFrame, held: Column | None = None, order: int = 2, mu: tuple[float, ...] = (3000.0, 10.0, 10.0), block_bytes: int = 32 << 20) -> DataFrame:
+def score(docs: DataFrame, held: Column | None = None, order: int = 2, mu: tuple[float, ...] = (3000.0, 10.0, 10.0), block_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     held: documents to keep out of training (default: one fold of seven by doc_id).
@@ -277,12 +293,11 @@ def score(docs: DataFrame, held: Column | None = None, order: int = 2, mu: tuple
     held = held_out(F.col("doc_id")) if held is None else held
     spark = docs.sparkSession
     buckets = shuffle_width(spark)
-    collected = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held")).mapInArrow(_collect(order, buckets, block_bytes), B.SCHEMA)
-    rows = materialize(collected, "lm-blocks", ["kind"])
+    collected = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held")).mapInArrow(_collect(block_bytes), B.SCHEMA)
+    own = materialize(collected, "lm-blocks")
     schema = "block string, bucket int, payload binary, distinct long, total long"
-    asked = rows.where("kind = 'keys'").select("block", "bucket", "payload")
+    asked = own.mapInArrow(_ask(order, buckets), B.SCHEMA)
     answers = materialize(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer(order), schema), "lm-answers")
     sums = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    own = rows.where("kind = 'documents'").select("block", "bucket", "payload")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return own.union(answers.select("block", "bucket", "payload")).groupBy("block").applyInArrow(_scorer(order, sums[0], sums[1], mu), out)

@@ -169,11 +169,11 @@ class _Block:
         return np.cumsum(edge[:-1]) > 0
 
 
-def _collect(length: int, gram: int, buckets: int, block_bytes: int):
+def _collect(block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch.column(1), block_bytes):
-                part, block = batch.slice(lo, hi - lo), uuid.uuid4().hex
+                part = batch.slice(lo, hi - lo)
                 raw, text_at = text_buffers(part.column(1))
                 tie = np.array([zlib.crc32(raw[a:b]) for a, b in zip(text_at[:-1].tolist(), text_at[1:].tolist(), strict=True)], dtype=np.uint32)
                 hashes, starts, sizes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -194,9 +194,20 @@ def _collect(length: int, gram: int, buckets: int, block_bytes: int):
                     "vocabulary": vocabulary,
                     "words": B.smallest(local),
                 }
-                rows = [("documents", block, -1, B.pack(own))]
-                rows += [("keys", block, b, m) for b, m in enumerate(_Block(own, length, gram).ask(buckets))]
-                yield B.record_batch(rows)
+                yield B.record_batch([(uuid.uuid4().hex, -1, B.pack(own))])
+                del raw, hashes, starts, sizes, counts, start, size, first, local, vocabulary, own
+                B.release()
+
+    return run
+
+
+def _ask(length: int, gram: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                messages = _Block(B.unpack(payload.as_py()), length, gram).ask(buckets)
+                yield B.record_batch([(block, b, m) for b, m in enumerate(messages)])
+                B.release()
 
     return run
 
@@ -303,9 +314,8 @@ def remove_repeats(docs: DataFrame, length: int = 20, gram: int = 10, with_text:
     """
     buckets = shuffle_width(docs.sparkSession)
     schema = "block string, bucket int, payload binary"
-    rows = materialize(docs.select("doc_id", "text").mapInArrow(_collect(length, gram, buckets, block_bytes), B.SCHEMA), "repeat-blocks", ["kind"])
-    own = rows.where("kind = 'documents'").select("block", "bucket", "payload")
-    asked = rows.where("kind = 'keys'").select("block", "bucket", "payload")
+    own = materialize(docs.select("doc_id", "text").mapInArrow(_collect(block_bytes), B.SCHEMA), "repeat-blocks")
+    asked = own.mapInArrow(_ask(length, gram, buckets), B.SCHEMA)
     anchors = materialize(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer_anchors, schema), "repeat-anchors")
     partly = own.union(anchors).groupBy("block").applyInArrow(_ask_windows(length, gram, buckets), schema)
     windows = materialize(partly.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer_windows(buckets), schema), "repeat-windows")
