@@ -18,6 +18,7 @@ import pyarrow as pa
 from .words import _BYTE_CODE, PLAIN, chunks, span_hash, text_buffers
 
 GROUP_BYTES = 1 << 15
+_LAY_UNITS = 1 << 18
 _ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 
 
@@ -87,8 +88,8 @@ class Encoder:
             s, e = np.insert(s, closing, at[1:]), np.insert(e, closing, at[1:])
             hashes.append(span_hash(_BYTE_CODE[c.data], s, e))
             shift = text_at[c.first] - base
-            starts.append(s + shift)
-            ends.append(e + shift)
+            starts.append((s + shift).astype(np.uint32 if text_at[-1] - base < 1 << 32 else np.int64))
+            ends.append((e + shift).astype(starts[-1].dtype))
             per_doc.append(n_units + 1)
             if self._odd(c.data.tobytes().decode()):
                 for i in range(len(c)):
@@ -97,20 +98,26 @@ class Encoder:
                         odd[c.first + i] = text
         if not hashes:
             return np.zeros(0, np.int64), np.zeros(1, np.int64)
-        start, end, per_doc = np.concatenate(starts), np.concatenate(ends), np.concatenate(per_doc)
-        _, first, unit = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        per_doc, hashes = np.concatenate(per_doc), np.concatenate(hashes)
+        _, first, unit = np.unique(hashes, return_index=True, return_inverse=True)
+        unit = unit.astype(np.uint32)
+        start, end = (np.concatenate(x)[first].astype(np.int64) for x in (starts, ends))
+        del hashes, starts, ends
         data = raw[base : text_at[-1]]
         if len(data):
-            ids, at, size = self._units(data, start[first], end[first])
+            ids, at, size = self._units(data, start, end)
         else:
             ids, at, size = np.zeros(0, np.int64), np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
-        closing = np.flatnonzero(start[first] == end[first])  # one distinct unit: the empty one
+        closing = np.flatnonzero(start == end)  # one distinct unit: the empty one
         ids = np.append(ids, end_id)
         at[closing], size[closing] = len(ids) - 1, 1
-        lengths = size[unit]
         out_at = np.zeros(len(unit) + 1, dtype=np.int64)
-        np.cumsum(lengths, out=out_at[1:])
-        out = ids[np.repeat(at[unit] - out_at[:-1], lengths) + np.arange(out_at[-1])]
+        np.cumsum(size[unit], out=out_at[1:])
+        out, ids = np.empty(out_at[-1], dtype=np.uint32), ids.astype(np.uint32)
+        for lo in range(0, len(unit), _LAY_UNITS):
+            part = unit[lo : lo + _LAY_UNITS]
+            to = out_at[lo : lo + len(part) + 1]
+            out[to[0] : to[-1]] = ids[np.repeat(at[part] - to[:-1], size[part]) + np.arange(to[0], to[-1])]
         doc_at = out_at[np.concatenate(([0], np.cumsum(per_doc)))]
         if odd:
             parts = [out[doc_at[i] : doc_at[i + 1]] for i in range(len(per_doc))]

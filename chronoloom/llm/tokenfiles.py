@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import elias_fano
+from .blocks import release
 from .store import new_path
 from .words import text_buffers
 
@@ -116,9 +117,11 @@ def _writer(folder: str, definition: str, end_id: int, shard_ids: int, slice_byt
             for first, stop in slices(texts, slice_bytes):
                 out, at = enc.encode(texts.slice(first, stop - first), end_id)
                 docs += names.slice(first, stop - first).to_pylist()
-                ids.append(out.astype(np.uint32))
+                ids.append(out.astype(f"<u{id_bytes}"))
                 ends.append(size + at[1:])
                 size += len(out)
+                del out, at
+                release()
                 if size >= shard_ids:
                     flush()
                     docs, ids, ends, size = [], [], [], 0
