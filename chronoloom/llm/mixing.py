@@ -17,6 +17,8 @@ hash order; other columns of the input are neither read nor returned, so names c
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,7 +95,7 @@ def mix(
     cap: int = 3,
     seed: int = 42,
     block_words: int = 16,
-    rows_per_shard: int = 50_000,
+    rows_per_shard: int | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, weight, target, shard, taken, row_key.
 
@@ -107,7 +109,9 @@ def mix(
         F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("_key"),
     )
     sized = materialize(sized, "mix-sizes")
-    shards = max(1, -(-sized.count() // rows_per_shard))
+    rows = sized.count()
+    # as many shards as rows a shard: neither sorting a shard nor ranking a source's shards grows large
+    shards = max(1, -(-rows // (rows_per_shard or max(4096, isqrt(rows)))))
     sized = sized.withColumn("shard", F.pmod(F.col("_key"), F.lit(shards)))
 
     shard_sizes = sized.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
