@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 def nearest(points: DataFrame, others: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Distance of each point x to the nearest y with equal ``by``; null if there is none.
 
-    One sorted pass over both sides, so many points in a group cost no product of them.
+    One running pass over both sides in each direction, so many points in a group cost no
+    product of them.
     """
     from pyspark.sql import Window
 
     both = points.select(*by, F.col(x).alias("_p"), F.lit(1).alias("_q")).unionByName(others.select(*by, F.col(y).alias("_p"), F.lit(0).alias("_q")))
-    order = Window.partitionBy(*by).orderBy("_p", "_q")
+    running = lambda *order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     other = F.when(F.col("_q") == 0, F.col("_p"))
-    down = F.last(other, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    up = F.first(other, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    down = F.last(other, ignorenulls=True).over(running("_p", "_q"))
+    up = F.last(other, ignorenulls=True).over(running(F.desc("_p"), "_q"))
     gap = F.least(F.col("_p") - F.col("_down"), F.col("_up") - F.col("_p"))
     return both.withColumns({"_down": down, "_up": up}).where("_q = 1").select(*by, F.col("_p").alias(x), gap.alias("distance"))
 

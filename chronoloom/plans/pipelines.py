@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,11 @@ from ..sources.events import node_counts
 from . import windows
 
 
+def _kept(frame: DataFrame) -> DataFrame:
+    """Signals and detections are read several times, and dear to make: keep them."""
+    return frame.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def prepare(events: DataFrame, n_nodes: DataFrame | None = None, merge: bool = True) -> tuple[DataFrame, DataFrame]:
     """(grid, intervals): the time grid and one packed row an interval."""
     events = intervals.merge_overlaps(events) if merge else events
@@ -41,15 +47,16 @@ def grid_search(signals: DataFrame, truth: DataFrame, n_bkps: DataFrame, keys: l
     signals: (sample_id, keys..., k, t, value).
     """
     series_keys = ["sample_id", *keys]
-    found = detection.detect(signals, n_bkps, series_keys)
+    signals = _kept(signals)
+    found = _kept(detection.detect(signals, n_bkps, series_keys))
     means = scores.mean_scores(scores.evaluate(signals.select(*series_keys).distinct(), truth, found, keys, margin), keys, cap)
     return means, scores.best(means, keys, by, greatest=by == "mean_f1")
 
 
 def penalty_search(signals: DataFrame, truth: DataFrame, penalties: Sequence[float], keys: list[str], margin: float, by: str = "mean_hausdorff") -> tuple[DataFrame, DataFrame]:
     """The same with a penalty as a further parameter."""
-    spark = signals.sparkSession
-    found = detection.detect_penalized(signals, penalties, ["sample_id", *keys])
+    spark, signals = signals.sparkSession, _kept(signals)
+    found = _kept(detection.detect_penalized(signals, penalties, ["sample_id", *keys]))
     runs = signals.select("sample_id", *keys).distinct().join(F.broadcast(spark.createDataFrame([(float(p),) for p in penalties], "penalty double")))
     all_keys = [*keys, "penalty"]
     means = scores.mean_scores(scores.evaluate(runs, truth, found, all_keys, margin), all_keys)
@@ -58,8 +65,8 @@ def penalty_search(signals: DataFrame, truth: DataFrame, penalties: Sequence[flo
 
 def test_evaluation(signals: DataFrame, best: DataFrame, truth: DataFrame, n_bkps: DataFrame, keys: list[str], margin: float) -> DataFrame:
     """Per-sample scores of the best parameters on other samples."""
-    chosen = signals.join(F.broadcast(best.select(*keys)), keys)
-    found = detection.detect(chosen, n_bkps, ["sample_id", *keys])
+    chosen = _kept(signals.join(F.broadcast(best.select(*keys)), keys))  # best is one row
+    found = _kept(detection.detect(chosen, n_bkps, ["sample_id", *keys]))
     return scores.evaluate(chosen.select("sample_id", *keys).distinct(), truth, found, keys, margin)
 
 

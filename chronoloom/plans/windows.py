@@ -41,8 +41,9 @@ def sampled(plan: DataFrame, fraction: float) -> DataFrame:
     spaced = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda i: F.when((i > 0) & (i == F.col("m") - 1), F.col("b")).otherwise(F.col("a") + i * F.col("_step")))
     targets = spans.withColumn("_step", step).select("sample_id", F.explode(spaced).alias("t"))
     both = plan.select("sample_id", "t", F.struct("k", "t", "left", "right").alias("c")).unionByName(targets.select("sample_id", "t", F.lit(None).cast("struct<k:bigint,t:double,left:bigint,right:bigint>").alias("c")))
-    later = Window.partitionBy("sample_id").orderBy("t", F.col("c").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("first", F.first("c", ignorenulls=True).over(later)).where("c is null and first is not null")
+    # backwards in time, so that one running pass finds the centre at or after each target
+    back = Window.partitionBy("sample_id").orderBy(F.desc("t"), F.col("c").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("first", F.last("c", ignorenulls=True).over(back)).where("c is null and first is not null")
     return found.select("sample_id", "first.*").distinct()
 
 
