@@ -429,6 +429,24 @@ for _name, _body in {
     _SQL[_name] = _with("n_nodes snaps", "", True).rstrip() + _REACH + "\n" + _body
 
 
+@_query("bound_curves", "spans n_nodes", None)
+def bound_curves(s, d):
+    out = pipelines.bound_curves(_merged(s, d), HALF_HOUR, ev.node_counts(ev.contacts(s, d)))
+    return out.select("sample_id", "k", _r("t_center"), _r("upper_bound"), _r("lower_bound"))
+
+
+_SQL["bound_curves"] = (
+    _with("spans n_nodes", "", True).rstrip()
+    + """, links AS (SELECT DISTINCT g.sample_id, g.k, g.t + 900 AS t_center, least(src, dst) AS i, greatest(src, dst) AS j FROM grid g JOIN spans USING (sample_id)
+  JOIN merged e ON e.sample_id = g.sample_id AND e.t_start < g.t + 1800 AND e.t_end > g.t WHERE g.t < t_last - 1800 AND src <> dst),
+reach AS (SELECT sample_id, k, i AS node, i AS other FROM links UNION SELECT sample_id, k, j, j FROM links
+  UNION SELECT r.sample_id, r.k, r.node, b.j FROM reach r JOIN (SELECT sample_id, k, i, j FROM links UNION ALL SELECT sample_id, k, j, i FROM links) b ON b.sample_id = r.sample_id AND b.k = r.k AND b.i = r.other),
+comps AS (SELECT sample_id, k, component, count(*) AS size FROM (SELECT sample_id, k, node, min(other) AS component FROM reach GROUP BY 1, 2, 3) GROUP BY 1, 2, 3)
+SELECT sample_id, k, round(any_value(t_center), 6) AS t_center, round(sum(size / n_nodes * ln(size)), 6) AS upper_bound, round(sum(size / n_nodes * (2 - 2 / size) * ln(2)), 6) AS lower_bound
+FROM comps JOIN n_nodes USING (sample_id) JOIN (SELECT DISTINCT sample_id, k, t_center FROM links) USING (sample_id, k) GROUP BY 1, 2"""
+)
+
+
 @_query("expanding_component_bound")
 def expanding_component_bound(s, d):
     """Upper bounds of growing windows from each day's start, hour by hour."""
@@ -626,12 +644,49 @@ def stability_trace(s, d):
     JOIN (SELECT sample_id, j AS node, sum(v / n_nodes) AS p FROM walk JOIN n_nodes USING (sample_id) GROUP BY 1, 2) b ON b.sample_id = a.sample_id) GROUP BY ALL""")
 def autocovariance(s, d):
     """diag(p) T - p (p T)^T with uniform p."""
-    walk, contacts_ = _walk(s, d), ev.contacts(s, d)
-    p = ev.nodes_of(contacts_).join(ev.node_counts(contacts_), "sample_id").select("sample_id", "node", (1 / F.col("n_nodes")).alias("d"))
-    weighted = cells.scale_rows(walk, p, DAY)
-    after = weighted.groupBy("sample_id", "j").agg(F.sum("v").alias("_p"))
-    product = p.join(after, "sample_id").select("sample_id", F.col("node").alias("i"), "j", (F.col("d") * F.col("_p")).alias("v"))
-    return cells.subtract(weighted, product, DAY).select(*_CELL, (F.round("v", 6) + 0.0).alias("v"))
+    return cells.autocovariance(_walk(s, d), _uniform(s, d), DAY).select(*_CELL, (F.round("v", 6) + 0.0).alias("v"))
+
+
+def _uniform(s, d) -> DataFrame:
+    contacts_ = ev.contacts(s, d)
+    return ev.nodes_of(contacts_).join(ev.node_counts(contacts_), "sample_id").select("sample_id", "node", (1 / F.col("n_nodes")).alias("d"))
+
+
+_FORWARD = """(SELECT sample_id, i, j, sum(v) AS v FROM (
+  SELECT a.sample_id, a.i, b.i AS j, a.v * b.v / (n_nodes * n_nodes) / p AS v FROM walk a JOIN n_nodes USING (sample_id) JOIN walk b ON b.sample_id = a.sample_id AND b.j = a.j
+    JOIN (SELECT sample_id, j, sum(v / n_nodes) AS p FROM walk JOIN n_nodes USING (sample_id) GROUP BY 1, 2) q ON q.sample_id = a.sample_id AND q.j = a.j
+  UNION ALL SELECT a.sample_id, a.node, b.node, -1.0 / (n_nodes * n_nodes) FROM nodes a JOIN nodes b USING (sample_id) JOIN n_nodes USING (sample_id)) GROUP BY ALL)"""
+
+
+@_query("forward_autocovariance", "walk n_nodes", f"SELECT sample_id, i, j, round(v, 6) + 0.0 AS v FROM {_FORWARD}")
+def forward_autocovariance(s, d):
+    return cells.forward_autocovariance(_walk(s, d), _uniform(s, d), DAY).select(*_CELL, (F.round("v", 6) + 0.0).alias("v"))
+
+
+@_query("autocovariance_block_sum", "walk n_nodes", f"SELECT sample_id, round(sum(v), 6) + 0.0 AS total FROM {_FORWARD} WHERE i < 10 AND j >= 10 GROUP BY 1")
+def autocovariance_block_sum(s, d):
+    p = _uniform(s, d)
+    total = cells.block_sum(cells.forward_autocovariance(_walk(s, d), p, DAY), p.where("node < 10"), p.where("node >= 10"), DAY)
+    return total.select("sample_id", (F.round("total", 6) + 0.0).alias("total"))
+
+
+@_query("reindexed_cells", "snaps", """WITH_IDX SELECT x.sample_id, a.n AS i, b.n AS j FROM snaps x JOIN idx a ON a.sample_id = x.sample_id AND a.node = x.i JOIN idx b ON b.sample_id = x.sample_id AND b.node = x.j WHERE x.bin = 10""")
+def reindexed_cells(s, d):
+    one = _snaps(s, d).where("bin = 10").withColumn("v", F.lit(1.0))
+    return cells.reindexed(one, DAY)[0].select("sample_id", "i", "j")
+
+
+_SQL["reindexed_cells"] = _SQL["reindexed_cells"].replace("WITH_IDX", ", idx AS (SELECT sample_id, node, row_number() OVER (PARTITION BY sample_id ORDER BY node) - 1 AS n FROM (SELECT DISTINCT sample_id, unnest([i, j]) AS node FROM snaps WHERE bin = 10))\n")
+
+
+@_query("symmetrized_walk", "walk", "SELECT sample_id, i, j, round(sum(v) / 2, 6) AS v FROM (SELECT * FROM walk UNION ALL SELECT sample_id, j, i, v FROM walk) GROUP BY ALL")
+def symmetrized_walk(s, d):
+    return _cells_out(cells.symmetrized(_walk(s, d), DAY))
+
+
+@_query("time_slices", "contacts", "SELECT sample_id, event_id, b AS slice, round(greatest(t_start, b * 21600), 6) AS t_start, round(least(t_end, (b + 1) * 21600), 6) AS t_end FROM contacts, range(0, 10) r(b) WHERE t_start < (b + 1) * 21600 AND t_end > b * 21600")
+def time_slices(s, d):
+    return intervals.time_slices(ev.contacts(s, d), 21600.0).select("sample_id", "event_id", "slice", _r("t_start"), _r("t_end"))
 
 
 @_query("frobenius_distance", "contacts", f"""SELECT x.sample_id, round((x.s + y.s - 2 * coalesce(z.s, 0)) / sqrt(x.s * y.s), 6) AS distance FROM
@@ -932,6 +987,33 @@ def running_transition(s, d):
     return transitions.running_transition(_packed(s, d)[1], RATES)
 
 
+@_query("linear_running_entropy")
+def linear_running_entropy(s, d):
+    """Entropy of the running product of linear stand-ins over each day's snapshots."""
+    key = ["sample_id", "k"]
+    snaps = _snaps(s, d).withColumnRenamed("bin", "k")
+    walk = graph.random_walk_matrix(graph.both_ways(snaps, key), key)
+    linear = cells.linear_transition(walk, cells.stationary(walk, graph.components(snaps, key), key), key, F.lit(0.5))
+    n = _all_cohorts(s, d)
+    return cells.entropy(transitions.running_products(linear, n, DAY), key, n)
+
+
+@_query("component_exponentials")
+def component_exponentials(s, d):
+    key = ["sample_id", "bin"]
+    snaps = _snaps(s, d)
+    return transitions.component_exponentials(graph.laplacian(graph.both_ways(snaps, key), key), graph.components(snaps, key), key, 0.7)
+
+
+@_query("interval_transitions")
+def interval_transitions(s, d):
+    """Products that start anew in each interval between change points."""
+    grid, packed = _packed(s, d)
+    ranges = clustering.intervals_between(_cuts(s, d, grid), grid)
+    mats = transitions.inter_transitions(packed, RATES[:1]).join(ranges, "sample_id").where("k >= start and k < stop").drop("start", "stop")
+    return transitions.running_products(mats, _all_cohorts(s, d), ["sample_id", "interval", "lamda"], only_last=True)
+
+
 def _window_signals(s, d, backend: str = "sliding", reverse: bool = False, fraction: float = 1.0) -> DataFrame:
     grid, packed = _packed(s, d)
     return transitions.window_entropy(packed, pipelines.window_plans(grid, [HALF_HOUR, HOUR], fraction), RATES, backend, reverse=reverse)
@@ -1090,6 +1172,14 @@ def interval_communities(s, d):
     return clustering.communities(auto, _all_cohorts(s, d), range(4), ["sample_id", "interval", "lamda"])
 
 
+@_query("prepared_integral")
+def prepared_integral(s, d):
+    grid, packed = _packed(s, d)
+    ranges = clustering.intervals_between(_cuts(s, d, grid), grid)
+    auto = clustering.interval_autocovariance(packed, ranges, RATES[:1])
+    return clustering.prepared_integral(auto, ["sample_id", "interval", "lamda"], 2.0, 0.05, largest_component=True)
+
+
 @_query("interval_summary")
 def interval_summary(s, d):
     return clustering.summarize(interval_communities(s, d), ["sample_id", "interval", "lamda"])
@@ -1128,6 +1218,11 @@ def generated_motif(s, d):
     return generators.motif(s, "merge_split", density=5.0)
 
 
+@_query("generated_block_features")
+def generated_block_features(s, d):
+    return generators.block_features(s, [30, 30, 40], [0.0, 1.0, -1.0])
+
+
 @_query("generated_block_graph")
 def generated_block_graph(s, d):
     return generators.block_graph(s, [30, 30, 40], 0.3, 0.02)

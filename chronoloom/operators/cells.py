@@ -197,3 +197,47 @@ def frobenius_distance(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame
     norms = cells.groupBy(*keys).agg(F.sum(F.pow(F.col("_a") - F.col("_b"), 2)).alias("d"), F.sqrt(F.sum(F.col("_a") ** 2)).alias("na"), F.sqrt(F.sum(F.col("_b") ** 2)).alias("nb"))
     below = F.col("na") * F.col("nb")
     return norms.select(*keys, F.when(below > 0, F.col("d") / below).when(F.col("d") > 0, float("inf")).otherwise(float("nan")).alias("distance"))
+
+
+def reindexed(a: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The matrix on its support only, and the map (keys..., node, index) from nodes to its rows."""
+    index = support(a, keys).withColumn("index", (F.row_number().over(Window.partitionBy(*keys).orderBy("node")) - 1).cast("long"))
+    left = index.select(*keys, F.col("node").alias("i"), F.col("index").alias("_i"))
+    right = index.select(*keys, F.col("node").alias("j"), F.col("index").alias("_j"))
+    return a.join(left, [*keys, "i"]).join(right, [*keys, "j"]).select(*keys, F.col("_i").alias("i"), F.col("_j").alias("j"), "v"), index
+
+
+def autocovariance(t: DataFrame, p1: DataFrame, keys: list[str], p2: DataFrame | None = None) -> DataFrame:
+    """diag(p1) T - p1 p2^T; vectors are (keys..., node, d), p2 is p1 T unless given."""
+    weighted = scale_rows(t, p1, keys)
+    after = weighted.groupBy(*keys, F.col("j").alias("node")).agg(F.sum("v").alias("d")) if p2 is None else p2
+    return subtract(weighted, _product(p1, after, keys), keys)
+
+
+def forward_autocovariance(t: DataFrame, p1: DataFrame, keys: list[str]) -> DataFrame:
+    """diag(p1) T diag(1 / p1 T) T^T diag(p1) - p1 p1^T."""
+    weighted = scale_rows(t, p1, keys)
+    inverse = weighted.groupBy(*keys, F.col("j").alias("node")).agg(F.sum("v").alias("_p")).where("_p > 0").select(*keys, "node", (1 / F.col("_p")).alias("d"))
+    return subtract(matmul(scale_columns(weighted, inverse, keys), transpose(weighted), keys), _product(p1, p1, keys), keys)
+
+
+def _product(p: DataFrame, q: DataFrame, keys: list[str]) -> DataFrame:
+    left = p.select(*keys, F.col("node").alias("i"), F.col("d").alias("_a"))
+    return left.join(q.select(*keys, F.col("node").alias("j"), F.col("d").alias("_b")), keys).select(*keys, "i", "j", (F.col("_a") * F.col("_b")).alias("v"))
+
+
+def block_sum(a: DataFrame, rows: DataFrame, columns: DataFrame, keys: list[str]) -> DataFrame:
+    """Sum of the cells in the rows and columns of two node tables (keys..., node), per matrix."""
+    inside = a.join(rows.select(*keys, F.col("node").alias("i")), [*keys, "i"], "left_semi").join(columns.select(*keys, F.col("node").alias("j")), [*keys, "j"], "left_semi")
+    return inside.groupBy(*keys).agg(F.sum("v").alias("total"))
+
+
+def all_near_zero(a: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
+    """Whether all cells equal those of a reference matrix up to rounding."""
+    marked = a.select(*keys, "i", "j", F.col("v").alias("_a"), F.lit(0.0).alias("_b")).unionByName(reference.select(*keys, "i", "j", F.lit(0.0).alias("_a"), F.col("v").alias("_b")))
+    both = marked.groupBy(*keys, "i", "j").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    return both.groupBy(*keys).agg(F.bool_and(F.abs(F.col("_a") - F.col("_b")) <= 1e-8 + 1e-5 * F.abs("_b")).alias("near_zero"))
+
+
+def symmetrized(a: DataFrame, keys: list[str]) -> DataFrame:
+    return scale(add(a, transpose(a), keys), 0.5)

@@ -158,3 +158,19 @@ def order_like(table: DataFrame, keys: list[str], threshold: float = 0.3) -> Dat
     taken = scored.groupBy(*keys, "b").agg(F.min_by(F.struct("a", "jaccard"), F.when(F.col("jaccard") >= threshold, F.col("a"))).alias("m"))
     order = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("m.a"), F.desc("m.jaccard"), "b")
     return taken.select(*keys, "b", F.row_number().over(order).alias("place"))
+
+
+def prepared_integral(autocovariance: DataFrame, keys: list[str], scale: float = 1.0, threshold: float = 0.0, largest_component: bool = False) -> DataFrame:
+    """An integral scaled, symmetrized and thresholded (as a share of its greatest value); optionally its largest component."""
+    from . import cells, graph
+
+    kept = cells.symmetrized(cells.scale(autocovariance, scale), keys)
+    if threshold > 0:
+        kept = cells.drop_small(kept, keys, threshold, absolute=True)
+    if not largest_component:
+        return kept
+    labels = graph.components(kept.where("i != j"), keys)
+    sizes = labels.groupBy(*keys, "component").agg(F.count("*").alias("n"))
+    top = sizes.groupBy(*keys).agg(F.min_by("component", F.struct((-F.col("n")).alias("n"), "component")).alias("component"))
+    inside = labels.join(top, [*keys, "component"], "left_semi").select(*keys, "node")
+    return kept.join(inside.withColumnRenamed("node", "i"), [*keys, "i"], "left_semi").join(inside.withColumnRenamed("node", "j"), [*keys, "j"], "left_semi")

@@ -139,3 +139,11 @@ def breakpoint_bins(breakpoints: DataFrame, width: float, skip: int = 0, odd_onl
     binned = breakpoints.select("sample_id", (F.floor(F.col("bkp") / width) - skip).cast("long").alias("bin"), "n_bins").where("bin > 0 and bin < n_bins")
     counted = binned.groupBy("sample_id", "bin").agg(F.count("*").alias("n"))
     return (counted.where("n % 2 = 1") if odd_only else counted).select("sample_id", "bin")
+
+
+def time_slices(events: DataFrame, width: float) -> DataFrame:
+    """Events cut at multiples of ``width``: one row for each slice they reach into, clipped to it."""
+    first = F.floor(F.col("t_start") / width)
+    last = F.greatest(first, F.ceil(F.col("t_end") / width) - 1)
+    cut = events.withColumn("slice", F.explode(F.sequence(first, last)))
+    return cut.withColumns({"t_start": F.greatest("t_start", F.col("slice") * width), "t_end": F.least("t_end", (F.col("slice") + 1) * width)})

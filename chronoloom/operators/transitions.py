@@ -140,3 +140,57 @@ def window_entropy(intervals: DataFrame, plans: DataFrame, rates: Sequence[float
 
     grouped = mats_side.groupBy("sample_id", "lamda").cogroup(plan_side.groupBy("p_sample", "p_lamda"))
     return grouped.applyInPandas(run, "sample_id long, lamda double, window double, direction string, k long, t double, value double")
+
+
+def running_products(matrices: DataFrame, n_nodes: DataFrame, keys: list[str], reverse: bool = False, tol: float = 1e-12, only_last: bool = False) -> DataFrame:
+    """Ordered products of stored matrices (keys with sample_id..., k, i, j, v): cells after each k.
+
+    Rows that are not stored stand for themselves.  Give an interval among the keys to start anew
+    in each.  Every product's rows are normalized and what is at most tol is left out.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        n, out = int(group["n_nodes"].iloc[0]), []
+        total = np.eye(n)
+        ordered = sorted(group.groupby("k"), key=lambda g: g[0], reverse=reverse)
+        for at, (k, part) in enumerate(ordered):
+            i, j = part["i"].to_numpy(), part["j"].to_numpy()
+            m = np.eye(n)
+            m[np.unique(i)] = 0.0
+            m[i, j] = part["v"].to_numpy()
+            total = K.normalize_rows(total @ m)
+            total[np.abs(total) <= tol] = 0.0
+            if not only_last or at == len(ordered) - 1:
+                x, y = np.nonzero(total)
+                out.append(pd.DataFrame({"k": k, "i": x, "j": y, "v": total[x, y]}))
+        made = pd.concat(out)
+        for key in keys:
+            made[key] = group[key].iloc[0]
+        return made[[*keys, "k", "i", "j", "v"]]
+
+    kinds = dict(matrices.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", k long, i long, j long, v double"
+    return matrices.join(n_nodes, "sample_id").groupBy(*keys).applyInPandas(run, schema)
+
+
+def component_exponentials(laplacian: DataFrame, components: DataFrame, keys: list[str], time: float) -> DataFrame:
+    """exp(-time L) component by component: blocks of one matrix are independent tasks.
+
+    laplacian: cells; components: (keys..., node, component).  Rows are normalized.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        nodes, (i, j) = np.unique(np.concatenate((group["i"], group["j"]))), (group["i"], group["j"])
+        m = np.zeros((len(nodes), len(nodes)))
+        m[np.searchsorted(nodes, i), np.searchsorted(nodes, j)] = group["v"]
+        kernel = K.normalize_rows(K.general_exponential(-time * m))
+        x, y = np.nonzero(kernel)
+        out = pd.DataFrame({"i": nodes[x], "j": nodes[y], "v": kernel[x, y]})
+        for key in keys:
+            out[key] = group[key].iloc[0]
+        return out[[*keys, "i", "j", "v"]]
+
+    kinds = dict(laplacian.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", i long, j long, v double"
+    named = components.withColumnRenamed("node", "i")
+    return laplacian.join(named, [*keys, "i"]).groupBy(*keys, "component").applyInPandas(run, schema)

@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import clustering, detection, intervals, scores, series, transitions
+from ..operators import clustering, detection, graph, intervals, scores, series, transitions
 from ..sources.events import node_counts
 from . import windows
 
@@ -102,3 +102,25 @@ def interval_clusters(events: DataFrame, change_points: DataFrame, rates: Sequen
     summary = clustering.summarize(runs, keys)
     selected = scores.select_rate(summary, ["sample_id", "interval"])
     return summary, selected, clustering.best_partition(runs.join(selected, keys), keys)
+
+
+def bound_curves(events: DataFrame, width: float, n_nodes: DataFrame | None = None) -> DataFrame:
+    """(sample_id, k, t_center, upper_bound, lower_bound) of the window from each grid time on.
+
+    Windows without a contact have no row; both their bounds are 0.
+    """
+    plan = windows.bound_windows(intervals.time_grid(events), width)
+    key, n = ["sample_id", "k"], node_counts(events) if n_nodes is None else n_nodes
+    edges = intervals.range_join(events.where("src != dst"), plan, width).select(*key, F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j")).distinct()
+    sizes = graph.component_sizes(edges, key)
+    both = graph.upper_bound(sizes, key, n).join(graph.lower_bound(sizes, key, n), key)
+    return plan.select(*key, "t_center").join(both, key)
+
+
+def rate_blocks(rates: Sequence[float], n: int) -> list[list[float]]:
+    """Rates in at most n contiguous blocks of nearly equal length, for runs that are split by hand."""
+    size, rest = divmod(len(rates), n)
+    cuts = [0]
+    for i in range(n):
+        cuts.append(cuts[-1] + size + (i < rest))
+    return [list(rates[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]

@@ -158,9 +158,12 @@ def block_of(node: int, sizes: Sequence[int]) -> int:
     return int(np.searchsorted(np.cumsum(sizes), node, side="right"))
 
 
-def simulate(n: int, per_group: int, probabilities: np.ndarray, until: float, mean_pause: float, mean_contact: float, policy: str = "block", seed: int = 0) -> pd.DataFrame:
+def simulate(n: int, per_group: int, probabilities: np.ndarray, until: float, mean_pause: float, mean_contact: float, policy: str = "block", seed: int = 0, tempo: Callable[[float], float] = lambda t: 1.0, mixing: Callable[[float], np.ndarray] | None = None) -> pd.DataFrame:
     """Agents that pause, pick a free partner and stay in contact: an event queue.
 
+    tempo scales pauses and contacts by the time they begin; mixing replaces ``probabilities`` by
+    a matrix of the time.
+
     policy: uniform, within_group, or block (a partner's group by ``probabilities``).  Only
     contacts that end by ``until`` are told.
     """
@@ -179,7 +182,7 @@ def simulate(n: int, per_group: int, probabilities: np.ndarray, until: float, me
             rows.append((a, b, began.pop((a, b)), t))
             free[[a, b]] = True
             for x in (a, b):
-                heapq.heappush(queue, (t + rng.exponential(mean_pause), x, -1))
+                heapq.heappush(queue, (t + rng.exponential(mean_pause * tempo(t)), x, -1))
             continue
         if not free[a]:
             continue
@@ -188,14 +191,25 @@ def simulate(n: int, per_group: int, probabilities: np.ndarray, until: float, me
         if policy == "within_group":
             weight *= group == group[a]
         elif policy == "block":
-            weight *= probabilities[group[a], group]
+            weight *= (probabilities if mixing is None else mixing(t))[group[a], group]
         if weight.sum() == 0:
-            heapq.heappush(queue, (t + rng.exponential(mean_pause), a, -1))
+            heapq.heappush(queue, (t + rng.exponential(mean_pause * tempo(t)), a, -1))
             continue
         b = int(rng.choice(n, p=weight / weight.sum()))
         free[[a, b]] = False
         began[(a, b)] = t
-        heapq.heappush(queue, (t + rng.exponential(mean_contact), a, b))
+        heapq.heappush(queue, (t + rng.exponential(mean_contact * tempo(t)), a, b))
     out = pd.DataFrame(rows, columns=["src", "dst", "t_start", "t_end"]).sort_values(["t_start", "t_end"], ignore_index=True)
     out.insert(0, "event_id", np.arange(len(out)))
     return out
+
+
+def block_features(spark: SparkSession, sizes: Sequence[int], means: Sequence[float], std: float = 1.0, seed: int = 0) -> DataFrame:
+    """(node, block, x): a normal attribute around the mean of the node's block."""
+    bounds = np.cumsum(sizes)[:-1].tolist()
+    block = sum(((F.col("id") >= b).cast("int") for b in bounds), F.lit(0))
+    table = spark.range(sum(sizes)).select(F.col("id").alias("node"), block.alias("block"))
+    mean = F.element_at(F.array(*[F.lit(float(m)) for m in means]), F.col("block") + 1)
+    # two seeded hashes give the uniform draws of a normal one
+    draw = lambda s: (F.pmod(F.xxhash64("node", F.lit(s)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    return table.withColumn("x", mean + std * F.sqrt(-2 * F.ln(draw(2 * seed))) * F.cos(2 * np.pi * draw(2 * seed + 1)))
