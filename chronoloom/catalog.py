@@ -563,15 +563,15 @@ def _hourly(s, d) -> DataFrame:
     return cut.groupBy("sample_id", "k", F.col("src").alias("i"), F.col("dst").alias("j")).agg(F.sum(F.col("b") - F.col("a")).alias("v"))
 
 
-@_query("deltas", "contacts", f"""SELECT sample_id, k, i, j, round(v, 5) + 0.0 AS v FROM (
+@_query("deltas", "contacts", f"""SELECT sample_id, k, i, j, round(v, 7) + 0.0 AS v FROM (
   SELECT sample_id, k, i, j, v - coalesce(lag(v) OVER (PARTITION BY sample_id, i, j ORDER BY k), 0) AS v FROM (
     SELECT p.sample_id, p.i, p.j, h.k, coalesce(x.v, 0) AS v FROM (SELECT DISTINCT sample_id, i, j FROM {_HOURLY}) p JOIN (SELECT DISTINCT sample_id, k FROM {_HOURLY}) h ON h.sample_id = p.sample_id
     LEFT JOIN {_HOURLY} x ON x.sample_id = p.sample_id AND x.i = p.i AND x.j = p.j AND x.k = h.k)) WHERE abs(v) > 0""")
 def deltas(s, d):
-    return cells.deltas(_hourly(s, d), DAY).select("sample_id", "k", "i", "j", (F.round("v", 5) + 0.0).alias("v"))
+    return cells.deltas(_hourly(s, d), DAY).select("sample_id", "k", "i", "j", (F.round("v", 7) + 0.0).alias("v"))
 
 
-@_query("restore_deltas", "contacts", f"SELECT sample_id, k, i, j, round(v, 4) AS v FROM {_HOURLY}")
+@_query("restore_deltas", "contacts", f"SELECT sample_id, k, i, j, round(v, 7) AS v FROM {_HOURLY}")
 def restore_deltas(s, d):
     hourly = _hourly(s, d)
     back = cells.restore(cells.deltas(hourly, DAY), DAY)
@@ -579,7 +579,7 @@ def restore_deltas(s, d):
     asked = hourly.select("sample_id", "k", "i", "j").withColumns({"v": F.lit(None).cast("double"), "q": F.lit(1)})
     both = back.select("sample_id", "k", "i", "j", "v", F.lit(0).alias("q")).unionByName(asked)
     last = F.last("v", ignorenulls=True).over(Window.partitionBy("sample_id", "i", "j").orderBy("k", "q"))
-    return both.withColumn("v", last).where("q = 1").select("sample_id", "k", "i", "j", F.round("v", 4).alias("v"))
+    return both.withColumn("v", last).where("q = 1").select("sample_id", "k", "i", "j", F.round("v", 7).alias("v"))
 
 
 @_query("entropy_of_cells", "walk n_nodes", "SELECT sample_id, round(sum(-v * ln(v) / n_nodes), 6) AS entropy FROM walk JOIN n_nodes USING (sample_id) GROUP BY 1")
@@ -699,25 +699,25 @@ def frobenius_distance(s, d):
 
 
 # ---- series ---------------------------------------------------------------------------------
-@_query("first_difference", "halfhours", "SELECT sample_id, k, round(coalesce(value - lag(value) OVER (PARTITION BY sample_id ORDER BY k), 0), 5) + 0.0 AS value FROM halfhours")
+@_query("first_difference", "halfhours", "SELECT sample_id, k, round(coalesce(value - lag(value) OVER (PARTITION BY sample_id ORDER BY k), 0), 7) + 0.0 AS value FROM halfhours")
 def first_difference(s, d):
-    return series.first_difference(_halfhours(s, d), DAY).select("sample_id", "k", (F.round("value", 5) + 0.0).alias("value"))
+    return series.first_difference(_halfhours(s, d), DAY).select("sample_id", "k", (F.round("value", 7) + 0.0).alias("value"))
 
 
-@_query("running_mean", "halfhours", "SELECT sample_id, k, round(m, 5) AS value FROM (SELECT sample_id, k, avg(value) OVER w AS m, row_number() OVER (PARTITION BY sample_id ORDER BY k) AS n FROM halfhours WINDOW w AS (PARTITION BY sample_id ORDER BY k ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) WHERE n >= 4")
+@_query("running_mean", "halfhours", "SELECT sample_id, k, round(m, 7) AS value FROM (SELECT sample_id, k, avg(value) OVER w AS m, row_number() OVER (PARTITION BY sample_id ORDER BY k) AS n FROM halfhours WINDOW w AS (PARTITION BY sample_id ORDER BY k ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) WHERE n >= 4")
 def running_mean(s, d):
-    return series.running_mean(_halfhours(s, d), 4, DAY).select("sample_id", "k", _r("value", 5))
+    return series.running_mean(_halfhours(s, d), 4, DAY).select("sample_id", "k", _r("value", 7))
 
 
-@_query("derivative", "halfhours", "SELECT sample_id, k, round(s, 5) + 0.0 AS slope FROM (SELECT sample_id, k, (lead(value) OVER w - lag(value) OVER w) / (lead(k) OVER w - lag(k) OVER w) AS s FROM halfhours WINDOW w AS (PARTITION BY sample_id ORDER BY k)) WHERE s IS NOT NULL")
+@_query("derivative", "halfhours", "SELECT sample_id, k, round(s, 7) + 0.0 AS slope FROM (SELECT sample_id, k, (lead(value) OVER w - lag(value) OVER w) / (lead(k) OVER w - lag(k) OVER w) AS s FROM halfhours WINDOW w AS (PARTITION BY sample_id ORDER BY k)) WHERE s IS NOT NULL")
 def derivative(s, d):
-    return series.derivative(_halfhours(s, d), DAY, x="k").select("sample_id", "k", (F.round("slope", 5) + 0.0).alias("slope"))
+    return series.derivative(_halfhours(s, d), DAY, x="k").select("sample_id", "k", (F.round("slope", 7) + 0.0).alias("slope"))
 
 
-@_query("integral", "halfhours", "SELECT sample_id, part, round(coalesce(sum(a), 0), 4) AS integral FROM (SELECT sample_id, k // 12 AS part, (k - lag(k) OVER w) * (value + lag(value) OVER w) / 2 AS a FROM halfhours WINDOW w AS (PARTITION BY sample_id, k // 12 ORDER BY k)) GROUP BY ALL")
+@_query("integral", "halfhours", "SELECT sample_id, part, round(coalesce(sum(a), 0), 7) AS integral FROM (SELECT sample_id, k // 12 AS part, (k - lag(k) OVER w) * (value + lag(value) OVER w) / 2 AS a FROM halfhours WINDOW w AS (PARTITION BY sample_id, k // 12 ORDER BY k)) GROUP BY ALL")
 def integral(s, d):
     halves = _halfhours(s, d).withColumn("part", F.floor(F.col("k") / 12))
-    return series.integral(halves, ["sample_id", "part"], x="k").select("sample_id", "part", _r("integral", 4))
+    return series.integral(halves, ["sample_id", "part"], x="k").select("sample_id", "part", _r("integral", 7))
 
 
 @_query("min_max_scaled", "halfhours", "SELECT sample_id, k, round(CASE WHEN max(value) OVER w > min(value) OVER w THEN (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) ELSE 0 END, 6) AS value FROM halfhours WINDOW w AS (PARTITION BY sample_id)")
@@ -777,14 +777,14 @@ def evaluate_change_points(s, d):
     return _evaluated(s, d).select("param", "sample_id", "n_true", "n_found", "tp", _r("precision"), _r("recall"), _r("f1"), _r("hausdorff"))
 
 
-@_query("mean_scores", "means", "SELECT param, round(mean_f1, 6) AS mean_f1, round(mean_hausdorff, 4) AS mean_hausdorff FROM means")
+@_query("mean_scores", "means", "SELECT param, round(mean_f1, 6) AS mean_f1, round(mean_hausdorff, 7) AS mean_hausdorff FROM means")
 def mean_scores(s, d):
-    return scores.mean_scores(_evaluated(s, d), ["param"]).select("param", _r("mean_f1"), _r("mean_hausdorff", 4))
+    return scores.mean_scores(_evaluated(s, d), ["param"]).select("param", _r("mean_f1"), _r("mean_hausdorff", 7))
 
 
-@_query("mean_scores_capped", "evaluated", "SELECT param, round(avg(least(hausdorff, 10000.0)), 4) AS mean_hausdorff FROM evaluated GROUP BY 1")
+@_query("mean_scores_capped", "evaluated", "SELECT param, round(avg(least(hausdorff, 10000.0)), 7) AS mean_hausdorff FROM evaluated GROUP BY 1")
 def mean_scores_capped(s, d):
-    return scores.mean_scores(_evaluated(s, d), ["param"], cap=10000.0).select("param", _r("mean_hausdorff", 4))
+    return scores.mean_scores(_evaluated(s, d), ["param"], cap=10000.0).select("param", _r("mean_hausdorff", 7))
 
 
 @_query("best_by_f1", "means", "SELECT param, round(mean_f1, 6) AS mean_f1 FROM means ORDER BY means.mean_f1 DESC, param LIMIT 1")
@@ -792,19 +792,19 @@ def best_by_f1(s, d):
     return scores.best(scores.mean_scores(_evaluated(s, d), ["param"]), ["param"]).select("param", _r("mean_f1"))
 
 
-@_query("best_by_hausdorff", "means", "SELECT param, round(mean_hausdorff, 4) AS mean_hausdorff FROM means ORDER BY means.mean_hausdorff, param LIMIT 1")
+@_query("best_by_hausdorff", "means", "SELECT param, round(mean_hausdorff, 7) AS mean_hausdorff FROM means ORDER BY means.mean_hausdorff, param LIMIT 1")
 def best_by_hausdorff(s, d):
-    return scores.best(scores.mean_scores(_evaluated(s, d), ["param"]), ["param"], "mean_hausdorff", greatest=False).select("param", _r("mean_hausdorff", 4))
+    return scores.best(scores.mean_scores(_evaluated(s, d), ["param"]), ["param"], "mean_hausdorff", greatest=False).select("param", _r("mean_hausdorff", 7))
 
 
-@_query("hausdorff_cap", "evaluated", "SELECT round(max(hausdorff) FILTER (WHERE NOT isinf(hausdorff)) * 1.1, 4) AS cap, bool_or(isinf(hausdorff)) AS any_infinite FROM evaluated")
+@_query("hausdorff_cap", "evaluated", "SELECT round(max(hausdorff) FILTER (WHERE NOT isinf(hausdorff)) * 1.1, 7) AS cap, bool_or(isinf(hausdorff)) AS any_infinite FROM evaluated")
 def hausdorff_cap(s, d):
-    return scores.hausdorff_cap(_evaluated(s, d)).select(_r("cap", 4), "any_infinite")
+    return scores.hausdorff_cap(_evaluated(s, d)).select(_r("cap", 7), "any_infinite")
 
 
-@_query("clipped_scores", "evaluated", "SELECT param, sample_id, round(CASE WHEN isinf(hausdorff) THEN 50000 ELSE hausdorff END, 4) AS hausdorff FROM evaluated")
+@_query("clipped_scores", "evaluated", "SELECT param, sample_id, round(CASE WHEN isinf(hausdorff) THEN 50000 ELSE hausdorff END, 7) AS hausdorff FROM evaluated")
 def clipped_scores(s, d):
-    return scores.clipped(_evaluated(s, d), 50000.0).select("param", "sample_id", _r("hausdorff", 4))
+    return scores.clipped(_evaluated(s, d), 50000.0).select("param", "sample_id", _r("hausdorff", 7))
 
 
 _RESULTS = "(SELECT sample_id, param::DOUBLE AS lamda, CASE WHEN n_found = 0 THEN 'nan'::DOUBLE ELSE round(hausdorff / 86400, 6) END AS avg_nvi, round(f1, 6) AS best_stability FROM evaluated)"

@@ -157,7 +157,7 @@ def order_like(table: DataFrame, keys: list[str], threshold: float = 0.3) -> Dat
     # the first model cluster that accepts a cluster is the one that takes it
     taken = scored.groupBy(*keys, "b").agg(F.min_by(F.struct("a", "jaccard"), F.when(F.col("jaccard") >= threshold, F.col("a"))).alias("m"))
     order = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("m.a"), F.desc("m.jaccard"), "b")
-    return taken.select(*keys, "b", F.row_number().over(order).alias("place"))
+    return taken.select(*keys, "b", F.row_number().over(order).cast("long").alias("place"))
 
 
 def prepared_integral(autocovariance: DataFrame, keys: list[str], scale: float = 1.0, threshold: float = 0.0, largest_component: bool = False) -> DataFrame:

@@ -117,4 +117,4 @@ def sankey_layers(flow: DataFrame, types: list[str], level: str = "level") -> Da
     counts = [F.sum(F.when(F.col("type") == t, F.col("value")).otherwise(0)).alias(f"_c{n}") for n, t in enumerate(types)]
     totals = out.union(final).groupBy("level", "cluster").agg(F.sum("value").alias("total"), *counts)
     order = Window.partitionBy("level").orderBy(*[F.desc(f"_c{n}") for n in range(len(types))], "cluster")
-    return totals.select("level", "cluster", "total", F.row_number().over(order).alias("place"))
+    return totals.select("level", "cluster", "total", F.row_number().over(order).cast("long").alias("place"))
