@@ -2,17 +2,21 @@
 
 Lineage is cut by tables written below ``spark.checkpoint.dir`` (shared by driver and
 executors), so a lost executor only repeats the tasks it ran.  Only where that setting is
-absent (tests on one machine) a folder below ``/tmp`` takes its place.
+absent (tests on one machine) a folder below ``/tmp`` takes its place.  Intermediate tables
+last as long as the program, since results are read lazily; it removes them when it ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[tuple[SparkSession, str]] = []
 FALLBACK_DIR = os.path.join(tempfile.gettempdir(), "chronoloom-checkpoints")
 
 
@@ -33,6 +37,7 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     """Write ``df`` as a Parquet table in the shared folder and return a reader of it."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    _made.append((spark, path))
     writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -41,9 +46,23 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder written by :func:`materialize` (any Hadoop file system)."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    """Remove a folder on any Hadoop file system."""
+    jvm = spark._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(jpath, True)
+
+
+def forget_last(spark: SparkSession, n: int = 1) -> None:
+    """Remove the nth last table of :func:`materialize`, once nothing reads it any more."""
+    if len(_made) >= n:
+        delete(spark, _made.pop(-n)[1])
+
+
+@atexit.register
+def _tidy() -> None:
+    for spark, path in _made:
+        with suppress(Exception):  # the gateway may be gone
+            delete(spark, path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
