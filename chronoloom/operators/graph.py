@@ -41,9 +41,13 @@ def degrees(adjacency: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def laplacian(adjacency: DataFrame, keys: list[str]) -> DataFrame:
-    """D - A; nodes without an edge have no cells."""
-    diagonal = degrees(adjacency, keys).select(*keys, "i", F.col("i").alias("j"), F.col("degree").alias("v"))
-    return diagonal.unionByName(adjacency.select(*keys, "i", "j", (-F.col("v")).alias("v"))).groupBy(*keys, "i", "j").agg(F.sum("v").alias("v")).where("v != 0")
+    """D - A of cells without repeats; nodes without an edge have no cells.
+
+    Degrees are the only aggregate: cells off the diagonal pass through.
+    """
+    inner = F.sum(F.when(F.col("i") == F.col("j"), F.col("v")).otherwise(0.0))
+    diagonal = adjacency.groupBy(*keys, "i").agg((F.sum(F.abs("v")) - inner).alias("v")).select(*keys, "i", F.col("i").alias("j"), "v").where("v != 0")
+    return diagonal.unionByName(adjacency.where("i != j").select(*keys, "i", "j", (-F.col("v")).alias("v")))
 
 
 def random_walk_matrix(adjacency: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,10 +57,16 @@ def random_walk_matrix(adjacency: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def random_walk_laplacian(adjacency: DataFrame, keys: list[str]) -> DataFrame:
-    """I - D^-1 A; an isolated node walks to itself, so its row is 0."""
-    step = random_walk_matrix(adjacency, keys)
-    ones = adjacency.select(*keys, "i").distinct().select(*keys, "i", F.col("i").alias("j"), F.lit(1.0).alias("v"))
-    return ones.unionByName(step.withColumn("v", -F.col("v"))).groupBy(*keys, "i", "j").agg(F.sum("v").alias("v")).where("v != 0")
+    """I - D^-1 A of cells without repeats; an isolated node walks to itself, so its row is 0.
+
+    One pass over the rows: the first cell of a row also brings its diagonal cell.
+    """
+    row = Window.partitionBy(*keys, "i")
+    inner = F.sum(F.when(F.col("i") == F.col("j"), F.col("v")).otherwise(0.0)).over(row)
+    seen = adjacency.withColumns({"_all": F.sum("v").over(row), "_own": inner, "_n": F.row_number().over(row.orderBy("j"))})
+    off = F.when(F.col("i") != F.col("j"), F.struct(F.col("j"), (-F.col("v") / F.col("_all")).alias("v")))
+    diagonal = F.when(F.col("_n") == 1, F.struct(F.col("i").alias("j"), (1 - F.col("_own") / F.col("_all")).alias("v")))
+    return seen.select(*keys, "i", F.explode(F.array_compact(F.array(off, diagonal))).alias("c")).select(*keys, "i", "c.j", "c.v").where("v != 0")
 
 
 def normalized_laplacian(adjacency: DataFrame, keys: list[str]) -> DataFrame:
