@@ -141,8 +141,7 @@ def _walk(s, d) -> DataFrame:
 
 
 def _edges(s, d) -> DataFrame:
-    merged = _merged(s, d)
-    return intervals.interval_edges(merged, intervals.time_grid(merged), merged=True)
+    return intervals.interval_edges(_merged(s, d), merged=True)
 
 
 def _snaps(s, d) -> DataFrame:
@@ -167,7 +166,7 @@ def _all_cohorts(s, d) -> DataFrame:
 def _packed(s, d) -> tuple[DataFrame, DataFrame]:
     merged = _merged(s, d)
     grid = intervals.time_grid(merged)
-    return grid, transitions.packed(intervals.interval_edges(merged, grid, merged=True), grid, _all_cohorts(s, d))
+    return grid, transitions.packed(intervals.interval_edges(merged, merged=True), grid, _all_cohorts(s, d))
 
 
 def _halfhours(s, d) -> DataFrame:

@@ -94,19 +94,18 @@ def as_of(grid: DataFrame, times: DataFrame) -> DataFrame:
     return found.select("sample_id", "at", F.col("m.k").alias("k"), F.col("m.t").alias("t"))
 
 
-def interval_edges(events: DataFrame, grid: DataFrame, merged: bool = False) -> DataFrame:
-    """(sample_id, k, i, j), i < j: the pairs in contact in each grid interval, self-loops apart.
+def interval_edges(events: DataFrame, merged: bool = False) -> DataFrame:
+    """(sample_id, k, i, j), i < j: the pairs in contact in each interval of the time grid, self-loops apart.
 
     The grid holds all starts and ends, so an event covers the whole intervals from its start's
-    k to before its end's.  Both bounds are found by equality on time; no range join is left,
-    and what explodes is the result itself.  Events of ``merge_overlaps`` name a pair once an
-    interval, so with ``merged`` the cells need no further shuffle.
+    rank to before its end's.  One ranking of the times gives both; no join is needed, and what
+    explodes is the result itself.  Events of ``merge_overlaps`` name a pair once an interval, so
+    with ``merged`` the cells need no further shuffle.
     """
-    at = grid.select("sample_id", F.col("t"), F.col("k"))
-    a = at.select("sample_id", F.col("t").alias("t_start"), F.col("k").alias("k0"))
-    b = at.select("sample_id", F.col("t").alias("t_end"), F.col("k").alias("k1"))
-    bounded = events.where("src != dst").join(a, ["sample_id", "t_start"]).join(b, ["sample_id", "t_end"]).where("k1 > k0")
-    cells = bounded.select("sample_id", F.explode(F.sequence("k0", F.col("k1") - 1)).alias("k"), F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j"))
+    ends = events.select("sample_id", "event_id", "src", "dst", "t_start", "t_end", F.explode(F.array("t_start", "t_end")).alias("t"))
+    ranked = ends.withColumn("k", (F.dense_rank().over(Window.partitionBy("sample_id").orderBy("t")) - 1).cast("long"))
+    spans = ranked.groupBy("sample_id", "event_id", "src", "dst", "t_start", "t_end").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).where("src != dst and k1 > k0")
+    cells = spans.select("sample_id", F.explode(F.sequence("k0", F.col("k1") - 1)).alias("k"), F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j"))
     return cells if merged else cells.distinct()
 
 

@@ -23,7 +23,7 @@ def prepare(events: DataFrame, n_nodes: DataFrame | None = None, merge: bool = T
     """(grid, intervals): the time grid and one packed row an interval."""
     events = intervals.merge_overlaps(events) if merge else events
     grid = intervals.time_grid(events)
-    return grid, transitions.packed(intervals.interval_edges(events, grid, merged=merge), grid, node_counts(events) if n_nodes is None else n_nodes)
+    return grid, transitions.packed(intervals.interval_edges(events, merged=merge), grid, node_counts(events) if n_nodes is None else n_nodes)
 
 
 def window_plans(grid: DataFrame, widths: Sequence[float], fraction: float = 1.0) -> DataFrame:

@@ -58,7 +58,7 @@ def test_edge_cases(spark):
         assert frame.count() == 0
     odd = _events(spark, [(2, 2, 0.0, 1.0), (0, 1, 1.0, 1.0), (0, 1, 2.0, 4.0), (0, 1, 2.0, 4.0), (1, 0, 3.0, 5.0)])
     merged = intervals.merge_overlaps(odd)
-    edges = intervals.interval_edges(merged, intervals.time_grid(merged))
+    edges = intervals.interval_edges(merged)
     assert {(r["i"], r["j"]) for r in edges.collect()} == {(0, 1)}
     loops = graph.static_adjacency(odd).where("i = 2").collect()
     assert [(r["j"], r["v"]) for r in loops] == [(2, 2.0)]
