@@ -19,6 +19,8 @@ import struct
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame, GroupedData
+from pyspark.sql import functions as F
 
 SCHEMA = "block string, bucket int, payload binary"
 ARROW_SCHEMA = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("payload", pa.binary())])
@@ -62,6 +64,20 @@ def bucket_edges(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(sorted_keys, limits), len(sorted_keys))
 
 
+def deal(rows: DataFrame, buckets: int) -> GroupedData:
+    """Question rows grouped by bucket, each bucket in a partition of its own.
+
+    Hashing bucket numbers would leave a third of the partitions empty and put several buckets
+    in others, so each bucket is dealt by a number that hashes to its partition.  The numbers
+    are one row a bucket.
+    """
+    tried = rows.sparkSession.range(24 * buckets).select(F.col("id").cast("int").alias("n"))
+    found = tried.groupBy(F.pmod(F.hash("n"), F.lit(buckets)).alias("to")).agg(F.min("n").alias("n")).collect()
+    number = {r["to"]: r["n"] for r in found}
+    place = F.element_at(F.array(*[F.lit(number.get(b, b)) for b in range(buckets)]), F.col("bucket") + 1)
+    return rows.withColumn("place", place).repartition(buckets, "place").groupBy("place", "bucket")
+
+
 def smallest(values: np.ndarray) -> np.ndarray:
     """The same non-negative integers in the narrowest type."""
     top = int(values.max()) if len(values) else 0

@@ -297,7 +297,7 @@ def score(docs: DataFrame, held: Column | None = None, order: int = 2, mu: tuple
     own = materialize(collected, "lm-blocks")
     schema = "block string, bucket int, payload binary, distinct long, total long"
     asked = own.mapInArrow(_ask(order, buckets), B.SCHEMA)
-    answers = materialize(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer(order), schema), "lm-answers")
+    answers = materialize(B.deal(asked, buckets).applyInArrow(_answer(order), schema), "lm-answers")
     sums = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return own.union(answers.select("block", "bucket", "payload")).groupBy("block").applyInArrow(_scorer(order, sums[0], sums[1], mu), out)

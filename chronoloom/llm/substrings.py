@@ -316,8 +316,8 @@ def remove_repeats(docs: DataFrame, length: int = 20, gram: int = 10, with_text:
     schema = "block string, bucket int, payload binary"
     own = materialize(docs.select("doc_id", "text").mapInArrow(_collect(block_bytes), B.SCHEMA), "repeat-blocks")
     asked = own.mapInArrow(_ask(length, gram, buckets), B.SCHEMA)
-    anchors = materialize(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer_anchors, schema), "repeat-anchors")
+    anchors = materialize(B.deal(asked, buckets).applyInArrow(_answer_anchors, schema), "repeat-anchors")
     partly = own.union(anchors).groupBy("block").applyInArrow(_ask_windows(length, gram, buckets), schema)
-    windows = materialize(partly.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer_windows(buckets), schema), "repeat-windows")
+    windows = materialize(B.deal(partly, buckets).applyInArrow(_answer_windows(buckets), schema), "repeat-windows")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:long,end:long>>" + ", kept_text string" * with_text
     return own.union(anchors).union(windows).groupBy("block").applyInArrow(_finish(length, gram, buckets, with_text), out)
