@@ -4,7 +4,9 @@ The words a mix shall take are cut into equal blocks of ``block_words`` words.
 seats: sources get them by highest quotients target / (2 k + 1), then the shards of each
 source get the source's seats in the same way by their sizes.  Within a shard documents lie
 in a seeded order on a ring of words; the shard takes its quota as that many consecutive
-blocks from a seeded starting block, going round as often as the quota asks.
+blocks from a seeded starting block, going round as often as the quota asks.  What a document
+gives follows from its place on the ring, so small blocks cost nothing and keep small sources
+near their targets.
 
 Only DataFrame functions are used.  Shards bound what one task sorts (a hot source has as
 many shards as its rows need), and all tables that are joined are aggregates per shard.
@@ -94,7 +96,7 @@ def mix(
     cycle: tuple[int, ...] = (1, 2, 3),
     cap: int = 3,
     seed: int = 42,
-    block_words: int = 16,
+    block_words: int = 4,
     rows_per_shard: int | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, weight, target, shard, taken, row_key.
