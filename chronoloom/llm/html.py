@@ -2,8 +2,8 @@
 
 A tolerant parser builds the DOM (implied end tags, raw-text elements, unclosed tags).
 Elements that are boilerplate by their kind (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments) are cut off, unless they hold the article
-element.  Each node of the rest gets its composite density: characters a tag, adjusted by
+adverts, forms, scripts, styles, reader comments) are cut off, but for one that holds the only
+article element; the header of an article stays if it has a heading.  Each node of the rest gets its composite density: characters a tag, adjusted by
 the characters and tags of links,
 
     C/T * log_b(C T / (LC LT)),   b = ln(C LC / (C - LC) + C LC_body / C_body + e),
@@ -11,7 +11,7 @@ the characters and tags of links,
 and the sum of its children's densities (its own text counts as one child).  The threshold
 is the least density on the path from the node of the greatest sum up to body; nodes
 at or above it contribute their subtree of the greatest sum.  The text is that of the least
-subtree which holds all of these, or of the article or main element around it.  In pages without
+subtree which holds all of these, or of the article or main element around it or with most of the text.  In pages without
 such an element, blocks that are little but links go first, and a single h1 before the
 chosen subtree belongs to the text.
 
@@ -72,34 +72,44 @@ DROPPED_WORDS = frozenset(
     "newsletter notice notices notification notifications pager pagination paywall popup promo promotion promoted reader-comments recommended related reply replies "
     "respond responses search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: reader comments and hidden parts go even if they hold article elements, as each comment may be one
+_COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus reader-comments replies reply respond responses".split())
+_NO_TEXT = frozenset("head script style xmp iframe noembed noframes textarea title noscript template button select input datalist object embed applet svg canvas audio video map".split())
 #: words before such a word that say something else ("has-sidebar", "no-ads")
-_NEGATING = frozenset("has no with without entry article post main content page layout".split())
+_WITHOUT = frozenset("has no with without".split())
+_NEGATING = _WITHOUT | frozenset("entry article post main content page layout".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
-        return True
-    if tag in ("html", "body", "article", "main") or not attributes or attributes.isspace():
-        return False
+def _boilerplate(tag: str, attributes: str) -> int:
+    """0: none; 1: boilerplate, unless it holds the article; 2: boilerplate in any case."""
+    if tag in _NO_TEXT:
+        return 2
+    found = int(tag in DROPPED)
+    if not attributes or attributes.isspace():
+        return found
+    plain = tag not in ("html", "body", "article", "main")
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
-            return True
+        if plain and (name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value)):
+            return 2
         if name in ("class", "id", "role"):
             for token in value.split():
                 words = re.split(r"[-_]+", token)
                 for i, w in enumerate(words):
-                    if w in DROPPED_WORDS and not (i and words[i - 1] in _NEGATING):
-                        return True
-    return False
+                    before = words[i - 1] if i else ""
+                    if w in DROPPED_WORDS and before not in (_WITHOUT if w in _COMMENT_WORDS else _NEGATING):
+                        if w in _COMMENT_WORDS and tag not in ("html", "body", "main"):
+                            return 2
+                        found = max(found, int(plain))
+    return found
 
 
 class Page:
     """The DOM as parallel lists; ``events`` are the texts and the limits of nodes in page order."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.dropped = ["#root"], [-1], [False]
+        self.tag, self.parent, self.dropped = ["#root"], [-1], [0]
         #: (node, text), (node, None) at its start, (~node, None) at its end
         self.events: list[tuple[int, str | None]] = []
         stack, at, end = [0], 0, len(source)
@@ -161,15 +171,26 @@ class Page:
 
     def _cut(self) -> None:
         n = len(self.tag)
-        holds = [t in ("article", "main") for t in self.tag]
+        holds, headed, inside, free = [t in ("article", "main") for t in self.tag], [t in ("h1", "h2") for t in self.tag], [False] * n, [True] * n
+        for i in range(1, n):
+            inside[i] = inside[self.parent[i]] or holds[self.parent[i]]
         for i in range(n - 1, 0, -1):
-            if holds[i]:
-                holds[self.parent[i]] = True
-        self.has_article = holds[0] or any(holds)
-        #: nodes outside all boilerplate; one that holds the article is none
-        self.open = [True] * n
+            headed[self.parent[i]] |= headed[i]
         for i in range(1, n):
-            self.open[i] = self.open[self.parent[i]] and not (self.dropped[i] and not holds[i])
+            # the header of an article itself is where its heading stands
+            if self.tag[i] == "header" and self.dropped[i] == 1 and inside[i] and headed[i]:
+                self.dropped[i] = 0
+            free[i] = free[self.parent[i]] and not self.dropped[i]
+        self.has_article = any(h and f for h, f in zip(holds, free, strict=True))
+        #: nodes outside all boilerplate
+        self.open = free
+        if not self.has_article and any(holds):
+            # the only articles lie in what looks like boilerplate, as in a menu that is never closed
+            for i in range(n - 1, 0, -1):
+                holds[self.parent[i]] |= holds[i] and self.dropped[i] < 2
+            for i in range(1, n):
+                self.open[i] = self.open[self.parent[i]] and (not self.dropped[i] or self.dropped[i] == 1 and holds[i])
+            self.has_article = any(o and t in ("article", "main") for o, t in zip(self.open, self.tag, strict=True))
 
     def densities(self) -> tuple[list[float], list[float], list[int]]:
         """Composite density, sum of the children's, and characters of each node."""
@@ -239,7 +260,11 @@ class Page:
                 same = next((k for k, (a, b) in enumerate(zip(path, up, strict=False)) if a != b), min(len(path), len(up)))
                 path = path[:same]
         around = [k for k in path if self.tag[k] in ("article", "main")]
-        return around[-1] if around else path[-1]
+        if around:
+            return around[-1]
+        # loose text beside the article does not widen the choice
+        articles = [i for i in range(1, n) if self.open[i] and self.tag[i] in ("article", "main") and 2 * chars[i] >= chars[0]]
+        return articles[0] if articles else path[-1]
 
     def cut_link_lists(self) -> None:
         """Close blocks of three or more links that are little else: menus that nothing names."""

@@ -457,6 +457,10 @@ PAGE = (
         ("<div>" * 3000 + "deep", "deep"),
         ('<p title="a>b">c</p><', "c\n<"),
         ("<body><nav>menu</nav></body>", ""),
+        ('<main><article><header><h1>T</h1></header><p>body</p><footer>by me</footer></article></main><section id="comments"><article class="comment"><p>' + "long comment " * 50 + "</p></article></section>", "T\nbody"),
+        ('<nav><ul><li><a href="/">x</a><article><p>in an open menu</p></article>', "in an open menu"),
+        ('<article><p>own text</p></article><aside class="related"><article><p>' + "another story " * 40 + "</p></article></aside>", "own text"),
+        ('<div class="post-comments"><p>not here</p></div><div><p>the text of it</p><div hidden>no</div><div class="has-ads">yes</div></div>', "the text of it\nyes"),
     ],
 )
 def test_main_text(source, text):
