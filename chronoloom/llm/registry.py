@@ -92,7 +92,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import remove_repeats
 
-    return remove_repeats(_table(spark, sf_dir, "documents"))
+    return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -122,5 +122,54 @@ SELECT source, lang, 'words-2', count(*)::BIGINT, sum(b)::BIGINT FROM counted GR
 """
 
 
+# words of documents and items; translate lower-cases A-Z only
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP3 = f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+b AS (SELECT item_id, {_ALNUM} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i + 1:i + 10], ' ') AS s FROM b, unnest(range(0, greatest(1, len(w) - 9))) t(i) WHERE len(w) > 0),
+hits AS (
+  SELECT DISTINCT doc_id, i, n, item_id FROM (
+    SELECT doc_id, i, n, array_to_string(w[i + 1:i + n], ' ') AS s FROM d, (SELECT DISTINCT n FROM windows) l, unnest(range(0, len(w) - n + 1)) t(i) WHERE len(w) >= n) x JOIN windows USING (n, s)),
+positions AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS h FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN positions USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def _op9_sql() -> str:
+    """Spans from the lengths of the pieces between matches and of the matches."""
+    from .secrets import BASE_RULES, MORE_RULES
+
+    rules, parts = BASE_RULES + MORE_RULES, []
+    for n, rule in enumerate(rules):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, {n} AS rule, '{rule.kind}' AS kind, start, start + len(m[i]) AS stop FROM (SELECT doc_id, i, m, g, (list_sum(list_transform(p[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0))::BIGINT AS start "
+            f"FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS p, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {rule.group}) AS g FROM documents WHERE regexp_matches(text, '{pattern}')), unnest(range(1, len(m) + 1)) t(i)) WHERE len(g[i]) >= {rule.least}"
+        )
+    counts = ", ".join(f"count(*) FILTER (WHERE rule = {n}) AS n_{rule.kind}" for n, rule in enumerate(BASE_RULES))
+    written = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rule)"
+    return f"""
+WITH spans AS ({" UNION ALL ".join(parts)}),
+summed AS (SELECT doc_id, {counts}, {written} FILTER (WHERE rule < {len(BASE_RULES)}) AS base, {written} AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN summed USING (doc_id)
+"""
+
+
+_OP10 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 20], ' ') AS s FROM d, unnest(range(0, len(w) - 19)) t(i) WHERE len(w) >= 20),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM starts) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM later)),
+words AS (SELECT doc_id, p, w[p + 1] AS word FROM d, unnest(range(0, len(w))) t(p)),
+kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) AS s FROM words ANTI JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p GROUP BY words.doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_token_rollup": _OP8}
+    return {"op3_decontamination": _OP3, "op8_token_rollup": _OP8, "op9_secrets": _op9_sql(), "op10_substrings": _OP10}

@@ -41,13 +41,16 @@ def test_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
 
 
-def test_rollup_agrees_with_sql(spark):
+@pytest.mark.parametrize("name", ["op3_decontamination", "op8_token_rollup", "op9_secrets", "op10_substrings"])
+def test_agrees_with_sql(spark, name):
     import duckdb
 
     from chronoloom.llm import registry
 
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
-    keys = ["source", "lang", "tokenizer_version"]
-    got = registry.queries()["op8_token_rollup"](spark, SF).toPandas().sort_values(keys, ignore_index=True)
-    assert got.equals(con.execute(registry.oracle_sql()["op8_token_rollup"]).df().sort_values(keys, ignore_index=True))
+    for table in ("documents", "benchmark"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    got, want = registry.queries()[name](spark, SF).toPandas(), con.execute(registry.oracle_sql()[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert got[columns].sort_values(columns, ignore_index=True).equals(want[columns].sort_values(columns, ignore_index=True))
