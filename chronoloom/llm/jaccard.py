@@ -1,0 +1,263 @@
+"""Near-duplicates by the similarity of 5-word shingle sets, found exactly with prefix filters.
+
+Texts whose sets have a Jaccard similarity of ``percent`` = 80 % or more are linked.  Texts
+with equal sets form a class, and classes are compared.  If all sets are sorted in one total
+order, two sets of that similarity share a shingle among the first n - ceil(0.8 n) + 1 of each
+(n the size of the set), so a class is indexed under these only and no pair is missed.  The
+order puts rare shingles first and the common ones of a sample of texts last; any order
+gives the same links, this one keeps groups of equal shingles small.
+
+Groups give pairs to verify, of sizes that allow the similarity and of different components
+so far: small groups all pairs at once, large ones the pairs of a growing number of first
+members a round, until all pairs are verified or linked by way of others.  Pairs are verified
+on whole sets, made anew from the texts of classes in groups.
+
+Edge cases: null and wordless texts have the empty set and are one class; a text of fewer
+than 5 words has one shingle, all its words; A-Z count as a-z.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .components import connected_components
+from .store import materialize
+from .words import chunks, mix64, window_hash
+
+SHINGLE = 5
+PERCENT = 80
+#: order only: texts that common shingles are counted in, and how many of these are told apart
+SAMPLE = 20_000
+COMMON = 1 << 17
+#: groups of up to so many members give all pairs at once
+SMALL = 16
+#: rows that large groups are worked through at a time
+ROUND = 1 << 14
+
+
+def shingle_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By chunks of texts: the distinct shingle hashes of all texts, ascending in each, and where each text's begin (one more than texts)."""
+    for c in chunks(column, lower=True):
+        room, counts = c.room(), c.counts()
+        whole = np.repeat(counts, counts)
+        first = np.flatnonzero((room >= k) | ((whole < k) & (room == whole)))
+        shingles = window_hash(c.hashes(), first, np.minimum(k, room[first]))
+        text = c.doc_of_word()[first]
+        order = np.lexsort((shingles, text))
+        shingles, text = shingles[order], text[order]
+        new = np.ones(len(text), dtype=bool)
+        new[1:] = (shingles[1:] != shingles[:-1]) | (text[1:] != text[:-1])
+        shingles, text = shingles[new], text[new]
+        yield shingles, np.searchsorted(text, np.arange(len(c) + 1))
+
+
+def set_hashes(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One hash of each set; the empty set has 0."""
+    total = np.zeros(len(shingles) + 1, dtype=np.uint64)
+    np.cumsum(mix64(shingles ^ np.uint64(0x9E3779B97F4A7C15)), out=total[1:])
+    sizes = np.diff(at)
+    return np.where(sizes > 0, mix64((total[at[1:]] - total[at[:-1]]) ^ mix64(sizes.astype(np.uint64))), np.uint64(0))
+
+
+def add_classes(docs: DataFrame, *keep: str, text: bool = False) -> DataFrame:
+    """Columns ``keep``, id (of the class) and, if asked, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [set_hashes(*s) for s in shingle_sets(batch.column(len(keep)))]
+            ids = pa.array(np.concatenate(ids).view(np.int64) if ids else np.zeros(0, np.int64))
+            columns = [*(batch.column(i) for i in range(len(keep))), ids, *([batch.column(len(keep))] if text else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "id", *(["text"] if text else [])])
+
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "id long", *(["text string"] if text else [])])
+    return docs.select(*keep, "text").mapInArrow(run, schema)
+
+
+def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for shingles, _ in shingle_sets(batch.column(0)):
+            yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64))], names=["h"])
+
+
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles of several texts of a sample, rarest first."""
+    every = max(1, docs.count() // SAMPLE)
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text")
+    counted = sample.mapInArrow(_all_shingles, "h long").groupBy("h").count().where("count > 1")
+    top = counted.orderBy(F.desc("count"), "h").limit(COMMON).select("h").toArrow().column(0).to_numpy()
+    return top[::-1].view(np.uint64)
+
+
+def prefixes(common: np.ndarray, percent: int):
+    """Index rows (key, id, n) of the classes of texts, once a batch at most."""
+    by_value = np.argsort(common)
+    values = common[by_value]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = np.zeros(0, dtype=np.uint64)
+            for shingles, at in shingle_sets(batch.column(0)):
+                n = np.diff(at)
+                ids = set_hashes(shingles, at)
+                new = np.zeros(len(n), dtype=bool)
+                new[np.unique(ids, return_index=True)[1]] = True
+                new &= ~np.isin(ids, told)
+                told = np.concatenate((told, ids[new]))
+                owner = np.repeat(np.arange(len(n)), n)
+                rank = np.zeros(len(shingles), dtype=np.int64)
+                if len(values):
+                    place = np.minimum(np.searchsorted(values, shingles), len(values) - 1)
+                    rank = np.where(values[place] == shingles, by_value[place] + 1, 0)
+                order = np.lexsort((shingles, rank, owner))
+                nth = np.arange(len(shingles)) - at[owner]
+                taken = nth < np.where(new, n - -(-percent * n // 100) + 1, 0)[owner]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shingles[order][taken].view(np.int64)), pa.array(ids[owner[taken]].view(np.int64)), pa.array(n[owner[taken]])],
+                    names=["key", "id", "n"],
+                )
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of batches sorted by the first one, never cut within equal values of it."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [c.to_numpy() for c in batch.columns]
+        held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+        done = int(np.searchsorted(held[0], held[0][-1]))  # the last run may go on
+        if done:
+            yield [c[:done] for c in held]
+            held = [c[done:] for c in held]
+    if held:
+        yield held
+
+
+def _starts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return start, np.diff(np.append(start, len(key)))
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Index rows whose key several classes have, with that number."""
+    for key, ids, n in _runs(batches):
+        order = np.lexsort((ids, key))
+        key, ids, n = key[order], ids[order], n[order]
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])))
+        key, ids, n = key[new], ids[new], n[new]
+        start, size = _starts(key)
+        size = np.repeat(size, size)
+        some = size > 1
+        yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (key, ids, n, size)], names=["key", "id", "n", "members"])
+
+
+def _pairs(lo: int, hi: int, percent: int, small: int):
+    """Pairs (a, b) to verify among rows (key, id, n, root) sorted by key: of small groups all, of large ones those of members lo to hi with later ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, ids, n, root in _runs(batches):
+            order = np.lexsort((ids, key))
+            key, ids, n, root = key[order], ids[order], n[order], root[order]
+            start, size = _starts(key)
+            end = np.repeat(start + size, size)
+            at = np.arange(len(key))
+            nth = at - np.repeat(start, size)
+            large = np.repeat(size, size) > small
+            # members that stand first in pairs, and how many stand after each
+            heads = np.flatnonzero((~large & (lo == 0)) | (large & (nth >= lo) & (nth < hi)))
+            reach = np.cumsum(end[heads] - heads - 1)
+            cut = 0
+            while cut < len(heads):
+                before = reach[cut - 1] if cut else 0
+                stop = max(cut + 1, int(np.searchsorted(reach, before + (1 << 20), side="right")))
+                head = heads[cut:stop]
+                later = end[head] - head - 1
+                a = np.repeat(head, later)
+                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+                least, most = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+                fit = (root[a] != root[b]) & (100 * least >= percent * most)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a[fit]]), pa.array(ids[b[fit]])], names=["a", "b"])
+                cut = stop
+
+    return run
+
+
+def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles and the row of each, and so for all texts."""
+    row, shingles, rows = 0, [], []
+    for found, at in shingle_sets(texts):
+        shingles.append(found)
+        rows.append(np.repeat(row + np.arange(len(at) - 1), np.diff(at)))
+        row += len(at) - 1
+    return np.concatenate(shingles), np.concatenate(rows)
+
+
+def _verified(percent: int):
+    """Pairs (a, b) of rows (a, b, ta, tb) whose texts are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                (x, of_x), (y, of_y) = _flat(part.column(2)), _flat(part.column(3))
+                shingles, row = np.concatenate((x, y)), np.concatenate((of_x, of_y))
+                order = np.lexsort((shingles, row))
+                shingles, row = shingles[order], row[order]
+                twice = (shingles[1:] == shingles[:-1]) & (row[1:] == row[:-1])
+                both = np.bincount(row[1:][twice], minlength=part.num_rows)
+                similar = 100 * both >= percent * (np.bincount(row, minlength=part.num_rows) - both)
+                yield part.select(["a", "b"]).filter(pa.array(similar))
+
+    return run
+
+
+def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs: text.  Returns node, root of every class linked to another."""
+    index = docs.select("text").mapInArrow(prefixes(common_shingles(docs), percent), "key long, id long, n long")
+    index = index.repartition("key").sortWithinPartitions("key")
+    groups = materialize(index.mapInArrow(_shared, "key long, id long, n long, members long"), "shingle-groups")
+    members = groups.select("id").distinct()
+    told = add_classes(docs.select("text"), text=True).join(members, "id", "left_semi")
+    texts = materialize(told.groupBy("id").agg(F.first("text").alias("text")), "class-texts")
+
+    links = roots = None
+    lo, hi = 0, 1
+    left = groups.withColumn("root", F.col("id"))
+    while True:
+        run = left.select("key", "id", "n", "root").repartition("key").sortWithinPartitions("key")
+        pairs = run.mapInArrow(_pairs(lo, hi, percent, SMALL), "a long, b long").distinct()
+        of_a, of_b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+        joined = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "ta", "tb")
+        found = materialize(joined.mapInArrow(_verified(percent), "a long, b long"), "similar")
+        links = found if links is None else links.union(found)
+        roots = materialize(connected_components(links), "similar-roots")
+        # large groups with members in several components go on
+        lo, hi = hi, min(4 * hi, hi + ROUND)
+        going = groups.where((F.col("members") > SMALL) & (F.col("members") > lo + 1))
+        if going.isEmpty():
+            return roots
+        going = going.join(roots, going["id"] == roots["node"], "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+        split = going.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a != _b").select("key")
+        left = materialize(going.join(split, "key", "left_semi"), "groups-left")
+        if left.isEmpty():
+            return roots
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs without near-duplicates: of each component the row with the least (doc_id, text) stays, whole.
+
+    Null doc_ids come last; of rows equal in doc_id and text one stays.
+    """
+    from .simhash import keep_first
+
+    tied = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    rows = materialize(add_classes(tied, "doc_id", "tie"), "document-classes")
+    return keep_first(docs, rows, similar_components(docs, percent), "id")

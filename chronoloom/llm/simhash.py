@@ -201,8 +201,12 @@ def keep_one(docs: DataFrame, distance: int = 4) -> DataFrame:
     """
     fps = materialize(add_fingerprints(docs.select("doc_id", "text"), "doc_id", "text").select("doc_id", F.xxhash64("text").alias("tie"), "fp"), "fingerprints")
     classes = fps.select("fp").distinct()
-    roots = fingerprint_components(classes, distance)
-    rooted = fps.join(roots, fps["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
+    return keep_first(docs, fps, fingerprint_components(classes, distance), "fp")
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """docs whose (doc_id, text) is the least of their component; rows: doc_id, tie (hash of the text) and ``node``, which roots has a root for if it has links."""
+    rooted = rows.join(roots, rows[node] == roots["node"], "left").withColumn("root", F.coalesce("root", node))
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("k")).select("k.doc_id", "k.tie")
     picked = first.select(F.col("doc_id").alias("_doc_id"), F.col("tie").alias("_tie"))
     kept = docs.withColumn("_text_hash", F.xxhash64("text"))

@@ -14,7 +14,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chronoloom.llm import blocks, bpe, decontaminate, elias_fano, html, lm, mixing, quality, rollup, secrets, simhash, store, substrings, tokenfiles, trigrams
+from chronoloom.llm import blocks, bpe, decontaminate, elias_fano, html, jaccard, lm, mixing, quality, rollup, secrets, simhash, store, substrings, tokenfiles, trigrams
 from chronoloom.llm import words as W
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -366,6 +366,44 @@ def test_near_duplicates(docs, rows, empty):
     assert kept.columns == docs.columns and kept.count() == len(set(group)) and simhash.keep_one(empty).count() == 0
 
 
+def _shingles(text):
+    w = WORD.findall(lower(text))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def _similar_groups(texts):
+    sets = [_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if root[i] != root[j] and (a == b or 5 * len(a & b) >= 4 * len(a | b)):
+                root = [root[j] if r == root[i] else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("small, common", [(16, 1 << 17), (1, 0)])
+def test_keep_one_of_similar(spark, docs, rows, empty, monkeypatch, small, common):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    rng = np.random.default_rng(3)
+    more = []
+    for _ in range(25):  # copies with up to 7 edits of 100 words, around the limit
+        words = [f"v{i}" for i in rng.integers(0, 400, 100)]
+        more.append(" ".join(words))
+        for edits in rng.integers(1, 8, 4):
+            copy = list(words)
+            for at in rng.integers(0, 100, edits):
+                copy[at] = "edited"
+            more.append(" ".join(copy))
+    all_rows = rows + [(1000 + i, t, *rows[0][2:]) for i, t in enumerate(more)]
+    least = {}
+    for r, g in zip(all_rows, _similar_groups([r[1] for r in all_rows]), strict=True):
+        least[g] = min(least.get(g, (True, 0)), (r[0] is None, r[0] or 0))
+    got = jaccard.keep_one(spark.createDataFrame(all_rows, SCHEMA).repartition(3))
+    assert got.columns == docs.columns and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == sorted(least.values())
+    assert jaccard.keep_one(empty).count() == 0
+
+
 @pytest.mark.parametrize("refine_above", [0, 1 << 30])
 def test_fingerprint_links(spark, refine_above):
     rng = np.random.default_rng(4)
