@@ -8,8 +8,9 @@ blocks from a seeded starting block, going round as often as the quota asks.  Wh
 gives follows from its place on the ring, so small blocks cost nothing and keep small sources
 near their targets.
 
-Only DataFrame functions are used.  Shards bound what one task sorts (a hot source has as
-many shards as its rows need), and all tables that are joined are aggregates per shard.
+Only DataFrame functions are used.  Shards bound what one task sorts: each source has as many
+as its own rows need, so a small source is one ring.  All tables that are joined are
+aggregates per shard.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; a
 null weight cycle is not allowed; documents of size 0 take 0 words; an empty table gives an
@@ -113,8 +114,14 @@ def mix(
     sized = materialize(sized, "mix-sizes")
     rows = sized.count()
     # as many shards as rows a shard: neither sorting a shard nor ranking a source's shards grows large
-    shards = max(1, -(-rows // (rows_per_shard or max(4096, isqrt(rows)))))
-    sized = sized.withColumn("shard", F.pmod(F.col("_key"), F.lit(shards)))
+    per_shard = rows_per_shard or max(4096, isqrt(rows))
+    pieces = max(1, -(-rows // per_shard))
+    sized = sized.withColumn("_piece", F.pmod(F.col("_key"), F.lit(pieces)))
+    # the pieces of a source are put together to shards of about per_shard of its own rows
+    counted = sized.groupBy("source", "_piece").agg(F.count("*").alias("_rows"))
+    own = F.ceil(F.sum("_rows").over(Window.partitionBy("source")) / per_shard)
+    placed = counted.select(F.col("source").alias("_of"), F.col("_piece").alias("_part"), F.floor(F.col("_piece") * own / pieces).cast("long").alias("shard"))
+    sized = sized.join(placed, sized["source"].eqNullSafe(placed["_of"]) & (sized["_piece"] == placed["_part"])).drop("_of", "_part", "_piece")
 
     shard_sizes = sized.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     sources = targets(shard_sizes.groupBy("source").agg(F.sum("shard_size").alias("source_size")), cycle, cap)
@@ -152,11 +159,26 @@ def mix(
 def repeat_to_mix(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with its columns.
 
-    A document that a quota cuts is rounded to the nearer whole number of copies; a quota cuts
-    two documents at most.  Copies of rows equal in doc_id and text come from one of them.
+    A shard's quota cuts two documents at most.  Their parts are rounded to whole copies one
+    after the other, and what rounding gives or takes is carried over to the source's next cut
+    document, so the copies of a source add up to its words within half of its longest
+    document.  Copies of rows equal in doc_id and text come from one of them.
     """
-    copies = F.floor(F.try_divide(F.col("taken"), F.col("size")) + 0.5)
-    wanted = mix(docs, seed=seed, **options).where("size > 0 and taken > 0").groupBy("row_key").agg(F.sum(copies).cast("int").alias("_copies")).where("_copies > 0")
+    taken = materialize(mix(docs, seed=seed, **options).where("size > 0 and taken > 0").select("source", "shard", "row_key", "size", "taken"), "mix-taken")
+    whole = F.floor(F.col("taken") / F.col("size")).cast("long")
+    cuts = taken.withColumn("part", F.col("taken") % F.col("size")).where("part > 0").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("shard", "row_key", "size", "part"))).alias("cuts"))
+    up = lambda state, cut: 2 * (state["carry"] + cut["part"]) >= cut["size"]
+    rounded = F.aggregate(
+        "cuts",
+        F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("more")),
+        lambda state, cut: F.struct(
+            (state["carry"] + cut["part"] - F.when(up(state, cut), cut["size"]).otherwise(F.lit(0))).alias("carry"),
+            F.when(up(state, cut), F.array_append(state["more"], cut["row_key"])).otherwise(state["more"]).alias("more"),
+        ),
+    )
+    more = cuts.select(F.explode(rounded["more"]).alias("row_key"), F.lit(1).cast("long").alias("n"))
+    copies = taken.select("row_key", whole.alias("n")).union(more)
+    wanted = copies.groupBy("row_key").agg(F.sum("n").cast("int").alias("_copies")).where("_copies > 0")
     keyed = docs.withColumn("_row_key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))).dropDuplicates(["_row_key"])
     joined = keyed.join(wanted, keyed["_row_key"] == wanted["row_key"])
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -174,6 +174,20 @@ def test_repeat_to_mix(docs):
     assert mixed.join(docs.select("doc_id", "text").distinct(), ["doc_id"], "left_anti").where("doc_id is not null").count() == 0
 
 
+def test_repeat_to_mix_adds_up_for_small_sources(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"t{i}x{j}" for j in range(rng.integers(20, 60))), "big" if i < 900 else f"small{i % 3}", None) for i in range(960)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    for cycle in ((1, 1, 1, 1), (12, 1, 1, 1), (90, 1, 1, 3)):
+        sums = {r["source"]: r for r in mixing.mix(docs, cycle, rows_per_shard=20).groupBy("source").agg({"taken": "sum", "shard": "max"}).collect()}
+        mixed = Counter()
+        for r in mixing.repeat_to_mix(docs, cycle=cycle, rows_per_shard=20).collect():
+            mixed[r["source"]] += len(r["text"].split())
+        for source, r in sums.items():
+            assert abs(mixed[source] - r["sum(taken)"]) <= 30, (cycle, source)
+            assert r["max(shard)"] == (44 if source == "big" else 0)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_sainte_lague(spark, seed):
     rng = np.random.default_rng(seed)
