@@ -45,10 +45,10 @@ BASE_RULES = (
 #: further kinds of common credentials
 MORE_RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
-    Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,255}"),
+    Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{1,64}@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,}:[^\s/:@]{1,}@"),
 )
 SPAN = "array<struct<start:int,rule:int,end:int>>"
 

@@ -567,6 +567,13 @@ def test_secrets(docs, rows, empty, keys_per_block):
     assert secrets.digest(secrets.scan(empty)).count() == 0
 
 
+def test_long_secrets_are_marked_whole(spark):
+    texts = [f"see https://{'u' * 80}:{'P' * 93}@host/x", "a ghp_" + "Z" * 300 + " b", "a xoxb-" + "Z" * 300 + " b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.scan(docs)).collect()}
+    assert got == {0: f"url_login:4:{texts[0].index('@') + 1}", 1: "forge_token:2:306", 2: "chat_token:2:307"}
+
+
 @given(st.sampled_from([r.pattern for r in secrets.BASE_RULES + secrets.MORE_RULES] + [r"(ab){3}cd(x|yz)?e", r"a+bcd", r"(abc|de)+f"]), st.data())
 @settings(max_examples=150, deadline=None)
 def test_trigram_queries_are_necessary(pattern, data):
