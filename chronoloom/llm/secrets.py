@@ -1,11 +1,16 @@
 """Secret scans with a trigram inverted index.
 
-Each rule's regular expression gives a Boolean query of mandatory trigrams.  Rows that hold
-the rarest mandatory trigram of some rule are set aside with their texts; from them the index
-is built: for each trigram of a query and each block of keys a posting list.  A block's lists
-are intersected and united as the queries say, and only the resulting candidates are run
-through the regular expression.  Rules without mandatory trigrams scan every text in place.
-Blocks bound the length of any list, so a trigram that a third of all rows hold is many lists.
+Each rule's regular expression gives a Boolean query of mandatory trigrams.  One scan of the
+texts writes a row of the index for each document: a number, the trigrams it holds as bits,
+and what rules without mandatory trigrams find, which scan every text in place.  The posting
+lists of a block of consecutive documents come from these bits alone.  They are intersected
+and united as the queries say, and only the resulting candidates are run through the regular
+expression.  Blocks bound the length of any list, so a trigram that a third of all rows hold
+is many lists.
+
+So that candidates need no second scan, the first one sets aside the text of a document that
+holds a pivot: of each query one mandatory trigram an alternative, the rarest by a guess that
+needs no counts.  Documents are told apart by their number in the written index, not by a hash.
 
 DataFrame functions only.  Java's expressions find leftmost non-overlapping matches; spans
 are code points, end exclusive.
@@ -17,6 +22,7 @@ doc_ids are kept; an empty table gives an empty result; only doc_id and text are
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,20 +50,21 @@ BASE_RULES = (
 )
 #: further kinds of common credentials
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,}:[^\s/:@]{1,}@"),
 )
 SPAN = "array<struct<start:int,rule:int,end:int>>"
+_BITS = 60
 
 
 def rule_spans(text: Column, rule: Rule, number: int) -> Column:
     """All spans of a rule, by the lengths of the pieces between and in its matches."""
     pieces = F.transform(F.split(text, rule.pattern, -1), lambda p: F.length(p))
     sizes = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), lambda m: F.length(m))
-    checked = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda m: F.length(m))
+    checked = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda m: F.length(m)) if rule.group else sizes
     zipped = F.arrays_zip(pieces.alias("gap"), sizes.alias("size"), checked.alias("checked"))
     empty = F.lit(None).cast(SPAN)
     found = F.aggregate(
@@ -76,12 +83,8 @@ def rule_spans(text: Column, rule: Rule, number: int) -> Column:
     return F.when(F.coalesce(text.rlike(rule.pattern), F.lit(False)), found["spans"]).otherwise(F.array().cast(SPAN))
 
 
-def _holds(text: Column, trigram: str) -> Column:
-    return F.contains(F.lower(text), F.lit(trigram))
-
-
 def _evaluate(query: Query, lists: dict[str, Column]) -> Column:
-    """Keys of a block for which the query holds, from its posting lists."""
+    """Places in a block for which the query holds, from its posting lists."""
     if isinstance(query, str):
         return lists[query]
     parts = [_evaluate(q, lists) for q in query[1:]]
@@ -91,54 +94,69 @@ def _evaluate(query: Query, lists: dict[str, Column]) -> Column:
     return out
 
 
-def build_postings(rows: DataFrame, trigrams: list[str], keys_per_block: int) -> DataFrame:
-    """Posting lists (block, trigram, keys) of rows (key, text)."""
-    blocks = max(1, -(-rows.count() // keys_per_block))
-    held = F.array_compact(F.array(*[F.when(_holds(F.col("text"), g), F.lit(g)) for g in trigrams]))
-    return (
-        rows.select("key", F.pmod("key", F.lit(blocks)).alias("block"), F.explode(held).alias("trigram"))
-        .groupBy("block", "trigram")
-        .agg(F.collect_set("key").alias("keys"))
-    )
+def _bit(trigrams: list[str], trigram: str) -> tuple[str, int]:
+    """Column and mask of a trigram's bit."""
+    at = trigrams.index(trigram)
+    return f"held{at // _BITS}", 1 << at % _BITS
+
+
+def trigram_bits(text: Column, trigrams: list[str]) -> list[Column]:
+    """Which trigrams a text holds, as columns held0, held1, ... of _BITS bits each."""
+    lowered = F.lower(text)
+    bits = [F.when(F.contains(lowered, F.lit(g)), F.lit(_bit(trigrams, g)[1]).cast("long")).otherwise(F.lit(0).cast("long")) for g in trigrams]
+    parts = [bits[at : at + _BITS] for at in range(0, len(bits), _BITS)]
+    return [reduce(lambda a, b: a.bitwiseOR(b), part).alias(f"held{i}") for i, part in enumerate(parts)]
+
+
+def _holds_any(trigrams: list[str], some: set[str]) -> Column:
+    masks: dict[str, int] = {}
+    for g in some:
+        column, mask = _bit(trigrams, g)
+        masks[column] = masks.get(column, 0) | mask
+    return reduce(lambda a, b: a | b, [F.col(c).bitwiseAND(F.lit(m).cast("long")) != 0 for c, m in masks.items()])
+
+
+def postings(index: DataFrame, trigrams: list[str], block_bits: int) -> DataFrame:
+    """Posting lists of each block: block, and for each trigram the places in the block that hold it (p0, p1, ...)."""
+    place = F.col("row").bitwiseAND(F.lit((1 << block_bits) - 1)).cast("int")
+    lists = [F.collect_list(F.when(_holds_any(trigrams, {g}), place)).alias(f"p{i}") for i, g in enumerate(trigrams)]
+    return index.groupBy(F.shiftright("row", block_bits).alias("block")).agg(*lists)
+
 
+def candidates(posted: DataFrame, trigrams: list[str], queries: dict[int, Query], block_bits: int) -> DataFrame:
+    """(row, rules) of every row for which the query of a rule holds."""
+    lists = {g: F.col(f"p{i}") for i, g in enumerate(trigrams)}
+    each = F.array(*[F.struct(F.lit(n).alias("rule"), _evaluate(q, lists).alias("places")) for n, q in queries.items()])
+    found = posted.select("block", F.explode(each).alias("r")).select("block", F.col("r.rule").alias("rule"), F.explode("r.places").alias("place"))
+    row = F.shiftleft("block", block_bits).bitwiseOR(F.col("place").cast("long"))
+    return found.select(row.alias("row"), "rule").groupBy("row").agg(F.collect_set("rule").alias("rules"))
 
-def candidates(postings: DataFrame, queries: dict[int, Query]) -> DataFrame:
-    """(key, rules) of every key for which the query of a rule holds."""
-    trigrams = sorted(set().union(*[trigrams_of(q) for q in queries.values()]))
-    none = F.array().cast("array<bigint>")
-    blocks = postings.groupBy("block").agg(*[F.first(F.when(F.col("trigram") == g, F.col("keys")), ignorenulls=True).alias(f"p{i}") for i, g in enumerate(trigrams)])
-    lists = {g: F.coalesce(F.col(f"p{i}"), none) for i, g in enumerate(trigrams)}
-    each = F.array(*[F.struct(F.lit(n).alias("rule"), _evaluate(q, lists).alias("keys")) for n, q in queries.items()])
-    found = blocks.select(F.explode(each).alias("r")).select(F.col("r.rule").alias("rule"), F.explode("r.keys").alias("key"))
-    return found.groupBy("key").agg(F.collect_set("rule").alias("rules"))
 
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, block_bits: int = 12) -> DataFrame:
+    """One row per document: doc_id and spans, an array of (start, rule number, end) in that order.
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, keys_per_block: int = 4096) -> DataFrame:
-    """One row per document: doc_id and spans, an array of (start, rule number, end) in that order."""
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    A block of the index is 2 ** block_bits documents.
+    """
     queries = {n: trigram_query(r.pattern) for n, r in enumerate(rules)}
     indexed = {n: q for n, q in queries.items() if q is not True}
-    plain = [rule_spans(F.col("text"), rules[n], n) for n, q in queries.items() if q is True]
     nothing = F.array().cast(SPAN)
-    scanned = docs.select("doc_id", "key", F.concat(nothing, *plain).alias("scanned"))
+    scanned = F.concat(nothing, *[rule_spans(F.col("text"), rules[n], n) for n, q in queries.items() if q is True])
     if not indexed:
-        return scanned.select("doc_id", F.array_sort("scanned").alias("spans"))
-
-    wanted = sorted(set().union(*[trigrams_of(q) for q in indexed.values()]))
-    counts = docs.agg(*[F.sum(_holds(F.col("text"), g).cast("long")).alias(f"n{i}") for i, g in enumerate(wanted)]).first()
-    frequency = {g: counts[i] or 0 for i, g in enumerate(wanted)}
-    needed = sorted(set().union(*[pivots(q, frequency) for q in indexed.values()]))
-    some = F.lit(False)
-    for g in needed:
-        some = some | _holds(F.col("text"), g)
-    rows = materialize(docs.select("key", "text").where(some), "secret-rows")
-    found = candidates(build_postings(rows, wanted, keys_per_block), indexed)
+        return docs.select("doc_id", F.array_sort(scanned).alias("spans"))
+
+    trigrams = sorted(set().union(*[trigrams_of(q) for q in indexed.values()]))
+    held = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), *trigram_bits(F.col("text"), trigrams))
+    some = set().union(*[pivots(q) for q in indexed.values()])
+    bits = [c for c in held.columns if c.startswith("held")]
+    index = materialize(held.select("doc_id", "row", *bits, scanned.alias("scanned"), F.when(_holds_any(trigrams, some), F.col("text")).alias("text")), "secret-index")
+    found = candidates(postings(index.select("row", *bits), trigrams, block_bits), trigrams, indexed, block_bits)
     verified = (
-        rows.dropDuplicates(["key"])
-        .join(found, "key")
-        .select("key", F.concat(*[F.when(F.array_contains("rules", n), rule_spans(F.col("text"), rules[n], n)).otherwise(nothing) for n in indexed]).alias("verified"))
+        index.select("row", "text")
+        .where("text is not null")
+        .join(found, "row")
+        .select("row", F.concat(*[F.when(F.array_contains("rules", n), rule_spans(F.col("text"), rules[n], n)).otherwise(nothing) for n in indexed]).alias("verified"))
     )
-    joined = scanned.join(verified, "key", "left")
+    joined = index.select("row", "doc_id", "scanned").join(verified, "row", "left")
     return joined.select("doc_id", F.array_sort(F.concat("scanned", F.coalesce("verified", nothing))).alias("spans"))
 
 

@@ -555,9 +555,9 @@ def _secrets(text):
     return sorted(spans + [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24])
 
 
-@pytest.mark.parametrize("keys_per_block", [1, 4096])
-def test_secrets(docs, rows, empty, keys_per_block):
-    got = secrets.scan(docs, secrets.BASE_RULES, keys_per_block).collect()
+@pytest.mark.parametrize("block_bits", [0, 12])
+def test_secrets(docs, rows, empty, block_bits):
+    got = secrets.scan(docs, secrets.BASE_RULES, block_bits).collect()
     plain = sorted(key((r[0], tuple(_secrets(r[1])))) for r in rows)
     assert sorted(key((r["doc_id"], tuple(tuple(s) for s in r["spans"]))) for r in got) == plain and any(x[1][1] for x in plain)
     digest = {r["doc_id"]: r for r in secrets.digest(secrets.scan(docs)).collect()}
@@ -574,7 +574,7 @@ def test_long_secrets_are_marked_whole(spark):
     assert got == {0: f"url_login:4:{texts[0].index('@') + 1}", 1: "forge_token:2:306", 2: "chat_token:2:307"}
 
 
-@given(st.sampled_from([r.pattern for r in secrets.BASE_RULES + secrets.MORE_RULES] + [r"(ab){3}cd(x|yz)?e", r"a+bcd", r"(abc|de)+f"]), st.data())
+@given(st.sampled_from([r.pattern for r in secrets.BASE_RULES + secrets.MORE_RULES] + [r"(ab){3}cd(x|yz)?e", r"a+bcd", r"(abc|de)+f", r"x{2,}yz", r"(?:fo+|bar){1,2}[^z]\\.q{2}?[]a-c-]end\\b", r"ab\\x41(c|)(?:de){2,3}\\d{2}"]), st.data())
 @settings(max_examples=150, deadline=None)
 def test_trigram_queries_are_necessary(pattern, data):
     text = data.draw(st.from_regex(re.compile(pattern.removeprefix("(?i)"), re.ASCII | (re.I if pattern.startswith("(?i)") else re.A))))
