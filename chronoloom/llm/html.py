@@ -1,19 +1,26 @@
 """Main text of web pages by composite text density.
 
 A tolerant parser builds the DOM (implied end tags, raw-text elements, unclosed tags).
-Elements that are boilerplate by their kind (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments) are cut off, but for one that holds the only
-article element; the header of an article stays if it has a heading.  Each node of the rest gets its composite density: characters a tag, adjusted by
-the characters and tags of links,
+Elements that are boilerplate by their kind (navigation, headers, footers, asides, forms,
+scripts, styles, hidden parts) or by a name that says reader comments, adverts or consent are
+cut off, but for one that holds the only article; a header in an article stays if it has a
+heading.  Each node of the rest gets its composite density: characters a tag, adjusted by the
+characters and tags of links,
 
     C/T * log_b(C T / (LC LT)),   b = ln(C LC / (C - LC) + C LC_body / C_body + e),
 
-and the sum of its children's densities (its own text counts as one child).  The threshold
-is the least density on the path from the node of the greatest sum up to body; nodes
-at or above it contribute their subtree of the greatest sum.  The text is that of the least
-subtree which holds all of these, or of the article or main element around it or with most of the text.  In pages without
-such an element, blocks that are little but links go first, and a single h1 before the
-chosen subtree belongs to the text.
+and the sum of its children's densities (its own text counts as one child).  The node of the
+greatest sum is the core.  The threshold is the least density on the path from the core up to
+body; nodes at or above it contribute their subtree of the greatest sum, and the text is that
+of the least subtree which holds the core and these.  An article or main element around the
+core sets its limits: what stands beside it does not widen the choice, what stands in it is
+kept.  Without one, a single h1 before the chosen subtree belongs to the text, and blocks that
+are little but links go if they come before or after all contributing subtrees.
+
+Names that are no proof (menu, social, related, search, ...) decide nothing inside the article:
+such a block stays if it reads like the rest, with few links and at least half of the
+characters a tag that the path to body has.  Outside they are cut, and a core in such a block
+gives way to one elsewhere unless that one's sum is below a fifth of its own.
 
 Edge cases: null and empty pages give an empty text; a page of plain text is its own main
 text; repeated rows are extracted each; an empty table gives an empty result; only page_id,
@@ -65,43 +72,59 @@ DROPPED = frozenset(
     "head script style xmp iframe noembed noframes textarea title noscript template nav header footer aside form button select input datalist "
     "object embed applet svg canvas audio video map dialog menu search".split()
 )
-#: boilerplate by a word of class, id or role
-DROPPED_WORDS = frozenset(
-    "ad ads adbox adsense advert advertisement advertisements adverts adslot alert alerts banner breadcrumb breadcrumbs comment comments commentlist complementary "
-    "contentinfo consent cookie cookies copyright disclaimer discussion disqus footer gdpr header login masthead menu menubar modal nav navbar navigation "
-    "newsletter notice notices notification notifications pager pagination paywall popup promo promotion promoted reader-comments recommended related reply replies "
-    "respond responses search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
+#: words of class, id or role that say boilerplate wherever they stand
+STRONG_WORDS = frozenset(
+    "ad ads adbox adsense advert advertisement advertisements adverts adslot comment comments commentlist disqus reader-comments replies respond "
+    "consent cookie cookies gdpr newsletter paywall popup sidebar sidenav".split()
+)
+#: words that say it outside the article only
+WEAK_WORDS = frozenset(
+    "alert alerts banner breadcrumb breadcrumbs complementary contentinfo copyright disclaimer discussion footer header login masthead menu menubar modal nav navbar "
+    "navigation notice notices notification notifications pager pagination promo promotion promoted recommended related reply responses search share sharing signup skip "
+    "social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
-#: reader comments and hidden parts go even if they hold article elements, as each comment may be one
-_COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus reader-comments replies reply respond responses".split())
 _NO_TEXT = frozenset("head script style xmp iframe noembed noframes textarea title noscript template button select input datalist object embed applet svg canvas audio video map".split())
+#: comments go even if they hold article elements, as each comment may be one
+_COMMENT_WORDS = frozenset("comment comments commentlist disqus reader-comments replies respond".split())
 #: words before such a word that say something else ("has-sidebar", "no-ads")
 _WITHOUT = frozenset("has no with without".split())
 _NEGATING = _WITHOUT | frozenset("entry article post main content page layout".split())
+#: elements that hold a piece of running text
+_TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption caption summary".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _boilerplate(tag: str, attributes: str) -> int:
-    """0: none; 1: boilerplate, unless it holds the article; 2: boilerplate in any case."""
+#: what a node is: text, boilerplate by a weak name, by its element, by a strong name, or never text
+PLAIN, WEAK, ELEMENT, STRONG, NEVER = range(5)
+
+
+def _kind(tag: str, attributes: str) -> int:
     if tag in _NO_TEXT:
-        return 2
-    found = int(tag in DROPPED)
-    if not attributes or attributes.isspace():
-        return found
-    plain = tag not in ("html", "body", "article", "main")
+        return NEVER
+    found = ELEMENT if tag in DROPPED else PLAIN
+    if not attributes or attributes.isspace() or tag in ("html", "body", "article", "main"):
+        # whole pages and articles are no boilerplate, whatever they are called, but a comment may be an article
+        return STRONG if tag == "article" and _named(attributes or "") == NEVER else found
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if plain and (name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value)):
-            return 2
-        if name in ("class", "id", "role"):
-            for token in value.split():
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
+            return NEVER
+    return max(found, min(STRONG, _named(attributes)))
+
+
+def _named(attributes: str) -> int:
+    """What the words of class, id and role say; NEVER for comments."""
+    found = PLAIN
+    for name, value in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id", "role"):
+            for token in value.strip("\"'").lower().split():
                 words = re.split(r"[-_]+", token)
                 for i, w in enumerate(words):
                     before = words[i - 1] if i else ""
-                    if w in DROPPED_WORDS and before not in (_WITHOUT if w in _COMMENT_WORDS else _NEGATING):
-                        if w in _COMMENT_WORDS and tag not in ("html", "body", "main"):
-                            return 2
-                        found = max(found, int(plain))
+                    if w in _COMMENT_WORDS and before not in _WITHOUT:
+                        return NEVER
+                    if before not in _NEGATING:
+                        found = max(found, STRONG if w in STRONG_WORDS else WEAK if w in WEAK_WORDS else PLAIN)
     return found
 
 
@@ -109,7 +132,7 @@ class Page:
     """The DOM as parallel lists; ``events`` are the texts and the limits of nodes in page order."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.dropped = ["#root"], [-1], [0]
+        self.tag, self.parent, self.kind = ["#root"], [-1], [PLAIN]
         #: (node, text), (node, None) at its start, (~node, None) at its end
         self.events: list[tuple[int, str | None]] = []
         stack, at, end = [0], 0, len(source)
@@ -156,7 +179,7 @@ class Page:
             node = len(self.tag)
             self.tag.append(tag)
             self.parent.append(stack[-1])
-            self.dropped.append(_boilerplate(tag, m[3]))
+            self.kind.append(_kind(tag, m[3]))
             self.events.append((node, None))
             if tag in VOID:
                 self.events.append((~node, None))
@@ -170,32 +193,35 @@ class Page:
         self._cut()
 
     def _cut(self) -> None:
-        n = len(self.tag)
-        holds, headed, inside, free = [t in ("article", "main") for t in self.tag], [t in ("h1", "h2") for t in self.tag], [False] * n, [True] * n
+        """``open``: outside all boilerplate but for weak names; ``named``: inside a block of a weak name."""
+        n, kind, parent = len(self.tag), self.kind, self.parent
+        holds, headed, inside = [t in ("article", "main") for t in self.tag], [t in ("h1", "h2") for t in self.tag], [False] * n
         for i in range(1, n):
-            inside[i] = inside[self.parent[i]] or holds[self.parent[i]]
+            inside[i] = inside[parent[i]] or holds[parent[i]]
         for i in range(n - 1, 0, -1):
-            headed[self.parent[i]] |= headed[i]
+            headed[parent[i]] |= headed[i]
+        free = [True] * n
         for i in range(1, n):
             # the header of an article itself is where its heading stands
-            if self.tag[i] == "header" and self.dropped[i] == 1 and inside[i] and headed[i]:
-                self.dropped[i] = 0
-            free[i] = free[self.parent[i]] and not self.dropped[i]
-        self.has_article = any(h and f for h, f in zip(holds, free, strict=True))
-        #: nodes outside all boilerplate
-        self.open = free
-        if not self.has_article and any(holds):
+            if self.tag[i] == "header" and kind[i] in (WEAK, ELEMENT) and inside[i] and headed[i]:
+                kind[i] = PLAIN
+            free[i] = free[parent[i]] and kind[i] <= WEAK
+        if any(holds) and not any(h and f for h, f in zip(holds, free, strict=True)):
             # the only articles lie in what looks like boilerplate, as in a menu that is never closed
             for i in range(n - 1, 0, -1):
-                holds[self.parent[i]] |= holds[i] and self.dropped[i] < 2
+                holds[parent[i]] |= holds[i] and kind[i] <= ELEMENT
             for i in range(1, n):
-                self.open[i] = self.open[self.parent[i]] and (not self.dropped[i] or self.dropped[i] == 1 and holds[i])
-            self.has_article = any(o and t in ("article", "main") for o, t in zip(self.open, self.tag, strict=True))
+                if holds[i] and kind[i] == ELEMENT:
+                    kind[i] = PLAIN
+                free[i] = free[parent[i]] and kind[i] <= WEAK
+        self.open, self.named = free, [False] * n
+        for i in range(1, n):
+            self.named[i] = self.named[parent[i]] or kind[i] == WEAK
 
-    def densities(self) -> tuple[list[float], list[float], list[int]]:
-        """Composite density, sum of the children's, and characters of each node."""
+    def measure(self) -> None:
+        """Characters, tags, and those of links, of each open node, with its density and the sum of its children's."""
         n = len(self.tag)
-        chars, tags, link_chars, link_tags, own = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
+        self.chars, self.tags, self.link_chars, self.link_tags, own = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
         for node, text in self.events:
             if text is not None and self.open[node]:
                 own[node] += sum(map(len, text.split()))
@@ -205,92 +231,109 @@ class Page:
         for i in range(n - 1, -1, -1):
             if not self.open[i]:
                 continue
-            chars[i] += own[i]
-            link_chars[i] += own[i] if in_link[i] else 0
+            self.chars[i] += own[i]
+            self.link_chars[i] += own[i] if in_link[i] else 0
             if i:
                 p = self.parent[i]
-                chars[p] += chars[i]
-                tags[p] += tags[i] + 1
-                link_chars[p] += link_chars[i]
-                link_tags[p] += link_tags[i] + (self.tag[i] == "a")
-        body_share = link_chars[0] / max(1, chars[0])
-        density, total = [0.0] * n, [0.0] * n
-
-        def composite(c: int, t: int, lc: int, lt: int) -> float:
-            if not c:
-                return 0.0
-            base = math.log(c * lc / max(1, c - lc) + c * body_share + math.e)
-            return c / max(1, t) * math.log(c * max(1, t) / (max(1, lc) * max(1, lt))) / max(0.1, math.log(base))
-
+                self.chars[p] += self.chars[i]
+                self.tags[p] += self.tags[i] + 1
+                self.link_chars[p] += self.link_chars[i]
+                self.link_tags[p] += self.link_tags[i] + (self.tag[i] == "a")
+        share = self.link_chars[0] / max(1, self.chars[0])
+        self.density, self.total = [0.0] * n, [0.0] * n
         for i in range(n - 1, -1, -1):
             if self.open[i]:
-                density[i] = composite(chars[i], tags[i], link_chars[i], link_tags[i])
-                total[i] += composite(own[i], 0, own[i] if in_link[i] else 0, 0)
+                self.density[i] = composite(self.chars[i], self.tags[i], self.link_chars[i], self.link_tags[i], share)
+                self.total[i] += composite(own[i], 0, own[i] if in_link[i] else 0, 0, share)
                 if i:
-                    total[self.parent[i]] += density[i]
-        return density, total, chars
-
-    def main(self) -> int:
-        """The node whose text is the article."""
-        density, total, chars = self.densities()
-        n = len(self.tag)
-        if not chars[0]:
-            return 0
-        best = list(range(n))  # of each subtree, the node of the greatest sum
-        for i in range(n - 1, 0, -1):
-            p = self.parent[i]
-            if self.open[i] and total[best[i]] > total[best[p]]:
-                best[p] = best[i]
-        threshold, i = math.inf, best[0]
+                    self.total[self.parent[i]] += self.density[i]
+
+    def core(self) -> int:
+        """The node of the greatest sum, of equal ones the first, and of those on a path the innermost; weak names break near ties."""
+        total = self.total
+        usual = [i for i in range(len(total)) if self.open[i]]
+        best = max(usual, key=lambda i: (total[i], -i))
+        if self.named[best]:
+            other = max((i for i in usual if not self.named[i]), key=lambda i: (total[i], -i))
+            best = other if 5 * total[other] >= total[best] else best
+        for i in usual:
+            if self.parent[i] == best and total[i] == total[best]:
+                best = i
+        return best
+
+    def main(self) -> str:
+        """The article's text."""
+        n, parent = len(self.tag), self.parent
+        self.measure()
+        if not self.chars[0]:
+            return ""
+        core = self.core()
+        threshold = least_plain = math.inf
+        around, i = 0, core
         while i >= 0:
-            if chars[i] and self.tag[i] not in ("html", "#root"):
-                threshold = min(threshold, density[i])
-            i = self.parent[i]
-        # a page without any element has its text at the root
-        marked = {best[i] for i in range(n) if self.open[i] and chars[i] and density[i] >= threshold} or {best[0]}
-        path: list[int] | None = None
-        for node in marked:
-            up = [node]
-            while up[-1]:
-                up.append(self.parent[up[-1]])
-            up.reverse()
-            if path is None:
-                path = up
-            else:
-                same = next((k for k, (a, b) in enumerate(zip(path, up, strict=False)) if a != b), min(len(path), len(up)))
-                path = path[:same]
-        around = [k for k in path if self.tag[k] in ("article", "main")]
+            if self.chars[i] and self.tag[i] not in ("html", "#root"):
+                threshold = min(threshold, self.density[i])
+                least_plain = min(least_plain, self.chars[i] / max(1, self.tags[i]))
+            if self.tag[i] in ("article", "main") and not around:
+                around = i
+            i = parent[i]
         if around:
-            return around[-1]
-        # loose text beside the article does not widen the choice
-        articles = [i for i in range(1, n) if self.open[i] and self.tag[i] in ("article", "main") and 2 * chars[i] >= chars[0]]
-        return articles[0] if articles else path[-1]
+            top, marked = around, {around}
+        else:
+            # of each subtree at or above the threshold, the node of the greatest sum
+            best = list(range(n))
+            for i in range(n - 1, 0, -1):
+                if self.open[i] and self._counts(i) and self.total[best[i]] > self.total[best[parent[i]]]:
+                    best[parent[i]] = best[i]
+            marked = {core} | {best[i] for i in range(n) if self.open[i] and self._counts(i) and self.chars[i] and self.density[i] >= threshold}
+            held = [0] * n  # marked nodes in each subtree
+            for i in range(n - 1, -1, -1):
+                held[i] += i in marked
+                if i:
+                    held[parent[i]] += held[i]
+            top = max(i for i in range(n) if held[i] == len(marked))
+        start, end = self._limits()
+        first, last = min(start[m] for m in marked), max(end[m] for m in marked)
+        shown = [False] * n
+        for i in range(n):
+            above = i == 0 or shown[parent[i]]
+            within = first <= start[i] and end[i] <= last
+            if not above or not self.open[i]:
+                continue
+            if self.kind[i] == WEAK and not (i <= top and end[i] >= end[top]):
+                shown[i] = within and self._reads_like_text(i, least_plain / 2)
+            else:
+                shown[i] = within or not self._is_link_list(i) or (start[i] <= first and end[i] >= last)
+        heading = None if around else self._heading(top)
+        parts = [self.text(heading, shown)] if heading else []
+        return "\n".join(x for x in [*parts, self.text(top, shown)] if x)
+
+    def _counts(self, i: int) -> bool:
+        return not self.named[i]
 
-    def cut_link_lists(self) -> None:
-        """Close blocks of three or more links that are little else: menus that nothing names."""
+    def _limits(self) -> tuple[list[int], list[int]]:
+        """Where each node starts and ends among the events."""
         n = len(self.tag)
-        chars, link_chars, links = [0] * n, [0] * n, [0] * n
-        in_link = [False] * n
-        for i in range(1, n):
-            in_link[i] = self.tag[i] == "a" or in_link[self.parent[i]]
-        for node, text in self.events:
-            if text is not None and self.open[node]:
-                size = sum(map(len, text.split()))
-                chars[node] += size
-                link_chars[node] += size if in_link[node] else 0
-        for i in range(n - 1, 0, -1):
-            if self.open[i]:
-                p = self.parent[i]
-                chars[p] += chars[i]
-                link_chars[p] += link_chars[i]
-                links[p] += links[i] + (self.tag[i] == "a")
-        for i in range(1, n):
-            listed = self.tag[i] in ("ul", "ol", "div", "section", "table", "p") and links[i] >= 3 and link_chars[i] > 0.6 * chars[i]
-            self.open[i] = self.open[i] and self.open[self.parent[i]] and not listed
+        start, end = [-1] * n, [len(self.events)] * n
+        for at, (node, text) in enumerate(self.events):
+            if text is None:
+                if node >= 0:
+                    start[node] = at
+                else:
+                    end[~node] = at
+        return start, end
 
-    def heading(self, top: int) -> int | None:
+    def _reads_like_text(self, i: int, plain: float) -> bool:
+        if self.tag[i] in _TEXT_LEVEL:
+            return 2 * self.link_chars[i] <= self.chars[i]
+        return 3 * self.link_chars[i] <= self.chars[i] and self.chars[i] / max(1, self.tags[i]) >= plain
+
+    def _is_link_list(self, i: int) -> bool:
+        return self.tag[i] in ("ul", "ol", "div", "section", "table", "p") and self.link_tags[i] >= 3 and self.link_chars[i] > 0.6 * self.chars[i]
+
+    def _heading(self, top: int) -> int | None:
         """The page's only h1, if it stands before and outside of top."""
-        found = [i for i in range(1, len(self.tag)) if self.tag[i] == "h1" and self.open[i]]
+        found = [i for i in range(1, len(self.tag)) if self.tag[i] == "h1" and self.open[i] and not self.named[i]]
         if len(found) != 1 or found[0] >= top:
             return None
         i = top
@@ -300,7 +343,7 @@ class Page:
                 return None
         return found[0]
 
-    def text(self, top: int) -> str:
+    def text(self, top: int, shown: list[bool]) -> str:
         blocks, run, depth = [], [], 0
 
         def flush() -> None:
@@ -318,22 +361,22 @@ class Page:
                     flush()
                 elif self.tag[inside] == "br":
                     run.append(" ")
-            elif (depth or not top) and self.open[node]:
+            elif (depth or not top) and shown[node]:
                 run.append(text)
         flush()
         return "\n".join(blocks)
 
 
+def composite(c: int, t: int, lc: int, lt: int, share: float) -> float:
+    """Composite density of c characters and t tags, lc and lt of them of links; share: of link characters on the page."""
+    if not c:
+        return 0.0
+    base = math.log(c * lc / max(1, c - lc) + c * share + math.e)
+    return c / max(1, t) * math.log(c * max(1, t) / (max(1, lc) * max(1, lt))) / max(0.1, math.log(base))
+
+
 def main_text(source: str | None) -> str:
-    if not source:
-        return ""
-    page = Page(source)
-    if not page.has_article:
-        page.cut_link_lists()
-    top = page.main()
-    heading = None if page.has_article else page.heading(top)
-    parts = [page.text(heading)] if heading else []
-    return "\n".join(x for x in [*parts, page.text(top)] if x)
+    return Page(source).main() if source else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

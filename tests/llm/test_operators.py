@@ -512,6 +512,17 @@ PAGE = (
         ('<main><article><header><h1>T</h1></header><p>body</p><footer>by me</footer></article></main><section id="comments"><article class="comment"><p>' + "long comment " * 50 + "</p></article></section>", "T\nbody"),
         ('<nav><ul><li><a href="/">x</a><article><p>in an open menu</p></article>', "in an open menu"),
         ('<article><p>own text</p></article><aside class="related"><article><p>' + "another story " * 40 + "</p></article></aside>", "own text"),
+        # names decide nothing in the article's text, but a block of links or a short label is no text
+        ('<article><h1>T</h1><p>First part of it.</p><div class="related"><p>Related work is reviewed here.</p></div></article>', "T\nFirst part of it.\nRelated work is reviewed here."),
+        ('<article><h1>H</h1><p class="social">Social life of ants.</p><section id="search"><p>The search for food goes on.</p></section></article>', "H\nSocial life of ants.\nThe search for food goes on."),
+        ('<article><h1>H</h1><p>A text about this and that.</p><div class="share"><a href=1>mail it</a> <a href=2>print it</a></div></article>', "H\nA text about this and that."),
+        # without an article: menus before it go, its own list of links stays
+        (
+            '<div><ul><li><a href=a>one</a><li><a href=b>two</a><li><a href=c>three</a></ul></div><h1>Title</h1><div><p>A first paragraph of the text.<p>And a second one, of some length.'
+            "<ul><li><a href=1>r1</a><li><a href=2>r2</a><li><a href=3>r3</a></ul><p>Last words of the text, which end it.</div><div class=copyright>(c) me</div>",
+            "Title\nA first paragraph of the text.\nAnd a second one, of some length.\nr1\nr2\nr3\nLast words of the text, which end it.",
+        ),
+        ("<div><div><p>Part one says something of interest.<p>More of it follows.</div><div><p>Part two says something else.<p>It ends like this.</div></div>", "Part one says something of interest.\nMore of it follows.\nPart two says something else.\nIt ends like this."),
         ('<div class="post-comments"><p>not here</p></div><div><p>the text of it</p><div hidden>no</div><div class="has-ads">yes</div></div>', "the text of it\nyes"),
     ],
 )
@@ -519,6 +530,55 @@ def test_main_text(source, text):
     assert html.main_text(source) == text
 
 
+def _dom(element, in_link=False):
+    """Characters, tags, link characters, link tags, own text and children of a well-formed page, by recursion."""
+    in_link = in_link or element.tag == "a"
+    kids = [_dom(e, in_link) for e in element]
+    own = sum(len("".join(t.split())) for t in [element.text or "", *((e.tail or "") for e in element)])
+    total = [own + sum(k[0] for k in kids), sum(k[1] + 1 for k in kids), own * in_link + sum(k[2] for k in kids), sum(k[3] + (e.tag == "a") for k, e in zip(kids, element, strict=True))]
+    return [*total, own, in_link, kids]
+
+
+def _density(c, t, lc, lt, share):
+    if c == 0:
+        return 0.0
+    t, base = max(t, 1), math.log(c * lc / max(1, c - lc) + share * c + math.e)
+    return c / t * math.log(c * t / (max(lc, 1) * max(lt, 1))) / max(0.1, math.log(base))
+
+
+def _sums(node, share, out):
+    """(density, sum of the children's densities) of each node in page order."""
+    at = len(out)
+    out.append(None)
+    below = [_sums(k, share, out) for k in node[6]]
+    out[at] = (_density(*node[:4], share), _density(node[4], 0, node[4] * node[5], 0, share) + sum(below))
+    return out[at][0]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_densities_and_core(seed):
+    from xml.etree import ElementTree
+
+    rng = np.random.default_rng(seed)
+
+    def made(depth, inline=False, linked=False):
+        tag = rng.choice([*(["a"] if not linked else []), "b", "em"] + ([] if inline else ["div", "section", "p"])) if depth else "div"
+        inner = "".join(" ".join(["word"] * rng.integers(0, 9)) + (made(depth + 1, inline or tag in "abpem", linked or tag == "a") if depth < 5 and rng.random() < 0.6 else "") for _ in range(3))
+        return f"<{tag}>{inner}</{tag}>"
+
+    source = made(0)
+    root = ElementTree.fromstring(source)
+    node, want = _dom(root), []
+    share = node[2] / max(1, node[0])
+    _sums(node, share, want)
+    page = html.Page(source)
+    page.measure()
+    got = list(zip(page.density[1:], page.total[1:], strict=True))
+    assert page.tag[1:] == [e.tag for e in root.iter()]
+    assert got == [pytest.approx(w) for w in want]
+    assert page.total[page.core()] == pytest.approx(max(w[1] for w in want))
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = html.extract(pages).collect()
