@@ -9,6 +9,7 @@ characters, special token strings) are encoded whole.
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 
@@ -22,8 +23,58 @@ _LAY_UNITS = 1 << 18
 _ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 
 
+class Units:
+    """The texts of a column as numbers of distinct units.
+
+    data: the bytes; start, end: those of each distinct unit; unit: the units of all texts one
+    after the other, each text's closed by the empty unit; per_text: how many they are; odd:
+    the texts that can't be cut, by position.
+    """
+
+    __slots__ = ("data", "start", "end", "unit", "per_text", "odd")
+
+    def __init__(self, column: pa.Array, special: list[str] = ()):
+        hashes, starts, ends, per_text, self.odd = [], [], [], [], {}
+        raw, text_at = text_buffers(column)
+        base = text_at[0] if len(text_at) else 0
+        wide = np.uint32 if text_at[-1] - base < 1 << 32 else np.int64
+        for c in chunks(column):
+            at = c.text_at
+            before = np.concatenate(([0], c.end[:-1]))[: len(c.start)]
+            heads = c.word_at[:-1][c.counts() > 0]
+            before[heads] = at[:-1][c.counts() > 0]
+            last = np.where(c.counts() > 0, c.end[np.maximum(c.word_at[1:] - 1, 0)] if len(c.end) else 0, at[:-1])
+            # white space after the last word, then an empty unit for the end id
+            tail = np.flatnonzero(last < at[1:])
+            s = np.insert(before, c.word_at[1:][tail], last[tail])
+            e = np.insert(c.end, c.word_at[1:][tail], at[1:][tail])
+            n_units = c.counts() + (last < at[1:])
+            closing = np.cumsum(n_units)
+            s, e = np.insert(s, closing, at[1:]), np.insert(e, closing, at[1:])
+            hashes.append(span_hash(_BYTE_CODE[c.data], s, e))
+            shift = text_at[c.first] - base
+            starts.append((s + shift).astype(wide))
+            ends.append((e + shift).astype(wide))
+            per_text.append(n_units + 1)
+            if _is_odd(c.data.tobytes().decode(), special):
+                for i in range(len(c)):
+                    text = c.data[at[i] : at[i + 1]].tobytes().decode()
+                    if _is_odd(text, special):
+                        self.odd[c.first + i] = text
+        none = [np.zeros(0, np.int64)]
+        self.per_text = np.concatenate(per_text or none)
+        _, first, unit = np.unique(np.concatenate(hashes or none), return_index=True, return_inverse=True)
+        self.unit = unit.astype(np.uint32)
+        self.start, self.end = (np.concatenate(x or none)[first].astype(np.int64) for x in (starts, ends))
+        self.data = raw[base : text_at[-1]]
+
+
+def _is_odd(text: str, special: list[str]) -> bool:
+    return bool(_ODD.search(text)) or any(s in text for s in special)
+
+
 class Encoder:
-    """definition: the JSON text of a tokenizer."""
+    """A byte-level BPE: ``definition`` is the JSON text of a tokenizer."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,9 +91,6 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _odd(self, text: str) -> bool:
-        return bool(_ODD.search(text)) or any(s in text for s in self.special)
-
     def _units(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the units data[start:end]: one array, and where each unit's ids start and how many they are."""
         size = end - start
@@ -68,46 +116,28 @@ class Encoder:
         at[order] = np.cumsum(length[order]) - length[order]
         return np.concatenate([*parts, *alone, np.zeros(0, np.int64)]), at, length
 
+    def _of_units(self, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(units.data):
+            return self._units(units.data, units.start, units.end)
+        return np.zeros(0, np.int64), np.zeros(len(units.start), np.int64), np.zeros(len(units.start), np.int64)
+
+    def count(self, units: Units) -> np.ndarray:
+        """How many ids each text has, without an end id."""
+        _, _, size = self._of_units(units)
+        total = np.concatenate(([0], np.cumsum(size[units.unit])))
+        counts = np.diff(total[np.concatenate(([0], np.cumsum(units.per_text)))])
+        for i, ids in zip(units.odd, self._whole(list(units.odd.values())), strict=True):
+            counts[i] = len(ids)
+        return counts
+
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with end_id after it, and the offset of each text's ids."""
-        hashes, starts, ends, per_doc, odd = [], [], [], [], {}
-        raw, text_at = text_buffers(column)
-        base = text_at[0] if len(text_at) else 0
-        for c in chunks(column):
-            at = c.text_at
-            before = np.concatenate(([0], c.end[:-1]))[: len(c.start)]
-            heads = c.word_at[:-1][c.counts() > 0]
-            before[heads] = at[:-1][c.counts() > 0]
-            last = np.where(c.counts() > 0, c.end[np.maximum(c.word_at[1:] - 1, 0)] if len(c.end) else 0, at[:-1])
-            # white space after the last word, then an empty unit for the end id
-            tail = np.flatnonzero(last < at[1:])
-            s = np.insert(before, c.word_at[1:][tail], last[tail])
-            e = np.insert(c.end, c.word_at[1:][tail], at[1:][tail])
-            n_units = c.counts() + (last < at[1:])
-            closing = np.cumsum(n_units)
-            s, e = np.insert(s, closing, at[1:]), np.insert(e, closing, at[1:])
-            hashes.append(span_hash(_BYTE_CODE[c.data], s, e))
-            shift = text_at[c.first] - base
-            starts.append((s + shift).astype(np.uint32 if text_at[-1] - base < 1 << 32 else np.int64))
-            ends.append((e + shift).astype(starts[-1].dtype))
-            per_doc.append(n_units + 1)
-            if self._odd(c.data.tobytes().decode()):
-                for i in range(len(c)):
-                    text = c.data[at[i] : at[i + 1]].tobytes().decode()
-                    if self._odd(text):
-                        odd[c.first + i] = text
-        if not hashes:
+        units = Units(column, self.special)
+        start, end, unit, per_doc, odd = units.start, units.end, units.unit, units.per_text, units.odd
+        if not len(per_doc):
             return np.zeros(0, np.int64), np.zeros(1, np.int64)
-        per_doc, hashes = np.concatenate(per_doc), np.concatenate(hashes)
-        _, first, unit = np.unique(hashes, return_index=True, return_inverse=True)
-        unit = unit.astype(np.uint32)
-        start, end = (np.concatenate(x)[first].astype(np.int64) for x in (starts, ends))
-        del hashes, starts, ends
-        data = raw[base : text_at[-1]]
-        if len(data):
-            ids, at, size = self._units(data, start, end)
-        else:
-            ids, at, size = np.zeros(0, np.int64), np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        ids, at, size = self._of_units(units)
+        del units
         closing = np.flatnonzero(start == end)  # one distinct unit: the empty one
         ids = np.append(ids, end_id)
         at[closing], size[closing] = len(ids) - 1, 1
@@ -128,13 +158,32 @@ class Encoder:
         return out, doc_at
 
 
+class RankEncoder(Encoder):
+    """A byte-level BPE of the tiktoken library: ``definition`` is the text of a file of ranks, ``pattern`` how it cuts texts."""
+
+    def __init__(self, definition: str, pattern: str):
+        import tiktoken
+
+        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in definition.splitlines() if line)}
+        self.tokenizer = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.size = max(ranks.values()) + 1
+        self.length = np.zeros(self.size, dtype=np.int64)
+        for token, rank in ranks.items():
+            self.length[rank] = len(token)
+        self.special = []
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(self.tokenizer.encode_ordinary(t), dtype=np.int64) for t in texts]
+
+
 _encoders: dict[int, Encoder] = {}
 
 
-def encoder(definition: str) -> Encoder:
-    """One encoder a worker process."""
-    key = hash(definition)
+def encoder(definition: str, pattern: str | None = None) -> Encoder:
+    """One encoder of each kind a worker process; with a pattern, definition is a file of ranks."""
+    key = hash((definition, pattern))
     if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(definition)
+        if len(_encoders) > 3:
+            _encoders.clear()
+        _encoders[key] = Encoder(definition) if pattern is None else RankEncoder(definition, pattern)
     return _encoders[key]

@@ -60,26 +60,27 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents come in, those in German go, those of src0 are counted anew, and a second
-    tokenizer counts all; one batch is delivered twice."""
-    from .rollup import Rollup, token_count
+    """All documents come in, counted by one tokenizer; those in German go, those of src0 are
+    counted anew by another one, which then counts all; one batch is delivered twice."""
+    import public_tokenizers
+
+    from .rollup import Rollup, token_counts
     from .store import materialize, new_path
 
-    docs = _table(spark, sf_dir, "documents")
-    counts = [token_count(F.col("text"), v).alias(n) for n, v in (("first", "words-1"), ("second", "words-2"))]
-    counted = materialize(docs.select("source", "lang", *counts), "token-counts")
+    tokenizers = {"first": (public_tokenizers.path("byte_bpe_50k.json"), None), "second": (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)}
+    counted = materialize(token_counts(_table(spark, sf_dir, "documents"), tokenizers), "token-counts")
 
     def changes(rows: DataFrame, change: str, version: str, now: str, old: str | None = None) -> DataFrame:
         before = F.col(old) if old else F.lit(None).cast("long")
         return rows.select("source", "lang", F.lit(version).alias("tokenizer_version"), F.lit(change).alias("change"), F.col(now).alias("n_tokens"), before.alias("old_tokens"))
 
     rollup = Rollup(spark, new_path(spark, "token-rollup"))
-    arrived = changes(counted, "insert", "words-1", "first")
+    arrived = changes(counted, "insert", "byte-bpe", "first")
     rollup.commit("arrived", arrived)
-    rollup.commit("withdrawn", changes(counted.where("lang = 'de'"), "delete", "words-1", "first"))
+    rollup.commit("withdrawn", changes(counted.where("lang = 'de'"), "delete", "byte-bpe", "first"))
     rollup.commit("arrived", arrived)
-    rollup.commit("recounted", changes(counted.where("source = 'src0' and lang is distinct from 'de'"), "revise", "words-1", "second", "first"))
-    rollup.commit("second-tokenizer", changes(counted, "insert", "words-2", "second"))
+    rollup.commit("recounted", changes(counted.where("source = 'src0' and lang is distinct from 'de'"), "revise", "byte-bpe", "second", "first"))
+    rollup.commit("second-tokenizer", changes(counted, "insert", "byte-bpe-multi", "second"))
     return rollup.totals()
 
 
@@ -110,15 +111,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-# word counts of both tokenizer versions; RE2 and Java read these classes alike
-_FIRST = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
-_SECOND = r"len(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
-_OP8 = f"""
-WITH counted AS (SELECT source, lang, {_FIRST} AS a, {_SECOND} AS b FROM documents)
-SELECT source, lang, 'words-1' AS tokenizer_version, count(*)::BIGINT AS n_docs, sum(CASE WHEN source = 'src0' THEN b ELSE a END)::BIGINT AS n_tokens
-FROM counted WHERE lang IS DISTINCT FROM 'de' GROUP BY source, lang
-UNION ALL
-SELECT source, lang, 'words-2', count(*)::BIGINT, sum(b)::BIGINT FROM counted GROUP BY source, lang
+def _op1_sql() -> str:
+    """Quotients ranked one by one, and blocks taken in the order of their ranks."""
+    from .mixing import PRIMES
+
+    def number(*parts: str) -> str:
+        text = " || '|' || ".join(["'42'", *[f"coalesce({p}::VARCHAR, '')" for p in parts]])
+        return f"('0x' || md5({text})[1:15])::BIGINT"
+
+    return rf"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, {number("doc_id", "text")} AS key FROM documents),
+n AS (SELECT count(*) AS n_rows, sum(size) AS n_words, ceil(sqrt(count(*)))::BIGINT AS pieces FROM d),
+own AS (SELECT source, sum(size)::BIGINT AS source_size, least(any_value(pieces), greatest(ceil(count(*) * any_value(pieces) / any_value(n_rows)), ceil(sum(size) * any_value(pieces) / any_value(n_words)))) AS own, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d, n GROUP BY source),
+placed AS (SELECT d.*, source_size, floor(key % pieces * own / pieces)::BIGINT AS shard FROM d JOIN own ON d.source IS NOT DISTINCT FROM own.source, n),
+weighed AS (SELECT source, source_size, ((place - 1) % 3 + 1)::DOUBLE AS weight, 3.0::DOUBLE * source_size AS cap FROM own),
+levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM weighed WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+aims AS (SELECT source, source_size, CASE WHEN cap / weight <= max(level) OVER () THEN cap ELSE weight * max(level) OVER () END AS target FROM levels),
+seats AS (SELECT round(sum(target) / 16)::BIGINT AS seats FROM aims),
+won AS (SELECT source, count(*) AS quota FROM (SELECT source, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST) AS place, seats FROM aims, seats, unnest(range(0, seats)) t(k) WHERE target > 0) WHERE place <= seats GROUP BY source),
+shards AS (SELECT p.source, shard, sum(size)::BIGINT AS total, coalesce(any_value(quota), 0) AS seats FROM placed p LEFT JOIN won ON won.source IS NOT DISTINCT FROM p.source GROUP BY p.source, shard),
+given AS (SELECT source, shard, count(*) AS quota FROM (SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY total / (2 * k + 1) DESC, shard) AS place, seats FROM shards, unnest(range(0, seats)) t(k) WHERE total > 0) WHERE place <= seats GROUP BY source, shard),
+rings AS (
+  SELECT s.source, s.shard, total, least(coalesce(quota, 0) * 16, total * 3) AS words, greatest(1, ceil(total / 16))::BIGINT AS blocks, {number("s.source", "s.shard")} AS seed
+  FROM shards s LEFT JOIN given g ON g.source IS NOT DISTINCT FROM s.source AND g.shard = s.shard),
+ranks AS (
+  SELECT source, shard, total, j * 16 AS lo, least(total, j * 16 + 16) AS hi, words // total AS turns, words % total AS rest, (j * ({list(PRIMES)})[seed % {len(PRIMES)} + 1] + seed % blocks) % blocks AS rank
+  FROM rings, unnest(range(0, blocks)) t(j) WHERE total > 0),
+chosen AS (SELECT *, greatest(0, least(hi - lo, rest - (sum(hi - lo) OVER (PARTITION BY source, shard ORDER BY rank) - (hi - lo)))) AS take FROM ranks),
+laid AS (SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY key, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS place, row_number() OVER () AS id FROM placed),
+parts AS (
+  SELECT id, sum(greatest(0, least(lo + take, place + size) - greatest(lo, place)) + greatest(0, least(hi, place + size) - greatest(lo, place)) * turns) AS taken
+  FROM laid l JOIN chosen c ON c.source IS NOT DISTINCT FROM l.source AND c.shard = l.shard AND lo < place + size AND hi > place GROUP BY id)
+SELECT doc_id, size, l.source_size, target, coalesce(taken, 0)::BIGINT AS taken, l.source FROM laid l LEFT JOIN parts USING (id) JOIN aims a ON a.source IS NOT DISTINCT FROM l.source
 """
 
 
@@ -172,4 +196,4 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FRO
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": _OP3, "op8_token_rollup": _OP8, "op9_secrets": _op9_sql(), "op10_substrings": _OP10}
+    return {"op1_mixing": _op1_sql(), "op3_decontamination": _OP3, "op9_secrets": _op9_sql(), "op10_substrings": _OP10}

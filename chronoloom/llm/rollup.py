@@ -3,29 +3,63 @@
 Totals by source, language and tokenizer version are a small table.  A batch of changes -
 inserts, deletes and revised counts - is summed to signed deltas (partial sums first, so a
 source that holds a third of the rows is no hot task) and added to the last version.  A
-version holds the totals and the ids of all batches in it, written by one Spark job, and
+version holds the totals and the id of the batch that made it, written by one Spark job, and
 counts only once that job has marked it finished: a batch is either in it whole or not at
-all, and committing a batch id again changes nothing.  One writer at a time.
+all.  A file named after a batch id tells in which version it went, before that version is
+written; the batch is committed if that version is finished and names it.  So committing a
+batch id again changes nothing, and a commit reads and writes no more than the totals,
+however many batches there have been.  One writer at a time.
 
 Edge cases: null source, lang or version are groups of their own; null counts are 0; an
 unknown kind of change is an error; groups whose documents and tokens are both 0 are not
-reported; an empty batch is recorded as committed; other columns are not read.
+reported; an empty batch is recorded as committed; null and empty texts have no tokens;
+other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ("source", "lang", "tokenizer_version")
 _SCHEMA = "batch_id string, source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
-#: word counts as tokenizer versions: plain words, and runs of letters, digits and characters beyond ASCII
-VERSIONS = {"words-1": r"[^\x20\x09-\x0D]+", "words-2": r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"}
 
+def token_counts(docs: DataFrame, tokenizers: dict[str, tuple[str, str | None]], keep: tuple[str, ...] = ("source", "lang"), slice_bytes: int = 24 << 20) -> DataFrame:
+    """Columns ``keep`` of docs, and one column a tokenizer version with the tokens of the text.
 
-def token_count(text: Column, version: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(VERSIONS[version])), F.lit(0)).cast("long")
+    tokenizers: by version the path of a tokenizer's JSON file, or that of a file of ranks with
+    the pattern that goes with it.  The files are read on the driver; tasks get their contents.
+    """
+    definitions = []
+    for path, pattern in tokenizers.values():
+        with open(path, encoding="utf-8") as f:
+            definitions.append((f.read(), pattern))
+    names = [*keep, *tokenizers]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .bpe import Units, encoder
+        from .tokenfiles import slices
+
+        encoders = [encoder(*d) for d in definitions]
+        special = [s for e in encoders for s in e.special]
+        for batch in batches:
+            texts, counts = batch.column(len(keep)), [[np.zeros(0, np.int64)] for _ in encoders]
+            for first, stop in slices(texts, slice_bytes):
+                units = Units(texts.slice(first, stop - first), special)
+                for found, e in zip(counts, encoders, strict=True):
+                    found.append(e.count(units))
+            columns = [*(batch.column(i) for i in range(len(keep))), *(pa.array(np.concatenate(c)) for c in counts)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{v}` long" for v in tokenizers)])
+    return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
 def signed(changes: DataFrame) -> DataFrame:
@@ -53,27 +87,44 @@ class Rollup:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
+    def _finished(self, version: int) -> bool:
+        return self._files.exists(self._path(f"v{version:08d}/_SUCCESS"))
+
     def version(self) -> int:
         """Number of the last finished version; 0 if there is none."""
         found = [int(s.getPath().getName()[1:]) for s in self._files.listStatus(self._path("")) if s.getPath().getName().startswith("v")]
-        return max((n for n in found if self._files.exists(self._path(f"v{n:08d}/_SUCCESS"))), default=0)
+        return next((n for n in sorted(found, reverse=True) if self._finished(n)), 0)
 
-    def _table(self) -> DataFrame:
-        n = self.version()
-        return self.spark.read.schema(_SCHEMA).parquet(f"{self.folder}/v{n:08d}") if n else self.spark.createDataFrame([], _SCHEMA)
+    def _table(self, version: int) -> DataFrame:
+        return self.spark.read.schema(_SCHEMA).parquet(f"{self.folder}/v{version:08d}") if version else self.spark.createDataFrame([], _SCHEMA)
+
+    def _note(self, batch_id: str):
+        return self._path(f"batches/{hashlib.sha256(batch_id.encode()).hexdigest()}")
+
+    def committed(self, batch_id: str) -> bool:
+        note = self._note(batch_id)
+        if not self._files.exists(note):
+            return False
+        stream = self._files.open(note)
+        version = stream.readLong()
+        stream.close()
+        return self._finished(version) and not self._table(version).where(F.col("batch_id") == batch_id).isEmpty()
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Add a batch; False if it was there already."""
-        last = self._table()
-        if not last.where(F.col("batch_id") == batch_id).isEmpty():
+        if self.committed(batch_id):
             return False
-        totals = last.where("batch_id is null").select(*KEYS, "n_docs", "n_tokens").union(signed(changes)).groupBy(*KEYS)
+        last = self.version()
+        totals = self._table(last).where("batch_id is null").select(*KEYS, "n_docs", "n_tokens").union(signed(changes)).groupBy(*KEYS)
         totals = totals.agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        ledger = last.where("batch_id is not null").union(self.spark.createDataFrame([(batch_id, None, None, None, None, None)], _SCHEMA))
-        whole = totals.select(F.lit(None).cast("string").alias("batch_id"), *KEYS, "n_docs", "n_tokens").union(ledger)
+        made_by = self.spark.createDataFrame([(batch_id, None, None, None, None, None)], _SCHEMA)
+        whole = totals.select(F.lit(None).cast("string").alias("batch_id"), *KEYS, "n_docs", "n_tokens").union(made_by.coalesce(1))
+        stream = self._files.create(self._note(batch_id), True)
+        stream.writeLong(last + 1)
+        stream.close()
         # an unfinished version of this number is what a failed commit has left
-        whole.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/v{self.version() + 1:08d}")
+        whole.write.mode("overwrite").parquet(f"{self.folder}/v{last + 1:08d}")
         return True
 
     def totals(self) -> DataFrame:
-        return self._table().where("batch_id is null and (n_docs != 0 or n_tokens != 0)").select(*KEYS, "n_docs", "n_tokens")
+        return self._table(self.version()).where("batch_id is null and (n_docs != 0 or n_tokens != 0)").select(*KEYS, "n_docs", "n_tokens")
