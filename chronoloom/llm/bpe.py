@@ -98,7 +98,7 @@ class Encoder:
         raw, order, parts, counts = data.tobytes(), [], [], []
         rest = np.setdiff1d(np.flatnonzero(size > 0), plain)
         groups = np.split(plain, np.flatnonzero(np.diff(np.cumsum(size[plain]) // GROUP_BYTES)) + 1) if len(plain) else []
-        lines = ["".join([raw[a:b].decode() for a, b in zip(start[g].tolist(), end[g].tolist(), strict=True)]) for g in groups]
+        lines = [data[np.repeat(start[g] - (np.cumsum(size[g]) - size[g]), size[g]) + np.arange(size[g].sum())].tobytes().decode() for g in groups]
         for g, ids in zip(groups, self._whole(lines), strict=True):
             ends, wanted = np.cumsum(self.length[ids]), np.cumsum(size[g])
             cut = np.searchsorted(ends, wanted) + 1

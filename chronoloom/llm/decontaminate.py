@@ -1,240 +1,226 @@
 """Benchmark decontamination by a prefix-filtered set join of word shingles.
 
-A window is ``window`` consecutive words of a benchmark item (all words of a shorter item).
-A document contains a window only if it contains all its ``shingle``-word shingles, so the
+A window is ``window`` consecutive words of a benchmark item (all words of a shorter item).  A
+document contains a window only if it contains all its ``shingle``-word shingles, so the
 rarest of them in the corpus - the necessary prefix at full containment - is joined with the
 documents' shingles.  A joined shingle fixes where the window would start; positional and
-length bounds drop starts outside the document, and the words are compared exactly.
+length bounds drop starts outside the document, and the words themselves are compared.
 
-The benchmark is read in blocks of bounded size (``block_bytes`` of text).  Each block's index
-is a broadcast of proven size, and documents pass the blocks one after another inside one
-narrow plan: no text is shuffled, and one text is held by one task only.  A benchmark of any
-size means more blocks, not larger ones.
+Two passes over the texts, whatever the size of the benchmark: one counts the shingles that
+the benchmark has too, which orders them by rarity; the other gives, for each occurrence of a
+prefix, its position and the words around it, as many as a window can reach.  These few rows
+meet the windows in a join by shingle.  No text is shuffled and nothing of the benchmark is
+broadcast but a bit filter of its shingles, at most ``FILTER_BITS`` large, which lets
+most shingles of a text go by unseen and decides nothing.
 
 Edge cases: null texts have no words; items without words have no window; repeated items and
-windows are indexed once with all their item ids; a null item_id can't be named in a digest
-and is left out of n_items, but its windows still mark words; empty tables give no hits;
-input columns other than those named are neither read nor returned.
+windows count once with all their item ids; a null item_id can't be named in a digest and is
+left out of n_items, but its windows still mark words; empty tables give no hits; repeated
+rows are judged each; input columns other than those named are neither read nor returned.
 """
 
 from __future__ import annotations
 
-import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import ALNUM, Chunk, chunks, window_hash
-
-SCHEMA = "n_words long, hits binary, items binary"
-_BITS = 20
-
-
-class Block:
-    """Windows of some items: words (windows x window, 0 beyond its length), lengths, item ids."""
-
-    def __init__(self, ids: list[int | None], texts: pa.Array, window: int, shingle: int):
-        rows: dict[tuple[int, ...], set[int]] = {}
-        for c in chunks(texts, ALNUM, lower=True):
-            h, at = c.hashes(), c.word_at
-            for i in range(len(c)):
-                words, item = h[at[i] : at[i + 1]], ids[c.first + i]
-                for s in range(max(1, len(words) - window + 1) if len(words) else 0):
-                    rows.setdefault(tuple(words[s : s + window].tolist()), set()).update(() if item is None else (item,))
-        self.shingle = shingle
-        self.length = np.array([len(r) for r in rows], dtype=np.int64)
-        self.words = np.zeros((len(rows), window), dtype=np.uint64)
-        for i, r in enumerate(rows):
-            self.words[i, : len(r)] = r
-        items = [sorted(x) for x in rows.values()]
-        self.item_at = np.concatenate(([0], np.cumsum([len(x) for x in items], dtype=np.int64)))
-        self.items = np.array([x for row in items for x in row], dtype=np.int64)
-        #: every shingle of every window: its hash, size, window and offset
-        parts = []
-        for n in np.unique(self.length):
-            w, size = np.flatnonzero(self.length == n), min(int(n), shingle)
-            flat = self.words[w, :n].ravel()
-            for offset in range(int(n) - size + 1):
-                parts.append((window_hash(flat, np.arange(len(w)) * n + offset, size), np.full(len(w), size), w, np.full(len(w), offset)))
-        empty = [np.zeros(0, np.uint64)] + [np.zeros(0, np.int64)] * 3
-        self.hash, self.size, self.window, self.offset = (np.concatenate(x) for x in zip(empty, *parts, strict=True))
-        self.distinct = np.unique(self.hash)
-
-    def keep_prefixes(self, frequency: np.ndarray) -> None:
-        """Of each window keep the rarest shingle; ``frequency`` is by ``distinct``."""
-        rank = frequency[np.searchsorted(self.distinct, self.hash)]
-        order = np.lexsort((self.offset, self.hash, rank, self.window))
-        first = order[np.concatenate(([True], np.diff(self.window[order]) > 0))] if len(order) else order
-        first = first[np.argsort(self.hash[first], kind="stable")]
-        self.hash, self.size, self.window, self.offset = (x[first] for x in (self.hash, self.size, self.window, self.offset))
-        self.distinct = np.unique(self.hash)
-        self._filter = None
-
-    def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        """Positions in hashes that are in ``distinct``; a bitmap rules most out."""
-        if not len(self.distinct):
-            return np.zeros(0, np.int64)
-        if getattr(self, "_filter", None) is None:
-            self._filter = np.zeros(1 << _BITS, dtype=bool)
-            self._filter[self.distinct >> np.uint64(64 - _BITS)] = True
-        maybe = np.flatnonzero(self._filter[hashes >> np.uint64(64 - _BITS)])
-        at = np.minimum(np.searchsorted(self.distinct, hashes[maybe]), len(self.distinct) - 1)
-        return maybe[self.distinct[at] == hashes[maybe]]
-
-    def seen(self, c: Chunk, h: np.ndarray, room: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(positions, hashes) of the document shingles that are in the index, by shingle size."""
-        for size in np.unique(self.size).tolist():
-            first = np.flatnonzero(room >= size)
-            hashes = window_hash(h, first, size)
-            found = self.lookup(hashes)
-            yield first[found], hashes[found]
-
-    def matches(self, c: Chunk, h: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, window) of every occurrence of a window in the chunk."""
-        starts, windows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        doc_start = np.repeat(c.word_at[:-1], c.counts())
-        for first, hashes in self.seen(c, h, room):
-            lo = np.searchsorted(self.hash, hashes)
-            n = np.searchsorted(self.hash, hashes, side="right") - lo
-            entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            at = np.repeat(first, n)
-            start, window = at - self.offset[entry], self.window[entry]
-            ok = start >= doc_start[at]
-            start, window = start[ok], window[ok]
-            ok = room[start] >= self.length[window]
-            start, window = start[ok], window[ok]
-            ok = np.ones(len(start), dtype=bool)
-            for j in range(self.words.shape[1]):
-                inside = j < self.length[window]
-                ok &= ~inside | (h[np.minimum(start + j, len(h) - 1)] == self.words[window, j])
-            starts.append(start[ok])
-            windows.append(window[ok])
-        return np.concatenate(starts), np.concatenate(windows)
-
-
-def _frequency(block) -> callable:
+from .store import materialize
+from .words import ALNUM, Chunk, chunks, laid_words, window_hash
+
+#: most bits of the filter (32 MB), and bits a shingle below that
+FILTER_BITS, BITS_EACH = 1 << 28, 64
+_PIECE = 1 << 12
+CANDIDATES = "array<struct<h:bigint,at:bigint,left:int,context:string>>"
+
+
+def benchmark_windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
+    """(item_id, words, n, shingles) of every window; words joined by spaces, shingles the hashes by offset."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in chunks(batch.column(1), ALNUM, lower=True):
+                h, room, counts = c.hashes(), c.room(), np.repeat(c.counts(), c.counts())
+                start = np.flatnonzero((room >= window) | ((counts < window) & (room == counts)))
+                n = np.minimum(window, room[start])
+                size = np.minimum(shingle, n)
+                raw, at = laid_words(c)
+                words = [raw[a:b].decode() for a, b in zip(at[start].tolist(), (at[start + n] - 1).tolist(), strict=True)]
+                per = n - size + 1
+                first = np.repeat(start - (np.cumsum(per) - per), per) + np.arange(per.sum())
+                hashes = window_hash(h, first, np.repeat(size, per)).view(np.int64)
+                of = pa.array(np.searchsorted(c.word_at, start, side="right") - 1 + c.first)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)).astype(np.int32)), pa.array(hashes))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), pa.array(words, pa.string()), pa.array(n), lists], names=["item_id", "words", "n", "shingles"])
+
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(run, "item_id string, words string, n long, shingles array<bigint>")
+
+
+class Filter:
+    """A bit filter of 64-bit hashes, two bits each."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.mask = bits, np.uint64(len(bits) * 8 - 1)
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return hashes & self.mask, (hashes >> np.uint64(32)) * np.uint64(0x9E3779B1) & self.mask
+
+    def add(self, hashes: np.ndarray) -> None:
+        for at in self.places(hashes):
+            np.bitwise_or.at(self.bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def maybe(self, hashes: np.ndarray) -> np.ndarray:
+        """Positions of hashes that may have been added."""
+        one, two = self.places(hashes)
+        found = np.flatnonzero(self.bits[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8) & 1)
+        two = two[found]
+        return found[(self.bits[two >> np.uint64(3)] >> (two & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+
+
+def make_filter(hashes: DataFrame) -> Filter:
+    """The filter of a column h: each task sets bits of its own, their pieces are united, at most FILTER_BITS reach the driver."""
+    size = _PIECE * 8
+    wanted = min(FILTER_BITS, max(1, hashes.count()) * BITS_EACH)
+    while size < wanted:
+        size *= 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Filter(np.zeros(size // 8, np.uint8))
+        for batch in batches:
+            own.add(batch.column(0).to_numpy().view(np.uint64))
+        pieces = own.bits.reshape(-1, _PIECE)
+        some = np.flatnonzero(pieces.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([pieces[i].tobytes() for i in some], pa.binary())], names=["piece", "bits"])
+
+    def unite(table: pa.Table) -> pa.Table:
+        total = np.zeros(_PIECE, np.uint8)
+        for x in table["bits"].to_pylist():
+            total |= np.frombuffer(x, np.uint8)
+        return pa.table({"piece": table["piece"][:1], "bits": pa.array([total.tobytes()], pa.binary())})
+
+    bits = np.zeros(size // 8, np.uint8)
+    for row in hashes.select("h").mapInArrow(run, "piece long, bits binary").groupBy("piece").applyInArrow(unite, "piece long, bits binary").toLocalIterator():
+        bits[row["piece"] * _PIECE : (row["piece"] + 1) * _PIECE] = np.frombuffer(row["bits"], np.uint8)
+    return Filter(bits)
+
+
+def _found(c: Chunk, known: Filter, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, positions, hashes) of the shingles that may be known."""
+    h, room = c.hashes(), c.room()
+    for size in sizes:
+        first = np.flatnonzero(room >= size)
+        hashes = window_hash(h, first, size)
+        some = known.maybe(hashes)
+        yield size, first[some], hashes[some]
+
+
+def _counter(known, sizes: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b, total = block.value, None
-        total = np.zeros(len(b.distinct), dtype=np.int64)
         for batch in batches:
+            found = [np.zeros(0, np.uint64)]
             for c in chunks(batch.column(0), ALNUM, lower=True):
-                h, room = c.hashes(), c.room()
-                for _, hashes in b.seen(c, h, room):
-                    total += np.bincount(np.searchsorted(b.distinct, hashes), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["shingle", "n"])
+                found += [hashes for _, _, hashes in _found(c, known.value, sizes)]
+            some, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     return run
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[int | None], pa.Array]]:
-    """Items in slices of about block_bytes of text, one slice on the driver at a time."""
-    ids, texts, size = [], [], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        ids.append(row[0])
-        texts.append(row[1])
-        size += len((row[1] or "").encode())
-        if size >= block_bytes:
-            yield ids, pa.array(texts, pa.string())
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, pa.array(texts, pa.string())
+def _locator(known, sizes: list[int], window: int, shingle: int, text: str, names: list[str]):
+    """Adds the number of words and, for each occurrence of a shingle that may be a prefix, its hash, position and surroundings."""
 
-
-def _merge(old: np.ndarray, new: np.ndarray) -> np.ndarray:
-    return np.union1d(old, new) if len(old) else np.unique(new)
-
-
-def _marker(block, columns: list[str], text: str, state: tuple[str, str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = block.value
         for batch in batches:
-            n_words, hits, items = [], [], []
-            old_hits, old_items = batch.column(state[1]), batch.column(state[2])
+            counts, per_text = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            hash_, at_, left_, context = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for c in chunks(batch.column(text), ALNUM, lower=True):
-                h, room = c.hashes(), c.room()
-                start, window = b.matches(c, h, room)
-                # words of occurrences, as positions in their document
-                length = b.length[window]
-                position = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
-                position = np.unique(position)
-                doc_of = np.searchsorted(c.word_at, start, side="right") - 1
-                order = np.argsort(doc_of, kind="stable")
-                first = np.searchsorted(doc_of[order], np.arange(len(c) + 1))
-                cut = np.searchsorted(position, c.word_at)
-                for i in range(len(c)):
-                    was_hit, was_item = old_hits[c.first + i].as_py(), old_items[c.first + i].as_py()
-                    if cut[i] == cut[i + 1]:
-                        hits.append(was_hit)
-                        items.append(was_item)
-                        continue
-                    own = np.unique(window[order[first[i] : first[i + 1]]])
-                    found = np.concatenate([b.items[b.item_at[w] : b.item_at[w + 1]] for w in own])
-                    hits.append(_merge(np.frombuffer(was_hit, np.int64), position[cut[i] : cut[i + 1]] - c.word_at[i]).astype(np.int64).tobytes())
-                    items.append(_merge(np.frombuffer(was_item, np.int64), found).astype(np.int64).tobytes())
-                n_words.append(c.counts())
-            words = np.concatenate(n_words).astype(np.int64) if n_words else np.zeros(0, np.int64)
-            values = {state[0]: pa.array(words), state[1]: pa.array(hits, pa.binary()), state[2]: pa.array(items, pa.binary())}
-            yield pa.RecordBatch.from_arrays([values[x] if x in values else batch.column(x) for x in columns], names=columns)
+                counts.append(c.counts())
+                found = [(np.full(len(p), size), p, x) for size, p, x in _found(c, known.value, sizes)]
+                size, place, hashes = (np.concatenate([np.zeros(0, k), *x]) for k, x in zip((np.int64, np.int64, np.uint64), zip(*found, strict=True) if found else [()] * 3, strict=True))
+                doc = np.searchsorted(c.word_at, place, side="right") - 1
+                order = np.lexsort((size, place))
+                size, place, hashes, doc = size[order], place[order], hashes[order], doc[order]
+                # a window of less than ``shingle`` words is its own shingle; others reach so far to both sides
+                whole = size < shingle
+                low = np.where(whole, place, np.maximum(c.word_at[doc], place - (window - shingle)))
+                high = np.where(whole, place + size, np.minimum(c.word_at[doc + 1], place + window))
+                if len(place):
+                    raw, laid = laid_words(c)
+                    context += [raw[a:b].decode() for a, b in zip(laid[low].tolist(), (laid[high] - 1).tolist(), strict=True)]
+                hash_.append(hashes)
+                at_.append(place - c.word_at[doc])
+                left_.append(place - low)
+                per_text.append(np.bincount(doc, minlength=len(c)))
+            offsets = pa.array(np.append(0, np.cumsum(np.concatenate(per_text))).astype(np.int32))
+            parts = [pa.array(np.concatenate(hash_).view(np.int64)), pa.array(np.concatenate(at_)), pa.array(np.concatenate(left_).astype(np.int32)), pa.array(context, pa.string())]
+            lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(parts, names=["h", "at", "left", "context"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(counts).astype(np.int64)), lists], names=names)
 
     return run
 
 
-def mark(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    text: str = "text",
-    window: int = 10,
-    shingle: int = 5,
-    block_bytes: int = 4 << 20,
-) -> tuple[DataFrame, tuple[str, str, str]]:
-    """docs with three more columns, and their names (chosen so that they can't clash).
+def locate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, shingle: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(marked, hits, items).
 
-    They hold the number of words, the positions of hit words and the ids of items with
-    occurring windows, the latter two as packed 64-bit integers.
+    marked: docs with the columns _row (a number of the row), _n_words and _candidates; hits: (row,
+    start, n, words) of every occurrence of a window; items: (words, item_id).
     """
     spark = docs.sparkSession
-    tag = uuid.uuid4().hex[:8]
-    state = (f"n_words_{tag}", f"hits_{tag}", f"items_{tag}")
-    empty = F.lit(b"").cast("binary")
-    out = docs.withColumns({state[0]: F.lit(0).cast("long"), state[1]: empty, state[2]: empty})
-    schema = out.schema
-    blocks = [([], pa.array([], pa.string()))] if benchmark.isEmpty() else _blocks(benchmark, block_bytes)
-    for ids, texts in blocks:
-        index = Block(ids, texts, window, shingle)
-        frequency = np.zeros(len(index.distinct), dtype=np.int64)
-        if len(index.distinct):
-            counting = spark.sparkContext.broadcast(index)
-            counted = docs.select(text).mapInArrow(_frequency(counting), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-            for row in counted.toLocalIterator():  # one row for each shingle of the block at most
-                frequency[row["shingle"]] = row["n"]
-            counting.unpersist()
-        index.keep_prefixes(frequency)
-        out = out.mapInArrow(_marker(spark.sparkContext.broadcast(index), schema.names, text, state), schema)
-    return out, state
+    windows = materialize(benchmark_windows(benchmark, window, shingle), "benchmark-windows")
+    items = windows.where("item_id is not null").select("words", "item_id").distinct()
+    distinct = windows.groupBy("words").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    shingles = materialize(distinct.select("words", "n", F.size("shingles").alias("of"), F.posexplode("shingles").alias("offset", "h")), "benchmark-shingles")
+    sizes = sorted(r[0] for r in shingles.select(F.least("n", F.lit(shingle)).alias("s")).distinct().collect())
+
+    known = spark.sparkContext.broadcast(make_filter(shingles))
+    counts = docs.select(text).mapInArrow(_counter(known, sizes), "h long, n long").groupBy("h").agg(F.sum("n").alias("frequency"))
+    # a window with a shingle that no document has can't occur
+    ranked = shingles.join(counts, "h").groupBy("words", "n", "of").agg(F.count("*").alias("seen"), F.min(F.struct("frequency", "h", "offset")).alias("rarest")).where("seen = of")
+    prefixes = materialize(ranked.select("rarest.h", "rarest.offset", "words", "n"), "benchmark-prefixes")
+    known.unpersist()
+
+    rare = spark.sparkContext.broadcast(make_filter(prefixes))
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    schema = ", ".join([*(f"`{c}` {k}" for c, k in numbered.dtypes), "_n_words long", f"_candidates {CANDIDATES}"])
+    names = [*numbered.columns, "_n_words", "_candidates"]
+    marked = materialize(numbered.mapInArrow(_locator(rare, sizes, window, shingle, text, names), schema), "located")
+    rare.unpersist()
+
+    candidates = marked.where(F.size("_candidates") > 0).select(F.col("_row").alias("row"), F.explode("_candidates").alias("c")).select("row", "c.*")
+    joined = candidates.join(prefixes, "h").where("left >= offset")
+    occurring = F.array_join(F.slice(F.split("context", " "), (F.col("left") - F.col("offset") + 1).cast("int"), F.col("n").cast("int")), " ")
+    hits = joined.where(occurring == F.col("words")).select("row", (F.col("at") - F.col("offset")).alias("start"), "n", "words")
+    return marked, materialize(hits, "benchmark-hits"), items
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    marked, (n_words, hits, items) = mark(docs.select("doc_id", "text"), benchmark, **options)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_hit = [len(x) // 8 for x in batch.column(2).to_pylist()]
-            ids = [np.frombuffer(x, np.int64).tolist() for x in batch.column(3).to_pylist()]
-            digests = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in ids]
-            columns = [batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(digests, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return marked.select("doc_id", n_words, hits, items).mapInArrow(run, schema)
+    marked, hits, items = locate(docs.select("doc_id", "text"), benchmark, **options)
+    # each hit adds the words that no hit before it reaches
+    before = F.max(F.col("start") + F.col("n")).over(Window.partitionBy("row").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1))
+    stop = F.col("start") + F.col("n")
+    gained = hits.withColumn("gain", F.greatest(F.lit(0), stop - F.greatest("start", F.coalesce(before, "start"))))
+    words = gained.groupBy("row").agg(F.sum("gain").alias("n_hit"))
+    found = hits.select("row", "words").distinct().join(items, "words").select("row", "item_id").distinct()
+    named = found.groupBy("row").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item_id")), ","), 256).alias("items_sha256"))
+    rows = marked.select(F.col("_row").alias("row"), "doc_id", F.col("_n_words").alias("n_words"))
+    n_hit, n_items = (F.coalesce(c, F.lit(0)).cast("long") for c in ("n_hit", "n_items"))
+    return (
+        rows.join(words.join(named, "row", "left"), "row", "left")
+        .select("doc_id", "n_words", n_hit.alias("n_hit"), n_items.alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs without a hit word, with their columns."""
-    marked, (_, hits, _) = mark(docs, benchmark, **options)
-    return marked.where(F.length(hits) == 0).select(*docs.columns)
+    """The rows of docs without a hit word, with their columns.
+
+    Only rows that hold a prefix meet the hits in a join; the others pass through.
+    """
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no name of docs can clash
+    marked, hits, _ = locate(named, benchmark, text=f"c{docs.columns.index('text')}", **options)
+    some = marked.where(F.size("_candidates") > 0).join(hits.select(F.col("row").alias("_row")).distinct(), "_row", "left_anti")
+    kept = marked.where(F.size("_candidates") == 0).select(named.columns).union(some.select(named.columns))
+    return kept.toDF(*docs.columns)

@@ -33,7 +33,7 @@ def encode(values: np.ndarray) -> bytes:
 
 
 class EliasFano:
-    """A view of encoded bytes: ``select`` reads one value, ``decode`` all."""
+    """A view of encoded bytes: ``select`` reads one value, ``values`` some in a row, ``decode`` all."""
 
     def __init__(self, data: bytes | memoryview):
         self.n, self.top, self.low_bits, self.step, n_low, n_high = _HEAD.unpack_from(data)
@@ -68,13 +68,26 @@ class EliasFano:
         one = byte * 8 + (word & -word).bit_length() - 1
         return (one - i) << self.low_bits | self._low(i)
 
-    def decode(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))
-        high = (ones[: self.n] - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
+    def values(self, first: int, stop: int) -> np.ndarray:
+        """Values first to stop - 1: a select to the nearest sampled position, and the bits from there on."""
+        if not 0 <= first <= stop <= self.n:
+            raise IndexError((first, stop))
+        if first == stop:
+            return np.zeros(0, dtype=np.uint64)
+        start, after = int(self.samples[first // self.step]), -(-stop // self.step)
+        end = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.highs)
+        ones = np.flatnonzero(np.unpackbits(self.highs[start // 8 : end // 8 + 1], bitorder="little")) + start // 8 * 8
+        ones = ones[np.searchsorted(ones, start) + first % self.step :][: stop - first]
+        high = (ones - np.arange(first, stop)).astype(np.uint64) << np.uint64(self.low_bits)
         if not self.low_bits:
             return high
-        bits = np.unpackbits(self.lows, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits)
-        low = np.zeros(self.n, dtype=np.uint64)
+        skip = first * self.low_bits % 8
+        bits = np.unpackbits(self.lows[first * self.low_bits // 8 : -(-stop * self.low_bits // 8)], bitorder="little")
+        bits = bits[skip : skip + (stop - first) * self.low_bits].reshape(stop - first, self.low_bits)
+        low = np.zeros(stop - first, dtype=np.uint64)
         for b in range(self.low_bits):
             low |= bits[:, b].astype(np.uint64) << np.uint64(b)
         return high | low
+
+    def decode(self) -> np.ndarray:
+        return self.values(0, self.n)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .store import materialize
-from .words import chunks
+from .words import chunks, laid_words
 
 SEGMENTS = ((0, 21), (21, 42), (42, 64))
 REFINE_ABOVE = 1 << 24
@@ -63,20 +63,13 @@ def fingerprints(column: pa.Array, k: int = 4) -> np.ndarray:
     """Unsigned 64-bit fingerprint of each text."""
     digest, out = xxhash.xxh64_intdigest, []
     for c in chunks(column, lower=True):
-        # lay the words out with one space after each: a shingle is a slice
-        size = c.end - c.start
-        at = np.zeros(len(size) + 1, dtype=np.int64)
-        np.cumsum(size + 1, out=at[1:])
-        laid = np.full(at[-1], 0x20, dtype=np.uint8)
-        from_to = np.repeat(c.start - at[:-1], size + 1) + np.arange(at[-1])
-        inside = np.ones(at[-1], dtype=bool)
-        inside[at[1:] - 1] = False
-        laid[inside] = c.data[from_to[inside]]
+        # a shingle is a slice of the words laid out with one space after each
+        raw, at = laid_words(c)
         room = c.room()
         whole = np.repeat(c.counts() < k, c.counts())
         first = np.flatnonzero((room >= k) | (whole & (room == np.repeat(c.counts(), c.counts()))))
         last = np.minimum(first + k, first + room[first])
-        raw = memoryview(laid.tobytes())
+        raw = memoryview(raw)
         hashes = np.array([digest(raw[a:b], 42) for a, b in zip(at[first].tolist(), (at[last] - 1).tolist(), strict=True)], dtype=np.uint64)
         shingle_at = np.searchsorted(first, c.word_at)
         set_in = _bit_counts(hashes, shingle_at)

@@ -12,9 +12,10 @@ File format (little-endian), one file a shard:
     ...       ids, each document's with the end id last
 
 ``select`` on the second sequence gives any document's range without a table of 64-bit
-offsets.  Documents are range-partitioned and sorted by doc_id, each task writes its range as
+offsets; readers go through a shard by selects of some thousand documents, whose ids alone
+they fetch.  Documents are range-partitioned and sorted by doc_id, each task writes its range as
 shards of bounded size, first under a name of its own attempt and then renamed, so a repeated
-task leaves the same files.  Only the manifest (one row a shard) goes to the driver.
+task leaves the same files.  The manifest (one row a shard) is a table in the shared folder.
 
 Edge cases: a null or empty text is the end id alone; null doc_ids come first; equal doc_ids
 follow in the order of their texts' hashes and repeated rows stay; an empty table gives no
@@ -32,12 +33,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import elias_fano
 from .blocks import release
-from .store import new_path
+from .store import materialize, new_path
 from .words import text_buffers
 
 MAGIC = b"CLTOKEF1"
@@ -62,26 +63,37 @@ def pack(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray, id_bytes:
 
 
 class Shard:
-    """Reader of one file's bytes."""
+    """Reader of one file, which must seek."""
 
-    def __init__(self, data: bytes):
-        magic, id_bytes, self.nulls, self.least, self.docs, self.n_ids, n_names, n_bounds = _HEAD.unpack_from(data)
+    def __init__(self, file):
+        self.file = file
+        magic, self.id_bytes, self.nulls, self.least, self.docs, self.n_ids, n_names, n_bounds = _HEAD.unpack(self._read(0, _HEAD.size))
         if magic != MAGIC:
             raise ValueError("not a token-id file")
-        view = memoryview(data)[_HEAD.size :]
-        self.names = elias_fano.EliasFano(view[:n_names])
-        self.bounds = elias_fano.EliasFano(view[n_names : n_names + n_bounds])
-        self.ids = np.frombuffer(view[n_names + n_bounds :], dtype=f"<u{id_bytes}", count=self.n_ids)
+        self.names = elias_fano.EliasFano(self._read(_HEAD.size, n_names))
+        self.bounds = elias_fano.EliasFano(self._read(_HEAD.size + n_names, n_bounds))
+        self.ids_at = _HEAD.size + n_names + n_bounds
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.names.decode() + np.uint64(self.least % 2**64)).astype(np.int64).tolist()
+    def _read(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(size)
+
+    def ids(self, start: int, stop: int) -> np.ndarray:
+        return np.frombuffer(self._read(self.ids_at + start * self.id_bytes, (stop - start) * self.id_bytes), dtype=f"<u{self.id_bytes}")
+
+    def doc_ids(self, first: int, stop: int) -> list[int | None]:
+        known = self.names.values(max(0, first - self.nulls), max(0, stop - self.nulls))
+        return [None] * max(0, min(stop, self.nulls) - first) + (known + np.uint64(self.least % 2**64)).astype(np.int64).tolist()
+
+    def bounds_of(self, first: int, stop: int) -> np.ndarray:
+        """Where documents first to stop - 1 start in the shard's ids, and where the last one ends."""
+        if not first:
+            return np.append(0, self.bounds.values(0, stop).astype(np.int64))
+        return self.bounds.values(first - 1, stop).astype(np.int64)
 
     def document(self, i: int) -> np.ndarray:
         """Ids of document i of this shard, by two selects."""
-        return self.ids[self.bounds.select(i - 1) if i else 0 : self.bounds.select(i)]
-
-    def ends(self) -> np.ndarray:
-        return self.bounds.decode().astype(np.int64)
+        return self.ids(self.bounds.select(i - 1) if i else 0, self.bounds.select(i))
 
 
 def slices(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
@@ -136,9 +148,10 @@ def _writer(folder: str, definition: str, end_id: int, shard_ids: int, slice_byt
 
 @dataclass(frozen=True)
 class TokenFiles:
-    """A written dataset: (path, documents, ids, ids before it) of each shard in order."""
+    """A written dataset; manifest: partition, part, path, docs, ids of each shard and ``before``, the ids of all shards before it."""
 
-    shards: list[tuple[str, int, int, int]]
+    folder: str
+    manifest: DataFrame
 
 
 def write_token_files(
@@ -156,38 +169,39 @@ def write_token_files(
         definition = f.read()
     order = [F.col("doc_id").asc_nulls_first(), F.col("_tie").asc()]
     ranged = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie")).repartitionByRange(*order).sortWithinPartitions(*order)
-    written = ranged.select("doc_id", "text").mapInArrow(_writer(folder, definition, end_id, shard_ids, slice_bytes), MANIFEST)
-    shards, before = [], 0
-    for row in sorted(written.collect(), key=lambda r: (r["partition"], r["part"])):
-        shards.append((row["path"], row["docs"], row["ids"], before))
-        before += row["ids"]
-    return TokenFiles(shards)
+    written = materialize(ranged.select("doc_id", "text").mapInArrow(_writer(folder, definition, end_id, shard_ids, slice_bytes), MANIFEST), "token-manifest")
+    # offsets by partition first: a row a task in one window, then a row a shard
+    earlier = Window.partitionBy(F.lit(0)).orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = written.groupBy("partition").agg(F.sum("ids").alias("n")).select("partition", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("partition").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("offset") + F.coalesce(F.sum("ids").over(within), F.lit(0))
+    return TokenFiles(folder, written.join(offsets, "partition").select("partition", "part", "path", "docs", "ids", before.alias("before")))
 
 
-def read_token_files(spark: SparkSession, files: TokenFiles, with_ids: bool = False) -> DataFrame:
+def read_token_files(spark: SparkSession, files: TokenFiles, with_ids: bool = False, docs_at_once: int = 4096) -> DataFrame:
     """One row per document: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids."""
-    shards = files.shards
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in batch.column(0).to_pylist():
-                path, _, _, before = shards[i]
+            for path, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 store, name = filesystem(path)
-                with store.open_input_stream(name) as f:
-                    shard = Shard(f.read())
-                ends = shard.ends()
-                starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-                columns = {
-                    "doc_id": pa.array(shard.doc_ids(), pa.int64()),
-                    "start": pa.array(starts + before),
-                    "n_tokens": pa.array(ends - starts),
-                    "ids_crc32": pa.array([zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)], pa.int64()),
-                }
-                if with_ids:
-                    flat = pa.array(shard.ids.astype(np.int32))
-                    columns["ids"] = pa.ListArray.from_arrays(pa.array(np.append(starts, shard.n_ids).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_pydict(columns)
+                with store.open_input_file(name) as f:
+                    shard = Shard(f)
+                    for first in range(0, shard.docs, docs_at_once):
+                        stop = min(shard.docs, first + docs_at_once)
+                        at = shard.bounds_of(first, stop)
+                        ids, cut = shard.ids(at[0], at[-1]), at - at[0]
+                        columns = {
+                            "doc_id": pa.array(shard.doc_ids(first, stop), pa.int64()),
+                            "start": pa.array(at[:-1] + before),
+                            "n_tokens": pa.array(np.diff(at)),
+                            "ids_crc32": pa.array([zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.int64()),
+                        }
+                        if with_ids:
+                            columns["ids"] = pa.LargeListArray.from_arrays(pa.array(cut), pa.array(ids.astype(np.int32))).cast(pa.list_(pa.int32()))
+                        yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    n = len(shards)
-    return spark.range(0, n, 1, max(1, n)).mapInArrow(read, schema)
+    # a shard a task, as far as there are so many
+    shards = files.manifest.select("path", "before").repartition(min(10_000, max(1, files.manifest.count())))
+    return shards.mapInArrow(read, schema)

@@ -148,6 +148,18 @@ def chunks(column: pa.Array, is_word: np.ndarray = PLAIN, lower: bool = False, s
         first = stop
 
 
+def laid_words(c: Chunk) -> tuple[bytes, np.ndarray]:
+    """The words of a chunk with one space after each, and where each starts (one more than words)."""
+    size = c.end - c.start
+    at = np.zeros(len(size) + 1, dtype=np.int64)
+    np.cumsum(size + 1, out=at[1:])
+    laid = np.full(at[-1], 0x20, dtype=np.uint8)
+    inside = np.ones(at[-1], dtype=bool)
+    inside[at[1:] - 1] = False
+    laid[inside] = c.data[(np.repeat(c.start - at[:-1], size + 1) + np.arange(at[-1]))[inside]]
+    return laid.tobytes(), at
+
+
 def segment_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sum of values[at[i]:at[i+1]] for each i; empty segments give 0."""
     total = np.zeros(len(values) + 1, dtype=np.int64)

@@ -1,6 +1,7 @@
 """The ten operators against brute force on a small fixture with every awkward kind of row."""
 
 import hashlib
+import io
 import math
 import re
 import struct
@@ -318,11 +319,12 @@ def _contamination(text, items, width=10):
     return len(words), len(hit), len(found), digest, bool(hit)
 
 
-@pytest.mark.parametrize("block_bytes", [1, 1 << 20])
-def test_contamination(spark, docs, rows, empty, block_bytes):
+@pytest.mark.parametrize("bits", [1, 1 << 28])
+def test_contamination(spark, docs, rows, empty, bits, monkeypatch):
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)  # a filter that is too small lets more by, no less
     items = [(1, PASSAGE), (2, "One two"), (10, "one"), (3, None), (4, "..."), (5, TEXTS[5]), (5, TEXTS[5]), (None, "no id"), (7, "absent words " * 9)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.contamination(docs, benchmark, block_bytes=block_bytes).collect()
+    got = decontaminate.contamination(docs, benchmark).collect()
     assert sorted(key(tuple(r)) for r in got) == sorted(key((r[0], *_contamination(r[1], items))) for r in rows)
     kept = decontaminate.drop_contaminated(docs, benchmark)
     assert kept.columns == docs.columns and kept.count() == sum(not r["contaminated"] for r in got)
@@ -339,6 +341,7 @@ def test_elias_fano(values):
     values.sort()
     coded = elias_fano.EliasFano(elias_fano.encode(np.array(values, dtype=np.uint64)))
     assert coded.decode().tolist() == values and [coded.select(i) for i in range(len(values))] == values
+    assert all(coded.values(i, j).tolist() == values[i:j] for i in range(0, len(values) + 1, 3) for j in range(i, len(values) + 1, 5))
 
 
 def test_elias_fano_of_many():
@@ -346,6 +349,7 @@ def test_elias_fano_of_many():
     data = elias_fano.encode(values)
     coded = elias_fano.EliasFano(data)
     assert all(coded.select(i) == values[i] for i in range(0, 5000, 7)) and len(data) < 5000 * 1.5
+    assert all(coded.values(i, j).tolist() == values[i:j].tolist() for i, j in ((0, 1), (511, 513), (512, 1024), (700, 4999), (4990, 5000)))
     with pytest.raises(IndexError):
         coded.select(5000)
 
@@ -384,7 +388,7 @@ def test_token_files(spark, docs, rows, empty, tokenizer_path, shard_ids):
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
     files = tokenfiles.write_token_files(docs, tokenizer_path, shard_ids=shard_ids, slice_bytes=200)
-    got = tokenfiles.read_token_files(spark, files, with_ids=True).orderBy("start").collect()
+    got = tokenfiles.read_token_files(spark, files, with_ids=True, docs_at_once=3).orderBy("start").collect()
     assert [(r["doc_id"] is not None, r["doc_id"] or 0) for r in got] == sorted((r[0] is not None, r[0] or 0) for r in rows)
     start, wanted = 0, Counter()
     for r in rows:
@@ -396,15 +400,16 @@ def test_token_files(spark, docs, rows, empty, tokenizer_path, shard_ids):
         wanted[r["doc_id"], tuple(ids)] -= 1
     assert not any(wanted.values())
     nothing = tokenfiles.write_token_files(empty, tokenizer_path)
-    assert nothing.shards == [] and tokenfiles.read_token_files(spark, nothing).count() == 0
+    assert nothing.manifest.isEmpty() and tokenfiles.read_token_files(spark, nothing).count() == 0
 
 
 def test_shard_select():
     ids = np.arange(20, dtype=np.uint32)
-    shard = tokenfiles.Shard(tokenfiles.pack([None, -5, -5, 9], np.array([3, 3, 10, 20]), ids, 4))
-    assert shard.doc_ids() == [None, -5, -5, 9] and [shard.document(i).tolist() for i in range(4)] == [[0, 1, 2], [], list(range(3, 10)), list(range(10, 20))]
+    shard = tokenfiles.Shard(io.BytesIO(tokenfiles.pack([None, -5, -5, 9], np.array([3, 3, 10, 20]), ids, 4)))
+    assert shard.doc_ids(0, 4) == [None, -5, -5, 9] and shard.doc_ids(1, 3) == [-5, -5] and shard.bounds_of(2, 4).tolist() == [3, 10, 20]
+    assert [shard.document(i).tolist() for i in range(4)] == [[0, 1, 2], [], list(range(3, 10)), list(range(10, 20))]
     with pytest.raises(ValueError):
-        tokenfiles.Shard(b"x" * 64)
+        tokenfiles.Shard(io.BytesIO(b"x" * 64))
 
 
 # ---- 5 simhash --------------------------------------------------------------------------------------------
