@@ -2,9 +2,10 @@
 
 A byte-level BPE cuts a text before every run of white space that follows other characters,
 and encodes the units between the cuts independently.  Natural text repeats its units, so
-each distinct unit of a slice is encoded once and its ids are laid out again by numpy.
-Texts with characters for which such cuts aren't plain (white space beyond ASCII, control
-characters, special token strings) are encoded whole.
+each distinct unit of a slice is encoded once and its ids are laid out again by numpy.  A
+worker remembers the ids of units it has met, up to ``REMEMBERED`` of them.  Units are told
+apart by 128 bits of hashes.  Texts with characters for which such cuts aren't plain (white
+space beyond ASCII, control characters, special token strings) are encoded whole.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pyarrow as pa
 from .words import _BYTE_CODE, PLAIN, chunks, span_hash, text_buffers
 
 GROUP_BYTES = 1 << 15
+REMEMBERED = 1 << 19
 _LAY_UNITS = 1 << 18
 _ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 
@@ -26,15 +28,15 @@ _ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-
 class Units:
     """The texts of a column as numbers of distinct units.
 
-    data: the bytes; start, end: those of each distinct unit; unit: the units of all texts one
-    after the other, each text's closed by the empty unit; per_text: how many they are; odd:
-    the texts that can't be cut, by position.
+    data: the bytes; start, end: those of each distinct unit; hash, check: two hashes of it, the
+    first ones ascending; unit: the units of all texts one after the other, each text's closed
+    by the empty unit; per_text: how many they are; odd: the texts that can't be cut, by position.
     """
 
-    __slots__ = ("data", "start", "end", "unit", "per_text", "odd")
+    __slots__ = ("data", "start", "end", "hash", "check", "unit", "per_text", "odd")
 
     def __init__(self, column: pa.Array, special: list[str] = ()):
-        hashes, starts, ends, per_text, self.odd = [], [], [], [], {}
+        hashes, checks, starts, ends, per_text, self.odd = [], [], [], [], [], {}
         raw, text_at = text_buffers(column)
         base = text_at[0] if len(text_at) else 0
         wide = np.uint32 if text_at[-1] - base < 1 << 32 else np.int64
@@ -51,7 +53,9 @@ class Units:
             n_units = c.counts() + (last < at[1:])
             closing = np.cumsum(n_units)
             s, e = np.insert(s, closing, at[1:]), np.insert(e, closing, at[1:])
-            hashes.append(span_hash(_BYTE_CODE[c.data], s, e))
+            codes = _BYTE_CODE[c.data]
+            hashes.append(span_hash(codes, s, e))
+            checks.append(span_hash(codes, s, e, 2))
             shift = text_at[c.first] - base
             starts.append((s + shift).astype(wide))
             ends.append((e + shift).astype(wide))
@@ -63,8 +67,12 @@ class Units:
                         self.odd[c.first + i] = text
         none = [np.zeros(0, np.int64)]
         self.per_text = np.concatenate(per_text or none)
-        _, first, unit = np.unique(np.concatenate(hashes or none), return_index=True, return_inverse=True)
-        self.unit = unit.astype(np.uint32)
+        self.hash, first, unit = np.unique(np.concatenate(hashes or none).view(np.uint64), return_index=True, return_inverse=True)
+        self.unit, check = unit.astype(np.uint32), np.concatenate(checks or none).view(np.uint64)
+        self.check = check[first]
+        unlike = np.flatnonzero(check != self.check[unit])
+        for i in np.unique(np.searchsorted(np.cumsum(self.per_text), unlike, side="right")).tolist():
+            self.odd[i] = column[i].as_py()
         self.start, self.end = (np.concatenate(x or none)[first].astype(np.int64) for x in (starts, ends))
         self.data = raw[base : text_at[-1]]
 
@@ -87,6 +95,7 @@ class Encoder:
         for token, i in vocab.items():
             self.length[i] = len(token)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -116,10 +125,38 @@ class Encoder:
         at[order] = np.cumsum(length[order]) - length[order]
         return np.concatenate([*parts, *alone, np.zeros(0, np.int64)]), at, length
 
+    def _forget(self) -> None:
+        #: hashes (ascending) and checks of known units, where their ids start and how many they are
+        self.known, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.at, self.size_of, self.ids = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+
     def _of_units(self, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if len(units.data):
-            return self._units(units.data, units.start, units.end)
-        return np.zeros(0, np.int64), np.zeros(len(units.start), np.int64), np.zeros(len(units.start), np.int64)
+        """Ids, and for each distinct unit where its ids start and how many they are; remembers them while there is room."""
+        n = len(units.start)
+        if not len(units.data):
+            return np.zeros(0, np.uint32), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        place = np.minimum(np.searchsorted(self.known, units.hash), max(0, len(self.known) - 1))
+        old = (self.known[place] == units.hash) & (self.checks[place] == units.check) if len(self.known) else np.zeros(n, bool)
+        new = np.flatnonzero(~old)
+        ids, at, size = self._units(units.data, units.start[new], units.end[new])
+        ids = np.concatenate((self.ids, ids.astype(np.uint32)))
+        at += len(self.ids)
+        all_at, all_size = np.empty(n, np.int64), np.empty(n, np.int64)
+        all_at[new], all_size[new] = at, size
+        all_at[old], all_size[old] = self.at[place[old]], self.size_of[place[old]]
+        # units that come once are not worth it, and units that share a hash with a known one stay unknown
+        fresh = new[np.bincount(units.unit, minlength=n)[new] > 1]
+        fresh = fresh[self.known[place[fresh]] != units.hash[fresh]] if len(self.known) else fresh
+        kept = fresh[: max(0, REMEMBERED - len(self.known))]
+        if len(kept):
+            order = np.argsort(np.concatenate((self.known, units.hash[kept])), kind="stable")
+            lists = ((self.known, units.hash), (self.checks, units.check), (self.at, all_at), (self.size_of, all_size))
+            self.known, self.checks, at, sizes = (np.concatenate((a, b[kept].astype(a.dtype)))[order] for a, b in lists)
+            # what was not kept leaves
+            stop = np.cumsum(sizes, dtype=np.int64)
+            self.ids = ids[np.repeat(at.astype(np.int64) - (stop - sizes), sizes) + np.arange(stop[-1])]
+            self.at, self.size_of = (stop - sizes).astype(np.uint32), sizes
+        return ids, all_at, all_size
 
     def count(self, units: Units) -> np.ndarray:
         """How many ids each text has, without an end id."""
@@ -171,6 +208,7 @@ class RankEncoder(Encoder):
         for token, rank in ranks.items():
             self.length[rank] = len(token)
         self.special = []
+        self._forget()
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(self.tokenizer.encode_ordinary(t), dtype=np.int64) for t in texts]

@@ -30,7 +30,7 @@ KEYS = ("source", "lang", "tokenizer_version")
 _SCHEMA = "batch_id string, source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
 
-def token_counts(docs: DataFrame, tokenizers: dict[str, tuple[str, str | None]], keep: tuple[str, ...] = ("source", "lang"), slice_bytes: int = 24 << 20) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizers: dict[str, tuple[str, str | None]], keep: tuple[str, ...] = ("source", "lang"), slice_bytes: int = 16 << 20) -> DataFrame:
     """Columns ``keep`` of docs, and one column a tokenizer version with the tokens of the text.
 
     tokenizers: by version the path of a tokenizer's JSON file, or that of a file of ranks with

@@ -160,7 +160,7 @@ def write_token_files(
     end_id: int = 0,
     folder: str | None = None,
     shard_ids: int = 1 << 23,
-    slice_bytes: int = 24 << 20,
+    slice_bytes: int = 16 << 20,
 ) -> TokenFiles:
     """Encode doc_id, text in ascending doc_id order into files in ``folder`` (default: the shared one)."""
     spark = docs.sparkSession

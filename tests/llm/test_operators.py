@@ -371,6 +371,19 @@ def test_encoder(tokenizer_path):
         assert ids[at[i] : at[i + 1]].tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
 
 
+@pytest.mark.parametrize("room", [0, 5, 1 << 19])
+def test_encoder_remembers(tokenizer_path, monkeypatch, room):
+    monkeypatch.setattr(bpe, "REMEMBERED", room)
+    with open(tokenizer_path, encoding="utf-8") as f:
+        encoder = bpe.Encoder(f.read())
+    rng = np.random.default_rng(5)
+    for _ in range(6):
+        texts = [" ".join(rng.choice(["alpha", "beta,", "gammadelta", "Ünï", "日本語", "x1", "\u00a0odd"], n)) for n in rng.integers(0, 9, 30)] + [TEXTS[16]]
+        ids, at = encoder.encode(pa.array(texts, pa.string()), 0)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+        assert len(encoder.known) <= room
+
+
 def test_rank_encoder_counts():
     tokenizers = pytest.importorskip("public_tokenizers")
     with open(tokenizers.path("byte_bpe_multi_50k.tiktoken"), encoding="utf-8") as f:
