@@ -2,9 +2,14 @@
 
 A block is a slice of documents of bounded size that one task holds.  It keeps its own part
 (its documents in local numbers) as one row and sends its distinct 64-bit keys, cut by their
-leading bits into buckets, as one row a bucket.  A bucket sees each key at most once a block,
-however frequent the key is, so hot keys are aggregated before the shuffle.  It answers every
-block with one row, in the order of the keys asked for; blocks join their answers by block id.
+leading bits into buckets, as one row a bucket that gets any.  A bucket sees each key at most
+once a block, however frequent the key is, so hot keys are aggregated before the shuffle.  It
+answers every block that asks with one row, in the order of the keys asked for; blocks join
+their answers by block id.
+
+There are as many buckets as the keys of the corpus need at ``BUCKET_BYTES`` each, so what one
+call holds does not depend on the corpus or on the number of shuffle partitions.  Rows are at
+most blocks times buckets, and never more than distinct keys of blocks.
 
 The blocks' own rows are written to the shared folder first, so block ids, chosen by the task
 that made the block, stay the same whatever is repeated later.
@@ -15,15 +20,25 @@ from __future__ import annotations
 import ctypes
 import json
 import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, GroupedData
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "block string, bucket int, payload binary"
 ARROW_SCHEMA = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("payload", pa.binary())])
+#: blocks' own rows, with the number of keys they will ask for at most
+OWN_SCHEMA = SCHEMA + ", keys long"
+#: keys of a bucket, as packed bytes
+BUCKET_BYTES, KEY_BYTES = 16 << 20, 6
+
+
+def bucket_count(own: DataFrame) -> int:
+    keys = own.agg(F.sum("keys")).first()[0] or 0
+    return max(1, -(-keys * KEY_BYTES // BUCKET_BYTES))
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:
@@ -64,20 +79,6 @@ def bucket_edges(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(sorted_keys, limits), len(sorted_keys))
 
 
-def deal(rows: DataFrame, buckets: int) -> GroupedData:
-    """Question rows grouped by bucket, each bucket in a partition of its own.
-
-    Hashing bucket numbers would leave a third of the partitions empty and put several buckets
-    in others, so each bucket is dealt by a number that hashes to its partition.  The numbers
-    are one row a bucket.
-    """
-    tried = rows.sparkSession.range(24 * buckets).select(F.col("id").cast("int").alias("n"))
-    found = tried.groupBy(F.pmod(F.hash("n"), F.lit(buckets)).alias("to")).agg(F.min("n").alias("n")).collect()
-    number = {r["to"]: r["n"] for r in found}
-    place = F.element_at(F.array(*[F.lit(number.get(b, b)) for b in range(buckets)]), F.col("bucket") + 1)
-    return rows.withColumn("place", place).repartition(buckets, "place").groupBy("place", "bucket")
-
-
 def smallest(values: np.ndarray) -> np.ndarray:
     """The same non-negative integers in the narrowest type."""
     top = int(values.max()) if len(values) else 0
@@ -97,6 +98,11 @@ def record_batch(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW_SCHEMA, strict=True)], schema=ARROW_SCHEMA)
 
 
+def own_row(payload: bytes, keys: int) -> pa.RecordBatch:
+    columns = [pa.array([uuid.uuid4().hex]), pa.array([-1], pa.int32()), pa.array([payload], pa.binary()), pa.array([keys], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "payload", "keys"])
+
+
 def release() -> None:
     """Give freed memory back: several workers share a machine, and rarely peak at once."""
     pa.default_memory_pool().release_unused()

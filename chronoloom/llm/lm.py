@@ -22,7 +22,6 @@ counts are 0; an empty table gives an empty result; only doc_id and text are rea
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .store import materialize, shuffle_width
+from .store import materialize
 from .tokenfiles import slices
 from .words import chunks, mix64
 
@@ -70,7 +69,7 @@ def _grams(tokens: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[np.
     return out
 
 
-def _collect(block_bytes: int):
+def _collect(order: int, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch.column(1), block_bytes):
@@ -79,7 +78,7 @@ def _collect(block_bytes: int):
                 held = part.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
                 vocabulary, local = np.unique(tokens, return_inverse=True)
                 own = {**B.pack_ids(part.column(0).to_pylist()), "held": held, "counts": counts, "vocabulary": B.delta(vocabulary), "tokens": B.smallest(local)}
-                yield B.record_batch([(uuid.uuid4().hex, -1, B.pack(own))])
+                yield B.own_row(B.pack(own), len(vocabulary) + (order - 1) * len(tokens))
                 del tokens, counts, vocabulary, local, own
                 B.release()
 
@@ -103,7 +102,7 @@ def _ask(order: int, buckets: int):
                     for b, (lo, hi) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
                         asked[b] |= {f"k{n}": B.delta(known[lo:hi]), f"c{n}": B.smallest(seen[lo:hi])}
                     del keys, at, known, inverse, seen
-                yield B.record_batch([(block, b, B.pack(a)) for b, a in enumerate(asked)])
+                yield B.record_batch([(block, b, B.pack(a)) for b, a in enumerate(asked) if any(len(k) for k in a.values())])
                 del own, counts, train, asked
                 B.release()
 
@@ -284,20 +283,19 @@ def _scorer(order: int, total: int, distinct: int, mu: tuple[float, ...]):
     return run
 
 
-def score(docs: DataFrame, held: Column | None = None, order: int = 2, mu: tuple[float, ...] = (3000.0, 10.0, 10.0), block_bytes: int = 8 << 20) -> DataFrame:
+def score(docs: DataFrame, held: Column | None = None, order: int = 3, mu: tuple[float, ...] = (1000.0, 10.0, 10.0), block_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     held: documents to keep out of training (default: one fold of seven by doc_id).
     mu: the smoothing weight of each order from 2.
     """
     held = held_out(F.col("doc_id")) if held is None else held
-    spark = docs.sparkSession
-    buckets = shuffle_width(spark)
-    collected = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held")).mapInArrow(_collect(block_bytes), B.SCHEMA)
+    collected = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held")).mapInArrow(_collect(order, block_bytes), B.OWN_SCHEMA)
     own = materialize(collected, "lm-blocks")
+    buckets, own = B.bucket_count(own), own.drop("keys")
     schema = "block string, bucket int, payload binary, distinct long, total long"
     asked = own.mapInArrow(_ask(order, buckets), B.SCHEMA)
-    answers = materialize(B.deal(asked, buckets).applyInArrow(_answer(order), schema), "lm-answers")
+    answers = materialize(asked.groupBy("bucket").applyInArrow(_answer(order), schema), "lm-answers")
     sums = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return own.union(answers.select("block", "bucket", "payload")).groupBy("block").applyInArrow(_scorer(order, sums[0], sums[1], mu), out)
