@@ -11,8 +11,9 @@ There are as many buckets as the keys of the corpus need at ``BUCKET_BYTES`` eac
 call holds does not depend on the corpus or on the number of shuffle partitions.  Rows are at
 most blocks times buckets, and never more than distinct keys of blocks.
 
-The blocks' own rows are written to the shared folder first, so block ids, chosen by the task
-that made the block, stay the same whatever is repeated later.
+Blocks' own parts lie in files of the shared folder, one file a task under a name of its own
+attempt; a row points to each.  So block ids and contents stay the same whatever is repeated
+later, and no own part is ever shuffled: who has a block's answers fetches it.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "block string, bucket int, payload binary"
 ARROW_SCHEMA = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("payload", pa.binary())])
-#: blocks' own rows, with the number of keys they will ask for at most
+#: blocks' own rows: a pointer, and the number of keys they will ask for at most
 OWN_SCHEMA = SCHEMA + ", keys long"
 #: keys of a bucket, as packed bytes
 BUCKET_BYTES, KEY_BYTES = 16 << 20, 6
@@ -98,9 +99,39 @@ def record_batch(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW_SCHEMA, strict=True)], schema=ARROW_SCHEMA)
 
 
-def own_row(payload: bytes, keys: int) -> pa.RecordBatch:
-    columns = [pa.array([uuid.uuid4().hex]), pa.array([-1], pa.int32()), pa.array([payload], pa.binary()), pa.array([keys], pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "payload", "keys"])
+class OwnFile:
+    """Own parts of the blocks that a task makes, in one file."""
+
+    def __init__(self, folder: str):
+        from .tokenfiles import filesystem
+
+        self.uri, self.at = f"{folder}/{uuid.uuid4().hex}.own", 0
+        files, path = filesystem(self.uri)
+        files.create_dir(path.rpartition("/")[0], recursive=True)
+        self.out = files.open_output_stream(path)
+
+    def add(self, arrays: dict[str, np.ndarray], keys: int) -> pa.RecordBatch:
+        """The block's row."""
+        payload = pack(arrays)
+        self.out.write(payload)
+        pointer = json.dumps([self.uri, self.at, len(payload)]).encode()
+        self.at += len(payload)
+        columns = [pa.array([uuid.uuid4().hex]), pa.array([-1], pa.int32()), pa.array([pointer], pa.binary()), pa.array([keys], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "payload", "keys"])
+
+    def close(self) -> None:
+        self.out.close()
+
+
+def fetch(pointer: bytes) -> dict[str, np.ndarray]:
+    """A block's own part."""
+    from .tokenfiles import filesystem
+
+    uri, at, size = json.loads(pointer)
+    files, path = filesystem(uri)
+    with files.open_input_file(path) as f:
+        f.seek(at)
+        return unpack(f.read(size))
 
 
 def release() -> None:

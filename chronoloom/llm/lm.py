@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .store import materialize
+from .store import materialize, new_folder
 from .tokenfiles import slices
 from .words import chunks, mix64
 
@@ -69,8 +69,9 @@ def _grams(tokens: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[np.
     return out
 
 
-def _collect(order: int, block_bytes: int):
+def _collect(order: int, block_bytes: int, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = B.OwnFile(folder)
         for batch in batches:
             for lo, hi in slices(batch.column(1), block_bytes):
                 part = batch.slice(lo, hi - lo)
@@ -78,9 +79,10 @@ def _collect(order: int, block_bytes: int):
                 held = part.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
                 vocabulary, local = np.unique(tokens, return_inverse=True)
                 own = {**B.pack_ids(part.column(0).to_pylist()), "held": held, "counts": counts, "vocabulary": B.delta(vocabulary), "tokens": B.smallest(local)}
-                yield B.own_row(B.pack(own), len(vocabulary) + (order - 1) * len(tokens))
+                yield file.add(own, len(vocabulary) + (order - 1) * len(tokens))
                 del tokens, counts, vocabulary, local, own
                 B.release()
+        file.close()
 
     return run
 
@@ -91,7 +93,7 @@ def _ask(order: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                own = B.unpack(payload.as_py())
+                own = B.fetch(payload.as_py())
                 counts = own["counts"]
                 train = np.repeat(own["held"] == 0, counts)
                 asked: list[dict[str, np.ndarray]] = [{} for _ in range(buckets)]
@@ -139,134 +141,102 @@ def _answer(order: int):
 
 
 class Automaton:
-    """States, arcs and failure arcs of the n-grams given.
+    """States, arcs and failure arcs of the n-grams of some texts.
 
-    States are numbered: 0 is the empty history, then the histories of each order.  Arcs are
-    sorted by state * words + word.  ``score`` runs all texts in step, a state each.
+    States: 0 is the empty history, 1 the start of a text, then the seen histories of each
+    order.  Arcs: one a word from the empty history, then the seen n-grams of each order, each
+    from the state of its history.  ``arcs[m]`` names, for each token of the texts, the arc of the
+    (m + 1)-gram that ends there, or -1; it can be taken from the state it leaves only.
     """
 
-    def __init__(self, words: int):
-        self.words = words
-        self.keys = np.zeros(0, np.int64)
-        self.weight = np.zeros(0)
-        self.next = np.zeros(0, np.int64)
-        self.failure = np.zeros(1, np.int64)
-        self.failure_weight = np.zeros(1)
-        self.start = 0
-
-    @classmethod
-    def build(cls, unigrams: np.ndarray, levels: list[dict[str, np.ndarray]], starts: int, total: int, distinct: int, mu: tuple[float, ...]) -> Automaton:
-        """unigrams: training count of each local word.
-
-        levels, from order 2: history (state number within the order below, see ``order_states``),
-        word and count of each seen n-gram.  starts: texts in training.
-        """
-        out = cls(len(unigrams))
-        n = len(unigrams)
-        p = (unigrams + 1) / (total + distinct + 1)
+    def __init__(self, unigrams: np.ndarray, tokens: np.ndarray, counts: np.ndarray, starts: int, total: int, distinct: int, mu: tuple[float, ...], order: int):
+        """unigrams: training count of each local word; tokens, counts: the texts as local words; starts: texts in training."""
+        n, self.mu, self.order = len(unigrams), mu, order
+        self.tokens, self.counts, self.first = tokens, counts, np.cumsum(counts) - counts
         seen = np.flatnonzero(unigrams)
-        # states of order 1: start of text, then the seen words
-        state = np.zeros(n, dtype=np.int64)
-        state[seen] = 2 + np.arange(len(seen))
-        count = np.concatenate(([0, starts], unigrams[seen])).astype(float)
-        failure = np.zeros(2 + len(seen), dtype=np.int64)
-        keys, probability, following = [np.arange(n)], [p], [state if levels else np.zeros(n, np.int64)]
-        weight = [np.zeros(1), np.log10(mu[0] / (count[1:] + mu[0]))]
-        lower_keys, lower_p = np.arange(n), p
-        offset = len(failure)
-        for i, level in enumerate(levels):
-            history, word, c = level["history"], level["word"], level["count"].astype(float)
-            key = history * n + word
-            order = np.argsort(key)
-            history, word, c, key = history[order], word[order], c[order], key[order]
-            below = failure[history] * n + word
-            base = lower_p[np.minimum(np.searchsorted(lower_keys, below), len(lower_keys) - 1)]
-            here = (c + mu[i] * base) / (count[history] + mu[i])
-            last = i == len(levels) - 1
-            to = state[word] if last and i == 0 else offset + np.arange(len(key))
-            if not last:
-                # the n-gram is a state itself; without its first word it is the state reached from below
-                lower_to = np.concatenate(following)[np.searchsorted(np.concatenate(keys), below)]
-                failure = np.concatenate((failure, lower_to))
-                count = np.concatenate((count, c))
-                weight.append(np.log10(mu[i + 1] / (c + mu[i + 1])))
-                offset += len(key)
-            elif i:
-                to = np.concatenate(following)[np.searchsorted(np.concatenate(keys), below)]
-            keys.append(key)
-            probability.append(here)
-            following.append(to)
-            lower_keys, lower_p = np.concatenate(keys), np.concatenate(probability)
-        out.keys, out.weight, out.next = np.concatenate(keys), np.log10(np.concatenate(probability)), np.concatenate(following)
-        out.failure, out.failure_weight = failure, np.concatenate(weight)
-        out.start = 1 if levels else 0
-        return out
-
-    def score(self, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of each text: one traversal, the texts in step, longest first."""
+        self.state_of = np.zeros(n, dtype=np.int64)
+        self.state_of[seen] = 2 + np.arange(len(seen)) if order > 1 else 0
+        self.count = np.concatenate(([0, starts], unigrams[seen])).astype(float)
+        self.level = np.concatenate(([0], np.ones(1 + len(seen), np.int64)))
+        self.failure = np.zeros(2 + len(seen), dtype=np.int64)
+        self.probability, self.next, self.source = (unigrams + 1) / (total + distinct + 1), self.state_of.copy(), np.zeros(n, dtype=np.int64)
+        self.arcs = [tokens]
+        self.reached = self.state_of[tokens]  # by the history of the order built last, at each token
+
+    def add(self, m: int, at: np.ndarray, gram: np.ndarray, count: np.ndarray) -> None:
+        """The m-grams that end at positions ``at``: ``gram`` numbers them, ``count`` is how often each was trained on."""
+        first = np.full(len(count), -1, dtype=np.int64)
+        first[gram[::-1]] = at[::-1]
+        known = np.flatnonzero(count > 0)
+        arc = np.full(len(count), -1, dtype=np.int64)
+        arc[known] = len(self.source) + np.arange(len(known))
+        here = np.full(len(self.tokens), -1, dtype=np.int64)
+        here[at] = arc[gram]
+        place = first[known]
+        before = np.roll(self.reached, 1)
+        if m == 2:
+            before[self.first] = 1
+        source, lower = before[place], self.arcs[-1][place]
+        mu, c = self.mu[m - 2], count[known].astype(float)
+        p = (c + mu * self.probability[lower]) / (self.count[source] + mu)
+        if m < self.order:
+            # the m-gram is a state itself; without its first word it is the state reached from below
+            states = len(self.failure) + np.arange(len(known))
+            self.failure = np.concatenate((self.failure, self.next[lower]))
+            self.count = np.concatenate((self.count, c))
+            self.level = np.concatenate((self.level, np.full(len(known), m)))
+            reached = np.full(len(count), -1, dtype=np.int64)
+            reached[known] = states
+            self.reached = np.full(len(self.tokens), -1, dtype=np.int64)
+            self.reached[at] = reached[gram]
+        else:
+            states = self.next[lower]
+        self.probability, self.next, self.source = np.concatenate((self.probability, p)), np.concatenate((self.next, states)), np.concatenate((self.source, source))
+        self.arcs.append(here)
+
+    def score(self) -> np.ndarray:
+        """log10 probability of each text: one traversal from left to right, the texts in step, longest first."""
+        weight = np.log10(self.probability)
+        back = np.append(self.mu[: self.order - 1], 1.0)[np.maximum(self.level, 1) - 1] if self.order > 1 else np.ones(len(self.level))
+        failure_weight = np.log10(back / (self.count + back))
+        arcs, counts = np.stack(self.arcs), self.counts
         order = np.argsort(-counts, kind="stable")
-        first = (np.cumsum(counts) - counts)[order]
-        state = np.full(len(counts), self.start, dtype=np.int64)
+        first = self.first[order]
+        state = np.full(len(counts), 1 if self.order > 1 else 0, dtype=np.int64)
         total = np.zeros(len(counts))
         alive = np.searchsorted(-counts[order], -np.arange(int(counts.max()) if len(counts) else 0), side="left")
         for t, n in enumerate(alive.tolist()):
-            word, s = tokens[first[:n] + t], state[:n]
-            at = self._arc(s, word)
-            missing = np.flatnonzero(at < 0)
+            at, s = first[:n] + t, state[:n]
+            arc = arcs[self.level[s], at]
+            missing = np.flatnonzero((arc < 0) | (self.source[arc] != s))
             while len(missing):
-                total[missing] += self.failure_weight[s[missing]]
+                total[missing] += failure_weight[s[missing]]
                 s[missing] = self.failure[s[missing]]
-                at[missing] = self._arc(s[missing], word[missing])
-                missing = missing[at[missing] < 0]
-            total[:n] += self.weight[at]
-            state[:n] = self.next[at]
+                arc[missing] = arcs[self.level[s[missing]], at[missing]]
+                missing = missing[(arc[missing] < 0) | (self.source[arc[missing]] != s[missing])]
+            total[:n] += weight[arc]
+            state[:n] = self.next[arc]
         out = np.empty(len(counts))
         out[order] = total
         return out
 
-    def _arc(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        key = state * self.words + word
-        at = np.where(state == 0, word, np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1))
-        return np.where(self.keys[at] == key, at, -1)
-
 
 def _scorer(order: int, total: int, distinct: int, mu: tuple[float, ...]):
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["bucket"].to_pylist(), table["payload"].to_pylist(), strict=True), key=lambda r: r[0])
-        own, answers = B.unpack(rows[0][1]), [B.unpack(p) for _, p in rows[1:]]
+        own, answers = B.fetch(rows[0][1]), [B.unpack(p) for _, p in rows[1:]]
         vocabulary, counts, local = B.undelta(own["vocabulary"]), own["counts"], own["tokens"].astype(np.int64)
         unigrams = np.concatenate([a["c1"] for a in answers]).astype(np.int64)
-        end = int(np.searchsorted(vocabulary, END))
-        starts = int(unigrams[end])  # each training text has one end token
-        state = np.zeros(len(vocabulary), dtype=np.int64)
-        state[unigrams > 0] = 2 + np.arange(int((unigrams > 0).sum()))
-        levels, grams = [], _grams(vocabulary[local], counts, order)
-        first = np.cumsum(counts) - counts
-        at_state = state[local]  # state of the history that ends at each position
-        offset = 2 + int((unigrams > 0).sum())
-        for n in range(2, order + 1):
-            keys, at = grams[n - 1]
-            _, one, inverse = np.unique(keys, return_index=True, return_inverse=True)
-            c = np.concatenate([a[f"c{n}"] for a in answers]).astype(np.int64)
-            before = np.roll(at_state, 1)
-            if n == 2:
-                before[first] = 1
-            known = c > 0
-            levels.append({"history": before[at[one]][known], "word": local[at[one]][known], "count": c[known]})
-            if n < order:
-                key = levels[-1]["history"] * len(vocabulary) + levels[-1]["word"]
-                number = np.full(len(c), -1, dtype=np.int64)
-                number[known] = offset + np.argsort(np.argsort(key))
-                longer = np.full(len(local), -1, dtype=np.int64)
-                longer[at] = number[inverse]
-                at_state = longer
-                offset += len(key)
-        automaton = Automaton.build(unigrams, levels, starts, total, distinct, mu)
-        score = automaton.score(local, counts)
+        starts = int(unigrams[np.searchsorted(vocabulary, END)])  # each training text has one end token
+        automaton = Automaton(unigrams, local, counts, starts, total, distinct, mu, order)
+        for n, (keys, at) in list(enumerate(_grams(vocabulary[local], counts, order), 1))[1:]:
+            _, gram = np.unique(keys, return_inverse=True)
+            automaton.add(n, at, gram, np.concatenate([a[f"c{n}"] for a in answers]).astype(np.int64))
+        score = automaton.score()
         edge = np.concatenate(([0], np.cumsum(counts)))
         base = np.log10((unigrams[local] + 1) / (total + (distinct + 1)))
         known = unigrams[local] > 0
-        del automaton, levels, grams, answers
+        del automaton, answers
         B.release()
         return pa.table(
             {
@@ -290,7 +260,7 @@ def score(docs: DataFrame, held: Column | None = None, order: int = 3, mu: tuple
     mu: the smoothing weight of each order from 2.
     """
     held = held_out(F.col("doc_id")) if held is None else held
-    collected = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held")).mapInArrow(_collect(order, block_bytes), B.OWN_SCHEMA)
+    collected = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held")).mapInArrow(_collect(order, block_bytes, new_folder(docs.sparkSession, "lm-own")), B.OWN_SCHEMA)
     own = materialize(collected, "lm-blocks")
     buckets, own = B.bucket_count(own), own.drop("keys")
     schema = "block string, bucket int, payload binary, distinct long, total long"

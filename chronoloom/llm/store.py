@@ -33,6 +33,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder for files that tasks write themselves; it goes when the program ends."""
+    path = new_path(spark, name)
+    _made.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return a reader of it."""
     spark = df.sparkSession

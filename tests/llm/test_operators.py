@@ -562,7 +562,7 @@ def test_language_model_prefers_known_order(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     from pyspark.sql import functions as F
 
-    got = {r["doc_id"]: r["score"] for r in lm.score(docs, held=F.expr(held), mu=(1.0,)).where(held).collect()}
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, held=F.expr(held), order=2, mu=(1.0,)).where(held).collect()}
     assert got[1000] > got[1001] + 1
 
 
