@@ -11,7 +11,9 @@ has no count of its own.  One traversal from left to right carries the state and
 
 The counts of the whole corpus never sit in one place: each block of documents asks for the
 counts of its own distinct n-grams (see ``blocks``), builds the part of the automaton that
-its documents can reach, and scores them.  Tokens are lower-cased (A-Z) words and an end
+its documents can reach, and scores them.  From order 3 on it asks order by order, and only for
+n-grams whose first and last n - 1 words both occur in other blocks too; of the others it has
+all occurrences itself.  Tokens are lower-cased (A-Z) words and an end
 token; the start state is the history "start of text".  Keys are 64-bit hashes of n-grams;
 two that collide would share counts (about n**2 / 2**65 pairs among n distinct n-grams).
 
@@ -87,59 +89,104 @@ def _collect(order: int, block_bytes: int, folder: str):
     return run
 
 
-def _ask(order: int, buckets: int):
-    """Of each block's row: its distinct n-grams with their training counts, a row a bucket."""
+class _Counted:
+    """n-grams of a block and their training counts, order by order as far as answers reach."""
+
+    def __init__(self, own: dict[str, np.ndarray], answers: dict[int, list[dict[str, np.ndarray]]], order: int, answered: int):
+        """answered: orders up to this one have been asked for."""
+        self.vocabulary, self.counts, self.local = B.undelta(own["vocabulary"]), own["counts"], own["tokens"].astype(np.int64)
+        train = np.repeat(own["held"] == 0, self.counts)
+        #: (positions, number of the n-gram at each, training count by number)
+        self.orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        #: of orders without an answer: keys, ascending, and counts in this block, of what is to be asked
+        self.open: list[tuple[np.ndarray, np.ndarray]] = []
+        elsewhere = below = None
+        for n, (keys, at) in enumerate(_grams(self.vocabulary[self.local], self.counts, order), 1):
+            known, first, gram = np.unique(keys, return_index=True, return_inverse=True)
+            inside = np.bincount(gram, weights=train[at], minlength=len(known)).astype(np.int64)
+            asked = np.ones(len(known), dtype=bool)
+            if n > 2:
+                place = at[first]
+                asked = elsewhere[below[place - 1]] & elsewhere[below[place]]
+            if n > answered:
+                self.open.append((known[asked], inside[asked]))
+                if n > 1:
+                    return
+                continue
+            total = inside.copy()
+            total[asked] = np.concatenate([np.zeros(0, np.int64), *(a[f"c{n}"] for a in answers.get(n, []))])
+            self.orders.append((at, gram, total))
+            elsewhere, below = total > inside, np.full(len(self.local), -1, dtype=np.int64)
+            below[at] = gram
+
+
+def _rows(table: pa.Table) -> tuple[dict[str, np.ndarray], dict[int, list[dict[str, np.ndarray]]]]:
+    """A block's own part and its answers by order, each in the order of the buckets."""
+    rows = sorted(zip(table["bucket"].to_pylist(), table["payload"].to_pylist(), strict=True), key=lambda r: r[0])
+    answers: dict[int, list[dict[str, np.ndarray]]] = {}
+    for _, payload in rows[1:]:
+        answer = B.unpack(payload)
+        for name in answer:
+            answers.setdefault(int(name[1:]), []).append(answer)
+    return B.fetch(rows[0][1]), answers
+
+
+def _questions(block: str, counted: _Counted, buckets: int) -> pa.RecordBatch:
+    first = len(counted.orders) + 1
+    asked: list[dict[str, np.ndarray]] = [{} for _ in range(buckets)]
+    for n, (keys, counts) in enumerate(counted.open, first):
+        edge = B.bucket_edges(keys, buckets)
+        for b, (lo, hi) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+            asked[b] |= {f"k{n}": B.delta(keys[lo:hi]), f"c{n}": B.smallest(counts[lo:hi])}
+    # each round has buckets of its own
+    return B.record_batch([(block, (first << 24) + b, B.pack(a)) for b, a in enumerate(asked) if any(len(k) for k in a.values())])
+
+
+def _ask_first(order: int, buckets: int):
+    """Of each block's row: its distinct words and bigrams with their training counts, a row a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                own = B.fetch(payload.as_py())
-                counts = own["counts"]
-                train = np.repeat(own["held"] == 0, counts)
-                asked: list[dict[str, np.ndarray]] = [{} for _ in range(buckets)]
-                for n, (keys, at) in enumerate(_grams(B.undelta(own["vocabulary"])[own["tokens"]], counts, order), 1):
-                    known, inverse = np.unique(keys, return_inverse=True)
-                    seen = np.bincount(inverse, weights=train[at], minlength=len(known)).astype(np.int64)
-                    edge = B.bucket_edges(known, buckets)
-                    for b, (lo, hi) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-                        asked[b] |= {f"k{n}": B.delta(known[lo:hi]), f"c{n}": B.smallest(seen[lo:hi])}
-                    del keys, at, known, inverse, seen
-                yield B.record_batch([(block, b, B.pack(a)) for b, a in enumerate(asked) if any(len(k) for k in a.values())])
-                del own, counts, train, asked
+                yield _questions(block, _Counted(B.fetch(payload.as_py()), {}, min(order, 2), 0), buckets)
                 B.release()
 
     return run
 
 
-def _answer(order: int):
-    """All questions of a bucket: sums by key, in the order of each block's keys."""
-
+def _ask_next(order: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        names, asked = table["block"].to_pylist(), [B.unpack(x) for x in table["payload"].to_pylist()]
-        answers: list[dict[str, np.ndarray]] = [{} for _ in asked]
-        distinct = total = 0
-        for n in range(1, order + 1):
-            keys = [B.undelta(a[f"k{n}"]) for a in asked]
-            at = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
-            _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            sums = np.bincount(inverse, weights=np.concatenate([a[f"c{n}"] for a in asked])).astype(np.int64)
-            if n == 1:
-                distinct, total = int((sums > 0).sum()), int(sums.sum())
-            for i, a in enumerate(answers):
-                a[f"c{n}"] = B.smallest(sums[inverse[at[i] : at[i + 1]]])
-        bucket = table["bucket"][0].as_py()
-        columns = {
-            "block": pa.array(names),
-            "bucket": pa.array([bucket] * len(names), pa.int32()),
-            "payload": pa.array([B.pack(a) for a in answers], pa.binary()),
-            "distinct": pa.array([distinct] + [0] * (len(names) - 1), pa.int64()),
-            "total": pa.array([total] + [0] * (len(names) - 1), pa.int64()),
-        }
-        return pa.table(columns)
+        out = _questions(table["block"][0].as_py(), _Counted(*_rows(table), order, order - 1), buckets)
+        B.release()
+        return pa.Table.from_batches([out])
 
     return run
 
 
+def _answer(table: pa.Table) -> pa.Table:
+    """All questions of a bucket: sums by key, in the order of each block's keys."""
+    names, asked = table["block"].to_pylist(), [B.unpack(x) for x in table["payload"].to_pylist()]
+    answers: list[dict[str, np.ndarray]] = [{} for _ in asked]
+    distinct = total = 0
+    for n in sorted({int(name[1:]) for a in asked for name in a}):
+        keys = [B.undelta(a[f"k{n}"]) for a in asked]
+        at = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
+        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(inverse, weights=np.concatenate([a[f"c{n}"] for a in asked])).astype(np.int64)
+        if n == 1:
+            distinct, total = int((sums > 0).sum()), int(sums.sum())
+        for i, a in enumerate(answers):
+            a[f"c{n}"] = B.smallest(sums[inverse[at[i] : at[i + 1]]])
+    columns = {
+        "block": pa.array(names),
+        "bucket": table["bucket"],
+        "payload": pa.array([B.pack(a) for a in answers], pa.binary()),
+        "distinct": pa.array([distinct] + [0] * (len(names) - 1), pa.int64()),
+        "total": pa.array([total] + [0] * (len(names) - 1), pa.int64()),
+    }
+    return pa.table(columns)
+
+
 class Automaton:
     """States, arcs and failure arcs of the n-grams of some texts.
 
@@ -223,20 +270,18 @@ class Automaton:
 
 def _scorer(order: int, total: int, distinct: int, mu: tuple[float, ...]):
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["bucket"].to_pylist(), table["payload"].to_pylist(), strict=True), key=lambda r: r[0])
-        own, answers = B.fetch(rows[0][1]), [B.unpack(p) for _, p in rows[1:]]
-        vocabulary, counts, local = B.undelta(own["vocabulary"]), own["counts"], own["tokens"].astype(np.int64)
-        unigrams = np.concatenate([a["c1"] for a in answers]).astype(np.int64)
-        starts = int(unigrams[np.searchsorted(vocabulary, END)])  # each training text has one end token
+        own, answers = _rows(table)
+        counted = _Counted(own, answers, order, order)
+        counts, local, unigrams = counted.counts, counted.local, counted.orders[0][2]
+        starts = int(unigrams[np.searchsorted(counted.vocabulary, END)])  # each training text has one end token
         automaton = Automaton(unigrams, local, counts, starts, total, distinct, mu, order)
-        for n, (keys, at) in list(enumerate(_grams(vocabulary[local], counts, order), 1))[1:]:
-            _, gram = np.unique(keys, return_inverse=True)
-            automaton.add(n, at, gram, np.concatenate([a[f"c{n}"] for a in answers]).astype(np.int64))
+        for n, (at, gram, seen) in enumerate(counted.orders[1:], 2):
+            automaton.add(n, at, gram, seen)
         score = automaton.score()
         edge = np.concatenate(([0], np.cumsum(counts)))
         base = np.log10((unigrams[local] + 1) / (total + (distinct + 1)))
         known = unigrams[local] > 0
-        del automaton, answers
+        del automaton, answers, counted
         B.release()
         return pa.table(
             {
@@ -264,8 +309,12 @@ def score(docs: DataFrame, held: Column | None = None, order: int = 3, mu: tuple
     own = materialize(collected, "lm-blocks")
     buckets, own = B.bucket_count(own), own.drop("keys")
     schema = "block string, bucket int, payload binary, distinct long, total long"
-    asked = own.mapInArrow(_ask(order, buckets), B.SCHEMA)
-    answers = materialize(asked.groupBy("bucket").applyInArrow(_answer(order), schema), "lm-answers")
+    answers = materialize(own.mapInArrow(_ask_first(order, buckets), B.SCHEMA).groupBy("bucket").applyInArrow(_answer, schema), "lm-answers")
     sums = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    known = own.union(answers.select("block", "bucket", "payload"))
+    for n in range(3, order + 1):
+        asked = known.groupBy("block").applyInArrow(_ask_next(n, buckets), B.SCHEMA)
+        more = materialize(asked.groupBy("bucket").applyInArrow(_answer, schema), "lm-answers")
+        known = known.union(more.select("block", "bucket", "payload"))
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return own.union(answers.select("block", "bucket", "payload")).groupBy("block").applyInArrow(_scorer(order, sums[0], sums[1], mu), out)
+    return known.groupBy("block").applyInArrow(_scorer(order, sums[0], sums[1], mu), out)

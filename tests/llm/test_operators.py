@@ -547,9 +547,9 @@ def _model(rows, order, mu):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_language_model(docs, rows, empty, order):
-    mu = (20.0, 4.0)
+    mu = (20.0, 4.0, 2.0)
     got = lm.score(docs, order=order, mu=mu, block_bytes=3000).collect()
     assert sorted(key((*tuple(r)[:5], round(r["base_score"], 6), round(r["score"], 6))) for r in got) == sorted(map(key, _model(rows, order, mu)))
     assert lm.score(empty, order=order).count() == 0
