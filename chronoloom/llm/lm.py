@@ -12,8 +12,8 @@ has no count of its own.  One traversal from left to right carries the state and
 The counts of the whole corpus never sit in one place: each block of documents asks for the
 counts of its own distinct n-grams (see ``blocks``), builds the part of the automaton that
 its documents can reach, and scores them.  From order 3 on it asks order by order, and only for
-n-grams whose first and last n - 1 words both occur in other blocks too; of the others it has
-all occurrences itself.  Tokens are lower-cased (A-Z) words and an end
+n-grams whose first and last n - 1 words both occur in other blocks too, in training or not;
+the others are its own, and nobody else asks for them.  Tokens are lower-cased (A-Z) words and an end
 token; the start state is the history "start of text".  Keys are 64-bit hashes of n-grams;
 two that collide would share counts (about n**2 / 2**65 pairs among n distinct n-grams).
 
@@ -98,11 +98,13 @@ class _Counted:
         train = np.repeat(own["held"] == 0, self.counts)
         #: (positions, number of the n-gram at each, training count by number)
         self.orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        #: of orders without an answer: keys, ascending, and counts in this block, of what is to be asked
+        #: of orders without an answer: keys, ascending, and training counts in this block, of what is to be asked
         self.open: list[tuple[np.ndarray, np.ndarray]] = []
         elsewhere = below = None
         for n, (keys, at) in enumerate(_grams(self.vocabulary[self.local], self.counts, order), 1):
-            known, first, gram = np.unique(keys, return_index=True, return_inverse=True)
+            known, gram = np.unique(keys, return_inverse=True)
+            first = np.empty(len(known), dtype=np.int64)
+            first[gram[::-1]] = np.arange(len(gram))[::-1]
             inside = np.bincount(gram, weights=train[at], minlength=len(known)).astype(np.int64)
             asked = np.ones(len(known), dtype=bool)
             if n > 2:
@@ -116,8 +118,10 @@ class _Counted:
             total = inside.copy()
             total[asked] = np.concatenate([np.zeros(0, np.int64), *(a[f"c{n}"] for a in answers.get(n, []))])
             self.orders.append((at, gram, total))
-            elsewhere, below = total > inside, np.full(len(self.local), -1, dtype=np.int64)
-            below[at] = gram
+            if 2 <= n < order:
+                elsewhere, below = asked.copy(), np.full(len(self.local), -1, dtype=np.int64)
+                elsewhere[asked] = np.concatenate([np.zeros(0, bool), *(a[f"e{n}"].astype(bool) for a in answers.get(n, []))])
+                below[at] = gram
 
 
 def _rows(table: pa.Table) -> tuple[dict[str, np.ndarray], dict[int, list[dict[str, np.ndarray]]]]:
@@ -127,7 +131,8 @@ def _rows(table: pa.Table) -> tuple[dict[str, np.ndarray], dict[int, list[dict[s
     for _, payload in rows[1:]:
         answer = B.unpack(payload)
         for name in answer:
-            answers.setdefault(int(name[1:]), []).append(answer)
+            if name[0] == "c":
+                answers.setdefault(int(name[1:]), []).append(answer)
     return B.fetch(rows[0][1]), answers
 
 
@@ -164,7 +169,7 @@ def _ask_next(order: int, buckets: int):
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """All questions of a bucket: sums by key, in the order of each block's keys."""
+    """All questions of a bucket: training counts by key and whether other blocks have it too, in the order of each block's keys."""
     names, asked = table["block"].to_pylist(), [B.unpack(x) for x in table["payload"].to_pylist()]
     answers: list[dict[str, np.ndarray]] = [{} for _ in asked]
     distinct = total = 0
@@ -175,8 +180,12 @@ def _answer(table: pa.Table) -> pa.Table:
         sums = np.bincount(inverse, weights=np.concatenate([a[f"c{n}"] for a in asked])).astype(np.int64)
         if n == 1:
             distinct, total = int((sums > 0).sum()), int(sums.sum())
+        holders = np.bincount(inverse)
         for i, a in enumerate(answers):
-            a[f"c{n}"] = B.smallest(sums[inverse[at[i] : at[i + 1]]])
+            of = inverse[at[i] : at[i + 1]]
+            a[f"c{n}"] = B.smallest(sums[of])
+            if n > 1:
+                a[f"e{n}"] = (holders[of] > 1).astype(np.uint8)
     columns = {
         "block": pa.array(names),
         "bucket": table["bucket"],
