@@ -754,6 +754,47 @@ def test_substrings(docs, rows, empty, block_bytes):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("weak", ["words", "grams", "reaches", "windows"])
+def test_substrings_compare_words(docs, rows, monkeypatch, weak):
+    """With hashes that often agree by chance the result is the same, or it is refused."""
+    from chronoloom.llm import substrings as S
+
+    texts = [t for t in TEXTS if t][:16]
+    column = pa.array(texts, pa.string())
+    ids = list(range(len(texts)))
+    few = lambda x: x & np.uint64(0xFF)
+
+    class File:
+        def add(self, own, keys):
+            self.own = own
+            return None
+
+        def close(self):
+            pass
+
+    file = File()
+    monkeypatch.setattr(S.B, "OwnFile", lambda folder: file)
+    if weak == "words":
+        monkeypatch.setattr(W.Chunk, "hashes", lambda self, old=W.Chunk.hashes: few(old(self)))
+    if weak == "grams":
+        monkeypatch.setattr(S, "window_hash", lambda h, at, k, which=1, old=S.window_hash: few(old(h, at, k, which)) if which == 1 and np.ndim(k) == 0 else old(h, at, k, which))
+    if weak == "reaches":
+        monkeypatch.setattr(S, "mix64", lambda x, old=S.mix64: few(old(x)))
+    if weak == "windows":
+        monkeypatch.setattr(S, "window_hash", lambda h, at, k, which=1, old=S.window_hash: few(old(h, at, k, which)) if which == 2 else old(h, at, k, which))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), column], names=["doc_id", "text"])
+    list(S._collect(1 << 20, "")(iter([batch])))
+    block = S._Block(file.own, 20, 10)
+    table = lambda asked: pa.table({"block": ["b"] * len(asked), "bucket": pa.array([b for b, _ in asked], pa.int32()), "payload": pa.array([m for _, m in asked], pa.binary())})
+    status = S.B.unpack(S._answer_anchors(table(block.ask(1)))["payload"][0].as_py())["status"]
+    asked = block.ask_words(status, 1)
+    compared = S.B.unpack(S._answer_words(table(asked))["payload"][0].as_py())["status"] if asked else np.zeros(0, np.uint8)
+    gone = block.removed(status, compared)
+    want = {r[0]: r[2] for r in _deduped([(i, t) for i, t in enumerate(texts)])}
+    got = {i: int(gone[a:b].sum()) for i, (a, b) in enumerate(zip(block.word_at[:-1], block.word_at[1:], strict=True))}
+    assert {(True, i): (True, n) for i, n in got.items()} == want
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_substrings_of_few_words(spark, seed):
     """Few distinct words make ties, periods and overlapping repeats."""
