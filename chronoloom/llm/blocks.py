@@ -26,7 +26,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 SCHEMA = "block string, bucket int, payload binary"
@@ -37,9 +37,15 @@ OWN_SCHEMA = SCHEMA + ", keys long"
 BUCKET_BYTES, KEY_BYTES = 16 << 20, 6
 
 
-def bucket_count(own: DataFrame) -> int:
-    keys = own.agg(F.sum("keys")).first()[0] or 0
-    return max(1, -(-keys * KEY_BYTES // BUCKET_BYTES))
+def measured(own: DataFrame) -> tuple[int, int]:
+    """How many blocks there are, and how many buckets their keys need."""
+    blocks, keys = own.agg(F.count("*"), F.sum("keys")).first()
+    return blocks, max(1, -(-(keys or 0) * KEY_BYTES // BUCKET_BYTES))
+
+
+def by_block(rows: DataFrame, blocks: int) -> GroupedData:
+    """Blocks' rows grouped.  They are small, since own parts are not in them, but the work on a block is not: about a task each."""
+    return rows.repartition(min(max(1, blocks), 100_000), "block").groupBy("block")
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:

@@ -316,14 +316,14 @@ def score(docs: DataFrame, held: Column | None = None, order: int = 3, mu: tuple
     held = held_out(F.col("doc_id")) if held is None else held
     collected = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held")).mapInArrow(_collect(order, block_bytes, new_folder(docs.sparkSession, "lm-own")), B.OWN_SCHEMA)
     own = materialize(collected, "lm-blocks")
-    buckets, own = B.bucket_count(own), own.drop("keys")
+    (blocks, buckets), own = B.measured(own), own.drop("keys")
     schema = "block string, bucket int, payload binary, distinct long, total long"
     answers = materialize(own.mapInArrow(_ask_first(order, buckets), B.SCHEMA).groupBy("bucket").applyInArrow(_answer, schema), "lm-answers")
     sums = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     known = own.union(answers.select("block", "bucket", "payload"))
     for n in range(3, order + 1):
-        asked = known.groupBy("block").applyInArrow(_ask_next(n, buckets), B.SCHEMA)
+        asked = B.by_block(known, blocks).applyInArrow(_ask_next(n, buckets), B.SCHEMA)
         more = materialize(asked.groupBy("bucket").applyInArrow(_answer, schema), "lm-answers")
         known = known.union(more.select("block", "bucket", "payload"))
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return known.groupBy("block").applyInArrow(_scorer(order, sums[0], sums[1], mu), out)
+    return B.by_block(known, blocks).applyInArrow(_scorer(order, sums[0], sums[1], mu), out)

@@ -389,10 +389,10 @@ def remove_repeats(docs: DataFrame, length: int = 20, gram: int = 10, with_text:
     """
     schema = "block string, bucket int, payload binary"
     own = materialize(docs.select("doc_id", "text").mapInArrow(_collect(block_bytes, new_folder(docs.sparkSession, "repeat-own")), B.OWN_SCHEMA), "repeat-blocks")
-    buckets, own = B.bucket_count(own), own.drop("keys")
+    (blocks, buckets), own = B.measured(own), own.drop("keys")
     asked = own.mapInArrow(_ask(length, gram, buckets), B.SCHEMA)
     anchors = materialize(asked.groupBy("bucket").applyInArrow(_answer_anchors, schema), "repeat-anchors")
-    candidates = own.union(anchors).groupBy("block").applyInArrow(_ask_words(length, gram, buckets), schema)
+    candidates = B.by_block(own.union(anchors), blocks).applyInArrow(_ask_words(length, gram, buckets), schema)
     words = materialize(candidates.groupBy("bucket").applyInArrow(_answer_words, schema), "repeat-words")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:long,end:long>>" + ", kept_text string" * with_text
-    return own.union(anchors).union(words).groupBy("block").applyInArrow(_finish(length, gram, with_text), out)
+    return B.by_block(own.union(anchors).union(words), blocks).applyInArrow(_finish(length, gram, with_text), out)
