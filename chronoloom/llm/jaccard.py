@@ -252,12 +252,12 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the least (doc_id, text) stays, whole.
+    """docs without near-duplicates: of each component the row with the least doc_id stays, whole.
 
-    Null doc_ids come last; of rows equal in doc_id and text one stays.
+    Null doc_ids come last; of rows with the least doc_id the one with the least hash of all its columns stays.
     """
-    from .simhash import keep_first
+    from .simhash import keep_first, row_tie
 
-    tied = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    tied = docs.select("doc_id", row_tie(docs).alias("tie"), "text")
     rows = materialize(add_classes(tied, "doc_id", "tie"), "document-classes")
     return keep_first(docs, rows, similar_components(docs, percent), "id")

@@ -8,9 +8,11 @@ one bit made a wildcard (64 keys); two segments that differ in at most one bit s
 Rows with an equal key meet in one sorted run, where whole fingerprints are compared and a
 spanning forest of the verified links is kept - never all pairs.
 
-With many fingerprints the 20-bit keys get common.  From ``REFINE_ABOVE`` distinct ones on,
-each key is joined with one of five pieces of the other bits (of which at most 4 differ, so
-one piece is equal): five times the keys, runs shorter by 2**8 - the same links either way.
+A key that more than ``HOT_RUN`` fingerprints share is split: each of them goes once more under
+the key joined with one of five pieces of its bits (of which at most 4 differ, so one piece is
+equal), so no link is lost and no task holds a hot key.  ``refine`` does the same to all keys
+from the start: five times the keys, runs shorter by 2**12, for some ten million distinct
+fingerprints and more.  Links are the same either way.
 
 Components are found by distributed star contraction on the fingerprints.
 
@@ -27,15 +29,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .store import materialize
-from .words import chunks, laid_words
+from .words import chunks, laid_words, mix64
 
 SEGMENTS = ((0, 21), (21, 42), (42, 64))
-REFINE_ABOVE = 1 << 24
+HOT_RUN = 1 << 14
 _SPREAD = np.zeros(256, dtype=np.uint64)
 for _b in range(8):
     _SPREAD |= ((np.arange(256, dtype=np.uint64) >> np.uint64(_b)) & np.uint64(1)) << np.uint64(8 * _b)
@@ -91,24 +93,41 @@ def add_fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
-def _variants(refine: bool):
+def _pieces(distance: int) -> list[np.uint64]:
+    """Masks of distance + 1 pieces of the 64 bits: one of them is equal in any two linked fingerprints."""
+    n = distance + 1
+    return [np.uint64((1 << 64 * (p + 1) // n) - (1 << 64 * p // n)) for p in range(n)]
+
+
+def _mixed(key: np.ndarray, fp: np.ndarray, number: int) -> np.ndarray:
+    return mix64(key ^ mix64(fp ^ mix64(np.full(1, number + 1, np.uint64))))
+
+
+def _variants(distance: int, refine: bool):
     """Index rows (key, fp) of each fingerprint."""
-    plans = []
-    for s, (lo, hi) in enumerate(SEGMENTS):
-        segment = (1 << hi) - (1 << lo)
-        rest = [b for b in range(64) if not lo <= b < hi]
-        pieces = [sum(1 << b for b in rest[len(rest) * p // 5 : len(rest) * (p + 1) // 5]) for p in range(5)] if refine else [0]
-        plans += [(s * 320 + (bit - lo) * 5 + p, segment & ~(1 << bit) | piece) for bit in range(lo, hi) for p, piece in enumerate(pieces)]
+    plans = [(100 * s + bit, (1 << hi) - (1 << lo) & ~(1 << bit)) for s, (lo, hi) in enumerate(SEGMENTS) for bit in range(lo, hi)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .words import mix64
-
         for batch in batches:
             fp = batch.column(0).to_numpy().view(np.uint64)
             for lo in range(0, len(fp), 4096):
                 part = fp[lo : lo + 4096]
-                keys = [mix64(part & np.uint64(mask) ^ mix64(np.full(1, number + 1, np.uint64))) for number, mask in plans]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(part, len(plans)).view(np.int64))], names=["key", "fp"])
+                keys = [_mixed(np.full(1, number, np.uint64), part & np.uint64(mask), 0) for number, mask in plans]
+                if refine:
+                    keys = [_mixed(k, part & mask, p) for k in keys for p, mask in enumerate(_pieces(distance))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(part, len(keys)).view(np.int64))], names=["key", "fp"])
+
+    return run
+
+
+def _split_keys(distance: int):
+    """Rows (key, fp) of hot keys under as many narrower keys as there are pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, fp = (c.to_numpy().view(np.uint64) for c in batch.columns)
+            keys = [_mixed(key, fp & mask, p) for p, mask in enumerate(_pieces(distance))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(fp, len(keys)).view(np.int64))], names=["key", "fp"])
 
     return run
 
@@ -131,8 +150,8 @@ def forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*a, none]), np.concatenate([*b, none])
 
 
-def _links(distance: int):
-    """From rows sorted by key: verified links (a, b) that span each run of equal keys."""
+def _links(distance: int, most: int | None):
+    """From rows sorted by key: verified links (a, b) that span each run of equal keys; of runs longer than ``most`` the rows as (fp, key) marked hot."""
 
     def settle(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -141,38 +160,61 @@ def _links(distance: int):
         pairs = pairs[np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= distance]
         a, b = [fp[pairs]], [fp[pairs + 1]]
         for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            x, y = forest(fp[s : s + n], distance)
-            a.append(x)
-            b.append(y)
+            if most is None or n <= most:
+                x, y = forest(fp[s : s + n], distance)
+                a.append(x)
+                b.append(y)
         return np.concatenate(a), np.concatenate(b)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def out(n: int) -> pa.RecordBatch:
-            a, b = settle(key[:n], fp[:n]) if n else (fp[:0], fp[:0])
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+    def rows(a: np.ndarray, b: np.ndarray, hot: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), hot))], names=["a", "b", "hot"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # the parts of the last run, which may go on
         for batch in batches:
-            key = np.concatenate((key, batch.column(0).to_numpy()))
-            fp = np.concatenate((fp, batch.column(1).to_numpy().view(np.uint64)))
-            done = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last run may go on
-            if done:
-                yield out(done)
-                key, fp = key[done:], fp[done:]
-        yield out(len(key))
+            key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            if not len(key):
+                continue
+            if held and key[-1] == held[0][0][0]:
+                held.append((key, fp))
+            else:
+                cut = int(np.searchsorted(key, key[-1]))
+                done = [*held, (key[:cut], fp[:cut])]
+                held = [(key[cut:], fp[cut:])]
+                yield from flush(*(np.concatenate(x) for x in zip(*done, strict=True)))
+            if most is not None and sum(len(k) for k, _ in held) > 4 * most:
+                # long enough to be hot whatever follows; what follows is marked by its own length or joins here
+                key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+                yield rows(fp[:-most - 1], key[: -most - 1].view(np.uint64), True)
+                held = [(key[-most - 1 :], fp[-most - 1 :])]
+        if held:
+            yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def flush(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(key):
+            return
+        yield rows(*settle(key, fp), False)
+        if most is not None:
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(start, len(key)))
+            hot = np.repeat((size > most), size)
+            if hot.any():
+                yield rows(fp[hot], key[hot].view(np.uint64), True)
 
     return run
 
 
-def fingerprint_components(distinct: DataFrame, distance: int = 4, refine_above: int = REFINE_ABOVE) -> DataFrame:
+def fingerprint_components(distinct: DataFrame, distance: int = 4, refine: bool = False, hot_run: int = HOT_RUN) -> DataFrame:
     """distinct: column fp, no repeats.  Returns node, root of every fingerprint that has a link."""
     if distance > 2 * len(SEGMENTS) - 1:
         raise ValueError("three segments allow up to 5 differing bits")
-    refine = distance < 5 and distinct.count() > refine_above
-    indexed = distinct.mapInArrow(_variants(refine), "key long, fp long")
-    runs = indexed.repartition("key").sortWithinPartitions("key")
-    return connected_components(runs.mapInArrow(_links(distance), "a long, b long"))
+    schema = "a long, b long, hot boolean"
+    index = distinct.mapInArrow(_variants(distance, refine), "key long, fp long").repartition("key").sortWithinPartitions("key")
+    found = materialize(index.mapInArrow(_links(distance, hot_run), schema), "fingerprint-links")
+    hot = found.where("hot").select(F.col("b").alias("key"), F.col("a").alias("fp"))
+    narrow = hot.mapInArrow(_split_keys(distance), "key long, fp long").repartition("key").sortWithinPartitions("key")
+    more = narrow.mapInArrow(_links(distance, None), schema)
+    return connected_components(found.where("not hot").union(more).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
@@ -188,20 +230,27 @@ def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the least (doc_id, text) stays, whole.
+    """docs without near-duplicates: of each component the row with the least doc_id stays, whole.
 
-    Null doc_ids come last; of rows equal in doc_id and text one stays.
+    Null doc_ids come last; of rows with the least doc_id the one with the least hash of all its columns stays.
     """
-    fps = materialize(add_fingerprints(docs.select("doc_id", "text"), "doc_id", "text").select("doc_id", F.xxhash64("text").alias("tie"), "fp"), "fingerprints")
+    fps = materialize(add_fingerprints(docs.select("doc_id", row_tie(docs).alias("tie"), "text"), "doc_id", "tie"), "fingerprints")
     classes = fps.select("fp").distinct()
     return keep_first(docs, fps, fingerprint_components(classes, distance), "fp")
 
 
 def keep_first(docs: DataFrame, rows: DataFrame, roots: DataFrame, node: str) -> DataFrame:
-    """docs whose (doc_id, text) is the least of their component; rows: doc_id, tie (hash of the text) and ``node``, which roots has a root for if it has links."""
+    """docs whose (doc_id, tie) is the least of their component; rows: doc_id, tie and ``node``, which roots has a root for if it has links.
+
+    tie: a hash of all columns of docs (see :func:`row_tie`), so rows that share it are alike.
+    """
     rooted = rows.join(roots, rows[node] == roots["node"], "left").withColumn("root", F.coalesce("root", node))
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("k")).select("k.doc_id", "k.tie")
     picked = first.select(F.col("doc_id").alias("_doc_id"), F.col("tie").alias("_tie"))
-    kept = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = kept.join(picked, kept["doc_id"].eqNullSafe(picked["_doc_id"]) & (kept["_text_hash"] == picked["_tie"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    kept = docs.withColumn("_row_tie", row_tie(docs))
+    kept = kept.join(picked, kept["doc_id"].eqNullSafe(picked["_doc_id"]) & (kept["_row_tie"] == picked["_tie"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_row_tie"]).drop("_row_tie")
+
+
+def row_tie(docs: DataFrame) -> Column:
+    return F.xxhash64(F.lit("tie"), *docs.columns)

@@ -110,15 +110,16 @@ def _orders(messages: list[dict[str, np.ndarray]]) -> np.ndarray:
 
 def _spans_equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether data[a:a + size] equals data[b:b + size], some million elements at a time."""
-    out, first = np.ones(len(a), dtype=bool), 0
-    ends = np.cumsum(size)
-    while first < len(a):
+    out, rows = np.ones(len(a), dtype=bool), np.flatnonzero(a != b)
+    a, shift, size = a[rows], b[rows] - a[rows], size[rows]
+    ends, first = np.cumsum(size), 0
+    while first < len(rows):
         before = ends[first - 1] if first else 0
         stop = max(first + 1, int(np.searchsorted(ends, before + _COMPARE, side="right")))
         n = size[first:stop]
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        unlike = data[np.repeat(a[first:stop], n) + inside] != data[np.repeat(b[first:stop], n) + inside]
-        out[first:stop] = np.bincount(np.repeat(np.arange(stop - first), n)[unlike], minlength=stop - first) == 0
+        at = np.repeat(a[first:stop] - (ends[first:stop] - n - before), n) + np.arange(n.sum())
+        unlike = np.flatnonzero(data[at] != data[at + np.repeat(shift[first:stop], n)])
+        out[rows[first + np.searchsorted(ends[first:stop] - before, unlike, side="right")]] = False
         first = stop
     return out
 

@@ -497,8 +497,8 @@ def test_keep_one_of_similar(spark, docs, rows, empty, monkeypatch, small, commo
     assert jaccard.keep_one(empty).count() == 0
 
 
-@pytest.mark.parametrize("refine_above", [0, 1 << 30])
-def test_fingerprint_links(spark, refine_above):
+@pytest.mark.parametrize("refine, hot_run", [(False, 1 << 14), (True, 1 << 14), (False, 1), (True, 2)])
+def test_fingerprint_links(spark, refine, hot_run):
     rng = np.random.default_rng(4)
     fps = rng.integers(0, 2**64 - 1, 40, dtype=np.uint64).tolist()
     for base in fps[:20]:  # chains of small steps, and a dense ball
@@ -509,7 +509,7 @@ def test_fingerprint_links(spark, refine_above):
     fps += [fps[0] ^ (1 << a) ^ (1 << b) for a in range(0, 60, 7) for b in range(1, 60, 9) if a != b]
     fps = sorted(set(fps))
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    got = {r["node"]: r["root"] for r in simhash.fingerprint_components(spark.createDataFrame([(s,) for s in signed], "fp long"), refine_above=refine_above).collect()}
+    got = {r["node"]: r["root"] for r in simhash.fingerprint_components(spark.createDataFrame([(s,) for s in signed], "fp long"), refine=refine, hot_run=hot_run).collect()}
     want = _components(fps)
     for i in range(len(fps)):
         for j in range(i):
