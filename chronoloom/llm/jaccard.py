@@ -7,10 +7,13 @@ order, two sets of that similarity share a shingle among the first n - ceil(0.8
 order puts rare shingles first and the common ones of a sample of texts last; any order
 gives the same links, this one keeps groups of equal shingles small.
 
-Groups give pairs to verify, of sizes that allow the similarity and of different components
-so far: small groups all pairs at once, large ones the pairs of a growing number of first
-members a round, until all pairs are verified or linked by way of others.  Pairs are verified
-on whole sets, made anew from the texts of classes in groups.
+Members of a group are in order of how many groups they are in, the most first: an original
+shares nearly all its shingles, its copies not those that were changed.  First each class is
+compared with the foremost head of its groups, one pair a class.  Then groups whose members
+are still of several components go on, with the pairs of a growing number of heads a round,
+until all pairs are verified or linked by way of others.  A pair is formed only if its sizes and
+the places of the shared shingle in both orders allow the similarity: if it is similar, this holds at
+the first shingle that both share.  Pairs are verified on whole sets, made anew from the texts.
 
 Edge cases: null and wordless texts have the empty set and are one class; a text of fewer
 than 5 words has one shingle, all its words; A-Z count as a-z.
@@ -34,9 +37,7 @@ PERCENT = 80
 #: order only: texts that common shingles are counted in, and how many of these are told apart
 SAMPLE = 20_000
 COMMON = 1 << 17
-#: groups of up to so many members give all pairs at once
-SMALL = 16
-#: rows that large groups are worked through at a time
+#: most heads a round
 ROUND = 1 << 14
 
 
@@ -95,7 +96,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(common: np.ndarray, percent: int):
-    """Index rows (key, id, n) of the classes of texts, once a batch at most."""
+    """Index rows (key, id, n, at) of the classes of texts, once a batch at most; at: the key's place in the order of the set."""
     by_value = np.argsort(common)
     values = common[by_value]
 
@@ -118,8 +119,8 @@ def prefixes(common: np.ndarray, percent: int):
                 nth = np.arange(len(shingles)) - at[owner]
                 taken = nth < np.where(new, n - -(-percent * n // 100) + 1, 0)[owner]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shingles[order][taken].view(np.int64)), pa.array(ids[owner[taken]].view(np.int64)), pa.array(n[owner[taken]])],
-                    names=["key", "id", "n"],
+                    [pa.array(shingles[order][taken].view(np.int64)), pa.array(ids[owner[taken]].view(np.int64)), pa.array(n[owner[taken]]), pa.array(nth[taken])],
+                    names=["key", "id", "n", "at"],
                 )
 
     return run
@@ -148,31 +149,36 @@ def _starts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Index rows whose key several classes have, with that number."""
-    for key, ids, n in _runs(batches):
+    for key, ids, n, place in _runs(batches):
         order = np.lexsort((ids, key))
-        key, ids, n = key[order], ids[order], n[order]
+        key, ids, n, place = key[order], ids[order], n[order], place[order]
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])))
-        key, ids, n = key[new], ids[new], n[new]
-        start, size = _starts(key)
+        key, ids, n, place = key[new], ids[new], n[new], place[new]
+        _, size = _starts(key)
         size = np.repeat(size, size)
         some = size > 1
-        yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (key, ids, n, size)], names=["key", "id", "n", "members"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (key, ids, n, place, size)], names=["key", "id", "n", "at", "members"])
 
 
-def _pairs(lo: int, hi: int, percent: int, small: int):
-    """Pairs (a, b) to verify among rows (key, id, n, root) sorted by key: of small groups all, of large ones those of members lo to hi with later ones."""
+def _allowed(percent: int, n: np.ndarray, place: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets a and b can be similar if their first shared shingle is at these places."""
+    left = np.minimum(n[a] - place[a], n[b] - place[b])
+    # |x & y| >= p / (100 + p) * (|x| + |y|)
+    return (100 + percent) * left >= percent * (n[a] + n[b])
+
+
+def _pairs(lo: int, hi: int, percent: int):
+    """Pairs (a, b) to verify among rows (key, id, n, at, shared, root) sorted by key: those of members lo to hi with later ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, ids, n, root in _runs(batches):
-            order = np.lexsort((ids, key))
-            key, ids, n, root = key[order], ids[order], n[order], root[order]
+        for key, ids, n, place, shared, root in _runs(batches):
+            order = np.lexsort((ids, -shared, key))
+            key, ids, n, place, root = key[order], ids[order], n[order], place[order], root[order]
             start, size = _starts(key)
             end = np.repeat(start + size, size)
-            at = np.arange(len(key))
-            nth = at - np.repeat(start, size)
-            large = np.repeat(size, size) > small
+            nth = np.arange(len(key)) - np.repeat(start, size)
             # members that stand first in pairs, and how many stand after each
-            heads = np.flatnonzero((~large & (lo == 0)) | (large & (nth >= lo) & (nth < hi)))
+            heads = np.flatnonzero((nth >= lo) & (nth < hi))
             reach = np.cumsum(end[heads] - heads - 1)
             cut = 0
             while cut < len(heads):
@@ -182,8 +188,7 @@ def _pairs(lo: int, hi: int, percent: int, small: int):
                 later = end[head] - head - 1
                 a = np.repeat(head, later)
                 b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
-                least, most = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-                fit = (root[a] != root[b]) & (100 * least >= percent * most)
+                fit = (root[a] != root[b]) & _allowed(percent, n, place, a, b)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a[fit]]), pa.array(ids[b[fit]])], names=["a", "b"])
                 cut = stop
 
@@ -221,34 +226,37 @@ def _verified(percent: int):
 
 def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs: text.  Returns node, root of every class linked to another."""
-    index = docs.select("text").mapInArrow(prefixes(common_shingles(docs), percent), "key long, id long, n long")
+    index = docs.select("text").mapInArrow(prefixes(common_shingles(docs), percent), "key long, id long, n long, at long")
     index = index.repartition("key").sortWithinPartitions("key")
-    groups = materialize(index.mapInArrow(_shared, "key long, id long, n long, members long"), "shingle-groups")
-    members = groups.select("id").distinct()
+    shared = index.mapInArrow(_shared, "key long, id long, n long, at long, members long")
+    groups = materialize(shared, "shingle-groups")
+    members = materialize(groups.groupBy("id").agg(F.count("*").alias("shared")), "shingle-members")
+    groups = materialize(groups.join(members, "id"), "shingle-groups")
     told = add_classes(docs.select("text"), text=True).join(members, "id", "left_semi")
     texts = materialize(told.groupBy("id").agg(F.first("text").alias("text")), "class-texts")
 
-    links = roots = None
-    lo, hi = 0, 1
-    left = groups.withColumn("root", F.col("id"))
+    # each class with the foremost head of its groups
+    heads = groups.groupBy("key").agg(F.max(F.struct("shared", "id")).alias("head"))
+    best = groups.select("key", "id").join(heads, "key").groupBy("id").agg(F.max("head").alias("head"))
+    pairs = best.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).where("a != b").distinct()
+
+    links, lo, hi = None, 0, 1
     while True:
-        run = left.select("key", "id", "n", "root").repartition("key").sortWithinPartitions("key")
-        pairs = run.mapInArrow(_pairs(lo, hi, percent, SMALL), "a long, b long").distinct()
         of_a, of_b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
         joined = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "ta", "tb")
         found = materialize(joined.mapInArrow(_verified(percent), "a long, b long"), "similar")
         links = found if links is None else links.union(found)
         roots = materialize(connected_components(links), "similar-roots")
-        # large groups with members in several components go on
-        lo, hi = hi, min(4 * hi, hi + ROUND)
-        going = groups.where((F.col("members") > SMALL) & (F.col("members") > lo + 1))
-        if going.isEmpty():
-            return roots
-        going = going.join(roots, going["id"] == roots["node"], "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+        # groups with members in several components go on
+        going = groups.where(F.col("members") > lo + 1)
+        going = going.join(roots, going["id"] == roots["node"], "left").select("key", "id", "n", "at", "shared", F.coalesce("root", "id").alias("root"))
         split = going.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a != _b").select("key")
         left = materialize(going.join(split, "key", "left_semi"), "groups-left")
         if left.isEmpty():
             return roots
+        run = left.repartition("key").sortWithinPartitions("key")
+        pairs = run.mapInArrow(_pairs(lo, hi, percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        lo, hi = hi, min(4 * hi, hi + ROUND)
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

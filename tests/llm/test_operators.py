@@ -474,9 +474,8 @@ def _similar_groups(texts):
     return root
 
 
-@pytest.mark.parametrize("small, common", [(16, 1 << 17), (1, 0)])
-def test_keep_one_of_similar(spark, docs, rows, empty, monkeypatch, small, common):
-    monkeypatch.setattr(jaccard, "SMALL", small)
+@pytest.mark.parametrize("common", [1 << 17, 0])
+def test_keep_one_of_similar(spark, docs, rows, empty, monkeypatch, common):
     monkeypatch.setattr(jaccard, "COMMON", common)
     rng = np.random.default_rng(3)
     more = []
