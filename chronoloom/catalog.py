@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import kernel_sql as K
 from .functions import arrays
 from .operators import cells, clustering, detection, graph, intervals, partitions, scores, series, transitions
 from .plans import pipelines, windows
@@ -453,7 +454,18 @@ def expanding_component_bound(s, d):
     hours = contacts_.select("sample_id").distinct().select("sample_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(24).cast("long"))).alias("k"))
     spans = hours.withColumns({"w_start": F.lit(0.0), "w_end": F.col("k") * HOUR})
     edges = intervals.range_join(contacts_, spans, 6 * HOUR).select("sample_id", "k", F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j")).distinct()
-    return graph.upper_bound(graph.component_sizes(edges, ["sample_id", "k"]), ["sample_id", "k"], ev.node_counts(contacts_))
+    out = graph.upper_bound(graph.component_sizes(edges, ["sample_id", "k"]), ["sample_id", "k"], ev.node_counts(contacts_))
+    return out.select("sample_id", "k", _r("upper_bound"))
+
+
+_SQL["expanding_component_bound"] = (
+    _with("n_nodes", "", True).rstrip()
+    + """, links AS (SELECT DISTINCT sample_id, k, least(src, dst) AS i, greatest(src, dst) AS j FROM contacts, range(1, 25) r(k) WHERE t_start < k * 3600 AND t_end > 0),
+reach AS (SELECT sample_id, k, i AS node, i AS other FROM links UNION SELECT sample_id, k, j, j FROM links
+  UNION SELECT r.sample_id, r.k, r.node, b.j FROM reach r JOIN (SELECT sample_id, k, i, j FROM links UNION ALL SELECT sample_id, k, j, i FROM links) b ON b.sample_id = r.sample_id AND b.k = r.k AND b.i = r.other),
+comps AS (SELECT sample_id, k, component, count(*) AS size FROM (SELECT sample_id, k, node, min(other) AS component FROM reach GROUP BY 1, 2, 3) GROUP BY 1, 2, 3)
+SELECT sample_id, k, round(sum(size / n_nodes * ln(size)), 6) AS upper_bound FROM comps JOIN n_nodes USING (sample_id) GROUP BY 1, 2"""
+)
 
 
 # ---- cells ----------------------------------------------------------------------------------
@@ -528,23 +540,33 @@ def support(s, d):
     return cells.support(_walk(s, d), DAY)
 
 
-@_query("shared_support", "snaps", "SELECT sample_id, count(*) AS n_shared FROM (SELECT DISTINCT sample_id, unnest([i, j]) AS node FROM snaps WHERE bin = 10 INTERSECT SELECT DISTINCT sample_id, unnest([i, j]) FROM snaps WHERE bin = 11) GROUP BY 1")
+_DAY_BIN = ["sample_id", "bin"]
+
+
+@_query("shared_support", "snaps", "SELECT sample_id, bin, count(*) AS n_shared FROM (SELECT DISTINCT sample_id, bin, unnest([i, j]) AS node FROM snaps INTERSECT SELECT DISTINCT sample_id, bin - 1, unnest([i, j]) FROM snaps) GROUP BY 1, 2")
 def shared_support(s, d):
+    """Nodes that each snapshot shares with the next one."""
     snaps = _snaps(s, d).withColumn("v", F.lit(1.0))
-    return cells.shared_support(snaps.where("bin = 10"), snaps.where("bin = 11"), DAY)
+    return cells.shared_support(snaps, snaps.withColumn("bin", F.col("bin") - 1), _DAY_BIN)
+
 
+_FULL_SNAPS = """SELECT sample_id, bin, i, j, 1.0::DOUBLE AS v FROM snaps
+UNION ALL SELECT n.sample_id, b.bin, node, node, 1.0 FROM nodes n JOIN bins b ON b.sample_id = n.sample_id WHERE NOT EXISTS (SELECT 1 FROM snaps x WHERE x.bin = b.bin AND x.sample_id = n.sample_id AND n.node IN (x.i, x.j))"""
 
-@_query("to_full", "snaps nodes", """SELECT sample_id, i, j, 1.0::DOUBLE AS v FROM snaps WHERE bin = 10
-UNION ALL SELECT sample_id, node, node, 1.0 FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM snaps x WHERE x.bin = 10 AND x.sample_id = n.sample_id AND n.node IN (x.i, x.j))""")
+
+def _full_snaps(s, d) -> DataFrame:
+    nodes = ev.nodes_of(ev.contacts(s, d)).join(_bins(s, d), "sample_id")
+    return cells.to_full(_snaps(s, d).withColumn("v", F.lit(1.0)), nodes, _DAY_BIN)
+
+
+@_query("to_full", "snaps nodes bins", _FULL_SNAPS)
 def to_full(s, d):
-    one = _snaps(s, d).where("bin = 10").withColumn("v", F.lit(1.0))
-    return cells.to_full(one, ev.nodes_of(ev.contacts(s, d)), DAY)
+    return _full_snaps(s, d)
 
 
-@_query("to_compact", "snaps", "SELECT sample_id, i, j, 1.0::DOUBLE AS v FROM snaps WHERE bin = 10")
+@_query("to_compact", "snaps", "SELECT sample_id, bin, i, j, 1.0::DOUBLE AS v FROM snaps")
 def to_compact(s, d):
-    one = _snaps(s, d).where("bin = 10").withColumn("v", F.lit(1.0))
-    return cells.to_compact(cells.to_full(one, ev.nodes_of(ev.contacts(s, d)), DAY), DAY)
+    return cells.to_compact(_full_snaps(s, d), _DAY_BIN)
 
 
 @_query("add_diagonal", "walk nodes", "SELECT sample_id, i, j, round(sum(v), 6) AS v FROM (SELECT * FROM walk UNION ALL SELECT sample_id, node, node, 0.25 FROM nodes) GROUP BY ALL")
@@ -669,13 +691,10 @@ def autocovariance_block_sum(s, d):
     return total.select("sample_id", (F.round("total", 6) + 0.0).alias("total"))
 
 
-@_query("reindexed_cells", "snaps", """WITH_IDX SELECT x.sample_id, a.n AS i, b.n AS j FROM snaps x JOIN idx a ON a.sample_id = x.sample_id AND a.node = x.i JOIN idx b ON b.sample_id = x.sample_id AND b.node = x.j WHERE x.bin = 10""")
+@_query("reindexed_cells", "snaps", """, idx AS (SELECT sample_id, bin, node, row_number() OVER (PARTITION BY sample_id, bin ORDER BY node) - 1 AS n FROM (SELECT DISTINCT sample_id, bin, unnest([i, j]) AS node FROM snaps))
+SELECT x.sample_id, x.bin, a.n AS i, b.n AS j FROM snaps x JOIN idx a ON a.sample_id = x.sample_id AND a.bin = x.bin AND a.node = x.i JOIN idx b ON b.sample_id = x.sample_id AND b.bin = x.bin AND b.node = x.j""")
 def reindexed_cells(s, d):
-    one = _snaps(s, d).where("bin = 10").withColumn("v", F.lit(1.0))
-    return cells.reindexed(one, DAY)[0].select("sample_id", "i", "j")
-
-
-_SQL["reindexed_cells"] = _SQL["reindexed_cells"].replace("WITH_IDX", ", idx AS (SELECT sample_id, node, row_number() OVER (PARTITION BY sample_id ORDER BY node) - 1 AS n FROM (SELECT DISTINCT sample_id, unnest([i, j]) AS node FROM snaps WHERE bin = 10))\n")
+    return cells.reindexed(_snaps(s, d).withColumn("v", F.lit(1.0)), _DAY_BIN)[0].select("sample_id", "bin", "i", "j")
 
 
 @_query("symmetrized_walk", "walk", "SELECT sample_id, i, j, round(sum(v) / 2, 6) AS v FROM (SELECT * FROM walk UNION ALL SELECT sample_id, j, i, v FROM walk) GROUP BY ALL")
@@ -688,13 +707,26 @@ def time_slices(s, d):
     return intervals.time_slices(ev.contacts(s, d), 21600.0).select("sample_id", "event_id", "slice", _r("t_start"), _r("t_end"))
 
 
-@_query("frobenius_distance", "contacts", f"""SELECT x.sample_id, round((x.s + y.s - 2 * coalesce(z.s, 0)) / sqrt(x.s * y.s), 6) AS distance FROM
-(SELECT sample_id, sum(v * v) AS s FROM {_HOURLY} WHERE k = 10 GROUP BY 1) x JOIN (SELECT sample_id, sum(v * v) AS s FROM {_HOURLY} WHERE k = 11 GROUP BY 1) y USING (sample_id)
-LEFT JOIN (SELECT a.sample_id, sum(a.v * b.v) AS s FROM {_HOURLY} a JOIN {_HOURLY} b ON b.sample_id = a.sample_id AND b.i = a.i AND b.j = a.j WHERE a.k = 10 AND b.k = 11 GROUP BY 1) z USING (sample_id)""")
+_STATE = "CASE WHEN isnan({0}) THEN 'undefined' WHEN isinf({0}) THEN 'infinite' ELSE 'finite' END"
+
+
+def _with_state(frame: DataFrame, name: str) -> list:
+    """A value where it is finite, and whether it is."""
+    finite = ~F.isnan(name) & (F.abs(name) < float("inf"))
+    return [F.when(finite, F.round(name, 6)).alias(name), F.when(finite, "finite").when(F.isnan(name), "undefined").otherwise("infinite").alias("state")]
+
+
+@_query("frobenius_distance", "contacts", f"""SELECT sample_id, k, CASE WHEN NOT isnan(distance) AND NOT isinf(distance) THEN round(distance, 6) END AS distance, {_STATE.format("distance")} AS state FROM (
+  SELECT x.sample_id, x.k, CASE WHEN x.s * y.s > 0 THEN (x.s + y.s - 2 * coalesce(z.s, 0)) / sqrt(x.s * y.s) WHEN x.s + y.s > 0 THEN 'inf'::DOUBLE ELSE 'nan'::DOUBLE END AS distance FROM norms x JOIN norms y ON y.sample_id = x.sample_id AND y.k = x.k + 1
+  LEFT JOIN (SELECT a.sample_id, a.k, sum(a.v * b.v) AS s FROM {_HOURLY} a JOIN {_HOURLY} b ON b.sample_id = a.sample_id AND b.i = a.i AND b.j = a.j AND b.k = a.k + 1 GROUP BY 1, 2) z ON z.sample_id = x.sample_id AND z.k = x.k WHERE x.s + y.s > 0)""")
 def frobenius_distance(s, d):
+    """Each hour against the next one, of hours of which one has a contact."""
     hourly = _hourly(s, d)
-    out = cells.frobenius_distance(hourly.where("k = 10"), hourly.where("k = 11"), DAY)
-    return out.where("not isnan(distance) and distance < double('infinity')").select("sample_id", _r("distance"))
+    out = cells.frobenius_distance(hourly, hourly.withColumn("k", F.col("k") - 1), ["sample_id", "k"]).where("k between 0 and 22")
+    return out.select("sample_id", "k", *_with_state(out, "distance"))
+
+
+_SQL["frobenius_distance"] = _SQL["frobenius_distance"].replace("\nSELECT", f""", norms AS (SELECT d.sample_id, h.k, coalesce(s, 0) AS s FROM (SELECT DISTINCT sample_id FROM contacts) d, range(0, 24) h(k) LEFT JOIN (SELECT sample_id, k, sum(v * v) AS s FROM {_HOURLY} GROUP BY 1, 2) x ON x.sample_id = d.sample_id AND x.k = h.k)\nSELECT""", 1)
 
 
 # ---- series ---------------------------------------------------------------------------------
@@ -764,10 +796,10 @@ _FROB = """SELECT sample_id, k, avg(d) AS value FROM (
 ) GROUP BY 1, 2 HAVING count(*) = 3"""
 
 
-@_query("frobenius_signal", "snaps bins", f", cnt AS (SELECT b.sample_id, b.bin, count(s.i) AS n FROM bins b LEFT JOIN snaps s ON s.sample_id = b.sample_id AND s.bin = b.bin GROUP BY 1, 2)\nSELECT sample_id, k, round(value, 6) AS value FROM ({_FROB}) WHERE NOT isnan(value) AND NOT isinf(value)")
+@_query("frobenius_signal", "snaps bins", f", cnt AS (SELECT b.sample_id, b.bin, count(s.i) AS n FROM bins b LEFT JOIN snaps s ON s.sample_id = b.sample_id AND s.bin = b.bin GROUP BY 1, 2)\nSELECT sample_id, k, CASE WHEN NOT isnan(value) AND NOT isinf(value) THEN round(value, 6) END AS value, {_STATE.format('value')} AS state FROM ({_FROB})")
 def frobenius_signal(s, d):
     signal = pipelines.frobenius_signals(_snaps(s, d), _bins(s, d), [3])
-    return signal.where("not isnan(value) and value < double('infinity')").select("sample_id", "k", _r("value"))
+    return signal.select("sample_id", "k", *_with_state(signal, "value"))
 
 
 # ---- scores and choice ----------------------------------------------------------------------
@@ -937,13 +969,13 @@ def unfinished_intervals(s, d):
 
 
 # ---- scalar functions ----------------------------------------------------------------------------
-_ANGLES = "(SELECT vec_id, list_transform(embedding[1:4], lambda x: abs(x::DOUBLE)) AS a FROM embeddings)"
+_ANGLES = "(SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS a FROM embeddings)"
 
 
 @_query("subspace_measures", "", f"""SELECT vec_id, round(sqrt(list_sum(list_transform(a, lambda x: sin(x) * sin(x)))), 5) AS projection, round(sqrt(greatest(0, 1 - list_product(list_transform(a, lambda x: cos(x) * cos(x))))), 5) AS binet_cauchy,
 round(2 * sqrt(list_sum(list_transform(a, lambda x: sin(x / 2) * sin(x / 2)))), 5) AS procrustes FROM {_ANGLES}""")
 def subspace_measures(s, d):
-    a = F.transform(F.slice("embedding", 1, 4), lambda x: F.abs(x.cast("double")))
+    a = F.transform("embedding", lambda x: F.abs(x.cast("double")))
     table = _table(s, d, "embeddings").select("vec_id", a.alias("a"))
     return table.select("vec_id", F.round(arrays.projection(F.col("a")), 5).alias("projection"), F.round(arrays.binet_cauchy(F.col("a")), 5).alias("binet_cauchy"), F.round(arrays.procrustes(F.col("a")), 5).alias("procrustes"))
 
@@ -965,28 +997,66 @@ def toy_path(s, d):
     return generators.path(s, 6, overlap=1).select("src", "dst", "t_start", "t_end")
 
 
-# ---- kernels: no SQL ------------------------------------------------------------------------------
-@_query("inter_transitions")
+# ---- kernels ----------------------------------------------------------------------------------------
+_RATE_VALUES = "(VALUES " + ", ".join(f"({r!r}::DOUBLE)" for r in RATES) + ") r(lamda)"
+
+
+def _of_intervals(walk: bool = False) -> str:
+    """CTEs adjm, kern and mats: each interval's matrix p (columns q), the identity where nobody meets."""
+    return ",\n" + ",\n".join(
+        [
+            K.adjacency("adjm", "edges", "sample_id, k"),
+            f"rated AS (SELECT sample_id, k, a, d, lamda, lamda * tau AS t FROM adjm JOIN grid USING (sample_id, k), {_RATE_VALUES})",
+            K.heat("kern", "rated", walk),
+            f"mats AS MATERIALIZED (SELECT g.sample_id, lamda, g.k, g.t, g.tau, coalesce(e, {K._EYE}) AS p, CASE WHEN e IS NULL THEN {K._EYE} ELSE {K.transposed('e')} END AS q FROM (SELECT * FROM grid, {_RATE_VALUES} WHERE tau IS NOT NULL) g LEFT JOIN kern USING (sample_id, k, lamda))".replace("LEFT JOIN kern", "LEFT JOIN (SELECT sample_id, k, lamda, e FROM kern)"),
+        ]
+    )
+
+
+_BY_RATE = ["sample_id", "lamda"]
+
+
+@_query("inter_transitions", "edges spans", _of_intervals(True) + """
+SELECT sample_id, lamda, k, i, j, round(v, 6) AS v FROM (SELECT sample_id, lamda, k, i, unnest(r) AS v, unnest(range(20)) AS j FROM (SELECT sample_id, lamda, k, unnest(e) AS r, unnest(d) AS deg, unnest(range(20)) AS i FROM kern) WHERE deg > 0) WHERE v > 1e-6""")
 def inter_transitions(s, d):
-    return transitions.inter_transitions(_packed(s, d)[1], RATES)
+    return transitions.inter_transitions(_packed(s, d)[1], RATES, tol=1e-6).select("sample_id", "lamda", "k", "i", "j", _r("v"))
+
+
+def _running_sql(reverse: bool) -> str:
+    return _of_intervals() + ",\n" + K.running("run", "mats", _BY_RATE, reverse=reverse) + f"\nSELECT sample_id, lamda, k, round(t + tau, 6) AS t, round({K.entropy('p')}, 6) AS entropy FROM run"
+
 
+def _entropies(frame: DataFrame) -> DataFrame:
+    return frame.select("sample_id", "lamda", "k", _r("t"), _r("entropy"))
 
-@_query("running_entropy")
+
+@_query("running_entropy", "edges spans", _running_sql(False))
 def running_entropy(s, d):
-    return transitions.running_entropy(_packed(s, d)[1], RATES)
+    return _entropies(transitions.running_entropy(_packed(s, d)[1], RATES))
 
 
-@_query("running_entropy_reverse")
+@_query("running_entropy_reverse", "edges spans", _running_sql(True))
 def running_entropy_reverse(s, d):
-    return transitions.running_entropy(_packed(s, d)[1], RATES, reverse=True)
+    return _entropies(transitions.running_entropy(_packed(s, d)[1], RATES, reverse=True))
 
 
-@_query("running_transition")
+@_query("running_transition", "edges spans", _of_intervals() + ",\n" + K.running("run", "mats", _BY_RATE) + "\n" + K.cells("(SELECT * FROM run JOIN spans USING (sample_id) WHERE k = n_intervals - 1)", "sample_id, lamda"))
 def running_transition(s, d):
-    return transitions.running_transition(_packed(s, d)[1], RATES)
+    return transitions.running_transition(_packed(s, d)[1], RATES).where("v > 1e-6").select("sample_id", "lamda", "i", "j", _r("v"))
 
 
-@_query("linear_running_entropy")
+@_query(
+    "linear_running_entropy",
+    "snaps bins",
+    ",\n"
+    + K.adjacency("adjm", "snaps", "sample_id, bin")
+    + f""",
+linear AS (SELECT sample_id, bin, list_transform(range(1, 21), lambda x: list_transform(range(1, 21), lambda y: CASE WHEN d[x] > 0 THEN 0.5 * (x = y)::DOUBLE + 0.5 * a[x][y] / d[x] ELSE (x = y)::DOUBLE END)) AS p FROM adjm),
+mats AS MATERIALIZED (SELECT sample_id, b.bin AS k, x.bin IS NOT NULL AS stored, coalesce(p, {K._EYE}) AS p, CASE WHEN p IS NULL THEN {K._EYE} ELSE {K.transposed('p')} END AS q FROM bins b LEFT JOIN linear x USING (sample_id, bin)),
+"""
+    + K.running("run", "mats", ["sample_id"], 7)
+    + f"\nSELECT sample_id, k, round({K.entropy('p')}, 6) AS entropy FROM run WHERE stored",
+)
 def linear_running_entropy(s, d):
     """Entropy of the running product of linear stand-ins over each day's snapshots."""
     key = ["sample_id", "k"]
@@ -994,23 +1064,45 @@ def linear_running_entropy(s, d):
     walk = graph.random_walk_matrix(graph.both_ways(snaps, key), key)
     linear = cells.linear_transition(walk, cells.stationary(walk, graph.components(snaps, key), key), key, F.lit(0.5))
     n = _all_cohorts(s, d)
-    return cells.entropy(transitions.running_products(linear, n, DAY), key, n)
+    return cells.entropy(transitions.running_products(linear, n, DAY), key, n).select("sample_id", "k", _r("entropy"))
 
 
-@_query("component_exponentials")
+@_query(
+    "component_exponentials",
+    "snaps",
+    ",\n" + K.adjacency("adjm", "snaps", "sample_id, bin") + ",\ntimed AS (SELECT *, 0.7::DOUBLE AS t FROM adjm),\n" + K.heat("kern", "timed") + """
+SELECT sample_id, bin, i, j, round(v, 6) AS v FROM (SELECT sample_id, bin, i, unnest(r) AS v, unnest(range(20)) AS j FROM (SELECT sample_id, bin, unnest(e) AS r, unnest(d) AS deg, unnest(range(20)) AS i FROM kern) WHERE deg > 0) WHERE v > 1e-6""",
+)
 def component_exponentials(s, d):
     key = ["sample_id", "bin"]
     snaps = _snaps(s, d)
-    return transitions.component_exponentials(graph.laplacian(graph.both_ways(snaps, key), key), graph.components(snaps, key), key, 0.7)
+    out = transitions.component_exponentials(graph.laplacian(graph.both_ways(snaps, key), key), graph.components(snaps, key), key, 0.7)
+    return out.where("v > 1e-6").select(*key, "i", "j", _r("v"))
 
 
-@_query("interval_transitions")
+_PARTS_OF_DAYS = f", ranges AS (SELECT * FROM {_RANGES})"
+_BY_INTERVAL = ["sample_id", "interval", "lamda"]
+
+
+@_query(
+    "interval_transitions",
+    "edges spans truth",
+    _of_intervals(True)
+    + _PARTS_OF_DAYS
+    + """, pieces AS MATERIALIZED (SELECT m.sample_id, interval, lamda, k, p, q FROM mats m JOIN ranges g ON g.sample_id = m.sample_id AND k >= g.a AND k < g.b),
+lasts AS (SELECT x.sample_id, interval, max(x.k) AS k FROM adjm x JOIN ranges g ON g.sample_id = x.sample_id AND x.k >= g.a AND x.k < g.b GROUP BY 1, 2),
+"""
+    + K.running("run", "pieces", _BY_INTERVAL)
+    + "\n"
+    + K.cells("(SELECT * FROM run JOIN lasts USING (sample_id, interval, k))", "sample_id, interval, lamda, k"),
+)
 def interval_transitions(s, d):
     """Products that start anew in each interval between change points."""
     grid, packed = _packed(s, d)
     ranges = clustering.intervals_between(_cuts(s, d, grid), grid)
-    mats = transitions.inter_transitions(packed, RATES[:1]).join(ranges, "sample_id").where("k >= start and k < stop").drop("start", "stop")
-    return transitions.running_products(mats, _all_cohorts(s, d), ["sample_id", "interval", "lamda"], only_last=True)
+    mats = clustering.within(transitions.inter_transitions(packed, RATES), ranges)
+    out = transitions.running_products(mats, _all_cohorts(s, d), _BY_INTERVAL, only_last=True)
+    return out.where("v > 1e-6").select(*_BY_INTERVAL, "k", "i", "j", _r("v"))
 
 
 def _window_signals(s, d, backend: str = "sliding", reverse: bool = False, fraction: float = 1.0) -> DataFrame:
@@ -1018,51 +1110,127 @@ def _window_signals(s, d, backend: str = "sliding", reverse: bool = False, fract
     return transitions.window_entropy(packed, pipelines.window_plans(grid, [HALF_HOUR, HOUR], fraction), RATES, backend, reverse=reverse)
 
 
-@_query("window_entropy")
+_CENTERED_HOUR = _CENTERED.replace("900", "1800")
+_SAMPLED = """SELECT DISTINCT p.* FROM (
+  SELECT sample_id, n, CASE WHEN n > 0 AND n = m - 1 THEN b ELSE a + n * CASE WHEN m > 1 THEN (b - a) / (m - 1) ELSE 0 END END AS target
+  FROM (SELECT sample_id, min(t) AS a, max(t) AS b, greatest(1, ceil(0.1 * count(*)))::BIGINT AS m FROM {0} GROUP BY sample_id), range(0, 100000) z(n) WHERE n < m) q
+ASOF JOIN {0} p ON p.sample_id = q.sample_id AND p.t >= q.target"""
+
+
+def _windows_sql(sampled: bool = False) -> str:
+    """CTEs up to signal: sample_id, lamda, window, k, t, value."""
+    both = f", half AS MATERIALIZED ({_CENTERED}), whole AS MATERIALIZED ({_CENTERED_HOUR})"
+    parts = [f"SELECT sample_id, k, t, l, r, {w!r}::DOUBLE AS width FROM ({_SAMPLED.format(n)})" if sampled else f"SELECT sample_id, k, t, l, r, {w!r}::DOUBLE AS width FROM {n}" for n, w in (("half", HALF_HOUR), ("whole", HOUR))]
+    plan = f", plan AS MATERIALIZED (SELECT * FROM ({' UNION ALL '.join(parts)}), {_RATE_VALUES})"
+    return _of_intervals() + both + plan + ",\n" + K.windows("win", "mats", "plan", _BY_RATE) + f",\nsignal AS (SELECT sample_id, lamda, width, k, t, {K.entropy('p')} AS value FROM win)"
+
+
+def _signal_out(frame: DataFrame) -> DataFrame:
+    return frame.select("sample_id", "lamda", "window", "direction", "k", _r("t"), _r("value"))
+
+
+_SIGNAL_SQL = "\nSELECT sample_id, lamda, width AS \"window\", '{0}' AS direction, k, round(t, 6) AS t, round(value, 6) AS value FROM signal"
+
+
+@_query("window_entropy", "edges spans", _windows_sql() + _SIGNAL_SQL.format("forward"))
 def window_entropy(s, d):
-    return _window_signals(s, d)
+    return _signal_out(_window_signals(s, d))
 
 
-@_query("window_entropy_tree")
+@_query("window_entropy_tree", "edges spans", _windows_sql() + _SIGNAL_SQL.format("forward"))
 def window_entropy_tree(s, d):
-    return _window_signals(s, d, "tree", fraction=0.2)
+    return _signal_out(_window_signals(s, d, "tree"))
 
 
-@_query("window_entropy_reverse")
+# kernels of symmetric matrices: the product in reverse order is the transpose, whose entropy is the same
+@_query("window_entropy_reverse", "edges spans", _windows_sql() + _SIGNAL_SQL.format("reverse"))
 def window_entropy_reverse(s, d):
-    return _window_signals(s, d, reverse=True)
+    return _signal_out(_window_signals(s, d, reverse=True))
 
 
 def _n_bkps(s, d, n: int = 3) -> DataFrame:
     return ev.contacts(s, d).select("sample_id").distinct().withColumn("n_bkps", F.lit(n))
 
 
-@_query("detect_change_points")
+def _three_cuts(keys: str, source: str, name: str = "found", report: str = "t") -> str:
+    """CTEs up to name(keys, pred): of all ways to cut each series in four parts of two or more, the one of least cost."""
+    return f""", series AS (SELECT {keys}, list(value ORDER BY k) AS v, list({report} ORDER BY k) AS ts, count(*)::BIGINT AS n FROM {source} GROUP BY {keys}),
+prefixes AS (SELECT *, list_transform(range(0, n + 1), lambda i: coalesce(list_sum(v[1:i]), 0)) AS s, list_transform(range(0, n + 1), lambda i: coalesce(list_sum(list_transform(v[1:i], lambda x: x * x)), 0)) AS q FROM series WHERE n >= 8),
+cuts3 AS (SELECT *, q[a + 1] - s[a + 1] ** 2 / a + q[b + 1] - q[a + 1] - (s[b + 1] - s[a + 1]) ** 2 / (b - a) + q[c + 1] - q[b + 1] - (s[c + 1] - s[b + 1]) ** 2 / (c - b) + q[n + 1] - q[c + 1] - (s[n + 1] - s[c + 1]) ** 2 / (n - c) AS cost
+  FROM prefixes, unnest(range(2, n - 1)) x(a), unnest(range(a + 2, n - 1)) y(b), unnest(range(b + 2, n - 1)) z(c)),
+{name} AS (SELECT {keys}, unnest([ts[w.a + 1], ts[w.b + 1], ts[w.c + 1]]) AS pred FROM (SELECT {keys}, any_value(ts) AS ts, arg_min({{'a': a, 'b': b, 'c': c}}, cost) AS w FROM cuts3 GROUP BY {keys}))"""
+
+
+@_query("detect_change_points", "halfhours", _three_cuts("sample_id", "(SELECT *, k * 1800.0::DOUBLE AS t FROM halfhours)") + "\nSELECT * FROM found")
 def detect_change_points(s, d):
     signal = _halfhours(s, d).withColumn("t", F.col("k") * HALF_HOUR)
     return detection.detect(signal, _n_bkps(s, d), DAY)
 
 
+_PENALIZED = """series AS (SELECT sample_id, penalty, list(value ORDER BY k) AS v, list(k ORDER BY k) AS ks, count(*)::BIGINT AS n FROM halfhours, (VALUES (1e3::DOUBLE), (1e4::DOUBLE), (1e5::DOUBLE)) r(penalty) GROUP BY 1, 2),
+prefixes AS (SELECT *, list_transform(range(0, n + 1), lambda i: coalesce(list_sum(v[1:i]), 0)) AS s, list_transform(range(0, n + 1), lambda i: coalesce(list_sum(list_transform(v[1:i], lambda x: x * x)), 0)) AS q FROM series WHERE n >= 2),
+best AS (
+  SELECT sample_id, penalty, 1::BIGINT AS b, n, s, q, [0.0::DOUBLE, 'inf'::DOUBLE] AS cost, [0::BIGINT, 0::BIGINT] AS back FROM prefixes
+  UNION ALL
+  SELECT sample_id, penalty, b + 1, n, s, q, list_append(cost, list_min(totals)), list_append(back, list_position(totals, list_min(totals))::BIGINT - 1)
+  FROM (SELECT *, list_transform(range(0, b), lambda a: cost[a + 1] + q[b + 2] - q[a + 1] - (s[b + 2] - s[a + 1]) ** 2 / (b + 1 - a) + penalty) AS totals FROM best WHERE b < n)),
+cut AS (
+  SELECT sample_id, penalty, back, back[n + 1] AS start FROM best WHERE b = n
+  UNION ALL SELECT sample_id, penalty, back, back[start + 1] FROM cut WHERE start > 0),
+points AS (SELECT c.sample_id, c.penalty, row_number() OVER (PARTITION BY c.sample_id, c.penalty ORDER BY start) AS rank, start AS signal_index, ks[start + 1] AS k, ks[start + 1] * 1800.0::DOUBLE AS pred FROM cut c JOIN series USING (sample_id, penalty) WHERE start > 0)"""
+
+
+def _penalized_sql(body: str) -> str:
+    return _with("halfhours", "", True).rstrip() + ",\n" + _PENALIZED + "\n" + body
+
+
 @_query("detect_penalized")
 def detect_penalized(s, d):
     signal = _halfhours(s, d).withColumn("t", F.col("k") * HALF_HOUR)
     return detection.detect_penalized(signal, [1e3, 1e4, 1e5], DAY)
 
 
+_SQL["detect_penalized"] = _penalized_sql("SELECT * FROM points")
+
+
 @_query("penalty_summary")
 def penalty_summary(s, d):
     return storage.penalty_summary(detect_penalized(s, d), DAY)
 
 
+_SQL["penalty_summary"] = _penalized_sql("""SELECT sample_id, penalty, count(*)::INT AS num_change_points, string_agg(signal_index::VARCHAR, ' ' ORDER BY rank) AS change_point_indices, string_agg(k::VARCHAR, ' ' ORDER BY rank) AS change_point_k_samples,
+string_agg(pred::VARCHAR, ' ' ORDER BY rank) AS change_point_t_seconds, string_agg((pred / 3600)::VARCHAR, ' ' ORDER BY rank) AS change_point_t_hours FROM points GROUP BY 1, 2""")
+
+
 @_query("change_points_long")
 def change_points_long(s, d):
     return storage.change_points_long(detect_penalized(s, d), DAY)
 
 
-@_query("entropy_grid_search")
+_SQL["change_points_long"] = _penalized_sql("SELECT sample_id, penalty, rank AS change_point_rank, signal_index, k AS k_sample, pred AS t_seconds, pred / 3600 AS t_hours FROM points")
+
+
+def _scores_sql(keys: str, margin: float, cap: float | None = None, truth: str = "truth") -> str:
+    """CTEs up to scored: scores of found(sample_id, keys, pred) for all runs(sample_id, keys)."""
+    on = " AND ".join(f"x.{k} = y.{k}" for k in ["sample_id", *keys.split(", ")])
+    by = f"sample_id, {keys}"
+    return f""", near_true AS (SELECT {", ".join(f"x.{k}" for k in by.split(", "))}, count(*) AS n_true, count(*) FILTER (WHERE d < {margin}) AS tp, max(d) AS a FROM (
+    SELECT {", ".join(f"x.{k}" for k in by.split(", "))}, x.bkp, min(abs(x.bkp - y.pred)) AS d FROM (SELECT r.*, bkp FROM runs r JOIN {truth} USING (sample_id)) x LEFT JOIN found y ON {on} GROUP BY ALL) x GROUP BY ALL),
+near_found AS (SELECT {by}, count(*) AS n_found, max(d) AS b FROM (SELECT f.*, (SELECT min(abs(t.bkp - f.pred)) FROM {truth} t WHERE t.sample_id = f.sample_id) AS d FROM found f) GROUP BY {by}),
+scored AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1, CASE WHEN n_true = 0 AND n_found = 0 THEN 0 WHEN n_true = 0 OR n_found = 0 THEN 'inf'::DOUBLE ELSE greatest(a, b) END AS hausdorff FROM (
+  SELECT *, CASE WHEN n_found > 0 THEN tp / n_found ELSE 0 END AS p, CASE WHEN n_true > 0 THEN tp / n_true ELSE 0 END AS r FROM (
+    SELECT r.*, coalesce(n_true, 0) AS n_true, coalesce(n_found, 0) AS n_found, coalesce(tp, 0) AS tp, a, b FROM runs r LEFT JOIN near_true USING ({by}) LEFT JOIN near_found USING ({by}))))"""
+
+
+@_query(
+    "entropy_grid_search",
+    "edges spans truth",
+    _windows_sql(True) + ", runs AS (SELECT DISTINCT sample_id, lamda, width FROM signal)" + _three_cuts("sample_id, lamda, width", "signal") + _scores_sql("lamda, width", HALF_HOUR) + "\nSELECT lamda, width AS \"window\", round(avg(f1), 6) AS mean_f1, round(avg(hausdorff), 6) AS mean_hausdorff FROM scored GROUP BY 1, 2",
+)
 def entropy_grid_search(s, d):
     signals = _window_signals(s, d, fraction=0.1)
-    return pipelines.grid_search(signals, _scored(s, d)[1], _n_bkps(s, d), ["lamda", "window"], HALF_HOUR)[0]
+    means = pipelines.grid_search(signals, _scored(s, d)[1], _n_bkps(s, d), ["lamda", "window"], HALF_HOUR)[0]
+    return means.select("lamda", "window", _r("mean_f1"), _r("mean_hausdorff"))
 
 
 @_query("entropy_penalty_search")
@@ -1077,15 +1245,37 @@ def entropy_test_evaluation(s, d):
     signals, truth, n = _window_signals(s, d, fraction=0.1), _scored(s, d)[1], _n_bkps(s, d)
     keys = ["lamda", "window"]
     best = pipelines.grid_search(signals.where("sample_id % 2 = 0"), truth, n, keys, HALF_HOUR)[1]
-    return pipelines.test_evaluation(signals.where("sample_id % 2 = 1"), best, truth, n, keys, HALF_HOUR)
+    out = pipelines.test_evaluation(signals.where("sample_id % 2 = 1"), best, truth, n, keys, HALF_HOUR)
+    return out.select("sample_id", *keys, "n_true", "n_found", "tp", _r("f1"), _r("hausdorff"))
+
+
+_SQL["entropy_test_evaluation"] = (
+    _with("edges spans truth", _windows_sql(True) + ", runs AS (SELECT DISTINCT sample_id, lamda, width FROM signal)" + _three_cuts("sample_id, lamda, width", "signal") + _scores_sql("lamda, width", HALF_HOUR))
+    + """, chosen AS (SELECT lamda, width FROM scored WHERE sample_id % 2 = 0 GROUP BY 1, 2 ORDER BY avg(hausdorff), lamda, width LIMIT 1)
+SELECT sample_id, lamda, width AS "window", n_true, n_found, tp, round(f1, 6) AS f1, round(hausdorff, 6) AS hausdorff FROM scored JOIN chosen USING (lamda, width) WHERE sample_id % 2 = 1"""
+)
 
 
 @_query("frobenius_grid_search")
 def frobenius_grid_search(s, d):
+    """Snapshots that follow an empty one have no finite distance and are no part of the series."""
     signals = pipelines.frobenius_signals(_snaps(s, d), _bins(s, d), [1, 2, 3])
     finite = signals.where("not isnan(value) and value < double('infinity')")
     truth = _scored(s, d)[1].withColumn("bkp", F.floor(F.col("bkp") / HALF_HOUR).cast("double"))
-    return pipelines.grid_search(finite, truth, _n_bkps(s, d), ["window_length"], 1.0, cap=48.0)[0]
+    means = pipelines.grid_search(finite, truth, _n_bkps(s, d), ["window_length"], 1.0, cap=48.0)[0]
+    return means.select("window_length", _r("mean_f1"), _r("mean_hausdorff"))
+
+
+_SQL["frobenius_grid_search"] = (
+    _with("snaps bins truth", "").rstrip()
+    + ", cnt AS (SELECT b.sample_id, b.bin, count(s.i) AS n FROM bins b LEFT JOIN snaps s ON s.sample_id = b.sample_id AND s.bin = b.bin GROUP BY 1, 2)"
+    + ", signal AS (SELECT *, k::DOUBLE AS t FROM ("
+    + " UNION ALL ".join(f"SELECT *, {w} AS window_length FROM ({_FROB.replace('a.bin - 3', f'a.bin - {w}').replace('x.bin - 3', f'x.bin - {w}').replace('count(*) = 3', f'count(*) = {w}')})" for w in (1, 2, 3))
+    + ") WHERE NOT isnan(value) AND NOT isinf(value)), runs AS (SELECT DISTINCT sample_id, window_length FROM signal), binned AS (SELECT sample_id, floor(bkp / 1800) AS bkp FROM truth)"
+    + _three_cuts("sample_id, window_length", "signal")
+    + _scores_sql("window_length", 1.0, truth="binned")
+    + "\nSELECT window_length, round(avg(f1), 6) AS mean_f1, round(avg(least(hausdorff, 48.0)), 6) AS mean_hausdorff FROM scored GROUP BY 1"
+)
 
 
 @_query("spectrum_grid_search")
@@ -1100,7 +1290,32 @@ def spectrum_grid_search(s, d):
 
 @_query("laplacian_signatures")
 def laplacian_signatures(s, d):
-    return detection.laplacian_signatures(_packed_snaps(s, d), 6)
+    found = detection.laplacian_signatures(_packed_snaps(s, d), 6)
+    return found.select("sample_id", "bin", F.posexplode("signature").alias("n", "value")).select("sample_id", "bin", F.col("n").cast("long").alias("n"), _r("value"))
+
+
+_SNAP_MATRICES = f""", every AS (SELECT sample_id, bin, coalesce(a, list_transform(range(20), lambda i: list_transform(range(20), lambda j: 0.0::DOUBLE))) AS a, coalesce(d, list_transform(range(20), lambda i: 0.0::DOUBLE)) AS d FROM bins LEFT JOIN adjm USING (sample_id, bin))"""
+
+
+def _top_values(n: int) -> str:
+    """CTEs up to spectra(sample_id, bin, vals): the n greatest eigenvalues of each Laplacian, with their multiplicities."""
+    parts, last = [], "(SELECT sample_id, bin, list_transform(range(1, 21), lambda x: list_transform(range(1, 21), lambda y: (x = y)::DOUBLE * d[x] - a[x][y])) AS m, []::DOUBLE[] AS vals FROM every)"
+    for i in range(n):
+        parts.append(K.squared(f"sq{i}", f"(SELECT *, m AS b FROM {last})"))
+        # a projector over its trace: its squares add up to one over the multiplicity
+        times = "greatest(1, round(1 / list_sum(list_transform(b, lambda r: list_dot_product(r, r)))))"
+        parts.append(
+            f"def{i} AS MATERIALIZED (SELECT sample_id, bin, CASE WHEN s IS NULL THEN m ELSE list_transform(range(1, 21), lambda x: list_transform(range(1, 21), lambda y: m[x][y] - exp(s) * {times} * b[x][y])) END AS m, "
+            f"list_concat(vals, CASE WHEN s IS NULL THEN [0.0::DOUBLE] ELSE list_transform(range({times}::BIGINT), lambda x: exp(s)) END) AS vals FROM sq{i})"
+        )
+        last = f"def{i}"
+    return ",\n".join(parts) + f",\nspectra AS (SELECT sample_id, bin, vals[1:{n}] AS vals FROM {last})"
+
+
+_SQL["laplacian_signatures"] = (
+    _with("snaps bins", "").rstrip() + ",\n" + K.adjacency("adjm", "snaps", "sample_id, bin") + _SNAP_MATRICES + ",\n" + _top_values(6)
+    + "\nSELECT sample_id, bin, n, round(CASE WHEN len2 > 0 THEN v / len2 ELSE 0 END, 6) + 0.0 AS value FROM (SELECT sample_id, bin, sqrt(list_dot_product(vals, vals)) AS len2, unnest(vals) AS v, unnest(range(6)) AS n FROM spectra)"
+)
 
 
 @_query("laplacian_spectrum_signal")
@@ -1118,14 +1333,41 @@ def procrustes_signal(s, d):
     return detection.procrustes_signal(_packed_snaps(s, d), 3)
 
 
-@_query("cumulative_sum_signal")
+def _sides(share: str) -> str:
+    """Mean cells of the windows of 4 before and after each snapshot; share: which of them by their place."""
+    return f"""(SELECT k.sample_id, k.bin, coalesce(x.i, 0) AS i, coalesce(x.j, 1) AS j, coalesce(sum(CASE WHEN x.bin >= k.bin THEN 1.0 ELSE -1.0 END), 0) / {{0}} AS v FROM inner_bins k
+  LEFT JOIN snaps x ON x.sample_id = k.sample_id AND x.bin BETWEEN k.bin - 4 AND k.bin + 3 AND {share} GROUP BY ALL)"""
+
+
+_INNER_BINS = ", inner_bins AS (SELECT sample_id, bin FROM bins JOIN (SELECT sample_id, count(*) AS n FROM bins GROUP BY 1) USING (sample_id) WHERE bin BETWEEN 4 AND n - 4)"
+
+
+@_query(
+    "cumulative_sum_signal",
+    "snaps bins",
+    _INNER_BINS
+    + f""", even AS {_sides("(x.bin - k.bin + 4) % 2 = 0").format(2)}, odd AS {_sides("(x.bin - k.bin + 4) % 2 = 1").format(2)},
+found AS (SELECT e.sample_id, e.bin, sum(e.v * o.v) AS dot FROM even e JOIN odd o USING (sample_id, bin, i, j) GROUP BY 1, 2),
+sizes AS (SELECT sample_id, bin, (SELECT sum(v * v) FROM even e WHERE e.sample_id = b.sample_id AND e.bin = b.bin) AS x, (SELECT sum(v * v) FROM odd o WHERE o.sample_id = b.sample_id AND o.bin = b.bin) AS y FROM inner_bins b)
+SELECT b.sample_id, b.bin, round(CASE WHEN x * y > 0 THEN coalesce(dot, 0) / sqrt(x * y) ELSE 0 END, 6) + 0.0 AS value FROM bins b LEFT JOIN sizes USING (sample_id, bin) LEFT JOIN found USING (sample_id, bin)""",
+)
 def cumulative_sum_signal(s, d):
-    return detection.cumulative_sum_signal(_packed_snaps(s, d), 4)
+    return detection.cumulative_sum_signal(_packed_snaps(s, d), 4).select("sample_id", "bin", (F.round("value", 6) + 0.0).alias("value"))
+
 
+_SQL["spectral_norm_signal"] = (
+    _with("snaps bins", "").rstrip() + _INNER_BINS
+    + f""", change AS {_sides("true").format(4)},
+dense AS (SELECT sample_id, bin, list_transform(range(20), lambda x: list_transform(range(20), lambda y: coalesce(list_sum(list_transform(c, lambda z: CASE WHEN z.i = x AND z.j = y OR z.i = y AND z.j = x THEN z.v ELSE 0 END)), 0))) AS m FROM (SELECT sample_id, bin, list({{'i': i, 'j': j, 'v': v}}) AS c FROM change GROUP BY 1, 2)),
+"""
+    + K.squared("top", f"(SELECT sample_id, bin, {K.product('m', 'm')} AS b FROM dense)")
+    + "\nSELECT b.sample_id, b.bin, round(CASE WHEN s IS NULL THEN 0 ELSE exp(s / 2) END, 6) AS value FROM bins b LEFT JOIN top USING (sample_id, bin)"
+)
 
-@_query("spectral_norm_signal")
+
+@_query("spectral_norm_signal", None, None)
 def spectral_norm_signal(s, d):
-    return detection.spectral_norm_signal(_packed_snaps(s, d), 4)
+    return detection.spectral_norm_signal(_packed_snaps(s, d), 4).select("sample_id", "bin", _r("value"))
 
 
 @_query("spectral_clustering_signal")
@@ -1143,45 +1385,92 @@ def laplacian_embeddings(s, d):
     return detection.node_embeddings(_packed_snaps(s, d), 3)
 
 
-@_query("walk_profiles")
+@_query(
+    "walk_profiles",
+    "snaps bins",
+    ",\n" + K.adjacency("adjm", "snaps", "sample_id, bin") + _SNAP_MATRICES + f""",
+steps AS (SELECT sample_id, bin, list_transform(range(1, 21), lambda x: list_transform(range(1, 21), lambda y: d[x] * a[x][y])) AS m FROM every),
+both_ AS (SELECT *, {K.transposed("m")} AS mt FROM steps),
+powers AS (SELECT sample_id, bin, m, {K.product("m", "mt")} AS m2, mt FROM both_),
+third AS (SELECT *, {K.product("m2", "mt")} AS m3 FROM powers)
+SELECT sample_id, bin, node, power, CASE power WHEN 1 THEN m[node + 1][node + 1] WHEN 2 THEN m2[node + 1][node + 1] ELSE m3[node + 1][node + 1] END AS value FROM third, range(0, 20) x(node), range(1, 4) y(power)""",
+)
 def walk_profiles(s, d):
-    return detection.node_embeddings(_packed_snaps(s, d), 3, "walks")
-
-
-@_query("subspace_distances")
+    found = detection.node_embeddings(_packed_snaps(s, d), 3, "walks")
+    return found.select("sample_id", "bin", "node", F.posexplode("vec").alias("power", "value")).select("sample_id", "bin", "node", (F.col("power") + 1).cast("long").alias("power"), "value")
+
+
+@_query(
+    "subspace_distances",
+    "",
+    """WITH e AS (SELECT label::BIGINT AS label, vec_id % 4 AS r, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS place FROM embeddings),
+planes AS (SELECT label, r % 2 AS side, place, coalesce(avg(x) FILTER (WHERE r < 2), 0) AS u, coalesce(avg(x) FILTER (WHERE r >= 2), 0) AS w FROM e GROUP BY 1, 2, 3),
+gram AS (SELECT label, side, sum(u * u) AS uu, sum(u * w) AS uw, sum(w * w) AS ww FROM planes GROUP BY 1, 2),
+mixed AS (SELECT p.label, sum(p.u * q.u) AS a, sum(p.u * q.w) AS b, sum(p.w * q.u) AS c, sum(p.w * q.w) AS d FROM planes p JOIN planes q ON q.label = p.label AND q.place = p.place AND p.side = 0 AND q.side = 1 GROUP BY 1),
+inverse AS (SELECT label, side, ww / (uu * ww - uw * uw) AS x, -uw / (uu * ww - uw * uw) AS y, uu / (uu * ww - uw * uw) AS z FROM gram)
+SELECT label, round(sqrt(greatest(0, 2 - (
+  g.x * (a * a * h.x + 2 * a * b * h.y + b * b * h.z) + 2 * g.y * (a * c * h.x + (a * d + b * c) * h.y + b * d * h.z) + g.z * (c * c * h.x + 2 * c * d * h.y + d * d * h.z)))), 6) AS distance
+FROM mixed JOIN inverse g USING (label) JOIN inverse h USING (label) WHERE g.side = 0 AND h.side = 1""",
+)
 def subspace_distances(s, d):
     """Planes of each label's mean vectors: ids of remainder 0 and 2 by four against those of 1 and 3."""
     e = _table(s, d, "embeddings").select(F.col("label").cast("long").alias("label"), F.pmod("vec_id", F.lit(4)).alias("r"), F.posexplode("embedding").alias("row", "x"))
     mean = lambda upper: F.coalesce(F.avg(F.when((F.col("r") >= 2) == upper, F.col("x").cast("double"))), F.lit(0.0))
     planes = e.groupBy("label", F.pmod("r", F.lit(2)).alias("side"), "row").agg(F.array(mean(False), mean(True)).alias("vec"))
-    return detection.subspace_distances(planes, "label", "projection")
+    return detection.subspace_distances(planes, "label", "projection").select("label", _r("distance"))
 
 
-@_query("balanced_pairs")
+@_query(
+    "balanced_pairs",
+    "halfhours",
+    """, items AS (SELECT sample_id * 48 + k AS k, label FROM """
+    + _LABELLED
+    + """), near AS (SELECT y.k AS a, x.k AS b, y.label = x.label AS same FROM items x JOIN items y ON y.k BETWEEN x.k - 10 AND x.k - 1)
+SELECT a, b, same FROM (SELECT *, row_number() OVER (PARTITION BY same ORDER BY md5('0|' || a || '|' || b), a, b) AS n FROM near) WHERE n <= 100""",
+)
 def balanced_pairs(s, d):
     labels = _labelled(s, d).select((F.col("sample_id") * 48 + F.col("k")).alias("k"), "label")
     return detection.balanced_pairs(labels, 100, reach=10)
 
 
+@_query(
+    "interval_integral",
+    "edges spans truth",
+    _of_intervals()
+    + _PARTS_OF_DAYS
+    + """, pieces AS MATERIALIZED (SELECT m.sample_id, interval, lamda, k, tau, p, q FROM mats m JOIN ranges g ON g.sample_id = m.sample_id AND k >= g.a AND k < g.b),
+"""
+    + K.running("run", "pieces", _BY_INTERVAL)
+    + f""",
+terms AS (SELECT sample_id, interval, lamda, tau, unnest(g) AS r, unnest(range(20)) AS i FROM (SELECT *, {K.product("h", "p")} AS g FROM (SELECT *, list_transform(p, lambda r: list_transform(range(1, 21), lambda x: r[x] / 400 / (list_sum(q[x]) / 20))) AS h FROM run)))
+SELECT sample_id, interval, lamda, i, j, round(sum(tau * v) / sum(tau) - 1.0 / 400, 7) + 0.0 AS v FROM (SELECT sample_id, interval, lamda, tau, i, unnest(r) AS v, unnest(range(20)) AS j FROM terms) GROUP BY 1, 2, 3, 4, 5""",
+)
+def interval_integral(s, d):
+    """Flow integrals of the intervals between change points, as cells."""
+    grid, packed = _packed(s, d)
+    auto = clustering.interval_autocovariance(packed, clustering.intervals_between(_cuts(s, d, grid), grid), RATES)
+    return auto.select(*_BY_INTERVAL, "i", "j", (F.round("v", 7) + 0.0).alias("v"))
+
+
 @_query("interval_communities")
 def interval_communities(s, d):
     grid, packed = _packed(s, d)
     ranges = clustering.intervals_between(_cuts(s, d, grid), grid)
     auto = clustering.interval_autocovariance(packed, ranges, RATES)
-    return clustering.communities(auto, _all_cohorts(s, d), range(4), ["sample_id", "interval", "lamda"])
+    return clustering.communities(auto, _all_cohorts(s, d), range(4), _BY_INTERVAL)
 
 
 @_query("prepared_integral")
 def prepared_integral(s, d):
     grid, packed = _packed(s, d)
     ranges = clustering.intervals_between(_cuts(s, d, grid), grid)
-    auto = clustering.interval_autocovariance(packed, ranges, RATES[:1])
-    return clustering.prepared_integral(auto, ["sample_id", "interval", "lamda"], 2.0, 0.05, largest_component=True)
+    auto = clustering.interval_autocovariance(packed, ranges, RATES)
+    return clustering.prepared_integral(auto, _BY_INTERVAL, 2.0, 0.05, largest_component=True)
 
 
 @_query("interval_summary")
 def interval_summary(s, d):
-    return clustering.summarize(interval_communities(s, d), ["sample_id", "interval", "lamda"])
+    return clustering.summarize(interval_communities(s, d), _BY_INTERVAL)
 
 
 @_query("static_communities")
@@ -1189,17 +1478,89 @@ def static_communities(s, d):
     return clustering.static_communities(_adj(s, d), _all_cohorts(s, d))
 
 
-@_query("matched_clusters")
+# nations of a region trade with each other: communities are known to be the regions
+_TRADE = "trade AS (SELECT a.n_nationkey AS i, b.n_nationkey AS j, a.n_regionkey AS region, (a.n + b.n)::DOUBLE AS v FROM sizes a JOIN sizes b ON b.n_regionkey = a.n_regionkey AND b.n_nationkey <> a.n_nationkey)"
+_REGIONS = f"WITH sizes AS (SELECT n_nationkey, n_regionkey, count(c_custkey) + 1 AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2), {_TRADE}"
+_REGION_STABILITY = "(SELECT round(1 - sum(p * p), 6) FROM (SELECT region, sum(v) / (SELECT sum(v) FROM trade) AS p FROM trade GROUP BY 1))"
+
+
+def _trade(s, d) -> DataFrame:
+    sizes = _table(s, d, "nation").join(_table(s, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey", "n_regionkey").agg((F.count("c_custkey") + 1).alias("n"))
+    a = sizes.select(F.col("n_nationkey").cast("long").alias("i"), F.col("n_regionkey").alias("region"), F.col("n").alias("x"))
+    b = sizes.select(F.col("n_nationkey").cast("long").alias("j"), F.col("n_regionkey").alias("region"), F.col("n").alias("y"))
+    return a.join(b, "region").where("i != j").select(F.lit(0).cast("long").alias("sample_id"), "i", "j", (F.col("x") + F.col("y")).cast("double").alias("v"))
+
+
+def _nations(s) -> DataFrame:
+    return s.createDataFrame([(0, 25)], "sample_id long, n_nodes int")
+
+
+def _named(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """Clusters by their least node."""
+    return frame.withColumn("cluster", F.min("node").over(Window.partitionBy(*keys, "cluster")))
+
+
+def _trade_covariance(s, d) -> DataFrame:
+    trade = _trade(s, d)
+    total = trade.groupBy("sample_id").agg(F.sum("v").alias("all"))
+    p = graph.degrees(trade, DAY).join(total, "sample_id").select("sample_id", F.col("i").alias("node"), (F.col("degree") / F.col("all")).alias("d"))
+    return cells.autocovariance(graph.random_walk_matrix(trade, DAY), p, DAY)
+
+
+@_query("region_communities", "", f"{_REGIONS} SELECT run, n_nationkey::BIGINT AS node, min(n_nationkey) OVER (PARTITION BY n_regionkey, run)::BIGINT AS cluster, {_REGION_STABILITY} AS stability FROM sizes, range(0, 4) r(run)")
+def region_communities(s, d):
+    """Seeded Louvain runs on the autocovariance of one step of a walk along the trade."""
+    runs = clustering.communities(_trade_covariance(s, d), _nations(s), range(4), DAY)
+    return _named(runs, ["run"]).select("run", "node", "cluster", _r("stability"))
+
+
+@_query("region_static_communities", "", f"{_REGIONS} SELECT n_nationkey::BIGINT AS node, min(n_nationkey) OVER (PARTITION BY n_regionkey)::BIGINT AS cluster, {_REGION_STABILITY} AS stability FROM sizes")
+def region_static_communities(s, d):
+    found = clustering.static_communities(_trade(s, d), _nations(s), kind="discrete")
+    return _named(found, DAY).select("node", "cluster", _r("stability"))
+
+
+@_query("region_summary", "", f"{_REGIONS} SELECT {_REGION_STABILITY} AS best_stability, {_REGION_STABILITY} AS avg_stability, count(DISTINCT n_regionkey)::DOUBLE AS avg_clusters, 0.0::DOUBLE AS avg_nvi FROM sizes")
+def region_summary(s, d):
+    runs = clustering.communities(_trade_covariance(s, d), _nations(s), range(4), DAY)
+    return clustering.summarize(runs, DAY).select(_r("best_stability"), _r("avg_stability"), "avg_clusters", (F.round("avg_nvi", 6) + 0.0).alias("avg_nvi"))
+
+
+@_query("region_best_partition", "", f"{_REGIONS} SELECT n_nationkey::BIGINT AS node, min(n_nationkey) OVER (PARTITION BY n_regionkey)::BIGINT AS cluster FROM sizes")
+def region_best_partition(s, d):
+    runs = clustering.communities(_trade_covariance(s, d), _nations(s), range(4), DAY)
+    return _named(clustering.best_partition(runs, DAY), DAY).select("node", "cluster")
+
+
+@_query(
+    "matched_clusters",
+    "many",
+    """, sims AS (SELECT x.cluster AS a, y.cluster AS b, count(*) AS v FROM many x JOIN many y ON x.node = y.node AND x.run = 0 AND y.run = 1 GROUP BY 1, 2),
+grid5 AS (SELECT a, b, coalesce(v, 0) AS v FROM (SELECT a, b FROM range(0, 5) x(a), range(0, 5) y(b)) LEFT JOIN sims USING (a, b)),
+ways AS (SELECT [p0.b, p1.b, p2.b, p3.b, p4.b] AS w, p0.v + p1.v + p2.v + p3.v + p4.v AS total FROM grid5 p0, grid5 p1, grid5 p2, grid5 p3, grid5 p4
+  WHERE p0.a = 0 AND p1.a = 1 AND p2.a = 2 AND p3.a = 3 AND p4.a = 4 AND len(list_distinct([p0.b, p1.b, p2.b, p3.b, p4.b])) = 5)
+SELECT 0 AS g, unnest(range(0, 5)) AS a, unnest(w) AS b FROM (SELECT arg_max(w, total) AS w FROM ways)""",
+)
 def matched_clusters(s, d):
     many = _many(s, d)
     table = partitions.contingency(many.where("run = 0").drop("run"), many.where("run = 1").drop("run"), ["g"])
     return clustering.match_clusters(table.select("g", "a", "b", (F.col("n") * 1.0).alias("v")), ["g"])
 
 
-@_query("toy_cycle_entropy")
+@_query(
+    "toy_cycle_entropy",
+    "",
+    "WITH edges AS (SELECT 0::BIGINT AS sample_id, k, least(k, (k + 1) % 3) AS i, greatest(k, (k + 1) % 3) AS j FROM range(0, 3) r(k)),\n"
+    + K.adjacency("adjm", "edges", "sample_id, k")
+    + ",\nrated AS (SELECT sample_id, k, a, d, lamda, lamda AS t FROM adjm, (VALUES (1.0::DOUBLE), (10.0::DOUBLE)) r(lamda)),\n"
+    + K.heat("kern", "rated")
+    + ",\nmats AS MATERIALIZED (SELECT sample_id, lamda, k, e AS p, e AS q FROM kern),\n"
+    + K.running("run", "mats", _BY_RATE, 3)
+    + f"\nSELECT sample_id, lamda, k, (k + 1)::DOUBLE AS t, round({K.entropy('p', 3)}, 6) AS entropy FROM run",
+)
 def toy_cycle_entropy(s, d):
     _, packed = pipelines.prepare(generators.cycle(s))
-    return transitions.running_entropy(packed, [1.0, 10.0])
+    return _entropies(transitions.running_entropy(packed, [1.0, 10.0]))
 
 
 @_query("generated_structure_change")
@@ -1217,11 +1578,69 @@ def generated_motif(s, d):
     return generators.motif(s, "merge_split", density=5.0)
 
 
-@_query("generated_block_features")
+@_query("simulated_agents")
+def simulated_agents(s, d):
+    """Agents that pause, meet and part, a sample a task."""
+    return generators.simulated(s, 4, n=40, per_group=10, until=50.0, mean_pause=5.0, mean_contact=2.0)
+
+
+_DRAW = "('0x' || md5({0})[1:12])::BIGINT"
+
+
+@_query("generated_block_features", "", f"""SELECT id AS node, block, round(mean + sqrt(-2 * ln(({_DRAW.format("'0|' || id")} + 0.5) / 281474976710656)) * cos(2 * pi() * ({_DRAW.format("'1|' || id")} + 0.5) / 281474976710656), 6) AS x
+FROM (SELECT id, (id >= 30)::INT + (id >= 60)::INT AS block, CASE WHEN id < 30 THEN 0 WHEN id < 60 THEN 1 ELSE -1 END AS mean FROM range(0, 100) r(id))""")
 def generated_block_features(s, d):
-    return generators.block_features(s, [30, 30, 40], [0.0, 1.0, -1.0])
+    return generators.block_features(s, [30, 30, 40], [0.0, 1.0, -1.0]).select("node", "block", _r("x"))
 
 
 @_query("generated_block_graph")
 def generated_block_graph(s, d):
     return generators.block_graph(s, [30, 30, 40], 0.3, 0.02)
+
+
+# ---- stored relations ---------------------------------------------------------------------------------
+def _folder(s, name: str) -> str:
+    """A new folder in the shared directory of the session, for a relation that is written and read back."""
+    import uuid
+
+    return f"{storage.shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+
+
+@_query("stored_network", "contacts", "SELECT sample_id, event_id, src, dst, round(t_start, 6) AS t_start, round(t_end, 6) AS t_end FROM contacts")
+def stored_network(s, d):
+    """Events saved, saved again (which keeps them) and loaded."""
+    folder, contacts_ = _folder(s, "network"), ev.contacts(s, d)
+    storage.save_network(folder, events=contacts_)
+    storage.save_network(folder, events=contacts_.limit(0))
+    return storage.load_network(s, folder, ["events"])["events"].select("sample_id", "event_id", "src", "dst", _r("t_start"), _r("t_end"))
+
+
+@_query("stored_transitions", "contacts", f"SELECT sample_id, 0.5::DOUBLE AS lamda, k, i, j, round(v, 6) AS v FROM {_HOURLY}")
+def stored_transitions(s, d):
+    """Matrices of two rates saved by rate; one of them loaded."""
+    folder, hourly = _folder(s, "transitions"), _hourly(s, d)
+    both = hourly.withColumn("lamda", F.lit(0.5)).unionByName(hourly.withColumns({"v": F.col("v") * 2, "lamda": F.lit(2.0)}))
+    storage.save_transitions(both, folder)
+    return storage.load_transitions(s, folder, 0.5).select("sample_id", "lamda", "k", "i", "j", _r("v"))
+
+
+@_query("stored_deltas", "contacts", f"SELECT sample_id, k, i, j, round(v, 6) AS v FROM {_HOURLY}")
+def stored_deltas(s, d):
+    """Matrices saved as changes, loaded as running sums, read as of each stored matrix."""
+    folder, hourly = _folder(s, "deltas"), _hourly(s, d).withColumn("lamda", F.lit(1.0))
+    storage.save_transitions(hourly, folder, as_deltas=True)
+    back = storage.load_transitions(s, folder, 1.0, as_deltas=True)
+    asked = hourly.select("sample_id", "k", "i", "j").withColumns({"v": F.lit(None).cast("double"), "q": F.lit(1)})
+    both = back.select("sample_id", "k", "i", "j", "v", F.lit(0).alias("q")).unionByName(asked)
+    last = F.last("v", ignorenulls=True).over(Window.partitionBy("sample_id", "i", "j").orderBy("k", "q"))
+    return both.withColumn("v", last).where("q = 1").select("sample_id", "k", "i", "j", _r("v"))
+
+
+@_query("stored_signal", "halfhours", "SELECT sample_id, 0.1::DOUBLE AS lamda, 60.0::DOUBLE AS window, 'reverse' AS direction, k, round(-value, 6) AS value FROM halfhours")
+def stored_signal(s, d):
+    """Signals of two rates and directions saved; one loaded."""
+    folder, base = _folder(s, "signals"), _halfhours(s, d)
+    kinds = [(0.1, "forward", 1.0), (0.1, "reverse", -1.0), (1.0, "forward", 2.0)]
+    parts = [base.select("sample_id", F.lit(r).alias("lamda"), F.lit(60.0).alias("window"), F.lit(n).alias("direction"), "k", (F.col("value") * f).alias("value")) for r, n, f in kinds]
+    storage.save_signals(parts[0].unionByName(parts[1]).unionByName(parts[2]), folder)
+    return storage.load_signal(s, folder, 0.1, 60.0, reverse=True).select("sample_id", "lamda", "window", "direction", "k", _r("value"))

@@ -169,14 +169,16 @@ def penalized_change_points(x: np.ndarray, penalty: float, least: int = 2) -> li
     cost = _segment_costs(np.asarray(x, dtype=float))
     best, back = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64)
     best[0] = 0.0
-    open_ = np.array([0])
+    open_, until = np.array([0]), np.array([n + 1])  # candidates, and the ends from which on they are out
     for b in range(least, n + 1):
-        usable = open_[open_ <= b - least]
-        total = best[usable] + cost(usable, b) + penalty
+        if b >= 2 * least:
+            open_, until = np.append(open_, b - least), np.append(until, n + 1)
+        total = best[open_] + cost(open_, b)
         j = int(np.argmin(total))
-        best[b], back[b] = total[j], usable[j]
-        keep = np.concatenate((usable[total <= best[b] + penalty], open_[open_ > b - least]))
-        open_ = np.append(keep, b - least + 1) if b - least + 1 >= least else keep
+        best[b], back[b] = total[j] + penalty, open_[j]
+        # a candidate that a cut at b beats is out once a part after b may be long enough
+        until = np.where(total > best[b], np.minimum(until, b + least), until)
+        open_, until = open_[until > b + 1], until[until > b + 1]
     found, at = [], n
     while at > 0:
         at = int(back[at])

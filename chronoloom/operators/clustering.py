@@ -57,9 +57,18 @@ def interval_autocovariance(packed: DataFrame, intervals: DataFrame, rates: Sequ
     return _cut(packed, intervals, rates).groupBy("sample_id", "interval", "lamda").applyInPandas(run, "sample_id long, interval long, lamda double, i long, j long, v double")
 
 
+def within(rows: DataFrame, intervals: DataFrame, bucket: int = 256) -> DataFrame:
+    """Rows (sample_id, k, ...) of each interval (sample_id, interval, start, stop) with start <= k < stop.
+
+    Intervals are listed under the buckets of k that they reach, so a sample's rows meet the
+    intervals near them only, and one long sample is many keys.
+    """
+    listed = intervals.where("stop > start").withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("stop") - 1) / bucket))))
+    return rows.withColumn("_b", F.floor(F.col("k") / bucket)).join(listed, ["sample_id", "_b"]).where("k >= start and k < stop").drop("start", "stop", "_b")
+
+
 def _cut(packed: DataFrame, intervals: DataFrame, rates: Sequence[float]) -> DataFrame:
-    joined = packed.join(intervals, "sample_id").where("k >= start and k < stop").drop("start", "stop")
-    return _with_rates(joined, rates)
+    return _with_rates(within(packed, intervals), rates)
 
 
 def _integral(group: pd.DataFrame, walk: bool) -> np.ndarray:
@@ -81,23 +90,20 @@ def _integral(group: pd.DataFrame, walk: bool) -> np.ndarray:
 def communities(autocovariance: DataFrame, n_nodes: DataFrame, seeds: Sequence[int], keys: list[str]) -> DataFrame:
     """(keys..., run, node, cluster, stability): one Louvain run a seed, each its own task."""
     table = autocovariance.sparkSession.createDataFrame([(int(s),) for s in seeds], "run long")
-    packed = autocovariance.groupBy(*keys).agg(F.collect_list(F.struct("i", "j", "v")).alias("e")).join(n_nodes, "sample_id").join(F.broadcast(table))
+    each = autocovariance.select(*keys, "i", "j", "v").join(n_nodes, "sample_id").join(F.broadcast(table))  # a short list of seeds
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in group.to_dict("records"):
-            cells, n = row["e"], int(row["n_nodes"])
-            s = K.dense([c["i"] for c in cells], [c["j"] for c in cells], [c["v"] for c in cells], n)
-            label = K.louvain(s, int(row["run"]))
-            part = pd.DataFrame({"run": row["run"], "node": np.arange(n), "cluster": label, "stability": K.stability(s, label)})
-            for k in keys:
-                part[k] = row[k]
-            out.append(part[[*keys, "run", "node", "cluster", "stability"]])
-        return pd.concat(out)
+        n, seed = int(group["n_nodes"].iloc[0]), int(group["run"].iloc[0])
+        s = K.dense(group["i"], group["j"], group["v"], n)
+        label = K.louvain(s, seed)
+        part = pd.DataFrame({"run": seed, "node": np.arange(n), "cluster": label, "stability": K.stability(s, label)})
+        for k in keys:
+            part[k] = group[k].iloc[0]
+        return part[[*keys, "run", "node", "cluster", "stability"]]
 
     kinds = dict(autocovariance.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", run long, node long, cluster long, stability double"
-    return packed.groupBy(*keys, "run").applyInPandas(run, schema)
+    return each.groupBy(*keys, "run").applyInPandas(run, schema)
 
 
 def summarize(runs: DataFrame, keys: list[str]) -> DataFrame:

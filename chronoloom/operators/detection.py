@@ -224,17 +224,17 @@ def node_embeddings(snapshots: DataFrame, k: int, kind: str = "laplacian") -> Da
 
 def balanced_pairs(items: DataFrame, per_class: int, seed: int = 0, reach: int | None = None) -> DataFrame:
     """(a, b, same): seeded pairs of (k, label) rows, equally many of both kinds, within ``reach`` if given."""
-    from pyspark.sql import Window
-
     from .series import pairs_within
 
     if reach is None:
         raise ValueError("pairs need a reach: all pairs of a long series are no table to build")
     near = pairs_within(items.withColumn("_g", F.lit(0)), reach, ["_g"]).select(F.col("k_before").alias("a"), F.col("k").alias("b"))
     named = near.join(items.select(F.col("k").alias("a"), F.col("label").alias("_x")), "a").join(items.select(F.col("k").alias("b"), F.col("label").alias("_y")), "b")
-    marked = named.select("a", "b", (F.col("_x") == F.col("_y")).alias("same"))
-    rank = F.row_number().over(Window.partitionBy("same").orderBy(F.xxhash64("a", "b", F.lit(seed)), "a", "b"))
-    return marked.withColumn("_r", rank).where(F.col("_r") <= per_class).drop("_r")
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), "a", "b").cast("binary"))
+    marked = named.select("a", "b", (F.col("_x") == F.col("_y")).alias("same"), draw.alias("_d"))
+    # the least draws of each kind: every task sends its own least ones only
+    kinds = [marked.where(F.col("same") == same).orderBy("_d", "a", "b").limit(per_class) for same in (True, False)]
+    return kinds[0].union(kinds[1]).drop("_d")
 
 
 def pair_losses(pairs: DataFrame, margin: float = 1.0, weight: float = 1.0) -> DataFrame:

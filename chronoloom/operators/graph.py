@@ -92,6 +92,8 @@ def components(edges: DataFrame, keys: list[str], max_rounds: int = 40) -> DataF
     """
     spark = edges.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/chronoloom-checkpoints")
     links = both_ways(edges.select(*keys, "i", "j").where("i != j").distinct(), keys).select(*keys, "i", "j").checkpoint()
     labels = links.groupBy(*keys, F.col("i").alias("node")).agg(F.least(F.first("i"), F.min("j")).alias("component")).checkpoint()

@@ -18,14 +18,15 @@ def indicator(partition: DataFrame, keys: list[str], clusters: list[int]) -> Dat
 
 def integrity(partition: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Per partition: nodes in several clusters, nodes in none, nodes unknown."""
-    counted = partition.groupBy(*keys, "node").agg(F.count("*").alias("n"))
-    expected = partition.select(*keys).distinct().join(nodes.select("node").distinct())  # partitions by nodes is what covering means
-    both = expected.withColumn("_known", F.lit(1)).join(counted, [*keys, "node"], "full")
-    return both.groupBy(*keys).agg(
+    known = nodes.select("node").distinct().withColumn("_known", F.lit(1))
+    counted = partition.groupBy(*keys, "node").agg(F.count("*").alias("n")).join(known, "node", "left")
+    sums = counted.groupBy(*keys).agg(
         F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("n_repeated"),
-        F.sum(F.when(F.col("n").isNull(), 1).otherwise(0)).alias("n_missing"),
+        F.sum(F.when(F.col("_known").isNotNull(), 1).otherwise(0)).alias("_found"),
         F.sum(F.when(F.col("_known").isNull(), 1).otherwise(0)).alias("n_unknown"),
     )
+    # what a partition lacks is what there is less what it has: no product of partitions and nodes
+    return sums.join(F.broadcast(known.agg(F.count("*").alias("_all")))).select(*keys, "n_repeated", (F.col("_all") - F.col("_found")).alias("n_missing"), "n_unknown")
 
 
 def contingency(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

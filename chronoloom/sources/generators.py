@@ -210,6 +210,12 @@ def block_features(spark: SparkSession, sizes: Sequence[int], means: Sequence[fl
     block = sum(((F.col("id") >= b).cast("int") for b in bounds), F.lit(0))
     table = spark.range(sum(sizes)).select(F.col("id").alias("node"), block.alias("block"))
     mean = F.element_at(F.array(*[F.lit(float(m)) for m in means]), F.col("block") + 1)
-    # two seeded hashes give the uniform draws of a normal one
-    draw = lambda s: (F.pmod(F.xxhash64("node", F.lit(s)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    # two seeded draws of 48 bits give a normal one
+    draw = lambda s: (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(s)), "node").cast("binary")), 1, 12), 16, 10).cast("long") + 0.5) / float(1 << 48)
     return table.withColumn("x", mean + std * F.sqrt(-2 * F.ln(draw(2 * seed))) * F.cos(2 * np.pi * draw(2 * seed + 1)))
+
+
+def simulated(spark: SparkSession, samples_: int, n: int, per_group: int, seed: int = 0, within: float = 0.9, **options) -> DataFrame:
+    """``simulate`` for many samples, each in a task of its own, as events."""
+    probabilities = block_probabilities(n // per_group, n // per_group, 1, within)
+    return samples(spark, [(i, seed + i) for i in range(samples_)], lambda s: simulate(n, per_group, probabilities, seed=s, **options))

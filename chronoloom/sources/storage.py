@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from ..operators import cells
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; on one machine without it a folder below /tmp."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file:///tmp/chronoloom-checkpoints"
+
+
 def save_network(folder: str, overwrite: bool = False, **relations: DataFrame) -> None:
     """Write each named relation (events, nodes, grid, cells, ...) as a Parquet table below folder."""
     for name, frame in relations.items():
@@ -46,7 +56,8 @@ def save_signals(signals: DataFrame, path: str, replace: bool = False) -> None:
 
 def load_signal(spark: SparkSession, path: str, lamda: float, window: float, reverse: bool = False) -> DataFrame:
     """One signal; only its partition is read."""
-    return spark.read.parquet(path).where((F.col("lamda") == lamda) & (F.col("window") == window) & (F.col("direction") == ("reverse" if reverse else "forward")))
+    near = lambda c, x: F.abs(F.col(c) - x) <= 1e-8 + 1e-5 * abs(x)
+    return spark.read.parquet(path).where(near("lamda", lamda) & near("window", window) & (F.col("direction") == ("reverse" if reverse else "forward")))
 
 
 def signal_name(lamda: float, window: float, reverse: bool = False) -> str:
