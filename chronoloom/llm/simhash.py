@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -104,117 +104,153 @@ def _mixed(key: np.ndarray, fp: np.ndarray, number: int) -> np.ndarray:
 
 
 def _variants(distance: int, refine: bool):
-    """Index rows (key, fp) of each fingerprint."""
+    """Index rows (key, fp, more columns) of each fingerprint; a column ``print`` keeps fingerprints of several kinds apart."""
     plans = [(100 * s + bit, (1 << hi) - (1 << lo) & ~(1 << bit)) for s, (lo, hi) in enumerate(SEGMENTS) for bit in range(lo, hi)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
-            for lo in range(0, len(fp), 4096):
-                part = fp[lo : lo + 4096]
-                keys = [_mixed(np.full(1, number, np.uint64), part & np.uint64(mask), 0) for number, mask in plans]
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                fp = part.column(0).to_numpy().view(np.uint64)
+                kind = part.column("print").to_numpy().astype(np.uint64) * np.uint64(1000) if "print" in part.schema.names else np.zeros(1, np.uint64)
+                keys = [_mixed(kind + np.uint64(number), fp & np.uint64(mask), 0) for number, mask in plans]
                 if refine:
-                    keys = [_mixed(k, part & mask, p) for k in keys for p, mask in enumerate(_pieces(distance))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(part, len(keys)).view(np.int64))], names=["key", "fp"])
+                    keys = [_mixed(k, fp & mask, p) for k in keys for p, mask in enumerate(_pieces(distance))]
+                yield _under(keys, fp, part.column("id") if "id" in part.schema.names else None)
 
     return run
 
 
+def _under(keys: list[np.ndarray], fp: np.ndarray, ids: pa.Array | None) -> pa.RecordBatch:
+    columns = {"key": pa.array(np.concatenate(keys).view(np.int64)), "fp": pa.array(np.tile(fp, len(keys)).view(np.int64))}
+    if ids is not None:
+        columns["id"] = pa.array(np.tile(ids.to_numpy(), len(keys)))
+    return pa.RecordBatch.from_pydict(columns)
+
+
 def _split_keys(distance: int):
-    """Rows (key, fp) of hot keys under as many narrower keys as there are pieces."""
+    """Rows of hot keys under as many narrower keys as there are pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, fp = (c.to_numpy().view(np.uint64) for c in batch.columns)
+            key, fp = (batch.column(c).to_numpy().view(np.uint64) for c in ("key", "fp"))
             keys = [_mixed(key, fp & mask, p) for p, mask in enumerate(_pieces(distance))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(fp, len(keys)).view(np.int64))], names=["key", "fp"])
+            yield _under(keys, fp, batch.column("id") if "id" in batch.schema.names else None)
 
     return run
 
 
+def _centre(fp: np.ndarray) -> int:
+    """The fingerprint nearest to the bits that most have."""
+    set_in = _bit_counts(fp, np.array([0, len(fp)]))[0]
+    middle = np.packbits(2 * set_in > len(fp), bitorder="little").view(np.uint64)[0]
+    return int(np.argmin(np.bitwise_count(fp ^ middle)))
+
+
 def forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among distinct fingerprints: searched breadth-first, each is compared once with all not yet reached."""
-    left, a, b = fp.copy(), [], []
+    """A spanning forest, as positions, of the links among fingerprints: searched breadth-first from central ones, each is compared once with all not yet reached."""
+    left, a, b = np.arange(len(fp)), [], []
     while len(left):
-        queue, left = [left[0]], left[1:]
+        first = _centre(fp[left]) if len(left) > 2 else 0
+        queue, left = [left[first]], np.delete(left, first)
         while queue and len(left):
-            x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= distance
+            x = queue.pop(0)
+            near = np.bitwise_count(fp[left] ^ fp[x]) <= distance
             if near.any():
                 found = left[near]
                 a.append(np.full(len(found), x))
                 b.append(found)
-                queue.extend(found)
+                queue.extend(found.tolist())
                 left = left[~near]
-    none = np.zeros(0, dtype=np.uint64)
+    none = np.zeros(0, dtype=np.int64)
     return np.concatenate([*a, none]), np.concatenate([*b, none])
 
 
 def _links(distance: int, most: int | None):
-    """From rows sorted by key: verified links (a, b) that span each run of equal keys; of runs longer than ``most`` the rows as (fp, key) marked hot."""
+    """From rows (key, fp[, id]) sorted by key: verified links (a, b) of ids, or fingerprints, that span each run of equal keys.
+
+    Rows of runs longer than ``most`` come as they are, marked hot.
+    """
 
-    def settle(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def settle(key: np.ndarray, fp: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(start, len(key)))
         pairs = start[size == 2]
         pairs = pairs[np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= distance]
-        a, b = [fp[pairs]], [fp[pairs + 1]]
+        a, b = [ids[pairs]], [ids[pairs + 1]]
         for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             if most is None or n <= most:
                 x, y = forest(fp[s : s + n], distance)
-                a.append(x)
-                b.append(y)
+                a.append(ids[s + x])
+                b.append(ids[s + y])
         return np.concatenate(a), np.concatenate(b)
 
-    def rows(a: np.ndarray, b: np.ndarray, hot: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), hot))], names=["a", "b", "hot"])
+    def rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), none, none, none], names=["a", "b", "key", "fp", "id"])
+
+    def hot(key: np.ndarray, fp: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(key), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(key), pa.array(fp.view(np.int64)), pa.array(ids.view(np.int64))], names=["a", "b", "key", "fp", "id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # the parts of the last run, which may go on
+        held: list[tuple[np.ndarray, ...]] = []  # the parts of the last run, which may go on
         for batch in batches:
             key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            ids = batch.column(2).to_numpy() if batch.num_columns > 2 else fp
             if not len(key):
                 continue
             if held and key[-1] == held[0][0][0]:
-                held.append((key, fp))
+                held.append((key, fp, ids))
             else:
                 cut = int(np.searchsorted(key, key[-1]))
-                done = [*held, (key[:cut], fp[:cut])]
-                held = [(key[cut:], fp[cut:])]
+                done = [*held, (key[:cut], fp[:cut], ids[:cut])]
+                held = [(key[cut:], fp[cut:], ids[cut:])]
                 yield from flush(*(np.concatenate(x) for x in zip(*done, strict=True)))
-            if most is not None and sum(len(k) for k, _ in held) > 4 * most:
-                # long enough to be hot whatever follows; what follows is marked by its own length or joins here
-                key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-                yield rows(fp[:-most - 1], key[: -most - 1].view(np.uint64), True)
-                held = [(key[-most - 1 :], fp[-most - 1 :])]
+            if most is not None and sum(len(k) for k, *_ in held) > 4 * most:
+                # long enough to be hot whatever follows; what stays behind is hot by its own length
+                key, fp, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+                yield hot(key[: -most - 1], fp[: -most - 1], ids[: -most - 1])
+                held = [(key[-most - 1 :], fp[-most - 1 :], ids[-most - 1 :])]
         if held:
             yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    def flush(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def flush(key: np.ndarray, fp: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(key):
             return
-        yield rows(*settle(key, fp), False)
+        yield rows(*settle(key, fp, ids))
         if most is not None:
             start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.append(start, len(key)))
-            hot = np.repeat((size > most), size)
-            if hot.any():
-                yield rows(fp[hot], key[hot].view(np.uint64), True)
+            some = np.repeat(size > most, size)
+            if some.any():
+                yield hot(key[some], fp[some], ids[some])
 
     return run
 
 
-def fingerprint_components(distinct: DataFrame, distance: int = 4, refine: bool = False, hot_run: int = HOT_RUN) -> DataFrame:
-    """distinct: column fp, no repeats.  Returns node, root of every fingerprint that has a link."""
+def fingerprint_links(prints: DataFrame, distance: int = 4, refine: bool = False, hot_run: int = HOT_RUN) -> DataFrame:
+    """Verified links (a, b) that connect all fingerprints at most ``distance`` bits apart.
+
+    prints: fp, no repeats, and links are of fingerprints; or fp, id, print, and links are of the
+    ids of fingerprints of one print.
+    """
     if distance > 2 * len(SEGMENTS) - 1:
         raise ValueError("three segments allow up to 5 differing bits")
-    schema = "a long, b long, hot boolean"
-    index = distinct.mapInArrow(_variants(distance, refine), "key long, fp long").repartition("key").sortWithinPartitions("key")
+    columns = [c for c in ("fp", "id", "print") if c in prints.columns]
+    with_id = ", id long" if "id" in columns else ""
+    schema, keyed = "a long, b long, key long, fp long, id long", f"key long, fp long{with_id}"
+    index = prints.select(columns).mapInArrow(_variants(distance, refine), keyed).repartition("key").sortWithinPartitions("key")
     found = materialize(index.mapInArrow(_links(distance, hot_run), schema), "fingerprint-links")
-    hot = found.where("hot").select(F.col("b").alias("key"), F.col("a").alias("fp"))
-    narrow = hot.mapInArrow(_split_keys(distance), "key long, fp long").repartition("key").sortWithinPartitions("key")
+    hot = found.where("key is not null").select("key", "fp", *(["id"] if with_id else []))
+    narrow = hot.mapInArrow(_split_keys(distance), keyed).repartition("key").sortWithinPartitions("key")
     more = narrow.mapInArrow(_links(distance, None), schema)
-    return connected_components(found.where("not hot").union(more).select("a", "b"))
+    return found.where("key is null").union(more).select("a", "b")
+
+
+def fingerprint_components(distinct: DataFrame, distance: int = 4, **options) -> DataFrame:
+    """distinct: column fp, no repeats.  Returns node, root of every fingerprint that has a link."""
+    return connected_components(fingerprint_links(distinct, distance, **options))
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
@@ -227,30 +263,3 @@ def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return fps.join(named, "fp").select("doc_id", digits, "component_id")
-
-
-def keep_one(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the least doc_id stays, whole.
-
-    Null doc_ids come last; of rows with the least doc_id the one with the least hash of all its columns stays.
-    """
-    fps = materialize(add_fingerprints(docs.select("doc_id", row_tie(docs).alias("tie"), "text"), "doc_id", "tie"), "fingerprints")
-    classes = fps.select("fp").distinct()
-    return keep_first(docs, fps, fingerprint_components(classes, distance), "fp")
-
-
-def keep_first(docs: DataFrame, rows: DataFrame, roots: DataFrame, node: str) -> DataFrame:
-    """docs whose (doc_id, tie) is the least of their component; rows: doc_id, tie and ``node``, which roots has a root for if it has links.
-
-    tie: a hash of all columns of docs (see :func:`row_tie`), so rows that share it are alike.
-    """
-    rooted = rows.join(roots, rows[node] == roots["node"], "left").withColumn("root", F.coalesce("root", node))
-    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("k")).select("k.doc_id", "k.tie")
-    picked = first.select(F.col("doc_id").alias("_doc_id"), F.col("tie").alias("_tie"))
-    kept = docs.withColumn("_row_tie", row_tie(docs))
-    kept = kept.join(picked, kept["doc_id"].eqNullSafe(picked["_doc_id"]) & (kept["_row_tie"] == picked["_tie"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_row_tie"]).drop("_row_tie")
-
-
-def row_tie(docs: DataFrame) -> Column:
-    return F.xxhash64(F.lit("tie"), *docs.columns)
