@@ -38,6 +38,7 @@ from .words import chunks, laid_words, mix64
 
 SEGMENTS = ((0, 21), (21, 42), (42, 64))
 HOT_RUN = 1 << 14
+SHORT_RUN = 1 << 9
 _SPREAD = np.zeros(256, dtype=np.uint64)
 for _b in range(8):
     _SPREAD |= ((np.arange(256, dtype=np.uint64) >> np.uint64(_b)) & np.uint64(1)) << np.uint64(8 * _b)
@@ -151,7 +152,7 @@ def forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, as positions, of the links among fingerprints: searched breadth-first from central ones, each is compared once with all not yet reached."""
     left, a, b = np.arange(len(fp)), [], []
     while len(left):
-        first = _centre(fp[left]) if len(left) > 2 else 0
+        first = _centre(fp[left]) if len(left) > 2 and not a else 0
         queue, left = [left[first]], np.delete(left, first)
         while queue and len(left):
             x = queue.pop(0)
@@ -166,6 +167,25 @@ def forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*a, none]), np.concatenate([*b, none])
 
 
+def _linked(fp: np.ndarray, start: np.ndarray, size: np.ndarray, distance: int) -> list[np.ndarray]:
+    """Of runs of bounded size, the positions of those members that have a link, run by run; compared some million pairs at a time."""
+    head = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    later = np.repeat(start + size, size) - head - 1
+    upto, cut, run_of, found = np.cumsum(later), 0, np.repeat(np.arange(len(start)), size), [np.zeros((2, 0), np.int64)]
+    while cut < len(head):
+        before = upto[cut - 1] if cut else 0
+        stop = max(cut + 1, int(np.searchsorted(upto, before + (1 << 20), side="right")))
+        n = later[cut:stop]
+        x = np.repeat(head[cut:stop], n)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+        near = np.flatnonzero(np.bitwise_count(fp[x] ^ fp[y]) <= distance)
+        run = np.repeat(run_of[cut:stop], n)[near]
+        found += [np.stack((run, x[near])), np.stack((run, y[near]))]
+        cut = stop
+    members = np.unique(np.concatenate(found, axis=1), axis=1)
+    return np.split(members[1], np.flatnonzero(np.diff(members[0])) + 1) if members.shape[1] else []
+
+
 def _links(distance: int, most: int | None):
     """From rows (key, fp[, id]) sorted by key: verified links (a, b) of ids, or fingerprints, that span each run of equal keys.
 
@@ -178,11 +198,12 @@ def _links(distance: int, most: int | None):
         pairs = start[size == 2]
         pairs = pairs[np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= distance]
         a, b = [ids[pairs]], [ids[pairs + 1]]
-        for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            if most is None or n <= most:
-                x, y = forest(fp[s : s + n], distance)
-                a.append(ids[s + x])
-                b.append(ids[s + y])
+        some = (size > 2) & (size <= SHORT_RUN)
+        near = _linked(fp, start[some], size[some], distance)
+        for members in [*near, *(np.arange(s, s + n) for s, n in zip(start.tolist(), size.tolist(), strict=True) if n > SHORT_RUN and (most is None or n <= most))]:
+            x, y = forest(fp[members], distance)
+            a.append(ids[members[x]])
+            b.append(ids[members[y]])
         return np.concatenate(a), np.concatenate(b)
 
     def rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:

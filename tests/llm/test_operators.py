@@ -523,8 +523,9 @@ def test_recall_of_word_prints():
     assert found[2] > 0.97 and found[4] > 0.93 and found[9] > 0.75
 
 
-@pytest.mark.parametrize("refine, hot_run", [(False, 1 << 14), (True, 1 << 14), (False, 1), (True, 2)])
-def test_fingerprint_links(spark, refine, hot_run):
+@pytest.mark.parametrize("refine, hot_run, short", [(False, 1 << 14, 1 << 9), (True, 1 << 14, 2), (False, 1, 1 << 9), (True, 2, 4)])
+def test_fingerprint_links(spark, refine, hot_run, short, monkeypatch):
+    monkeypatch.setattr(simhash, "SHORT_RUN", short)
     rng = np.random.default_rng(4)
     fps = rng.integers(0, 2**64 - 1, 40, dtype=np.uint64).tolist()
     for base in fps[:20]:  # chains of small steps, and a dense ball
