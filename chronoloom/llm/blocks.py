@@ -34,7 +34,7 @@ ARROW_SCHEMA = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("payl
 #: blocks' own rows: a pointer, and the number of keys they will ask for at most
 OWN_SCHEMA = SCHEMA + ", keys long"
 #: keys of a bucket, as packed bytes
-BUCKET_BYTES, KEY_BYTES = 16 << 20, 6
+BUCKET_BYTES, KEY_BYTES = 4 << 20, 6
 
 
 def measured(own: DataFrame) -> tuple[int, int]:
