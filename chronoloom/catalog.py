@@ -1335,7 +1335,7 @@ def procrustes_signal(s, d):
 
 def _sides(share: str) -> str:
     """Mean cells of the windows of 4 before and after each snapshot; share: which of them by their place."""
-    return f"""(SELECT k.sample_id, k.bin, coalesce(x.i, 0) AS i, coalesce(x.j, 1) AS j, coalesce(sum(CASE WHEN x.bin >= k.bin THEN 1.0 ELSE -1.0 END), 0) / {{0}} AS v FROM inner_bins k
+    return f"""(SELECT k.sample_id, k.bin, coalesce(x.i, 0) AS i, coalesce(x.j, 1) AS j, coalesce(sum(CASE WHEN x.bin IS NULL THEN 0 WHEN x.bin >= k.bin THEN 1.0 ELSE -1.0 END), 0) / {{0}} AS v FROM inner_bins k
   LEFT JOIN snaps x ON x.sample_id = k.sample_id AND x.bin BETWEEN k.bin - 4 AND k.bin + 3 AND {share} GROUP BY ALL)"""
 
 
@@ -1536,7 +1536,7 @@ def region_best_partition(s, d):
     "matched_clusters",
     "many",
     """, sims AS (SELECT x.cluster AS a, y.cluster AS b, count(*) AS v FROM many x JOIN many y ON x.node = y.node AND x.run = 0 AND y.run = 1 GROUP BY 1, 2),
-grid5 AS (SELECT a, b, coalesce(v, 0) AS v FROM (SELECT a, b FROM range(0, 5) x(a), range(0, 5) y(b)) LEFT JOIN sims USING (a, b)),
+grid5 AS (SELECT a, b, coalesce(v + sqrt(5 * a + b + 2) / 1000, 0) AS v FROM (SELECT a, b FROM range(0, 5) x(a), range(0, 5) y(b)) LEFT JOIN sims USING (a, b)),
 ways AS (SELECT [p0.b, p1.b, p2.b, p3.b, p4.b] AS w, p0.v + p1.v + p2.v + p3.v + p4.v AS total FROM grid5 p0, grid5 p1, grid5 p2, grid5 p3, grid5 p4
   WHERE p0.a = 0 AND p1.a = 1 AND p2.a = 2 AND p3.a = 3 AND p4.a = 4 AND len(list_distinct([p0.b, p1.b, p2.b, p3.b, p4.b])) = 5)
 SELECT 0 AS g, unnest(range(0, 5)) AS a, unnest(w) AS b FROM (SELECT arg_max(w, total) AS w FROM ways)""",
@@ -1544,7 +1544,8 @@ SELECT 0 AS g, unnest(range(0, 5)) AS a, unnest(w) AS b FROM (SELECT arg_max(w,
 def matched_clusters(s, d):
     many = _many(s, d)
     table = partitions.contingency(many.where("run = 0").drop("run"), many.where("run = 1").drop("run"), ["g"])
-    return clustering.match_clusters(table.select("g", "a", "b", (F.col("n") * 1.0).alias("v")), ["g"])
+    # a small share by the numbers themselves, so that no two ways are equally good
+    return clustering.match_clusters(table.select("g", "a", "b", (F.col("n") + F.sqrt(5 * F.col("a") + F.col("b") + 2) / 1000).alias("v")), ["g"])
 
 
 @_query(
