@@ -96,6 +96,16 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh or so document, by the checksum of its doc_id, is claimed to have one character more."""
+    from .merkle import manifest
+
+    more = (F.col("n_chars").cast("decimal(38,0)") + 1).cast("string")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    claims = {"n_chars": F.when(tampered, more).otherwise(F.col("n_chars").cast("string"))}
+    return manifest(_table(spark, sf_dir, "documents"), claims).verified()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -108,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_rollup": op8_token_rollup,
         "op9_secrets": op9_secrets,
         "op10_substrings": op10_substrings,
+        "op12_merkle": op12_merkle,
     }
 
 
@@ -195,5 +206,38 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FRO
 """
 
 
+# crc32 bit by bit; levels of trees as rows of a recursion, paths as joins with the levels
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)), 4294967295)"
+
+
+def _op12_sql() -> str:
+    def leaf(n_chars: str) -> str:
+        fields = ["doc_id::VARCHAR", "source", "lang", n_chars, "text"]
+        return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+    def tree(name: str, rows: str) -> str:
+        """Nodes (tree, level, i, n, h) of the leaves (tree, 0, i, n, h) in rows."""
+        return f"""{name} AS (SELECT tree, 0 AS level, i, n, h FROM {rows} UNION ALL
+  SELECT any_value(tree), any_value(level) + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY tree, i // 2)"""
+
+    return f"""
+WITH RECURSIVE leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {leaf("n_chars::VARCHAR")} AS h, {leaf(f"(n_chars + ({_CRC} % 7 = 0)::INT)::VARCHAR")} AS claim FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+{tree("nodes", "placed")},
+roots AS (SELECT tree AS name, '' AS tree, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+{tree("uppers", "roots")},
+steps AS (
+  SELECT doc_id, s.level, s.h, CASE WHEN s.h IS NULL THEN 0 WHEN s.i % 2 = 0 THEN 1 ELSE 2 END AS side FROM (
+    SELECT p.doc_id, a.level, b.h, b.i FROM placed p JOIN nodes a ON a.tree = p.tree AND a.i = p.i >> a.level AND a.n > 1 LEFT JOIN nodes b ON b.tree = a.tree AND b.level = a.level AND b.i = xor(a.i, 1)
+    UNION ALL
+    SELECT p.doc_id, 1000 + a.level, b.h, b.i FROM placed p JOIN roots r ON r.name = p.tree JOIN uppers a ON a.i = r.i >> a.level AND a.n > 1 LEFT JOIN uppers b ON b.level = a.level AND b.i = xor(a.i, 1)) s),
+proofs AS (SELECT doc_id, list(struct_pack(side := side, h := coalesce(h, '')) ORDER BY level) AS path, sha256(coalesce(string_agg(h, '' ORDER BY level), '')) AS proof FROM steps GROUP BY doc_id),
+folds AS (SELECT p.doc_id, p.claim AS h, 0 AS done, coalesce(f.path, []) AS path FROM placed p LEFT JOIN proofs f USING (doc_id) UNION ALL
+  SELECT doc_id, sha256(CASE path[done + 1].side WHEN 1 THEN path[done + 1].h || h WHEN 2 THEN h || path[done + 1].h ELSE h END), done + 1, path FROM folds WHERE done < len(path))
+SELECT p.doc_id, p.h AS leaf, r.h AS subroot, u.h AS root, coalesce(f.proof, sha256('')) AS proof_sha256, x.h AS folded_root, x.h = u.h AS verified
+FROM placed p JOIN roots r ON r.name = p.tree JOIN uppers u ON u.n = 1 LEFT JOIN proofs f USING (doc_id) JOIN folds x ON x.doc_id = p.doc_id AND x.done = len(x.path)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _op1_sql(), "op3_decontamination": _OP3, "op9_secrets": _op9_sql(), "op10_substrings": _OP10}
+    return {"op1_mixing": _op1_sql(), "op3_decontamination": _OP3, "op9_secrets": _op9_sql(), "op10_substrings": _OP10, "op12_merkle": _op12_sql()}
