@@ -17,7 +17,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from .words import _BYTE_CODE, PLAIN, chunks, span_hash, text_buffers
+from .words import PLAIN, chunks, span_hash, text_buffers
 
 GROUP_BYTES = 1 << 15
 REMEMBERED = 1 << 19
@@ -53,7 +53,7 @@ class Units:
             n_units = c.counts() + (last < at[1:])
             closing = np.cumsum(n_units)
             s, e = np.insert(s, closing, at[1:]), np.insert(e, closing, at[1:])
-            codes = _BYTE_CODE[c.data]
+            codes = c.data
             hashes.append(span_hash(codes, s, e))
             checks.append(span_hash(codes, s, e, 2))
             shift = text_at[c.first] - base

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from . import blocks as B
 from .store import materialize, new_folder
 from .tokenfiles import slices
-from .words import _BYTE_CODE, chunks, mix64, span_hash, text_buffers, window_hash
+from .words import chunks, mix64, span_hash, text_buffers, window_hash
 
 #: answers on an anchor, as bits: others have its reach; one of them is earlier; its hash has other reaches too
 _SHARED, _LATER, _MIXED = 1, 2, 4
@@ -145,7 +145,7 @@ class _Block:
         self.own, self.length = own, length
         self.words, self.counts = own["words"].astype(np.int64), own["counts"].astype(np.int64)
         self.stop = np.cumsum(own["sizes"].astype(np.int64))
-        self.hashes = span_hash(_BYTE_CODE[own["vocabulary"]], self.stop - own["sizes"], self.stop)[self.words]
+        self.hashes = span_hash(own["vocabulary"], self.stop - own["sizes"], self.stop)[self.words]
         self.word_at = np.concatenate(([0], np.cumsum(self.counts)))
         self.anchors = Anchors(self.hashes, self.counts, length, gram)
         self.rank = _ranks(own["no_id"], own["ids"], own["tie"])

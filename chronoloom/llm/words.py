@@ -28,23 +28,38 @@ _LOWER[0x41:0x5B] += 0x20
 #: bytes that start a code point
 LEAD = (np.arange(256) & 0xC0) != 0x80
 
+#: hashes are polynomials modulo this prime; modulo 2**64 some texts collide whatever the base is
+_PRIME = (1 << 61) - 1
+_P = U64(_PRIME)
 _rng = np.random.Generator(np.random.PCG64(0x5EED))
-_BYTE_CODE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64) | U64(1)
-#: odd bases (3 modulo 8), so that powers have inverses modulo 2**64
-_BASES = tuple(int(x) & ~7 | 3 for x in _rng.integers(2**62, 2**64 - 1, 3, dtype=np.uint64))
+_BASES = tuple(int(x) for x in _rng.integers(2**60, _PRIME - 1, 3, dtype=np.uint64))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime."""
+    x = (x & _P) + (x >> U64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _product(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """a * b modulo the prime, of numbers below it, by halves of 30 and 31 bits."""
+    low = U64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> U64(31), a & low, b >> U64(31), b & low
+    middle = a1 * b0 + a0 * b1
+    return _reduced(U64(2) * (a1 * b1) + (middle >> U64(30)) + ((middle & U64((1 << 30) - 1)) << U64(31)) + a0 * b0)
+
+
 def _power_tables(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _powers.get(which)
     if have is None or len(have[0]) < n:
         size = 1 << max(12, (n - 1).bit_length())
         tables = []
-        for base in (_BASES[which], pow(_BASES[which], -1, 2**64)):
+        for base in (_BASES[which], pow(_BASES[which], -1, _PRIME)):
             t = np.ones(size, dtype=np.uint64)
             filled = 1
             while filled < size:
-                t[filled : 2 * filled] = t[:filled] * U64(pow(base, filled, 2**64))
+                t[filled : 2 * filled] = _product(t[:filled], U64(pow(base, filled, _PRIME)))
                 filled *= 2
             tables.append(t)
         have = _powers[which] = (tables[0], tables[1])
@@ -60,14 +75,40 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+class Spans:
+    """Hashes of slices of an array of bytes or of 64-bit numbers; equal slices get equal hashes at any position."""
+
+    def __init__(self, values: np.ndarray, which: int = 0):
+        n = len(values)
+        power, self.inverse = _power_tables(which, n + 1)
+        self.bits = 31 if n < 1 << 23 or values.dtype != np.uint8 else 21  # sums of parts of terms stay below 2**64
+        mask, shifts = U64((1 << self.bits) - 1), range(0, 62, self.bits)
+        self.prefixes = [np.zeros(n + 1, dtype=np.uint64) for _ in shifts]
+        for lo in range(0, n, 1 << 15):  # what lies in the cache at once
+            hi = min(n, lo + (1 << 15))
+            if values.dtype == np.uint8:
+                terms = values[lo:hi].astype(np.uint64) + U64(1)
+                parts = [terms * ((power[lo:hi] >> U64(shift)) & mask) for shift in shifts]
+            else:
+                terms = _product(_reduced(values[lo:hi]), power[lo:hi])
+                parts = [(terms >> U64(shift)) & mask for shift in shifts]
+            for prefix, part in zip(self.prefixes, parts, strict=True):
+                part[0] += prefix[lo]
+                np.cumsum(part, out=prefix[lo + 1 : hi + 1])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        starts, ends = np.asarray(starts), np.asarray(ends)
+        total = np.zeros(len(starts), dtype=np.uint64)
+        for k, prefix in enumerate(self.prefixes):
+            part = _reduced(prefix[ends] - prefix[starts])
+            total = _reduced(total + (_product(part, U64(1 << k * self.bits)) if k else part))
+        lengths = (ends - starts).astype(np.uint64)
+        return mix64(_product(total, self.inverse[starts]) + lengths * U64(0x9E3779B97F4A7C15))
+
+
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hash of each values[start:end]; equal slices get equal hashes at any position."""
-    n = len(values)
-    power, inverse = _power_tables(which, n + 1)
-    prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values * power[:n], out=prefix[1:])
-    lengths = (ends - starts).astype(np.uint64)
-    return mix64((prefix[ends] - prefix[starts]) * inverse[starts] + lengths * U64(0x9E3779B97F4A7C15))
+    """64-bit hash of each values[start:end]."""
+    return Spans(values, which)(starts, ends)
 
 
 class Chunk:
@@ -104,7 +145,7 @@ class Chunk:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        return span_hash(_BYTE_CODE[self.data], self.start, self.end)
+        return span_hash(self.data, self.start, self.end)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.word_at)
