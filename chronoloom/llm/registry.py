@@ -96,6 +96,12 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every seventh or so document, by the checksum of its doc_id, is claimed to have one character more."""
     from .merkle import manifest
@@ -125,6 +131,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_rollup": op8_token_rollup,
         "op9_secrets": op9_secrets,
         "op10_substrings": op10_substrings,
+        "op11_collocations": op11_collocations,
         "op12_merkle": op12_merkle,
         "op13_toxicity": op13_toxicity,
     }
@@ -214,6 +221,22 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FRO
 """
 
 
+_OP11 = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+grams AS (SELECT lang, unnest(flatten(list_transform([1, 2, 3, 4], lambda k: list_transform(range(1, len(w) + 2 - k), lambda i: array_to_string(w[i:i + k - 1], ' '))))) AS phrase FROM p),
+f AS (SELECT lang, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+split AS (SELECT lang, phrase, f, string_split(phrase, ' ') AS w, len(w) AS k FROM f),
+cut AS (SELECT lang, phrase, f, j, array_to_string(w[1:j], ' ') AS lp, array_to_string(w[j + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS j FROM split)),
+cuts AS (SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, 2000000::HUGEINT * c.f // (x.f + y.f) AS score, j FROM cut c JOIN f x ON x.lang = c.lang AND x.phrase = lp JOIN f y ON y.lang = c.lang AND y.phrase = rp),
+best AS (SELECT lang, phrase, a, l, r, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS place FROM cuts) WHERE place = 1),
+inner_ AS (SELECT lang, phrase, max(f) AS longer FROM (SELECT lang, f, unnest(flatten(list_transform([2, 3], lambda m: list_transform(range(1, k + 2 - m), lambda i: CASE WHEN m < k THEN array_to_string(w[i:i + m - 1], ' ') END)))) AS phrase FROM split WHERE k > 2) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inner_ USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept) JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 # crc32 bit by bit; levels of trees as rows of a recursion, paths as joins with the levels
 _CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)), 4294967295)"
 
@@ -248,4 +271,4 @@ FROM placed p JOIN roots r ON r.name = p.tree JOIN uppers u ON u.n = 1 LEFT JOIN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _op1_sql(), "op3_decontamination": _OP3, "op9_secrets": _op9_sql(), "op10_substrings": _OP10, "op12_merkle": _op12_sql()}
+    return {"op1_mixing": _op1_sql(), "op3_decontamination": _OP3, "op9_secrets": _op9_sql(), "op10_substrings": _OP10, "op11_collocations": _OP11, "op12_merkle": _op12_sql()}
