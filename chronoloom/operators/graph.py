@@ -83,6 +83,16 @@ def identity(nodes: DataFrame, keys: list[str], value: float = 1.0) -> DataFrame
     return nodes.select(*keys, F.col("node").alias("i"), F.col("node").alias("j"), F.lit(value).alias("v"))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The table, written below the shared folder of checkpoints."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("/tmp/chronoloom-checkpoints")
+    return df.checkpoint()
+
+
 def components(edges: DataFrame, keys: list[str], max_rounds: int = 40) -> DataFrame:
     """(keys..., node, component) of every node with an edge; component is the least node reachable.
 
@@ -90,12 +100,7 @@ def components(edges: DataFrame, keys: list[str], max_rounds: int = 40) -> DataF
     logarithm of a component's diameter.  Each round's table is checkpointed; the driver sees
     one count a round.
     """
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir("/tmp/chronoloom-checkpoints")
-    links = both_ways(edges.select(*keys, "i", "j").where("i != j").distinct(), keys).select(*keys, "i", "j").checkpoint()
+    links = checkpointed(both_ways(edges.select(*keys, "i", "j").where("i != j").distinct(), keys).select(*keys, "i", "j"))
     labels = links.groupBy(*keys, F.col("i").alias("node")).agg(F.least(F.first("i"), F.min("j")).alias("component")).checkpoint()
     for _ in range(max_rounds):
         near = links.join(labels.withColumnRenamed("node", "j"), [*keys, "j"]).groupBy(*keys, F.col("i").alias("node")).agg(F.min("component").alias("_near"))

@@ -1,9 +1,9 @@
-"""Transition matrices and entropy signals, one grouped kernel a (sample, rate).
+"""Transition matrices and entropy signals.
 
-The relational part prepares edges and window plans; a group's function builds its heat
-kernels, multiplies them in order and emits rows.  A group is one sample at one rate, so its
-memory is bounded by the sample's intervals; ``chunk`` kernels are held at a time where only
-a running product is needed.
+The relational part prepares edges and window plans; grouped functions build heat kernels,
+multiply them in order and emit rows.  Running products are scans over blocks of intervals, and
+windows of the ``tree`` backend are covered by a stored tree of block products: their groups hold
+a block of one sample at one rate.  The other window backends hold a sample's kernels.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from .graph import checkpointed
 
 
 def packed(edges: DataFrame, grid: DataFrame, n_nodes: DataFrame) -> DataFrame:
@@ -69,46 +70,209 @@ def inter_transitions(intervals: DataFrame, rates: Sequence[float], walk: bool =
     return keyed.groupBy("sample_id", "lamda", "_slice").applyInPandas(run, "sample_id long, lamda double, k long, i long, j long, v double")
 
 
-def running_entropy(intervals: DataFrame, rates: Sequence[float], walk: bool = False, reverse: bool = False, chunk: int = 256) -> DataFrame:
-    """Entropy of the running product after (reversed: from) each interval: (sample_id, lamda, k, t, entropy)."""
+BLOCK = 256
+
+
+def _blocks(intervals: DataFrame, rates: Sequence[float], block: int) -> DataFrame:
+    return _with_rates(intervals, rates).withColumn("block", F.floor(F.col("k") / block).cast("long"))
+
+
+_PRODUCT = "sample_id long, lamda double, block long, n_nodes long, m array<double>"
+
+
+def _product_row(group: pd.DataFrame, block: int, total: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"sample_id": [group["sample_id"].iloc[0]], "lamda": [float(group["lamda"].iloc[0])], "block": [block], "n_nodes": [len(total)], "m": [total.ravel()]})
+
+
+def _multiplied(total: np.ndarray, products: pd.DataFrame, reverse: bool) -> np.ndarray:
+    for m in products.sort_values("block", ascending=not reverse)["m"]:
+        total = K.normalize_rows(total @ np.asarray(m).reshape(total.shape))
+    return total
+
+
+def block_products(intervals: DataFrame, rates: Sequence[float], walk: bool = False, reverse: bool = False, block: int = BLOCK) -> DataFrame:
+    """(sample_id, lamda, block, n_nodes, m): the product over each block of intervals, row by row; a task a block."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("k", ascending=not reverse)
-        n, rate = int(group["n_nodes"].iloc[0]), float(group["lamda"].iloc[0])
-        total, values = np.eye(n), []
-        for at in range(0, len(group), chunk):
-            for m in _kernels(group.iloc[at : at + chunk], n, rate, walk):
-                total = K.normalize_rows(total @ m)
-                values.append(K.entropy(total))
-        return pd.DataFrame({"sample_id": group["sample_id"], "lamda": rate, "k": group["k"], "t": group["t"] + group["tau"], "entropy": values})
+        n = int(group["n_nodes"].iloc[0])
+        total = np.eye(n)
+        for m in _kernels(group, n, float(group["lamda"].iloc[0]), walk):
+            total = K.normalize_rows(total @ m)
+        return _product_row(group, int(group["block"].iloc[0]), total)
 
-    return _with_rates(intervals, rates).groupBy("sample_id", "lamda").applyInPandas(run, "sample_id long, lamda double, k long, t double, entropy double")
+    return _blocks(intervals, rates, block).groupBy("sample_id", "lamda", "block").applyInPandas(run, _PRODUCT)
 
 
-def running_transition(intervals: DataFrame, rates: Sequence[float], walk: bool = False, reverse: bool = False, tol: float = 1e-12, chunk: int = 256) -> DataFrame:
-    """Cells of the product over all of a sample's intervals: (sample_id, lamda, i, j, v)."""
+def joined_blocks(products: DataFrame, fan: int, reverse: bool = False) -> DataFrame:
+    """Products of ``fan`` consecutive blocks each."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        return _product_row(group, int(group["block"].iloc[0]) // fan, _multiplied(np.eye(int(group["n_nodes"].iloc[0])), group, reverse))
+
+    return products.withColumn("_above", F.floor(F.col("block") / fan)).groupBy("sample_id", "lamda", "_above").applyInPandas(run, _PRODUCT)
+
+
+def carries(products: DataFrame, reverse: bool = False, fan: int = BLOCK) -> DataFrame:
+    """(sample_id, lamda, block, n_nodes, m): the product of all blocks before (reversed: after) each one.
+
+    Blocks are joined ``fan`` at a time until one group holds the rest; the products before the
+    joined ones come down again as where their blocks begin.
+    """
+    products = checkpointed(products)
+    first, last = products.agg(F.min("block"), F.max("block")).first()
+    rest = products.where("false") if last is None or first // fan == last // fan else carries(joined_blocks(products, fan, reverse), reverse, fan)
+    above = rest.select(*(F.col(c).alias(f"c_{c}") for c in ("sample_id", "lamda", "block", "m")))
+
+    def run(group: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if not len(group):
+            return pd.DataFrame(columns=["sample_id", "lamda", "block", "n_nodes", "m"])
+        group = group.sort_values("block", ascending=not reverse)
+        n = int(group["n_nodes"].iloc[0])
+        total, out = np.asarray(before["c_m"].iloc[0]).reshape(n, n) if len(before) else np.eye(n), []
+        for block, m in zip(group["block"], group["m"], strict=True):
+            out.append(_product_row(group, int(block), total))
+            total = K.normalize_rows(total @ np.asarray(m).reshape(n, n))
+        return pd.concat(out)
+
+    here = products.withColumn("_above", F.floor(F.col("block") / fan).cast("long"))
+    return here.groupBy("sample_id", "lamda", "_above").cogroup(above.groupBy("c_sample_id", "c_lamda", "c_block")).applyInPandas(run, _PRODUCT)
+
+
+def running_entropy(intervals: DataFrame, rates: Sequence[float], walk: bool = False, reverse: bool = False, block: int = BLOCK) -> DataFrame:
+    """Entropy of the running product after (reversed: from) each interval: (sample_id, lamda, k, t, entropy).
+
+    A scan in two passes: blocks of ``block`` intervals are multiplied apart, the products before
+    each block are made of those, and each block goes on from there.  So one long sample has as
+    many tasks as blocks; kernels are made twice.
+    """
+    before = carries(block_products(intervals, rates, walk, reverse, block), reverse)
+    before = before.select(*(F.col(c).alias(f"c_{c}") for c in ("sample_id", "lamda", "block", "m")))
+
+    def run(group: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
+        if not len(group):
+            return pd.DataFrame(columns=["sample_id", "lamda", "k", "t", "entropy"])
         group = group.sort_values("k", ascending=not reverse)
         n, rate = int(group["n_nodes"].iloc[0]), float(group["lamda"].iloc[0])
-        total = np.eye(n)
-        for at in range(0, len(group), chunk):
-            for m in _kernels(group.iloc[at : at + chunk], n, rate, walk):
-                total = K.normalize_rows(total @ m)
-        i, j = np.nonzero(np.abs(total) > tol)
-        return pd.DataFrame({"sample_id": group["sample_id"].iloc[0], "lamda": rate, "i": i, "j": j, "v": total[i, j]})
+        total, values = np.asarray(carry["c_m"].iloc[0]).reshape(n, n), []
+        for m in _kernels(group, n, rate, walk):
+            total = K.normalize_rows(total @ m)
+            values.append(K.entropy(total))
+        return pd.DataFrame({"sample_id": group["sample_id"], "lamda": rate, "k": group["k"], "t": group["t"] + group["tau"], "entropy": values})
 
-    return _with_rates(intervals, rates).groupBy("sample_id", "lamda").applyInPandas(run, "sample_id long, lamda double, i long, j long, v double")
+    here = _blocks(intervals, rates, block).groupBy("sample_id", "lamda", "block")
+    return here.cogroup(before.groupBy("c_sample_id", "c_lamda", "c_block")).applyInPandas(run, "sample_id long, lamda double, k long, t double, entropy double")
+
+
+def running_transition(intervals: DataFrame, rates: Sequence[float], walk: bool = False, reverse: bool = False, tol: float = 1e-12, block: int = BLOCK) -> DataFrame:
+    """Cells of the product over all of a sample's intervals: (sample_id, lamda, i, j, v); blocks apart, then joined."""
+    products = checkpointed(block_products(intervals, rates, walk, reverse, block))
+    while (products.agg(F.max("block")).first()[0] or 0) > 0:
+        products = checkpointed(joined_blocks(products, BLOCK, reverse))
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.itertuples():
+                total = np.asarray(row.m).reshape(row.n_nodes, row.n_nodes)
+                i, j = np.nonzero(np.abs(total) > tol)
+                yield pd.DataFrame({"sample_id": row.sample_id, "lamda": row.lamda, "i": i, "j": j, "v": total[i, j]})
+
+    return products.mapInPandas(run, "sample_id long, lamda double, i long, j long, v double")
+
+
+def product_tree(products: DataFrame, reverse: bool = False) -> DataFrame:
+    """(level, sample_id, lamda, block, n_nodes, m): block products, and those of 2, 4, 8, ... blocks."""
+    here = checkpointed(products)
+    levels, level = here.withColumn("level", F.lit(0)), 0
+    while (here.agg(F.max("block")).first()[0] or 0) > 0:
+        here, level = checkpointed(joined_blocks(here, 2, reverse)), level + 1
+        levels = levels.union(here.withColumn("level", F.lit(level)))
+    return levels
+
+
+def _pieces(block: int):
+    """Pieces of windows, in their order: ranges within a block (level -1), and tree nodes over the blocks between."""
+
+    def run(batches):
+        for plan in batches:
+            out = []
+            for row in plan.itertuples(index=False):
+                left, right = row.left, row.right
+                a, b = left // block, right // block
+                mine = [(-1, a, left, min(right, a * block + block - 1))]
+                if a < b:
+                    tail, lo, hi, level = [(-1, b, b * block, right)], a + 1, b, 0
+                    while lo < hi:
+                        if lo & 1:
+                            mine.append((level, lo, 0, 0))
+                            lo += 1
+                        if hi & 1:
+                            hi -= 1
+                            tail.insert(0, (level, hi, 0, 0))
+                        lo, hi, level = lo // 2, hi // 2, level + 1
+                    mine += tail
+                out += [(row.sample_id, row.lamda, row.window, row.k, row.t, left // block, place, *piece) for place, piece in enumerate(mine)]
+            yield pd.DataFrame(out, columns=["sample_id", "lamda", "window", "k", "t", "head", "place", "level", "block", "a", "b"])
+
+    return run
+
+
+def _tree_entropy(intervals: DataFrame, plans: DataFrame, rates: Sequence[float], walk: bool, reverse: bool, block: int = 64) -> DataFrame:
+    """window_entropy over a stored tree of block products: no group holds more than a block's kernels or its windows' pieces.
+
+    A window is the end of its first block, the tree nodes that cover the blocks between, and the
+    start of its last block.  Reversed, all is done over transposed kernels.
+    """
+    direction = "reverse" if reverse else "forward"
+    tree = product_tree(block_products(intervals, rates, walk, reverse, block), reverse)
+    nodes = tree.select("level", "block", "m", F.col("sample_id").alias("n_sample"), F.col("lamda").alias("n_lamda"))
+    kinds = "sample_id long, lamda double, window double, k long, t double, head long, place int"
+    wanted = _with_rates(plans, rates).select("sample_id", "lamda", F.col("window").cast("double").alias("window"), "k", "t", "left", "right")
+    wanted = checkpointed(wanted.mapInPandas(_pieces(block), f"{kinds}, level int, block long, a long, b long"))
+    names = [k.split()[0] for k in kinds.split(", ")]
+    whole = wanted.where("level >= 0").join(nodes, ["level", "block"]).where((F.col("sample_id") == F.col("n_sample")) & (F.col("lamda") == F.col("n_lamda"))).select(*names, "m")
+
+    def within(group: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(group) or not len(asked):
+            return pd.DataFrame(columns=[*names, "m"])
+        group = group.sort_values("k")
+        mats = _kernels(group, int(group["n_nodes"].iloc[0]), float(group["lamda"].iloc[0]), walk)
+        products = K.RangeProducts(mats.transpose(0, 2, 1) if reverse else mats)
+        first, last = int(group["k"].iloc[0]), int(group["k"].iloc[-1])
+        asked = asked.rename(columns={f"w_{c}": c for c in [*names, "a", "b"]})
+        found = [products.query(max(a, first) - first, min(b, last) - first) for a, b in zip(asked["a"], asked["b"], strict=True)]
+        asked["m"] = [(m.T if reverse else m).ravel() for m in found]
+        return asked[[*names, "m"]]
+
+    asked = wanted.where("level < 0").select(*(F.col(c).alias(f"w_{c}") for c in [*names, "block", "a", "b"]))
+    parts = _blocks(intervals, rates, block).groupBy("sample_id", "lamda", "block").cogroup(asked.groupBy("w_sample_id", "w_lamda", "w_block")).applyInPandas(within, f"{kinds}, m array<double>")
+
+    def entropies(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["k", "place"])
+        n, out = int(round(len(group["m"].iloc[0]) ** 0.5)), []
+        for (k, t), part in group.groupby(["k", "t"], sort=True):
+            total = np.eye(n)
+            for m in part["m"]:
+                m = np.asarray(m).reshape(n, n)
+                total = m @ total if reverse else total @ m
+            out.append((k, t, K.entropy(total)))
+        k, t, values = zip(*out, strict=True)
+        return pd.DataFrame({"sample_id": group["sample_id"].iloc[0], "lamda": group["lamda"].iloc[0], "window": group["window"].iloc[0], "direction": direction, "k": k, "t": t, "value": values})
+
+    return parts.union(whole).groupBy("sample_id", "lamda", "window", "head").applyInPandas(entropies, "sample_id long, lamda double, window double, direction string, k long, t double, value double")
 
 
 def window_entropy(intervals: DataFrame, plans: DataFrame, rates: Sequence[float], backend: str = "sliding", walk: bool = False, reverse: bool = False) -> DataFrame:
     """Entropy of the ordered product over each planned window.
 
     plans: (sample_id, window, k, t, left, right).  Result: (sample_id, lamda, window, direction,
-    k, t, value).  backend: sliding (two products a window at most), tree, or direct.
+    k, t, value).  backend: sliding (two products a window at most) or direct, which hold a sample's
+    kernels at a rate in one task, or tree, which holds a block's.
     """
     if backend not in ("sliding", "tree", "direct"):
         raise ValueError(backend)
+    if backend == "tree":
+        return _tree_entropy(intervals, plans, rates, walk, reverse)
     direction = "reverse" if reverse else "forward"
     mats_side = _with_rates(intervals, rates)
     # both sides stem from one grid: new names keep them apart
@@ -122,17 +286,14 @@ def window_entropy(intervals: DataFrame, plans: DataFrame, rates: Sequence[float
         n, rate = int(mats_part["n_nodes"].iloc[0]), float(mats_part["lamda"].iloc[0])
         mats = np.concatenate([_kernels(mats_part.iloc[at : at + 256], n, rate, walk) for at in range(0, len(mats_part), 256)])
         first, out = int(mats_part["k"].iloc[0]), []
-        tree = K.RangeProducts(mats) if backend == "tree" and not reverse else None
+        # a product from right to left is the transpose of one over transposed kernels
+        flipped = np.ascontiguousarray(mats.transpose(0, 2, 1)) if reverse else mats
         for window, part in plan.sort_values(["window", "left", "right"]).groupby("window", sort=True):
             left, right = part["left"].to_numpy() - first, part["right"].to_numpy() - first
             if reverse:
-                # a product from right to left is the transpose of one over transposed kernels
-                flipped = np.ascontiguousarray(mats.transpose(0, 2, 1))
                 values = [K.entropy(m.T) for m in K.sliding_products(flipped, left, right)()]
             elif backend == "sliding":
                 values = [K.entropy(m) for m in K.sliding_products(mats, left, right)()]
-            elif tree is not None:
-                values = [K.entropy(tree.query(a, b)) for a, b in zip(left.tolist(), right.tolist(), strict=True)]
             else:
                 values = [K.entropy(K.direct_product(mats, a, b)) for a, b in zip(left.tolist(), right.tolist(), strict=True)]
             out.append(pd.DataFrame({"sample_id": part["sample_id"], "lamda": rate, "window": window, "direction": direction, "k": part["k"], "t": part["t"], "value": values}))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoloom.functions import arrays
+from chronoloom.functions import arrays, kernels
 from chronoloom.operators import cells, clustering, detection, graph, intervals, partitions, scores, series, transitions
 from chronoloom.plans import pipelines, windows
 from chronoloom.schema import EVENTS
@@ -32,6 +32,29 @@ def test_cycle_entropy(spark):
     assert back[1.0, 0] == pytest.approx(1.082869, abs=1e-6)
 
 
+@pytest.mark.parametrize("reverse, walk", [(False, True), (True, False), (True, True)])
+def test_scan_over_blocks(spark, reverse, walk):
+    """One sample of many blocks, joined in three levels, against products one by one."""
+    rng = np.random.default_rng(9)
+    a = np.sort(rng.uniform(0, 40, 70))
+    rows = [(int(i), int(j), float(t), float(t + d)) for i, j, t, d in zip(rng.integers(0, 5, 70), rng.integers(0, 5, 70), a, rng.exponential(1, 70), strict=True) if i != j]
+    _, packed = pipelines.prepare(_events(spark, rows))
+    part = packed.toPandas().sort_values("k", ascending=not reverse)
+    n, total, want = int(part["n_nodes"].iloc[0]), None, {}
+    for k, m in zip(part["k"], transitions._kernels(part, n, 0.5, walk), strict=True):
+        total = m if total is None else total @ m
+        want[k] = kernels.entropy(total)
+    got = {r["k"]: r["entropy"] for r in transitions.running_entropy(packed, [0.5], walk, reverse, block=4).collect()}
+    assert got == pytest.approx(want)
+    products = transitions.block_products(packed, [0.5], walk, reverse, 4)
+    whole = transitions.carries(products, reverse, fan=3).collect()
+    assert len(whole) == products.count() > 9 and sum(np.allclose(np.reshape(r["m"], (n, n)), np.eye(n)) for r in whole) == 1
+    cells = {(r["i"], r["j"]): r["v"] for r in transitions.running_transition(packed, [0.5], walk, reverse, block=4).collect()}
+    assert cells == pytest.approx({(i, j): total[i, j] for i in range(n) for j in range(n) if abs(total[i, j]) > 1e-12})
+    groups = transitions.block_products(packed, [0.5], block=4).groupBy("sample_id", "lamda").count().first()["count"]
+    assert groups == -(-(int(part["k"].max()) + 1) // 4)
+
+
 @pytest.mark.parametrize("overlap, want", [(0, [0.341981, 0.683961, 1.025942]), (1, [0.817049, 1.159030]), (2, [1.371261])])
 def test_path_entropy(spark, overlap, want):
     _, packed = pipelines.prepare(generators.path(spark, 4, overlap))
@@ -85,6 +108,7 @@ def test_window_backends_agree(spark):
     signal = lambda *x, **y: [r["value"] for r in transitions.window_entropy(packed, plans, [0.5], *x, **y).orderBy("k").collect()]
     sliding = signal("sliding")
     assert sliding == pytest.approx(signal("tree")) and sliding == pytest.approx(signal("direct"))
+    assert signal("sliding", reverse=True, walk=True) == pytest.approx(signal("tree", reverse=True, walk=True))
     assert min(sliding) >= 0 and max(sliding) <= math.log(6)
     # symmetric kernels: the reversed product is the transpose, of equal entropy over uniform starts where rows agree
     assert len(signal("sliding", reverse=True)) == len(sliding)
