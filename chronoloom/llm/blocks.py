@@ -35,12 +35,14 @@ ARROW_SCHEMA = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("payl
 OWN_SCHEMA = SCHEMA + ", keys long"
 #: keys of a bucket, as packed bytes
 BUCKET_BYTES, KEY_BYTES = 4 << 20, 6
+#: buckets at most, so that a second round's fit into 32 bits beside them; reached at 7 * 10**14 keys
+MOST_BUCKETS = 1 << 30
 
 
 def measured(own: DataFrame) -> tuple[int, int]:
     """How many blocks there are, and how many buckets their keys need."""
     blocks, keys = own.agg(F.count("*"), F.sum("keys")).first()
-    return blocks, max(1, -(-(keys or 0) * KEY_BYTES // BUCKET_BYTES))
+    return blocks, min(MOST_BUCKETS, max(1, -(-(keys or 0) * KEY_BYTES // BUCKET_BYTES)))
 
 
 def by_block(rows: DataFrame, blocks: int) -> GroupedData:

@@ -28,7 +28,7 @@ from math import ceil, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, row_hash
 
 WORD = r"[^\x20\x09-\x0D]+"
 # Primes above 2**31, and so above the number of blocks of any shard.
@@ -192,7 +192,7 @@ def repeat_to_mix(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
     within half of its longest document.  Rows are told apart by two hashes of all columns;
     rows equal in all of them are one with more copies.
     """
-    hashes = [F.xxhash64(F.lit(seed + i), *docs.columns) for i in range(2)]
+    hashes = [row_hash(docs, seed + i) for i in range(2)]
     key = "_row_" + "_".join(sorted(docs.columns))[:64]  # no column of docs
     docs = docs.withColumn(key, F.struct(hashes[0].alias("a"), hashes[1].alias("b")))
     mixed = mix(docs, seed=seed, consecutive=True, keep=(key,), **options)

@@ -14,7 +14,8 @@ import tempfile
 import uuid
 from contextlib import suppress
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 FALLBACK_DIR = os.path.join(tempfile.gettempdir(), "chronoloom-checkpoints")
@@ -54,6 +55,12 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_hash(rows: DataFrame, salt: int) -> Column:
+    """A 64-bit hash of all columns; nulls count by their place, columns that hold maps by their JSON."""
+    columns = [F.to_json(F.col(f"`{c}`")) if "map<" in kind else F.col(f"`{c}`") for c, kind in rows.dtypes]
+    return F.xxhash64(F.lit(salt), *columns, *[F.col(f"`{c}`").isNull() for c in rows.columns])
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder on any Hadoop file system."""
     jvm = spark._jvm

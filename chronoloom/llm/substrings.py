@@ -321,8 +321,8 @@ def _answer_words(table: pa.Table) -> pa.Table:
     return _answers(table, _split((order > order[earliest][number]).astype(np.uint8), messages))
 
 
-#: buckets of the second round have numbers from here on
-_SECOND = 1 << 24
+#: buckets of the second round have numbers from here on, beyond those of blocks.measured
+_SECOND = B.MOST_BUCKETS
 
 
 def _rows(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:

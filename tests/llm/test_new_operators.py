@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chronoloom.llm import bpe, collocations, merkle, quality, toxicity
+from chronoloom.llm import bpe, collocations, html, merkle, mixing, quality, similar, toxicity
 from chronoloom.llm import words as W
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, path string, tree string, index string, score string, `range` string"
@@ -230,3 +230,32 @@ def test_opposite_sequences_are_encoded_apart():
     ids, at = encoder.encode(pa.array([a, b]), 0)
     found = [ids[lo:hi].tolist() for lo, hi in zip(at[:-1], at[1:], strict=True)]
     assert found == [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in (a, b)]
+
+
+# ---- rows and texts that the earlier operators lost -----------------------------------------
+
+
+def test_keep_one_of_texts_with_equal_words(spark):
+    """Texts of the same words have the same fingerprint; 20 pairs among them are near copies."""
+    rng = np.random.default_rng(8)
+    words, rows = [f"v{i}" for i in range(400)], []
+    for i in range(20):
+        order = list(rng.permutation(words))
+        near = list(order)
+        near[100], near[300] = near[300], near[100]
+        rows += [(2 * i, " ".join(order)), (2 * i + 1, " ".join(near))]
+    kept = {r["doc_id"] for r in similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(0, 40, 2)) <= kept and len(kept) <= 22
+
+
+def test_rows_are_told_apart_by_nulls_and_maps(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", "x", None, {"k": 1}), (1, "a b c", "s", None, "x", {"k": 1}), (1, "a b c", "s", None, "x", {"k": 2})], "doc_id long, text string, source string, p string, q string, m map<string,int>")
+    got = mixing.repeat_to_mix(docs).collect()
+    assert {(r["p"], r["q"], r["m"]["k"]) for r in got} == {("x", None, 1), (None, "x", 1), (None, "x", 2)}
+    assert similar.keep_one(docs).count() == 1
+
+
+def test_unquoted_attribute_values():
+    long = "A paragraph of the article that has a good many words, so that it stays. " * 3
+    page = f"<html><body><article><p data-x=it's>{long}one</p><p title=a\"b>{long}two</p><p class='c' \">{long}three</p></article></body></html>"
+    assert [html.main_text(page).count(w) for w in ("one", "two", "three")] == [1, 1, 1]
