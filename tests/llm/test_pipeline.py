@@ -38,10 +38,10 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
-@pytest.mark.parametrize("name", ["op1_mixing", "op3_decontamination", "op9_secrets", "op10_substrings"])
+@pytest.mark.parametrize("name", ["op1_mixing", "op3_decontamination", "op9_secrets", "op10_substrings", "op11_collocations", "op12_merkle"])
 def test_agrees_with_sql(spark, name):
     import duckdb
 
