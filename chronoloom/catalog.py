@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import kernel_sql as K
 from .functions import arrays
-from .operators import cells, clustering, detection, graph, intervals, partitions, scores, series, transitions
+from .operators import cells, clustering, detection, graph, intervals, lowrank, partitions, scores, series, transitions
 from .plans import pipelines, windows
 from .sources import events as ev
 from .sources import generators, storage
@@ -1532,6 +1532,77 @@ def region_best_partition(s, d):
     return _named(clustering.best_partition(runs, DAY), DAY).select("node", "cluster")
 
 
+# customers whose orders are near each other, more so within a region: a network of all customers that is not made of cliques
+_ORDER_LINKS = """WITH placed AS (SELECT o_orderkey, o_custkey AS node, n_regionkey AS region FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+one AS (SELECT a.node AS i, b.node AS j, CASE WHEN a.region = b.region THEN 20.0::DOUBLE ELSE 1.0::DOUBLE END AS v
+  FROM (SELECT *, o_orderkey + unnest(range(1, 13)) AS later FROM placed) a JOIN placed b ON b.o_orderkey = a.later WHERE a.node <> b.node),
+links AS (SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM one UNION ALL SELECT j, i, v FROM one) GROUP BY 1, 2),
+strength AS (SELECT i AS node, sum(v) / (SELECT sum(v) FROM links) AS p FROM links GROUP BY 1),
+joint AS (SELECT i, j, v / (SELECT sum(v) FROM links) AS v FROM links),
+grouped AS (SELECT DISTINCT node, region FROM placed)"""
+
+
+def _order_links(s, d) -> DataFrame:
+    homes = _table(s, d, "customer").join(_table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("node"), F.col("n_regionkey").alias("region"))
+    placed = _table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("node")).join(homes, "node")
+    later = placed.select(F.explode(F.sequence(F.col("o_orderkey") + 1, F.col("o_orderkey") + 12)).alias("o_orderkey"), F.col("node").alias("i"), F.col("region").alias("_r"))
+    pairs = later.join(placed.withColumnRenamed("node", "j"), "o_orderkey").where("i != j")
+    one = pairs.select(F.lit(0).cast("long").alias("sample_id"), "i", "j", F.when(F.col("_r") == F.col("region"), 20.0).otherwise(1.0).alias("v"))
+    return graph.both_ways(one, DAY).groupBy(*DAY, "i", "j").agg(F.sum("v").alias("v"))
+
+
+def _order_covariance(s, d) -> tuple[DataFrame, DataFrame, lowrank.LowRank]:
+    links = _order_links(s, d)
+    total = links.groupBy(*DAY).agg(F.sum("v").alias("all"))
+    p = graph.degrees(links, DAY).join(total, DAY).select(*DAY, F.col("i").alias("node"), (F.col("degree") / F.col("all")).alias("d"))
+    walk = graph.random_walk_matrix(links, DAY)
+    return walk, p, lowrank.autocovariance(walk, p, DAY)
+
+
+def _order_blocks(p: DataFrame) -> DataFrame:
+    return p.select(*DAY, "node", F.pmod("node", F.lit(7)).alias("cluster"))
+
+
+@_query("order_covariance_blocks", "", f"""{_ORDER_LINKS} SELECT i, j, round(sum(v), 9) + 0.0 AS v FROM (
+  SELECT i % 7 AS i, j % 7 AS j, v FROM joint UNION ALL SELECT a.b, c.b, -a.p * c.p FROM (SELECT node % 7 AS b, sum(p) AS p FROM strength GROUP BY 1) a, (SELECT node % 7 AS b, sum(p) AS p FROM strength GROUP BY 1) c) GROUP BY 1, 2""")
+def order_covariance_blocks(s, d):
+    """Autocovariance of all customers, contracted without its n^2 cells."""
+    _, p, covariance = _order_covariance(s, d)
+    return lowrank.to_cells(lowrank.contract(covariance, _order_blocks(p))).select("i", "j", (F.round("v", 9) + 0.0).alias("v"))
+
+
+@_query("order_forward_blocks", "", f"""{_ORDER_LINKS}, half AS (SELECT i % 7 AS b, j, sum(v) AS v FROM joint GROUP BY 1, 2), sums AS (SELECT node % 7 AS b, sum(p) AS p FROM strength GROUP BY 1)
+SELECT i, j, round(sum(v), 9) + 0.0 AS v FROM (SELECT x.b AS i, y.b AS j, x.v * y.v / p AS v FROM half x JOIN half y USING (j) JOIN strength ON node = x.j UNION ALL SELECT a.b, c.b, -a.p * c.p FROM sums a, sums c) GROUP BY 1, 2""")
+def order_forward_blocks(s, d):
+    walk, p, _ = _order_covariance(s, d)
+    return lowrank.to_cells(lowrank.forward_blocks(walk, p, _order_blocks(p), DAY)).select("i", "j", (F.round("v", 9) + 0.0).alias("v"))
+
+
+@_query("order_covariance_total", "", f"""{_ORDER_LINKS} SELECT round((SELECT sum(v) FROM joint WHERE i % 2 = 0 AND j % 3 = 0)
+  - (SELECT sum(p) FROM strength WHERE node % 2 = 0) * (SELECT sum(p) FROM strength WHERE node % 3 = 0), 9) + 0.0 AS total""")
+def order_covariance_total(s, d):
+    """Sum of the rows of some customers and the columns of others."""
+    _, p, covariance = _order_covariance(s, d)
+    return lowrank.block_total(covariance, p.where("node % 2 = 0"), p.where("node % 3 = 0")).select((F.round("total", 9) + 0.0).alias("total"))
+
+
+@_query("order_covariance_elements", "", f"{_ORDER_LINKS} SELECT a.node AS i, a.node + 1 AS j, round(coalesce(v, 0) - a.p * b.p, 9) + 0.0 AS v FROM strength a JOIN strength b ON b.node = a.node + 1 LEFT JOIN joint ON i = a.node AND j = a.node + 1")
+def order_covariance_elements(s, d):
+    """The cells of each customer and the next one."""
+    _, p, covariance = _order_covariance(s, d)
+    pairs = p.select(*DAY, F.col("node").alias("i"), (F.col("node") + 1).alias("j")).join(p.select(*DAY, F.col("node").alias("j")), [*DAY, "j"], "left_semi")
+    return lowrank.elements(covariance, pairs).select("i", "j", (F.round("v", 9) + 0.0).alias("v"))
+
+
+@_query("order_communities", "", f"""{_ORDER_LINKS} SELECT node, min(node) OVER (PARTITION BY region) AS cluster,
+  round((SELECT sum(v) FROM joint JOIN grouped a ON a.node = i JOIN grouped b ON b.node = j WHERE a.region = b.region) - (SELECT sum(p * p) FROM (SELECT sum(p) AS p FROM strength JOIN grouped USING (node) GROUP BY region)), 6) AS stability
+FROM strength JOIN grouped USING (node)""")
+def order_communities(s, d):
+    """Louvain over the edges of all customers; regions are planted."""
+    found = lowrank.communities(_order_covariance(s, d)[2])
+    return found.select("node", "cluster", _r("stability"))
+
+
 @_query(
     "matched_clusters",
     "many",
