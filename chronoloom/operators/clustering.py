@@ -87,6 +87,26 @@ def _integral(group: pd.DataFrame, walk: bool) -> np.ndarray:
     return (total / size if size > 0 else total) - np.outer(p1, p1)
 
 
+def interval_products(packed: DataFrame, intervals: DataFrame, rates: Sequence[float], walk: bool = True, tol: float = 1e-12) -> DataFrame:
+    """Cells (sample_id, interval, lamda, k, i, j, v) of the product over each interval; k is its last with a contact.
+
+    Kernels are made and multiplied in one task an interval and rate, so cells of single kernels
+    are never shuffled.  Intervals without a contact have no cells.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        one = group.iloc[0]
+        group = group[group["ii"].map(len) > 0].sort_values("k")
+        n, total = int(one["n_nodes"]), np.eye(int(one["n_nodes"]))
+        for at in range(0, len(group), 256):
+            for m in _kernels(group.iloc[at : at + 256], n, float(one["lamda"]), walk):
+                total = K.normalize_rows(total @ m)
+        i, j = np.nonzero(np.abs(total) > tol) if len(group) else (np.zeros(0, int),) * 2
+        return pd.DataFrame({"sample_id": one["sample_id"], "interval": one["interval"], "lamda": one["lamda"], "k": group["k"].max(), "i": i, "j": j, "v": total[i, j]})
+
+    return _cut(packed, intervals, rates).groupBy("sample_id", "interval", "lamda").applyInPandas(run, "sample_id long, interval long, lamda double, k long, i long, j long, v double")
+
+
 def communities(autocovariance: DataFrame, n_nodes: DataFrame, seeds: Sequence[int], keys: list[str]) -> DataFrame:
     """(keys..., run, node, cluster, stability): one Louvain run a seed, each its own task."""
     table = autocovariance.sparkSession.createDataFrame([(int(s),) for s in seeds], "run long")

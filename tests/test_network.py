@@ -55,6 +55,28 @@ def test_scan_over_blocks(spark, reverse, walk):
     assert groups == -(-(int(part["k"].max()) + 1) // 4)
 
 
+def test_packed_sends_no_edges_to_the_driver(spark):
+    """Edges have no side in a join, so no estimate can make a broadcast of them; empty intervals stay."""
+    events = _events(spark, [(0, 1, 0.0, 1.0), (1, 2, 0.5, 1.0), (0, 2, 3.0, 4.0)])
+    _, packed = pipelines.prepare(events)
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    got = {r["k"]: (r["t"], r["tau"], sorted(zip(r["ii"], r["jj"], strict=True))) for r in packed.collect()}
+    assert got == {0: (0.0, 0.5, [(0, 1)]), 1: (0.5, 0.5, [(0, 1), (1, 2)]), 2: (1.0, 2.0, []), 3: (3.0, 1.0, [(0, 2)])}
+
+
+def test_interval_products(spark):
+    """Products of the kernels between cuts agree with those of stored cells; intervals without a contact have none."""
+    rows = [(0, 1, 0.0, 1.0), (1, 2, 0.5, 1.5), (0, 2, 3.0, 4.0), (2, 3, 3.5, 5.0), (0, 3, 7.0, 8.0)]
+    grid, packed = pipelines.prepare(_events(spark, rows))
+    ranges = spark.createDataFrame([(0, 1, 0, 3), (0, 2, 3, 4), (0, 3, 4, 9)], "sample_id long, interval long, start long, stop long")
+    got = {(r["interval"], r["k"], r["i"], r["j"]): r["v"] for r in clustering.interval_products(packed, ranges, [0.5]).collect()}
+    stored = clustering.within(transitions.inter_transitions(packed, [0.5]), ranges)
+    n = packed.select("sample_id", "n_nodes").distinct()
+    want = {(r["interval"], r["k"], r["i"], r["j"]): r["v"] for r in transitions.running_products(stored, n, ["sample_id", "interval", "lamda"], only_last=True).collect()}
+    assert got == pytest.approx(want) and {k[0] for k in got} == {1, 3}
+
+
 @pytest.mark.parametrize("overlap, want", [(0, [0.341981, 0.683961, 1.025942]), (1, [0.817049, 1.159030]), (2, [1.371261])])
 def test_path_entropy(spark, overlap, want):
     _, packed = pipelines.prepare(generators.path(spark, 4, overlap))
