@@ -154,6 +154,20 @@ def test_component_bounds(spark):
     assert graph.lower_bound(sizes, ["sample_id"], n).first()["lower_bound"] == pytest.approx(0.462098, abs=1e-6)
 
 
+def test_bound_curves_join_no_pair_with_a_window(spark):
+    """Runs of windows give the components of each window's own edges, over several blocks of windows."""
+    rng = np.random.default_rng(4)
+    a = np.sort(np.round(rng.uniform(0, 60, 90), 1))
+    rows = [(int(i), int(j), float(t), float(t + d)) for i, j, t, d in zip(rng.integers(0, 9, 90), rng.integers(0, 9, 90), a, np.round(rng.exponential(1, 90), 1), strict=True)]
+    events = intervals.merge_overlaps(_events(spark, rows))
+    plan = windows.bound_windows(intervals.time_grid(events), 2.0)
+    edges = intervals.range_join(events.where("src != dst"), plan, 2.0).select("sample_id", "k", F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j")).distinct()
+    want = _values(graph.component_sizes(edges, ["sample_id", "k"]), "k", "component", "size")
+    runs = windows.runs_of_windows(events, plan)
+    assert _values(graph.component_sizes_of_runs(runs, block=16), "k", "component", "size") == want and runs.count() < edges.count() / 4
+    assert pipelines.bound_curves(events, 2.0)._jdf.queryExecution().optimizedPlan().toString().count("bucket") == 0
+
+
 def test_long_chain_is_one_component(spark):
     chain = spark.range(200).select(F.lit(0).alias("g"), F.col("id").alias("i"), (F.col("id") + 1).alias("j"))
     assert _values(graph.components(chain, ["g"]).groupBy("component").count(), "component", "count") == [(0, 201)]
