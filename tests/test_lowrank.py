@@ -100,3 +100,25 @@ def test_communities_without_structure(spark):
     s = K.autocovariance(t, np.full(n, 1 / n))
     assert got["stability"].iloc[0] >= K.stability(s, K.louvain(s, 0)) - 1e-9
     assert lowrank.communities(lowrank.autocovariance(cells.where("false"), p.where("false"), KEY)).count() == 0
+
+
+def test_orders_are_not_exploded_over_keys(spark):
+    """Near orders meet in one range frame; links are dealt once, by their first node."""
+    from chronoloom import catalog
+
+    plan = catalog.queries()["order_covariance_total"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "sequence(" not in plan and plan.count("hashpartitioning(i#") <= 1
+    pairs = catalog._order_pairs(spark, "/root/testdata/sf0.001")
+    placed = sorted(tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey", "o_custkey").collect())
+    want = 2 * sum(0 < b[0] - a[0] <= 12 and a[1] != b[1] for n, a in enumerate(placed) for b in placed[n + 1 : n + 40])
+    assert pairs.count() == want
+
+
+def test_forward_blocks_of_a_given_vector(spark):
+    """p2 given is p1 T: the same blocks."""
+    cells = spark.createDataFrame([(0, 0, 1, 1.0), (0, 1, 0, 0.5), (0, 1, 2, 0.5), (0, 2, 1, 1.0)], "sample_id long, i long, j long, v double")
+    p = spark.createDataFrame([(0, 0, 0.25), (0, 1, 0.5), (0, 2, 0.25)], "sample_id long, node long, d double")
+    part = spark.createDataFrame([(0, 0, 0), (0, 1, 1), (0, 2, 1)], "sample_id long, node long, cluster long")
+    a, b = (lowrank.to_cells(lowrank.forward_blocks(cells, p, part, ["sample_id"], *x)).collect() for x in ((), (p,)))
+    values = lambda rows: {(r["i"], r["j"]): r["v"] for r in rows}
+    assert values(a) == pytest.approx(values(b)) and len(a) == 4
