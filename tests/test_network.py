@@ -188,6 +188,15 @@ def test_metrics(spark):
         scores.evaluate(runs, truth, found, ["p"], 5.0, max_error=-1.0)
 
 
+def test_equal_points_count_once(spark):
+    """Three true points at one time are one, as in the SQL."""
+    runs = spark.createDataFrame([(1, 0)], "p long, sample_id long")
+    truth = spark.createDataFrame([(0, 50.0), (0, 50.0), (0, 50.0)], "sample_id long, bkp double")
+    found = spark.createDataFrame([(1, 0, 50.0), (1, 0, 80.0), (1, 0, 90.0)], "p long, sample_id long, pred double")
+    got = scores.evaluate(runs, truth, found, ["p"], 5.0).first()
+    assert (got["n_true"], got["tp"], got["n_found"], got["f1"]) == (1, 1, 3, pytest.approx(0.5))
+
+
 def test_best_ignores_nan(spark):
     means = spark.createDataFrame([(1, float("nan")), (2, 0.5), (3, 0.5)], "p long, mean_f1 double")
     assert scores.best(means, ["p"]).first()["p"] == 2
