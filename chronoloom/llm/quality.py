@@ -8,7 +8,8 @@ no good row shows is isolated by a short path.  The score is 2 ** (-mean path /
 The threshold is calibrated on labelled rows: the score above which most bad rows lie while
 at most ``good_loss`` of the good ones do.
 
-Fitting reads a bounded sample: the ``sample_rows`` labelled rows with the least hashes.
+Each tree is grown on ``per_tree`` rows, as isolation forests are, drawn from the ``sample_rows``
+good labelled rows with the least hashes; the range and the threshold come from all labelled rows.
 Statistics, scores and verdicts cover every row, in one narrow pass without a shuffle.
 
 Edge cases: a null or empty text has no words and fails the base rules; without labels (or
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import materialize
 from .words import LEAD, PLAIN, chunks, mix64, segment_sums, span_hash, window_hash
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_echoes")
@@ -174,35 +176,59 @@ def fit(
     good_loss: float = 0.001,
     seed: int = 7,
 ) -> Model:
-    """Grow and calibrate on the ``sample_rows`` labelled rows of least hash, by doc_id."""
-    spark = docs.sparkSession
+    """Grow each tree on ``per_tree`` good rows, drawn from the ``sample_rows`` of least hash; calibrate on all labelled rows."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    taken = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample_rows).collect()
-    quality = {r["doc_id"]: r["quality"] for r in taken}
-    if not quality:
-        return Model(Forest(), float("inf"))
-    ids = spark.createDataFrame(list(quality.items()), "doc_id long, quality int").select("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stats = statistics(batch.column(1))
             x, failed = features(stats), base_failed(stats)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(failed), *(pa.array(x[:, i]) for i in range(x.shape[1]))], names=["doc_id", "failed", *(f"f{i}" for i in range(x.shape[1]))])
-
-    schema = "doc_id long, failed boolean, " + ", ".join(f"f{i} double" for i in range(len(FEATURES)))
-    sampled = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(run, schema).where("not failed")
-    # doc_ids may repeat; one row of each is enough, and bounds what comes here
-    sampled = sampled.groupBy("doc_id").agg(*[F.max(f"f{i}").alias(f"f{i}") for i in range(len(FEATURES))])
-    rows = sorted(tuple(r) for r in sampled.collect())
-    if not rows:
-        return Model(Forest(), float("inf"))
-    x = np.array([r[1:] for r in rows], dtype=float)
-    is_good = np.array([quality[r[0]] > 0 for r in rows])
-    if not is_good.any():
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(failed), *(pa.array(x[:, i]) for i in range(x.shape[1]))], names=["doc_id", "failed", *names])
+
+    names = [f"f{i}" for i in range(len(FEATURES))]
+    schema = "doc_id long, failed boolean, " + ", ".join(f"{n} double" for n in names)
+    # features of all rows, so that no text is shuffled to its label
+    told = docs.select("doc_id", "text").mapInArrow(run, schema).where("not failed").join(known, "doc_id")
+    # doc_ids may repeat; one row of each is enough
+    rows = told.groupBy("doc_id").agg((F.max("quality") > 0).alias("good"), *[F.max(n).alias(n) for n in names])
+    rows = materialize(rows, "quality-features")
+    spans = rows.agg(*[f(n) for f in (F.min, F.max) for n in names]).first()
+    sampled = rows.where("good").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample_rows).collect()
+    if not sampled:
         return Model(Forest(), float("inf"))
-    forest = Forest.grow(x[is_good], x.min(axis=0), x.max(axis=0), trees, per_tree, seed)
-    score = forest.score(x)
-    return Model(forest, calibrate(score[is_good], score[~is_good], good_loss))
+    good = np.array([[r[n] for n in names] for r in sorted(sampled, key=lambda r: r["doc_id"])], dtype=float)
+    forest = Forest.grow(good, np.array(spans[: len(names)], dtype=float), np.array(spans[len(names) :], dtype=float), trees, per_tree, seed)
+    shared = docs.sparkSession.sparkContext.broadcast(forest)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(names))], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value.score(x)), batch.column(0)], names=["score", "good"])
+
+    return Model(forest, threshold(rows.select("good", *names).mapInArrow(score, "score double, good boolean"), good_loss))
+
+
+def threshold(scored: DataFrame, good_loss: float, bins: int = 1 << 14) -> float:
+    """``calibrate`` over rows (score, good) of any number: the driver sees counts by bin, finer each time."""
+    scored = materialize(scored, "quality-scores")
+    goods, bads, low, high = scored.agg(F.count_if("good"), F.count_if(~F.col("good")), F.min("score"), F.max("score")).first()
+    if not goods or not bads:
+        return float("inf")
+    greatest, above = high, 0
+    # the least score with few enough good ones above it: in the last bin whose top is allowed
+    while low < high:
+        place = F.least(F.floor((F.col("score") - low) / (high - low) * bins), F.lit(bins - 1))
+        counts = scored.where(F.col("score").between(low, high)).groupBy(place.alias("bin")).agg(F.count_if("good").alias("good"), F.min("score").alias("low"), F.max("score").alias("high"))
+        passed = above
+        for r in sorted(counts.collect(), key=lambda r: -r["bin"]):
+            if 1 - (goods - passed) / goods > good_loss:
+                break
+            low, high, above = r["low"], r["high"], passed
+            passed += r["good"]
+    bad = scored.where(~F.col("good") & (F.col("score") > low)).agg(F.min("score")).first()[0]
+    if bad is None:
+        return float(greatest)
+    return float((scored.where(F.col("score") < bad).agg(F.max("score")).first()[0] + bad) / 2)
 
 
 def _verdict(model: Model, texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:

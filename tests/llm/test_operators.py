@@ -830,3 +830,19 @@ def test_substrings_of_few_words(spark, seed):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = substrings.remove_repeats(docs, block_bytes=700).collect()
     assert sorted(key((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"])) for r in got) == _deduped(rows)
+
+
+def test_quality_threshold_of_all_rows(spark):
+    """The threshold is that of all labelled rows, at any number of bins; rows outside the trees' sample count."""
+    rng = np.random.default_rng(5)
+    for loss, bins in ((0.0, 2), (0.001, 3), (0.05, 7), (1.0, 4)):
+        score, good = np.round(rng.random(400), 2), rng.random(400) < 0.7
+        score = np.where(good, score * 0.7, score)
+        frame = spark.createDataFrame(list(zip(score.tolist(), good.tolist(), strict=True)), "score double, good boolean")
+        assert quality.threshold(frame, loss, bins) == pytest.approx(quality.calibrate(score[good], score[~good], loss))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality.fit(docs, labels, sample_rows=20)
+    judged = quality.judge(docs, model).join(labels.where("quality is not null"), "doc_id").where("not base_failed").select("score", "quality").collect()
+    good, bad = (np.array([r["score"] for r in judged if (r["quality"] > 0) == side]) for side in (True, False))
+    assert model.threshold == pytest.approx(quality.calibrate(good, bad, 0.001))
