@@ -333,3 +333,12 @@ def test_stream(spark, tmp_path):
         query.awaitTermination(60)
     assert [(r["i"], r["j"], r["contacts"]) for r in spark.table("pairs").collect()] == [(1, 2, 2)]
     assert spark.table("changes").count() >= 1
+
+
+@pytest.mark.parametrize("name", ["linear_transition", "stationary_transition", "component_exponentials"])
+def test_matrices_of_snapshots_read_kept_ones(spark, name):
+    """Their parts are united task by task, and each part read all contacts anew."""
+    from chronoloom import catalog
+
+    files = catalog.queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not [f for f in files if "events.parquet" in f]
