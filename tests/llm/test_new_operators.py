@@ -248,6 +248,43 @@ def test_keep_one_of_texts_with_equal_words(spark):
     assert set(range(0, 40, 2)) <= kept and len(kept) <= 22
 
 
+def test_keep_one_finds_all_components(spark, monkeypatch):
+    """Orders of one bag of words, near pairs at the limit, and chains: components of all pairs, as brute force has them."""
+    rng = np.random.default_rng(21)
+    words, texts = [f"v{i}" for i in range(120)], []
+    for i in range(40):
+        order = [str(w) for w in rng.permutation(words)]
+        texts.append(" ".join(order))
+        for _ in range(3):  # each a little further from the first: some meet one another only
+            order = list(order)
+            at = int(rng.integers(10, 100))
+            order[at], order[at + 7] = order[at + 7], order[at]
+            texts.append(" ".join(order))
+    common = " ".join(f"line{i}" for i in range(30))
+    for i in range(40):  # a passage that all share, and edges that few do
+        own = [f"u{i // 4}x{k}" for k in range(40)]
+        for k in rng.choice(40, i % 4, replace=False):
+            own[k] = f"e{i}x{k}"
+        texts.append(f"{common} {' '.join(own)}")
+    texts += ["a b c d", "a b c d e", "a b c d e f", "b c d e f", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if root[i] != root[j] and (a == b or 5 * len(a & b) >= 4 * len(a | b)):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert 40 < len(set(root)) < len(texts) - 40
+    assert sorted(r["doc_id"] for r in similar.keep_one(docs).collect()) == sorted(set(root))
+    monkeypatch.setattr(similar, "MOST_FREQUENT", 1)  # what counts as frequent changes no result
+    assert sorted(r["doc_id"] for r in similar.keep_one(docs).collect()) == sorted(set(root))
+
+
 def test_rows_are_told_apart_by_nulls_and_maps(spark):
     docs = spark.createDataFrame([(1, "a b c", "s", "x", None, {"k": 1}), (1, "a b c", "s", None, "x", {"k": 1}), (1, "a b c", "s", None, "x", {"k": 2})], "doc_id long, text string, source string, p string, q string, m map<string,int>")
     got = mixing.repeat_to_mix(docs).collect()
