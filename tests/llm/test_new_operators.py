@@ -296,3 +296,11 @@ def test_unquoted_attribute_values():
     long = "A paragraph of the article that has a good many words, so that it stays. " * 3
     page = f"<html><body><article><p data-x=it's>{long}one</p><p title=a\"b>{long}two</p><p class='c' \">{long}three</p></article></body></html>"
     assert [html.main_text(page).count(w) for w in ("one", "two", "three")] == [1, 1, 1]
+
+
+def test_chunks_stay_small():
+    """A worker's arrays are some tens of times its chunk; chunks of 2 MB took an executor beyond its memory."""
+    from chronoloom.llm import words
+
+    texts = pa.array(["word " * 2000] * 500)
+    assert max(len(c.data) for c in words.chunks(texts)) <= 1 << 20
