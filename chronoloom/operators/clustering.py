@@ -61,10 +61,11 @@ def within(rows: DataFrame, intervals: DataFrame, bucket: int = 256) -> DataFram
     """Rows (sample_id, k, ...) of each interval (sample_id, interval, start, stop) with start <= k < stop.
 
     Intervals are listed under the buckets of k that they reach, so a sample's rows meet the
-    intervals near them only, and one long sample is many keys.
+    intervals near them only, and one long sample is many keys.  Rows may be long, and those of an
+    explode are more than any estimate knows: both sides are shuffled, none is sent to the driver.
     """
     listed = intervals.where("stop > start").withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("stop") - 1) / bucket))))
-    return rows.withColumn("_b", F.floor(F.col("k") / bucket)).join(listed, ["sample_id", "_b"]).where("k >= start and k < stop").drop("start", "stop", "_b")
+    return rows.withColumn("_b", F.floor(F.col("k") / bucket)).join(listed.hint("merge"), ["sample_id", "_b"]).where("k >= start and k < stop").drop("start", "stop", "_b")
 
 
 def _cut(packed: DataFrame, intervals: DataFrame, rates: Sequence[float]) -> DataFrame:
