@@ -55,6 +55,23 @@ def test_scan_over_blocks(spark, reverse, walk):
     assert groups == -(-(int(part["k"].max()) + 1) // 4)
 
 
+def test_rows_of_intervals_are_no_broadcast(spark):
+    """Rows whose length no estimate knows are not sent to the driver, however small they seem."""
+    rows = spark.createDataFrame([(0, k) for k in range(6)], "sample_id long, k long")
+    ranges = spark.createDataFrame([(0, 1, 1, 3), (0, 2, 3, 6)], "sample_id long, interval long, start long, stop long")
+    found = clustering.within(rows, ranges, 2)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert _values(found, "interval", "k") == [(1, 1), (1, 2), (2, 3), (2, 4), (2, 5)]
+
+
+def test_window_plans_send_no_grid_to_the_driver(spark):
+    grid = spark.createDataFrame([(s, k, float(k), 1.0) for s in (0, 1) for k in range(9)], "sample_id long, k long, t double, tau double")
+    plans = [windows.centered(grid, 4.0), windows.sampled(windows.centered(grid, 4.0), 0.5), windows.forward(grid, 4.0), windows.backward(grid, 4.0), windows.bound_windows(grid, 4.0)]
+    for plan in plans:
+        assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert _values(plans[0].where("sample_id = 1"), "k", "left", "right") == [(2, 0, 4), (3, 1, 5), (4, 2, 6), (5, 3, 7), (6, 4, 7)]
+
+
 def test_packed_sends_no_edges_to_the_driver(spark):
     """Edges have no side in a join, so no estimate can make a broadcast of them; empty intervals stay."""
     events = _events(spark, [(0, 1, 0.0, 1.0), (1, 2, 0.5, 1.0), (0, 2, 3.0, 4.0)])
