@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..sources.storage import kept
 from .transitions import _kernels, _with_rates
 
 
@@ -131,6 +132,7 @@ def summarize(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: best and mean stability, mean number of clusters, mean variation between runs."""
     from .partitions import average_variation
 
+    runs = kept(runs)  # read five times, dear to make, and their plan would be in this one as often
     each = runs.groupBy(*keys, "run").agg(F.first("stability").alias("s"), F.countDistinct("cluster").alias("c"))
     sums = each.groupBy(*keys).agg(F.max("s").alias("best_stability"), F.avg("s").alias("avg_stability"), F.avg("c").alias("avg_clusters"))
     return sums.join(average_variation(runs, keys), keys, "left")

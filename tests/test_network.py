@@ -64,6 +64,14 @@ def test_rows_of_intervals_are_no_broadcast(spark):
     assert _values(found, "interval", "k") == [(1, 1), (1, 2), (2, 3), (2, 4), (2, 5)]
 
 
+def test_summary_makes_its_runs_once(spark):
+    """The plan of a summary reads tables, not what made the runs."""
+    runs = spark.createDataFrame([(0, r, n, n // 2 if r else 0, 0.5 + r) for r in (0, 1) for n in range(4)], "sample_id long, run long, node long, cluster long, stability double")
+    made = clustering.summarize(runs.mapInPandas(lambda parts: parts, runs.schema), ["sample_id"])
+    assert "MapInPandas" not in made._jdf.queryExecution().executedPlan().toString()
+    assert _values(made, "best_stability", "avg_stability", "avg_clusters") == [(1.5, 1.0, 1.5)]
+
+
 def test_window_plans_send_no_grid_to_the_driver(spark):
     grid = spark.createDataFrame([(s, k, float(k), 1.0) for s in (0, 1) for k in range(9)], "sample_id long, k long, t double, tau double")
     plans = [windows.centered(grid, 4.0), windows.sampled(windows.centered(grid, 4.0), 0.5), windows.forward(grid, 4.0), windows.backward(grid, 4.0), windows.bound_windows(grid, 4.0)]
