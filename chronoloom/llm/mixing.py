@@ -211,5 +211,8 @@ def repeat_to_mix(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
     more = cuts.select(F.explode(rounded["more"]).alias("row_key"), F.lit(1).cast("long").alias("n"))
     copies = taken.select("row_key", whole.alias("n")).union(more)
     wanted = copies.groupBy("row_key").agg(F.sum("n").cast("int").alias("_copies")).where("_copies > 0")
-    joined = docs.dropDuplicates([key]).join(wanted, docs[key] == wanted["row_key"])
+    # the join deals the rows by their hashes, so equal ones meet without a further shuffle
+    parts = [f"{key}_{i}" for i in range(2)]
+    named = docs.withColumns(dict(zip(parts, hashes, strict=True))).drop(key)
+    joined = named.join(wanted.select(F.col("row_key.a").alias(parts[0]), F.col("row_key.b").alias(parts[1]), "_copies"), parts).dropDuplicates(parts)
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[c for c in docs.columns if c != key])

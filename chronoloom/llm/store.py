@@ -74,6 +74,17 @@ def forget_last(spark: SparkSession, n: int = 1) -> None:
         delete(spark, _made.pop(-n)[1])
 
 
+def tables_made() -> int:
+    return len(_made)
+
+
+def forget_since(spark: SparkSession, start: int, keep: int = 1) -> None:
+    """Remove the tables made since :func:`tables_made` gave ``start``, but for the last ``keep``, once nothing reads them any more."""
+    for _, path in _made[start : len(_made) - keep]:
+        delete(spark, path)
+    del _made[start : len(_made) - keep]
+
+
 @atexit.register
 def _tidy() -> None:
     for spark, path in _made:

@@ -462,6 +462,26 @@ def _shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def test_near_duplicates_leave_the_verdict_only(spark, docs):
+    """Tables that only the verdict was made of are gone, and the rows can still be read."""
+    before = store.tables_made()
+    kept = similar.keep_one(docs)
+    assert store.tables_made() == before + 1 and "near-duplicates-" in store._made[-1][1]
+    assert kept.count() > 0
+
+
+def test_mix_shuffles_rows_once(spark, docs):
+    """Rows meet their copies and each other in one exchange of the documents."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mixing.repeat_to_mix(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    above = plan[: plan.index("SortMergeJoin")]
+    assert "Exchange" not in above  # equal rows meet where the join has put them
+
+
 def _similar_groups(texts):
     sets = [_shingles(t) for t in texts]
     root = list(range(len(texts)))
