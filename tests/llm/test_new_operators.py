@@ -285,6 +285,29 @@ def test_keep_one_finds_all_components(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in similar.keep_one(docs).collect()) == sorted(set(root))
 
 
+def test_keep_one_of_copies_near_a_text_but_not_each_other(spark, monkeypatch):
+    """Sixty copies with four edits each, below the limit to all others: no pair of them may be similar by its places, so none is made."""
+    words, sizes = [f"v{i}" for i in range(150)], {}
+    texts = [" ".join(words)]
+    for i in range(60):
+        copy = list(words)
+        for k in range(4):
+            copy[10 + (7 * i + 35 * k) % 130] = f"e{i}x{k}"
+        texts.append(" ".join(copy))
+    made = similar.materialize
+
+    def spy(df, name):
+        table = made(df, name)
+        sizes[name] = table.count()
+        return table
+
+    monkeypatch.setattr(similar, "materialize", spy)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = similar.keep_one(docs)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(61))
+    assert sizes["similar-split"] > 500 and sizes["similar-met"] <= 61  # of 1,830 pairs
+
+
 def test_rows_are_told_apart_by_nulls_and_maps(spark):
     docs = spark.createDataFrame([(1, "a b c", "s", "x", None, {"k": 1}), (1, "a b c", "s", None, "x", {"k": 1}), (1, "a b c", "s", None, "x", {"k": 2})], "doc_id long, text string, source string, p string, q string, m map<string,int>")
     got = mixing.repeat_to_mix(docs).collect()
