@@ -114,6 +114,26 @@ def test_orders_are_not_exploded_over_keys(spark):
     assert pairs.count() == want
 
 
+def test_conditions_on_cells_reach_the_pairs(spark):
+    """Cells that are not asked for are left out before pairs are shuffled, and cells meet no join that divides and multiplies rows."""
+    from chronoloom import catalog
+
+    for name, condition in (("order_covariance_elements", "+ 1)"), ("order_covariance_total", "% 3)")):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        dealt = next(n for n, line in enumerate(plan) if "RepartitionByExpression [i#" in line)
+        assert any(line.strip(" :+-").startswith("Filter") and condition in line for line in plan[dealt + 1 :])
+
+
+def test_undirected_links(spark):
+    """The same parts as of the walk's own matrix."""
+    links = spark.createDataFrame([(0, 0, 1, 2.0), (0, 1, 0, 2.0), (0, 1, 2, 6.0), (0, 2, 1, 6.0)], "g long, i long, j long, v double")
+    p = spark.createDataFrame([(0, 0, 2 / 16), (0, 1, 8 / 16), (0, 2, 6 / 16)], "g long, node long, d double")
+    walk = spark.createDataFrame([(0, 0, 1, 1.0), (0, 1, 0, 0.25), (0, 1, 2, 0.75), (0, 2, 1, 1.0)], "g long, i long, j long, v double")
+    mine = lowrank.to_cells(lowrank.undirected(links, p, spark.createDataFrame([(0, 16.0)], "g long, all double"), KEY)).collect()
+    want = {(r["i"], r["j"]): r["v"] for r in lowrank.to_cells(lowrank.autocovariance(walk, p, KEY)).collect()}
+    assert {(r["i"], r["j"]): r["v"] for r in mine} == pytest.approx(want) and len(mine) == 9
+
+
 def test_forward_blocks_of_a_given_vector(spark):
     """p2 given is p1 T: the same blocks."""
     cells = spark.createDataFrame([(0, 0, 1, 1.0), (0, 1, 0, 0.5), (0, 1, 2, 0.5), (0, 2, 1, 1.0)], "sample_id long, i long, j long, v double")
