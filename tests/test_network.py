@@ -367,3 +367,14 @@ def test_matrices_of_snapshots_read_kept_ones(spark, name):
 
     files = catalog.queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
     assert files and not [f for f in files if "events.parquet" in f]
+
+
+def test_best_parameters_are_kept_before_they_are_joined(spark, monkeypatch):
+    """The search that found them is no part of the plan over other samples."""
+    kept, keys = [], ["lamda", "window"]
+    monkeypatch.setattr(pipelines, "_kept", lambda frame: kept.append(frame.columns) or frame.localCheckpoint())
+    signals = spark.createDataFrame([(1, 1.0, 2.0, k, float(k), float(k >= 6)) for k in range(12)], "sample_id long, lamda double, window double, k long, t double, value double")
+    best = spark.createDataFrame([(1.0, 2.0, 0.5)], "lamda double, window double, mean_f1 double")
+    truth, n = spark.createDataFrame([(1, 6.0)], "sample_id long, bkp double"), spark.createDataFrame([(1, 1)], "sample_id long, n_bkps int")
+    rows = pipelines.test_evaluation(signals, best, truth, n, keys, 0.5).collect()
+    assert kept[0] == keys and [(r["n_true"], r["n_found"], r["tp"]) for r in rows] == [(1, 1, 1)]
