@@ -59,6 +59,14 @@ def test_change_points(seed):
     assert K.penalized_change_points(x, 0.5) == penalized[1]
 
 
+def test_equal_costs_give_the_last_cuts():
+    """As the SQL on one thread: of equally good cuts the last, by the first cut, then the second one."""
+    assert K.change_points(np.zeros(10), 3) == [4, 6, 8] and K.change_points(np.append(np.zeros(9), 1.0), 3) == [4, 6, 8]
+    # one cut is free: before, within or after the step
+    step = np.repeat([0.0, 1.0, 0.0], 4)
+    assert K.change_points(step, 3) == [4, 8, 10] and K.change_points(step, 2) == [4, 8]
+
+
 def test_change_points_of_short_signals():
     assert K.change_points(np.zeros(3), 3) == [] and K.change_points(np.zeros(0), 1) == [] and K.change_points(np.arange(9.0), 0) == []
 
