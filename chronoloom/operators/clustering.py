@@ -46,12 +46,13 @@ def unfinished(intervals: DataFrame, done: DataFrame, keys: list[str]) -> DataFr
 def interval_autocovariance(packed: DataFrame, intervals: DataFrame, rates: Sequence[float], walk: bool = False, tol: float = 0.0) -> DataFrame:
     """Cells (sample_id, interval, lamda, i, j, v) of the flow integral minus p p^T, uniform p.
 
-    Each interval starts its own products; what is at most tol times the greatest value is left out.
+    Each interval starts its own products.  What is below tol times the greatest value is left out;
+    with a tol of 0 every cell is there, zeros too.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         s = _integral(group, walk)
-        i, j = np.nonzero(np.abs(s) > tol * np.abs(s).max()) if s.size else (np.zeros(0, int),) * 2
+        i, j = np.nonzero(np.abs(s) >= tol * np.abs(s).max()) if s.size else (np.zeros(0, int),) * 2
         one = group.iloc[0]
         return pd.DataFrame({"sample_id": one["sample_id"], "interval": one["interval"], "lamda": one["lamda"], "i": i, "j": j, "v": s[i, j]})
 

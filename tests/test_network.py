@@ -378,3 +378,12 @@ def test_best_parameters_are_kept_before_they_are_joined(spark, monkeypatch):
     truth, n = spark.createDataFrame([(1, 6.0)], "sample_id long, bkp double"), spark.createDataFrame([(1, 1)], "sample_id long, n_bkps int")
     rows = pipelines.test_evaluation(signals, best, truth, n, keys, 0.5).collect()
     assert kept[0] == keys and [(r["n_true"], r["n_found"], r["tp"]) for r in rows] == [(1, 1, 1)]
+
+
+def test_cells_of_a_flow_integral_are_all_there(spark):
+    """A node alone: its only cell is exactly 0, and is a cell all the same."""
+    none = "array<bigint>"
+    packed = spark.createDataFrame([(0, 1, k, float(k), 1.0, [], []) for k in range(4)], f"sample_id long, n_nodes long, k long, t double, tau double, ii {none}, jj {none}")
+    ranges = spark.createDataFrame([(0, 1, 0, 4)], "sample_id long, interval long, start long, stop long")
+    got = clustering.interval_autocovariance(packed, ranges, [1.0]).collect()
+    assert [(r["i"], r["j"], r["v"]) for r in got] == [(0, 0, 0.0)]
