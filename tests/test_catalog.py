@@ -42,3 +42,15 @@ _LONG = {"entropy_penalty_search", "entropy_test_evaluation", "interval_summary"
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(SQL) - _LONG))
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
+
+
+def test_grid_search_looks_at_all_windows(spark, duck, monkeypatch):
+    """Signals of the search are those of window_entropy, and its SQL samples none."""
+    from chronoloom.plans import pipelines
+
+    seen = []
+    search = pipelines.grid_search
+    monkeypatch.setattr(pipelines, "grid_search", lambda signals, *rest, **more: seen.append(signals) or search(signals, *rest, **more))
+    catalog.queries()["entropy_grid_search"](spark, SF)
+    assert seen[0].count() == duck.execute(f"select count(*) from ({SQL['window_entropy']})").fetchone()[0]
+    assert "ASOF" not in SQL["entropy_grid_search"]

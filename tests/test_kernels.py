@@ -60,7 +60,7 @@ def test_change_points(seed):
 
 
 def test_equal_costs_give_the_last_cuts():
-    """As the SQL on one thread: of equally good cuts the last, by the first cut, then the second one."""
+    """As the SQL on one thread: of equally good cuts the last, by the last cut, then the one before."""
     assert K.change_points(np.zeros(10), 3) == [4, 6, 8] and K.change_points(np.append(np.zeros(9), 1.0), 3) == [4, 6, 8]
     # one cut is free: before, within or after the step
     step = np.repeat([0.0, 1.0, 0.0], 4)
